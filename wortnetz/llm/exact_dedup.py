@@ -61,7 +61,8 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     Null texts count as empty; an empty table gives no rows; other columns are neither read nor returned.
     """
     rows = cut(digests(df, id_col, text_col).withColumn("rid", F.monotonically_increasing_id()))
-    won = tree_merge(rows, fan_in).select("digest", "check", F.col("best.id").alias("keep_id"), F.col("best.rid").alias("keep_rid"), "group_size")
+    # stored, so that the join deals out both sides anew and Spark can split a hot digest
+    won = cut(tree_merge(rows, fan_in).select("digest", "check", F.col("best.id").alias("keep_id"), F.col("best.rid").alias("keep_rid"), "group_size"))
     return rows.join(won, ["digest", "check"]).select(
         F.col("id").alias(id_col), "keep_id", "group_size", (F.col("rid") == F.col("keep_rid")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"), "n_chars"
     )

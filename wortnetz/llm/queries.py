@@ -1,12 +1,14 @@
 """The queries of the corpus operators, and DuckDB SQL for those that SQL can express."""
 
-from . import exact_dedup, simhash
+from . import exact_dedup, secrets, simhash
 
 QUERIES = {
     "op4_simhash": simhash.op4_simhash,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
+    "op8_secret_scan": secrets.op8_secret_scan,
 }
 
 SQL = {
     "op6_exact_dedup": exact_dedup.OP6_SQL,
+    "op8_secret_scan": secrets.OP8_SQL,
 }
