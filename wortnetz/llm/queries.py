@@ -1,9 +1,10 @@
 """The queries of the corpus operators, and DuckDB SQL for those that SQL can express."""
 
-from . import exact_dedup, packing, quality, secrets, simhash
+from . import exact_dedup, packing, pieces, quality, secrets, simhash
 
 QUERIES = {
     "op4_simhash": simhash.op4_simhash,
+    "op5_sentencepiece": pieces.op5_sentencepiece,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op8_secret_scan": secrets.op8_secret_scan,
     "op9_best_fit_packing": packing.op9_best_fit_packing,
