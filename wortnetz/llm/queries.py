@@ -1,8 +1,9 @@
 """The queries of the corpus operators, and DuckDB SQL for those that SQL can express."""
 
-from . import chat, embeddings, exact_dedup, packing, pieces, quality, secrets, simhash, warc
+from . import chat, embeddings, exact_dedup, packing, pieces, quality, secrets, shards, simhash, warc
 
 QUERIES = {
+    "op1_sharding": shards.op1_sharding,
     "op2_embedding_dedup": embeddings.op2_embedding_dedup,
     "op3_chat_format": chat.op3_chat_format,
     "op4_simhash": simhash.op4_simhash,
@@ -15,6 +16,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op1_sharding": shards.OP1_SQL,
     "op2_embedding_dedup": embeddings.OP2_SQL,
     "op3_chat_format": chat.OP3_SQL,
     "op6_exact_dedup": exact_dedup.OP6_SQL,
