@@ -120,7 +120,11 @@ def osa(a: str, b: str) -> int:
     return last[-1]
 
 
-@F.pandas_udf("int")
-def osa_distance(a: pd.Series, b: pd.Series) -> pd.Series:
+def osa_distance(a: Column, b: Column) -> Column:
     """Needs Python: no built-in function counts a swap as one edit."""
-    return pd.Series([None if x is None or y is None else osa(x, y) for x, y in zip(a, b)], dtype="Int32")
+
+    @F.pandas_udf("int")
+    def distance(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None or y is None else osa(x, y) for x, y in zip(a, b)], dtype="Int32")
+
+    return distance(a, b)
