@@ -372,7 +372,7 @@ def random_graph(edges: DataFrame, seed: int) -> DataFrame:
 
 def lattice(spark, n: int, nei: int) -> DataFrame:
     """(src, dst): each of n vertices with the ``nei`` next ones on a line."""
-    return spark.range(n).select(F.col("id").alias("src"), F.explode(F.sequence(F.col("id") + 1, F.least(F.col("id") + nei, F.lit(n - 1)))).alias("dst")).where("dst > src")
+    return spark.range(n - 1).select(F.col("id").alias("src"), F.explode(F.sequence(F.col("id") + 1, F.least(F.col("id") + nei, F.lit(n - 1)))).alias("dst"))
 
 
 def lattice_graph(edges: DataFrame, nei: int, seed: int) -> DataFrame:

@@ -1,6 +1,6 @@
 """All queries by name."""
 
-from . import survey
+from . import numeric, survey, wording
 
-QUERIES = survey.QUERIES
-SQL = survey.SQL
+QUERIES = survey.QUERIES | wording.QUERIES | numeric.QUERIES
+SQL = survey.SQL | wording.SQL | numeric.SQL
