@@ -17,7 +17,7 @@ from .common import bound_batches, cut, spread, table, text_of
 
 CAPACITY, END_ID = 2048, 0
 #: Pieces in one instance of the packing problem, about; a sequence holds pieces of one instance.
-INSTANCE = 4096
+INSTANCE = 16384
 #: Islands per instance, individuals per island, generations between two migrations, and migrations.
 ISLANDS, POPULATION, GENERATIONS, MIGRATIONS = 3, 4, 6, 2
 #: Bins filled to this share or more may be injected into another individual.
@@ -248,9 +248,9 @@ def pack(items: DataFrame, size_col: str = "length", capacity: int = CAPACITY, i
             moved = elites.select("shard", F.pmod(F.col("island") + 1, F.lit(ISLANDS)).cast("int").alias("island"), "elites")
             own = elites.select("shard", "island", F.slice("elites", 1, 1).alias("own"))
             seeded = islands.join(moved.join(own, ["shard", "island"]), ["shard", "island"]).select("shard", "sizes", "island", F.concat("own", "elites").alias("elites"))
-        elites = cut(seeded.repartition(n_parts, "shard", "island").mapInPandas(_island(capacity, turn, turn == MIGRATIONS), schema))
+        elites = cut(seeded.repartitionByRange(n_parts, "shard", "island").mapInPandas(_island(capacity, turn, turn == MIGRATIONS), schema))
     best = elites.groupBy("shard").agg(F.max_by(F.get("elites", F.lit(0)), F.struct("bins", "fill", -F.col("island"))).alias("elite"))
-    placed = sizes.join(best, "shard").mapInPandas(_places, "shard long, bins array<long>, offsets array<long>")
+    placed = sizes.join(best, "shard").repartitionByRange(n_parts, "shard").mapInPandas(_places, "shard long, bins array<long>, offsets array<long>")
     rows = held.join(placed, "shard").select("shard", F.explode(F.arrays_zip("items", "bins", "offsets")).alias("e"))
     rows = rows.select("e.items.*", (F.shiftleft(F.col("shard"), 20) + F.col("e.bins")).alias("sequence_id"), F.col("e.offsets").alias("offset"))
     alone = full.select(*full.columns, (-F.col("__pos") - 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))

@@ -205,7 +205,8 @@ def read_archives(index: DataFrame, folder: str) -> DataFrame:
             f.close()
 
     frames = index.groupBy("bundle", "frame").agg(F.sort_array(F.collect_list("start")).alias("starts"))
-    return frames.repartition(n, "bundle", "frame").sortWithinPartitions("bundle", "frame").mapInPandas(read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    # by range, so that a task reads neighbouring frames, and few bytes of index are not taken for little work
+    return frames.repartitionByRange(n, "bundle", "frame").sortWithinPartitions("bundle", "frame").mapInPandas(read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
