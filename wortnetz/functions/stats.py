@@ -13,13 +13,13 @@ Z95 = 1.959963984540054
 
 
 def fisher_interval(r: Column, n: Column) -> tuple[Column, Column]:
-    half = Z95 / F.sqrt(n - 3)
+    half = F.try_divide(F.lit(Z95), F.sqrt(F.greatest(n - 3, F.lit(0))))
     z = F.atanh(r)
-    return F.when(n > 3, F.tanh(z - half)), F.when(n > 3, F.tanh(z + half))
+    return F.tanh(z - half), F.tanh(z + half)
 
 
 def t_value(r: Column, n: Column) -> Column:
-    return F.when((n > 2) & (F.abs(r) < 1), r * F.sqrt((n - 2) / (1 - r * r)))
+    return F.when((n > 2) & (F.abs(r) < 1), r * F.sqrt(F.try_divide(n - 2, 1 - r * r)))
 
 
 def incomplete_beta(a: float, b: float, x: float) -> float:
@@ -66,5 +66,5 @@ def steiger_z(jk: Column, jh: Column, kh: Column, n: Column) -> Column:
     """Test of two correlations that share a variable."""
     r = (jk + jh) / 2
     rr = r * r
-    s = (kh * (1 - 2 * rr) - rr / 2 * (1 - 2 * rr - kh * kh)) / F.pow(1 - rr, F.lit(2))
-    return (F.atanh(jk) - F.atanh(jh)) * F.sqrt(n - 3) / F.sqrt(2 - 2 * s)
+    s = F.try_divide(kh * (1 - 2 * rr) - rr / 2 * (1 - 2 * rr - kh * kh), F.pow(1 - rr, F.lit(2)))
+    return F.try_divide((F.atanh(jk) - F.atanh(jh)) * F.sqrt(n - 3), F.sqrt(2 - 2 * s))

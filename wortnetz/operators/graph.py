@@ -67,7 +67,7 @@ def local_clustering(edges: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     closed = two.join(e.select(*by, F.col("a").alias("y"), F.col("b").alias("z")), [*by, "y", "z"])
     triangles = closed.select(*by, F.explode(F.array("x", "y", "z")).alias("id")).groupBy(*by, "id").agg(F.count("*").alias("triangles"))
     per = vertices(edges, by).join(degree, [*by, "id"], "left").join(triangles, [*by, "id"], "left").na.fill(0, ["degree", "triangles"])
-    return per.withColumn("clustering", F.when(F.col("degree") > 1, 2 * F.col("triangles") / (F.col("degree") * (F.col("degree") - 1))))
+    return per.withColumn("clustering", F.try_divide(2 * F.col("triangles"), F.col("degree") * (F.col("degree") - 1)))
 
 
 def mean_clustering(edges: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -278,7 +278,7 @@ def modularity(edges: DataFrame, membership: DataFrame) -> DataFrame:
     end = lambda c: membership.select(F.col("id").alias(c), F.col("community").alias(f"c_{c}"))
     inside = edges.join(end("src"), "src").join(end("dst"), "dst").where("c_src = c_dst").groupBy(F.col("c_src").alias("community")).agg(F.sum("weight").alias("in_w"))
     degree = strengths(edges).join(membership, "id").groupBy("community").agg(F.sum("strength").alias("deg"))
-    return degree.join(inside, "community", "left").join(F.broadcast(total)).agg(F.sum(F.coalesce("in_w", F.lit(0)) / F.col("w") - F.pow(F.col("deg") / (2 * F.col("w")), F.lit(2))).alias("modularity"))
+    return degree.join(inside, "community", "left").join(F.broadcast(total)).agg(F.sum(F.try_divide(F.coalesce("in_w", F.lit(0)), "w") - F.pow(F.try_divide("deg", 2 * F.col("w")), F.lit(2))).alias("modularity"))
 
 
 def louvain_local(src: Sequence, dst: Sequence, weight: Sequence, seed: int = 0) -> dict:

@@ -83,14 +83,14 @@ def participant_scores(long: DataFrame, participants: DataFrame, ok: str | None
     over = lambda x: F.when(there, x)
     n = F.count("response")
     scores = {
-        "score_n_gram": F.sum(over((text.word_count(F.col("response")) > 1).cast("int"))) / n,
-        "score_unique_responses": F.count_distinct("response") / n,
+        "score_n_gram": F.try_divide(F.sum(over((text.word_count(F.col("response")) > 1).cast("int"))), n),
+        "score_unique_responses": F.try_divide(F.count_distinct("response"), n),
         "score_unknown_or_no_further_response": nulls.share(F.col("unknown_word") | F.col("no_further_response")),
         "score_unknown_word": nulls.share(F.col("unknown_word")),
         "score_no_further_response": nulls.share(F.col("no_further_response")),
     }
     if ok:
-        scores["score_spelling"] = F.sum(over(F.col(ok).cast("int"))) / n
+        scores["score_spelling"] = F.try_divide(F.sum(over(F.col(ok).cast("int"))), n)
     native = participants.groupBy("id_p").agg(F.max(F.col("native_language").isNotNull()).alias("score_native_speaker"))
     return native.join(long.groupBy("id_p").agg(*(v.alias(k) for k, v in scores.items())), "id_p", "left")
 

@@ -29,7 +29,7 @@ def ridge_cv(df: DataFrame, label: str, features: str, key: str, seed: int = 198
     The split and the folds depend on keys and seed alone. Predictors are standardised on the training part; the penalty
     with the least cross-validated squared error, the largest of equals, is fitted on all of it. Rows with a null go.
     """
-    data = df.select(key, F.col(label).cast("double").alias("label"), array_to_vector(F.transform(features, lambda x: x.cast("double"))).alias("raw"), uniform(seed, key).alias("__u"), F.floor(uniform(seed + 1, key) * folds).cast("int").alias("__fold")).where("label IS NOT NULL AND raw IS NOT NULL")
+    data = df.where(F.col(label).isNotNull() & F.col(features).isNotNull()).select(key, F.col(label).cast("double").alias("label"), array_to_vector(F.transform(features, lambda x: x.cast("double"))).alias("raw"), uniform(seed, key).alias("__u"), F.floor(uniform(seed + 1, key) * folds).cast("int").alias("__fold"))
     train, test = data.where(F.col("__u") < TRAIN_SHARE), data.where(F.col("__u") >= TRAIN_SHARE)
     scaler = StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True).fit(train)
     train, test = scaler.transform(train).persist(), scaler.transform(test)

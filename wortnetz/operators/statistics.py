@@ -43,12 +43,12 @@ def fisher_mean(df: DataFrame, r: str = "r", by: Sequence[str] = ()) -> DataFram
 
 
 def relative_increase(df: DataFrame, column: str, by: Sequence[str], name: str = "increase") -> DataFrame:
-    return df.withColumn(name, F.col(column) / F.min(column).over(Window.partitionBy(*by)) - 1)
+    return df.withColumn(name, F.try_divide(F.col(column), F.min(column).over(Window.partitionBy(*by))) - 1)
 
 
 def spread(metrics: DataFrame, columns: Sequence[str]) -> DataFrame:
     """1 - min / max of each metric over data sets, and the largest of these."""
-    one = metrics.agg(*((1 - F.min(c) / F.max(c)).alias(c) for c in columns))
+    one = metrics.agg(*((1 - F.try_divide(F.min(c), F.max(c))).alias(c) for c in columns))
     return one.withColumn("largest", F.greatest(*map(F.col, columns)) if len(columns) > 1 else F.col(columns[0]))
 
 

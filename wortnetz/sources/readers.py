@@ -25,9 +25,14 @@ def read_decimal_comma(spark: SparkSession, path: str, schema: StructType | str,
     return df.withColumns({c: decimal_comma(F.col(c)) for c in numbers})
 
 
+def whole_files(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
+    """(value): each file as one text, in any character set that Java knows."""
+    return spark.read.format("binaryFile").load(path).select(F.decode("content", F.lit(encoding)).alias("value"))
+
+
 def read_skipping(spark: SparkSession, path: str, schema: StructType, skip: int, sep: str = ",", encoding: str = "UTF-8") -> DataFrame:
     """A file whose first lines are no data. Lines are numbered within the file, which is read as one split."""
-    lines = spark.read.option("wholetext", True).option("encoding", encoding).text(path)
+    lines = whole_files(spark, path, encoding)
     rows = lines.select(F.posexplode(F.split("value", r"\r?\n", -1)).alias("__n", "line")).where((F.col("__n") >= skip) & (F.col("line") != ""))
     parsed = F.from_csv("line", schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " "), {"sep": sep, "nullValue": NULL_TEXT})
     return rows.select(parsed.alias("r")).select("r.*")
@@ -38,7 +43,7 @@ def read_two_row_header(spark: SparkSession, path: str, skip: int = 0, sep: str
 
     The header is read in the driver; ``footer`` lines at the end are left out.
     """
-    text = spark.read.option("wholetext", True).option("encoding", encoding).text(path).first()
+    text = whole_files(spark, path, encoding).first()
     lines = [x for x in (text["value"] if text else "").replace("\r", "").split("\n")[skip:] if x]
     upper, lower = (x.split(sep) for x in lines[:2])
     names, last = [], ""
@@ -57,7 +62,7 @@ def read_column(spark: SparkSession, path: str, name: str) -> DataFrame:
 
 def read_text(spark: SparkSession, path: str) -> str:
     """A small file, such as a prompt, as one text."""
-    row = spark.read.option("wholetext", True).text(path).first()
+    row = whole_files(spark, path).first()
     return row["value"] if row else ""
 
 
