@@ -27,7 +27,7 @@ def read_decimal_comma(spark: SparkSession, path: str, schema: StructType | str,
 
 def whole_files(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
     """(value): each file as one text, in any character set that Java knows."""
-    return spark.read.format("binaryFile").load(path).select(F.decode("content", F.lit(encoding)).alias("value"))
+    return spark.read.format("binaryFile").load(path).select(F.decode("content", encoding).alias("value"))
 
 
 def read_skipping(spark: SparkSession, path: str, schema: StructType, skip: int, sep: str = ",", encoding: str = "UTF-8") -> DataFrame:
