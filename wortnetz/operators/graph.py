@@ -75,14 +75,17 @@ def mean_clustering(edges: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return local_clustering(edges, by).groupBy(*by).agg(F.avg("clustering").alias("avg_local_cc"))
 
 
-def weak_components(edges: DataFrame, rounds: int = 100) -> DataFrame:
-    """(id, component): the smallest vertex of each weak component, by rounds in which links shrink to stars."""
-    e = stored(edges.where("src <> dst").select(F.greatest("src", "dst").alias("v"), F.least("src", "dst").alias("u")).distinct())
-    before = None
+def star_links(links: DataFrame, rounds: int = 100) -> DataFrame:
+    """(v, u): each vertex that is not the smallest of its component, with the smallest one; links: distinct, u < v.
+
+    Alternating large-star and small-star rounds (Kiveris et al., 2014): a round is two minimum aggregates and two joins on
+    vertices, stored, and the number of rounds grows with the logarithm of the longest path.
+    """
+    e, before = stored(links), None
     for _ in range(rounds):
         mark = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if mark == before or not mark[0]:
-            break
+            return e
         before = mark
         both = e.select("u", "v").union(e.select("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -90,8 +93,13 @@ def weak_components(edges: DataFrame, rounds: int = 100) -> DataFrame:
         low = large.groupBy("v").agg(F.min("u").alias("m"))
         small = large.join(low, "v").select(F.explode(F.array(F.struct(F.col("u").alias("v"), F.col("m").alias("u")), F.struct("v", F.col("m").alias("u")))).alias("e")).select("e.v", "e.u")
         e = stored(small.where("u < v").distinct())
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
+    raise RuntimeError(f"components did not settle in {rounds} rounds")
+
+
+def weak_components(edges: DataFrame, rounds: int = 100) -> DataFrame:
+    """(id, component): the smallest vertex of each weak component."""
+    links = edges.where("src <> dst").select(F.greatest("src", "dst").alias("v"), F.least("src", "dst").alias("u")).distinct()
+    e = star_links(links, rounds)
     return vertices(edges).join(e.select(F.col("v").alias("id"), F.col("u").alias("component")), "id", "left").withColumn("component", F.coalesce("component", "id"))
 
 

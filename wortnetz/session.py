@@ -22,12 +22,21 @@ def session(master: str | None = None, **conf: str) -> SparkSession:
     return (builder.master(master) if master else builder).getOrCreate()
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """The same rows, written to the folder in ``spark.checkpoint.dir``: iterations neither repeat nor depend on
-    executors that hold earlier rounds. Where a local session names no such folder, a temporary one serves."""
-    sc = df.sparkSession.sparkContext
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the driver and all executors see: ``spark.checkpoint.dir``.
+
+    Where a session names none, a temporary folder serves, but only on a local master.
+    """
+    sc = spark.sparkContext
     if not sc.getCheckpointDir():
         if not sc.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="wortnetz-"))
+    return sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The same rows, written to the shared folder: iterations neither repeat earlier steps nor depend on executors that
+    hold them. Spark deletes the files when nothing refers to them, if spark.cleaner.referenceTracking.cleanCheckpoints is set."""
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
