@@ -1,43 +1,28 @@
-"""What the corpus operators share: the cluster's shared folder, lineage cuts, batches and connected components."""
+"""What the corpus operators share: paths in the shared folder, lineage cuts, batches and connected components."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.graph import star_links
+from ..session import shared_dir
+from ..session import stored as cut
+
+__all__ = ["bound_batches", "connected_components", "cut", "shared_dir", "shared_path", "spread", "table", "text_of"]
+
 #: Rows in one Arrow batch that goes to Python; with the byte limit below, a worker's memory stays bounded.
 BATCH_ROWS = 1024
 BATCH_BYTES = 16 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: ``spark.checkpoint.dir``.
-
-    Where the cluster names none, a temporary folder serves, but only on a local master.
-    """
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if named:
-        return named
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="wortnetz-"))
-    return spark.sparkContext.getCheckpointDir()
-
-
 def shared_path(spark: SparkSession, kind: str) -> str:
     """A new path below the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows, stored in the shared folder, so that lost executors never make earlier steps run again."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def bound_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Bounds the Arrow batches of the session's Python stages by rows and bytes."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
@@ -58,31 +43,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for each node of the undirected edges; component is the smallest node reachable.
 
-    Alternating large-star and small-star rounds (Kiveris et al., 2014): every round is two minimum aggregates and two
-    joins on nodes, and links shrink to stars, so the rounds grow with the logarithm of the longest path. Each round is
-    stored in the shared folder. Null ends and loops are dropped; no edges give no rows.
+    Null ends and loops are dropped; no edges give no rows. Links, not members, decide the work, and a component of any
+    size is spread over all executors.
     """
-    e = cut(
-        edges.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
-        .select(F.greatest(a, b).alias("v"), F.least(a, b).alias("u"))
-        .distinct()
-    )
-    before = None
-    for _ in range(max_rounds):
-        n, mark = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if not n or (n, mark) == before:
-            break
-        before = (n, mark)
-        both = e.select("u", "v").union(e.select(F.col("v"), F.col("u")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select("v", F.col("m").alias("u")).where("u < v").distinct()
-        low = large.groupBy("v").agg(F.min("u").alias("m"))
-        small = large.join(low, "v").select(F.explode(F.array(F.struct(F.col("u").alias("v"), F.col("m").alias("u")), F.struct("v", F.col("m").alias("u")))).alias("e")).select("e.v", "e.u")
-        e = cut(small.where("u < v").distinct())
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+    ends = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
+    e = star_links(ends.select(F.greatest(a, b).alias("v"), F.least(a, b).alias("u")).distinct())
     roots = e.select(F.col("u").alias("node")).distinct().select("node", F.col("node").alias("component"))
     return e.select(F.col("v").alias("node"), F.col("u").alias("component")).union(roots)

@@ -39,7 +39,7 @@ def tree_merge(rows: DataFrame, fan_in: int = FAN_IN) -> DataFrame:
     runs r with equal r // fan_in are merged; a run is exchanged in slices by digest, so a round uses every executor.
     A group of any size enters a merge as one row per run at most. Rounds: log(partitions) to the base fan_in.
     """
-    runs = rows.rdd.getNumPartitions()
+    runs = (rows.agg(F.max("run")).first()[0] or 0) + 1
     best = F.struct((-F.col("n_chars")).alias("longest"), F.col("id").isNull().alias("no_id"), F.col("id"), F.col("rid"))
     level = rows.select("run", "digest", "check", best.alias("best"), F.lit(1).cast("long").alias("group_size"))
     stride = 1

@@ -226,7 +226,7 @@ def links(prints: DataFrame, column: str = "fp") -> DataFrame:
 
 
 def simhash_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5) -> DataFrame:
-    """One row per input row: id_col, fp (long), component_id (smallest id reachable by links, its own included), rid.
+    """One row per input row: id_col, fp (long), component_id (smallest id reachable by links, its own included).
 
     Texts without words have fingerprint 0 and link like any other; null texts count as empty. Rows that repeat a text
     share one fingerprint, so a group of copies of any size is one entry of the index. Null ids take part, but a group
@@ -238,11 +238,9 @@ def simhash_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     classes = cut(prints.groupBy("fp").agg(F.min(id_col).alias("rep")))
     found = cut(connected_components(links(classes.select("fp"))).select(F.col("node").alias("fp"), "component"))
     roots = classes.join(found, "fp", "left").select("fp", "rep", F.coalesce("component", "fp").alias("root"))
-    tops = roots.where("root != fp").groupBy("root").agg(F.min("rep").alias("low"))
-    named = roots.join(tops, "root", "left").select("fp", F.least("rep", "low").alias("low"), "root", "rep")
-    # the root itself may hold the smallest id
-    own = named.where("root = fp").select("root", F.least("rep", "low").alias("component_id"))
-    final = named.select("fp", "root").join(own, "root").select("fp", "component_id")
+    lows = roots.groupBy("root").agg(F.min("rep").alias("component_id"))
+    # stored, so that the join deals out both sides anew and Spark can split a fingerprint that many rows share
+    final = cut(roots.select("fp", "root").join(lows, "root").select("fp", "component_id"))
     return prints.join(final, "fp").select(id_col, "fp", "component_id")
 
 
