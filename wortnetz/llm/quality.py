@@ -24,15 +24,18 @@ HEADS = ("junk", "toxic")
 NONE, BAD, GOOD = 0, 1, 2
 #: Bounds on what is fitted in the driver: labelled rows from which insults are mined, rows per weak class to train on.
 LABELLED_ROWS, TRAIN_ROWS = 4000, 3000
-#: Hashed features of the linear scorer, and the length of word stems.
-WIDTH, STEM = 1 << 18, 4
+#: Hashed features of the linear scorer (so many that a text's words seldom meet another's weight; only features with a
+#: weight are kept), and the length of word stems.
+WIDTH, STEM = 1 << 31, 4
 #: Words whose features a worker remembers.
 REMEMBERED = 300_000
 #: Insults known beforehand (fixed values); the labelled rows add to them.
 INSULTS = frozenset("idiot moron stupid loser pathetic worthless scum trash clown disgusting".split())
 SYMBOLS, EDGES = "#$%&*|<>{}~^=", "#$%&*|<>{}~^=.,;:!?\"'()[]-_/"
 #: A mined word or stem is in so many toxic rows, and such a share of them; such a share of the rows with it is toxic.
-LEAST_ROWS, SUPPORT, PURITY = 3, 0.02, 0.8
+LEAST_ROWS, SUPPORT, PURITY = 4, 0.02, 0.8
+#: A feature is trained on if it is in so many rows of the sample, and so many standard errors from no effect.
+LEAST_SEEN, DOUBT = 5, 4.0
 #: Mined stems are so many letters long. A lone mined word or stem counts only beside fewer other words than this.
 STEMS, LONE_WORDS = (4, 5, 6, 7), 60
 
@@ -58,6 +61,12 @@ def shape(text: str) -> dict[str, float]:
     }
 
 
+def kin(text: str) -> int:
+    """The least hash of a text's pairs of neighbouring words: copies and most near copies share it, other texts seldom do."""
+    w = text.encode().split()
+    return min(map(zlib.crc32, map(b" ".join, zip(w, w[1:]))), default=zlib.crc32(text.encode()))
+
+
 def junk_votes(s: dict[str, float]) -> list[int]:
     """Each labeller looks at other signs; most overlap with another one. All abstain on texts without words."""
     if not s["words"]:
@@ -82,7 +91,9 @@ def toxic_votes(words: set[str], mined: tuple[frozenset, frozenset]) -> list[int
 
 
 def mine(rows: list[tuple[str, int]]) -> tuple[frozenset, frozenset]:
-    """(words, stems) that toxic rows among the labelled ones hold far more often than others."""
+    """(words, stems) that toxic rows among the labelled ones hold far more often than others. Of near copies one counts,
+    or the idle words of a large family would look toxic."""
+    rows = list({(kin(text), toxic): (text, toxic) for text, toxic in sorted(rows, reverse=True)}.values())
     found: list[frozenset] = []
     for part in (lambda ws: ws, lambda ws: {w[:k] for w in ws for k in STEMS if len(w) > k}):
         bad, good, n = Counter(), Counter(), [0, 0]
@@ -97,13 +108,13 @@ def mine(rows: list[tuple[str, int]]) -> tuple[frozenset, frozenset]:
 
 
 def vote_patterns(column: Column, mined: tuple[frozenset, frozenset]) -> Column:
-    """Per text the heads' votes, as two strings of digits."""
+    """Per text the heads' votes, as two strings of digits, and its kin."""
 
-    @F.pandas_udf("junk string, toxic string")
+    @F.pandas_udf("junk string, toxic string, kin long")
     def votes(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in parts:
-            out = [("".join(map(str, junk_votes(shape(t)))), "".join(map(str, toxic_votes(words_of(t), mined)))) for t in texts]
-            yield pd.DataFrame(out, columns=list(HEADS))
+            out = [("".join(map(str, junk_votes(shape(t)))), "".join(map(str, toxic_votes(words_of(t), mined))), kin(t)) for t in texts]
+            yield pd.DataFrame(out, columns=[*HEADS, "kin"])
 
     return votes(F.coalesce(column, F.lit("")))
 
@@ -141,11 +152,12 @@ def _slot(feature: str) -> int:
     return zlib.crc32(feature.encode()) % WIDTH
 
 
-def shape_features(text: str) -> list[int]:
-    """Slots of the text's shape, by thresholds."""
+def sign_features(text: str, words: set[str], mined: tuple[frozenset, frozenset]) -> list[int]:
+    """Slots of the text's shape, by thresholds, and of the labellers that vote against it."""
     s = shape(text)
     steps = {"symbols": (0.1, 0.25, 0.5), "bangs": (0.1, 0.25), "bars": (0.08, 0.15), "capitals": (0.2, 0.35, 0.5), "stutter": (0.1, 0.2), "variety": (0.12, 0.2, 0.35), "length": (12, 14)}
     out = [f"\x00{k}>{v}" for k, vs in steps.items() for v in vs if s[k] > v and (k not in ("stutter", "variety") or s["words"] >= 40)]
+    out += [f"\x00{head}{k}" for head, votes in zip(HEADS, (junk_votes(s), toxic_votes(words, mined))) for k, v in enumerate(votes) if v == BAD]
     return [_slot(f) for f in out]
 
 
@@ -153,43 +165,55 @@ def word_features(word: str) -> tuple[int, int]:
     return _slot(word), _slot(word[:STEM] + "\x00")
 
 
-def features(text: str) -> list[int]:
-    """Distinct slots of a text: shape, words and stems."""
-    return sorted({*shape_features(text), *(f for w in words_of(text) for f in word_features(w))})
+def features(text: str, mined: tuple[frozenset, frozenset]) -> list[int]:
+    """Distinct slots of a text: signs, words and stems."""
+    words = words_of(text)
+    return sorted({*sign_features(text, words, mined), *(f for w in words for f in word_features(w))})
 
 
-def train(rows: list[tuple[np.ndarray, float]], passes: int = 10, rate: float = 0.3, shrink: float = 3.0) -> tuple[np.ndarray, float]:
-    """Weights and intercept of a logistic regression on soft labels, by FTRL-proximal steps: rare and idle words keep
-    weight zero, so that long texts do not gather noise."""
-    z, g2, w = np.zeros(WIDTH + 1), np.full(WIDTH + 1, 1e-6), np.zeros(WIDTH + 1)
-    order = np.random.default_rng(0)
-    data = [(np.append(x, np.int32(WIDTH)), y) for x, y in rows]
+def train(rows: list[tuple[np.ndarray, float]], passes: int = 10, rate: float = 0.3, shrink: float = 0.04) -> tuple[dict[int, float], float]:
+    """Weights and intercept of a logistic regression on soft labels, by FTRL-proximal steps.
+
+    Only features that tell much take part: the share of bad rows among theirs lies at least halfway from the overall
+    share to one, beyond doubt; and their gradients must sum to ``shrink`` of the bad rows before they get a weight. A long
+    text holds thousands of words that tell little, whose small weights would add up.
+    """
+    if not rows:
+        return {}, 0.0
+    target, sizes = np.array([y for _, y in rows]), np.array([len(x) for x, _ in rows])
+    slots, at = np.unique(np.concatenate([x for x, _ in rows]), return_inverse=True)
+    k, bad, share = np.bincount(at, minlength=len(slots)), np.bincount(at, np.repeat(target, sizes), minlength=len(slots)), target.mean()
+    used = np.flatnonzero((k >= LEAST_SEEN) & (bad >= k * (1 + share) / 2) & (bad - k * share > DOUBT * np.sqrt(np.maximum(k * share * (1 - share), 1e-9))))
+    new = np.full(len(slots), -1)
+    new[used] = np.arange(len(used))
+    n = len(used)
+    data = [np.append(x[x >= 0], n) for x in np.split(new[at], np.cumsum(sizes)[:-1])]
+    z, g2, w = np.zeros(n + 1), np.full(n + 1, 1e-6), np.zeros(n + 1)
+    order, least = np.random.default_rng(0), max(2.0, shrink * float(target.sum()))
     for _ in range(passes):
-        for k in order.permutation(len(data)):
-            x, y = data[k]
-            p = 1 / (1 + np.exp(-np.clip(w[x].sum(), -30, 30)))
-            g = p - y
+        for i in order.permutation(len(data)):
+            x = data[i]
+            g = 1 / (1 + np.exp(-np.clip(w[x].sum(), -30, 30))) - target[i]
             step = (np.sqrt(g2[x] + g * g) - np.sqrt(g2[x])) / rate
             z[x] += g - step * w[x]
             g2[x] += g * g
-            limit = np.where(x == WIDTH, 0.0, shrink)
+            limit = np.where(x == n, 0.0, least)
             w[x] = np.where(np.abs(z[x]) <= limit, 0.0, -(z[x] - np.sign(z[x]) * limit) / ((1.0 + np.sqrt(g2[x])) / rate))
-    return w[:WIDTH].astype(np.float32), float(w[WIDTH])
+    return {int(s): float(v) for s, v in zip(slots[used], w) if v}, float(w[n])
 
 
 class Model:
     """Weights of the heads; a text's score is a log-odds, over 0 bad."""
 
-    def __init__(self, heads: dict[str, tuple[np.ndarray, float]], accuracies: dict[str, list[float]]):
-        self.weights = np.stack([heads[h][0] for h in HEADS])
-        self.intercepts = np.array([heads[h][1] for h in HEADS])
-        self.accuracies = accuracies
+    def __init__(self, heads: dict[str, tuple[dict[int, float], float]], accuracies: dict[str, list[float]], mined: tuple[frozenset, frozenset]):
+        both = [heads[h][0] for h in HEADS]
+        self.weights = {s: tuple(w.get(s, 0.0) for w in both) for s in sorted({*both[0], *both[1]})}
+        self.intercepts = [heads[h][1] for h in HEADS]
+        self.accuracies, self.mined = accuracies, mined
 
     def scores(self, column: Column) -> Column:
         """struct(junk, toxic) of doubles."""
-        keep = np.flatnonzero(np.abs(self.weights).sum(axis=0))
-        table_ = {int(k): (float(self.weights[0, k]), float(self.weights[1, k])) for k in keep}
-        start = self.intercepts.tolist()
+        table_, start, mined = self.weights, self.intercepts, self.mined
 
         @F.pandas_udf("junk double, toxic double")
         def score(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -197,8 +221,9 @@ class Model:
             for texts in parts:
                 out = []
                 for t in texts:
-                    slots: dict[int, None] = dict.fromkeys(f for f in shape_features(t) if f in table_)
-                    for w in words_of(t):
+                    words = words_of(t)
+                    slots: dict[int, None] = dict.fromkeys(f for f in sign_features(t, words, mined) if f in table_)
+                    for w in words:
                         if w not in known:
                             if len(known) >= REMEMBERED:
                                 known.clear()
@@ -227,10 +252,11 @@ def fit(df: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id",
     rows = spread(df.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text")))
     mined: tuple[frozenset, frozenset] = (frozenset(), frozenset())
     if labels is not None:
-        # the sample of labels is bounded, so its join needs no shuffle of the corpus
-        toxic = labels.where("toxic IS NOT NULL").select(F.col(id_col).cast("long").alias("id"), "toxic").orderBy(F.xxhash64(id_col), "toxic").limit(labelled_rows)
+        # the sample of labels is bounded, so its join needs no shuffle of texts
+        present = rows.select("id").distinct()
+        toxic = labels.where("toxic IS NOT NULL").select(F.col(id_col).cast("long").alias("id"), F.col("toxic").cast("int").alias("toxic")).join(present, "id", "left_semi").orderBy(F.xxhash64("id"), "toxic").limit(labelled_rows)
         mined = mine([(r["text"], r["toxic"]) for r in rows.join(F.broadcast(toxic), "id").select("text", "toxic").collect()])
-    voted = cut(rows.select(F.xxhash64("id", "text").alias("key"), vote_patterns(F.col("text"), mined).alias("v")).select("key", "v.*"))
+    voted = cut(rows.select(F.xxhash64("text").alias("key"), vote_patterns(F.col("text"), mined).alias("v")).select("key", "v.*"))
     seen = {h: {r[h]: r["count"] for r in voted.groupBy(h).count().collect()} for h in HEADS}  # at most 3 ** labellers rows
     posterior, accuracies = {}, {}
     for h in HEADS:
@@ -239,18 +265,19 @@ def fit(df: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id",
     spark = df.sparkSession
     # as many rows as there are patterns of votes: at most 3 ** labellers, whatever the corpus
     maps = [F.broadcast(spark.createDataFrame(list(posterior[h].items()) or [("", 0.0)], f"{h} string, p_{h} double")) for h in HEADS]
-    weak = voted.join(maps[0], "junk").join(maps[1], "toxic").select("key", "p_junk", "p_toxic")
+    # copies and near copies with the same votes are one example: else the idle words of a large family would tell much
+    weak = cut(voted.groupBy("kin", "junk", "toxic").agg(F.min("key").alias("key")).join(maps[0], "junk").join(maps[1], "toxic").select("key", "p_junk", "p_toxic"))
     some = lambda where, n: weak.where(where).orderBy("key").limit(n)
     chosen = some("p_junk >= 0.5", train_rows).union(some("p_toxic >= 0.5", train_rows)).union(some("p_junk < 0.5 AND p_toxic < 0.5", 2 * train_rows)).dropDuplicates(["key"])
 
     @F.pandas_udf("array<int>")
     def slots(texts: pd.Series) -> pd.Series:
-        return pd.Series([features(t) for t in texts])
+        return pd.Series([features(t, mined) for t in texts])
 
-    picked = rows.withColumn("key", F.xxhash64("id", "text")).join(F.broadcast(chosen), "key").dropDuplicates(["key"])
+    picked = rows.withColumn("key", F.xxhash64("text")).join(F.broadcast(chosen), "key").dropDuplicates(["key"])
     sample = picked.select("key", slots("text").alias("x"), "p_junk", "p_toxic").toArrow().sort_by("key")
     x = [s.values.to_numpy() for s in sample["x"]]
-    return Model({h: train(list(zip(x, sample[f"p_{h}"].to_pylist()))) for h in HEADS}, accuracies)
+    return Model({h: train(list(zip(x, sample[f"p_{h}"].to_pylist()))) for h in HEADS}, accuracies, mined)
 
 
 def classify(df: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
