@@ -29,7 +29,7 @@ def shared_dir(spark: SparkSession) -> str:
     """
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        if not sc.master.startswith("local["):
+        if sc.master.partition("[")[0] != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="wortnetz-"))
     return sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
