@@ -49,7 +49,7 @@ def test_memory_is_bounded(monkeypatch):
     for k in range(20):
         t = [" ".join(f"w{k}x{i}" for i in range(20))]
         assert v.encode(t) == v.library.encode(t)
-        assert len(v.known) <= 50
+        assert len(v.known) <= 50 and len(v.older) <= 50
 
 
 def test_columns(spark, docs, no_docs, vocabulary):
@@ -64,3 +64,5 @@ def test_columns(spark, docs, no_docs, vocabulary):
         ids = vocabulary.library.encode(r["text"] or "", add_eos=True)
         assert r["ids"] == ids and r["decoded"] == vocabulary.library.decode(ids)
     assert pieces.encode_texts(no_docs, path).count() == 0
+    again = out.select("decoded", pieces.decoded(out["ids"], path).alias("again")).collect()
+    assert all(r["decoded"] == r["again"] for r in again)

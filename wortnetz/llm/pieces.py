@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import heapq
 import re
+from array import array
 from collections.abc import Iterator
-from itertools import chain
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +17,7 @@ from .common import bound_batches, spread, table
 #: What the library writes for a space.
 SPACE = "▁"
 #: Segments whose ids a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 300_000
 #: Texts of so many characters or fewer keep their agenda in a list.
 SHORT = 48
 NEVER = float("inf")
@@ -46,9 +47,11 @@ class Vocabulary:
         # a piece with a space mark after another character would join words; without one, words are merged apart
         self.words_apart = not any(SPACE in p[1:] and p.strip(SPACE) for p in self.ids)
         self.lines_apart = not any("\n" in p for p in self.ids)
-        self.known: dict[str, tuple[int, ...]] = {}
+        #: Ids of words as bytes of 32-bit integers; what is not met for a while goes to older, and then is forgotten.
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
-    def merge(self, text: str) -> tuple[int, ...]:
+    def merge(self, text: str) -> list[int]:
         """Ids of a text in which spaces are marked: the pair with the best score is merged first, the leftmost of ties."""
         return self._ids(self._merge_short(text) if len(text) <= SHORT else self._merge_long(text))
 
@@ -94,18 +97,14 @@ class Vocabulary:
                     heapq.heappush(agenda, (s, h, grown))
         return [s for s in symbols if s is not None]
 
-    def _ids(self, symbols: list[str]) -> tuple[int, ...]:
-        out: list[int] = []
-        for s in symbols:
-            i = self.ids.get(s)
-            if i is None:
-                out += [self.bytes[b] for b in s.encode()]
-            else:
-                out.append(i)
-        return tuple(out)
+    def _ids(self, symbols: list[str]) -> list[int]:
+        out = list(map(self.ids.get, symbols))
+        if None in out:  # characters that are no piece are spelled in bytes
+            out = [i for s, i in zip(symbols, out) for i in ([i] if i is not None else [self.bytes[b] for b in s.encode()])]
+        return out
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        """Ids of each text, without an end id.
+    def arrays(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text as 32-bit integers, without an end id.
 
         A batch's words that are new to this worker are merged by the agenda and checked against the library; texts in
         which words cannot be told apart are merged and checked as wholes. A difference is an error, never passed over.
@@ -114,33 +113,51 @@ class Vocabulary:
         for t in texts:
             plain = self.words_apart and self.lines_apart and t and "  " not in t and t[0] not in " \n" and SPACE not in t
             split.append(t.replace("\n", " \n").split(" ") if plain else None)
-        known = self.known
-        fresh = [w for w in {w for ws in split if ws for w in ws} if w not in known]
-        if len(known) + len(fresh) > REMEMBERED:
-            known.clear()
-            fresh = list({w for ws in split if ws for w in ws})
-        for k in range(0, len(fresh), 4096):
-            part = fresh[k : k + 4096]
-            for w, theirs in zip(part, self.library.encode(part, num_threads=1)):
-                if w[:1] == "\n":  # no space before it: the library's dummy prefix stands alone
-                    ours, theirs = self.merge(w), theirs[1:]
-                else:
-                    ours = self.merge(SPACE + w)
-                    theirs = theirs or [self.ids[SPACE]]  # the library gives nothing for an empty text, not even a prefix
-                self.check(w, ours, theirs)
-                known[w] = ours
-        out = []
+        self.learn(set().union(*filter(None, split)))
+        find, out = self.known.__getitem__, []
         for t, ws in zip(texts, split):
             if ws:
-                out.append(list(chain.from_iterable(map(known.__getitem__, ws))))
-            elif t:
-                ours = [i for s in re.findall(f"{SPACE}*[^{SPACE}]+|{SPACE}+", SPACE + t.replace(" ", SPACE)) for i in self.merge(s)] if self.words_apart else list(self.merge(SPACE + t.replace(" ", SPACE)))
-                self.check(t, ours, self.library.encode(t))
-                out.append(ours)
+                out.append(np.frombuffer(b"".join(map(find, ws)), "<i4"))
             else:
-                out.append([])
+                ids = self.whole(t) if t else ()
+                out.append(np.array(ids, "<i4"))
         return out
 
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        return [a.tolist() for a in self.arrays(texts)]
+
+    def learn(self, words: set[str]) -> None:
+        """Puts the words' ids into ``known``. Words that were not met for a while are forgotten, so memory is bounded by
+        twice REMEMBERED and one batch, and frequent words stay."""
+        if len(self.known) + len(words) > REMEMBERED:
+            self.older, self.known = self.known, {}
+        known, older = self.known, self.older
+        fresh = []
+        for w in words.difference(known):
+            ids = older.pop(w, None)
+            if ids is None:
+                fresh.append(w)
+            else:
+                known[w] = ids
+        lone, merge = [self.ids[SPACE]], self.merge
+        for k in range(0, len(fresh), 4096):
+            part = fresh[k : k + 4096]
+            for w, theirs in zip(part, self.library.encode(part, num_threads=1)):
+                if w[:1] == "\n":  # no space before it: the library's dummy prefix stands alone
+                    ours, theirs = merge(w), theirs[1:]
+                else:  # the library gives nothing for an empty text, not even a prefix
+                    ours, theirs = merge(SPACE + w), theirs or lone
+                if ours != theirs:
+                    self.check(w, ours, theirs)
+                known[w] = array("i", ours).tobytes()
+
+    def whole(self, text: str) -> list[int]:
+        marked = SPACE + text.replace(" ", SPACE)
+        parts = re.findall(f"{SPACE}*[^{SPACE}]+|{SPACE}+", marked) if self.words_apart else [marked]
+        ours = [i for p in parts for i in self.merge(p)]
+        self.check(text, ours, self.library.encode(text))
+        return ours
+
     @staticmethod
     def check(text: str, ours, theirs) -> None:
         if list(ours) != list(theirs):
@@ -158,13 +175,15 @@ def vocabulary(path: str) -> Vocabulary:
 
 
 def encoded(column: Column, path: str) -> Column:
-    """array<int>: ids of each whole text, the end id last; null counts as empty, whose only id is the end."""
+    """struct(ids, decoded): ids of each whole text, the end id last, and the text that the library's decode makes of them.
+    Null counts as empty, whose only id is the end."""
 
-    @F.pandas_udf("array<int>")
-    def encode(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf("ids array<int>, decoded string")
+    def encode(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         v = vocabulary(path)
         for texts in parts:
-            yield pd.Series([[*ids, v.end] for ids in v.encode(texts.tolist())], index=texts.index, dtype=object)
+            ids = [np.append(a, np.int32(v.end)) for a in v.arrays(texts.tolist())]
+            yield pd.DataFrame({"ids": pd.Series(ids, dtype=object), "decoded": pd.Series([v.library.decode(a.tolist()) for a in ids], dtype=object)})
 
     return encode(F.coalesce(column, F.lit("")))
 
@@ -185,7 +204,8 @@ def encode_texts(df: DataFrame, path: str, text_col: str = "text") -> DataFrame:
     """df with the columns ids (array<int>) and decoded (string); a repeated text is encoded each time, an empty table
     gives no rows. Columns of those two names are replaced, all others stay."""
     bound_batches(df.sparkSession, 512)
-    return spread(df.drop("ids", "decoded")).withColumn("ids", encoded(F.col(text_col), path)).withColumn("decoded", decoded(F.col("ids"), path))
+    out = spread(df.drop("ids", "decoded")).withColumn("__e", encoded(F.col(text_col), path))
+    return out.withColumns({"ids": F.col("__e.ids"), "decoded": F.col("__e.decoded")}).drop("__e")
 
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
