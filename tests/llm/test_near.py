@@ -68,6 +68,38 @@ def test_groups_against_brute_force(spark, monkeypatch):
         assert seen == set(members)
 
 
+def least_ids(s):
+    """By brute force: of each set, the smallest position that links of similarity 0.8 or more reach."""
+    low = list(range(len(s)))
+    changed = True
+    pairs = [(i, j) for i in range(len(s)) for j in range(i) if similarity(s[i], s[j]) >= 0.8]
+    while changed:
+        changed = False
+        for i, j in pairs:
+            if low[i] != low[j]:
+                low[i] = low[j] = min(low[i], low[j])
+                changed = True
+    return low, pairs
+
+
+def test_repeated_lines_lose_no_pair(spark, monkeypatch):
+    monkeypatch.setattr(near, "TILE", 32)
+    rng = random.Random(11)
+    texts = []
+    for n in (304, 604):
+        for times in (5, 10, 30):
+            for _ in range(8):
+                base = prose(rng, n)
+                texts += [base, base + "\n" + "\n".join([prose(rng, 15)] * times)]
+    rng.shuffle(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    got = {r["doc_id"]: r["component_id"] for r in near.near_duplicates(df).collect()}
+    low, pairs = least_ids(sets(texts))
+    assert len(pairs) == 48
+    assert sum(got[i] == got[j] for i, j in pairs) == 48
+    assert [got[k] for k in range(len(texts))] == low
+
+
 def test_odd_rows(docs, no_docs):
     rows = near.near_duplicates(docs).collect()
     assert len(rows) == docs.count()
