@@ -100,6 +100,23 @@ def test_repeated_lines_lose_no_pair(spark, monkeypatch):
     assert [got[k] for k in range(len(texts))] == low
 
 
+def test_refuted_links_do_not_split_groups(spark):
+    rng = random.Random(2)
+    families = []
+    for _ in range(100):
+        base = prose(rng, 300).split()
+        families.append([])
+        for _ in range(8):
+            w = list(base)
+            for k in range(rng.randint(3, 4)):
+                w[rng.randrange(len(w))] = f"zig{rng.randrange(99)}"
+            families[-1].append(" ".join(w))
+    df = spark.createDataFrame([(8 * f + k, t) for f, family in enumerate(families) for k, t in enumerate(family)], "doc_id long, text string").repartition(5)
+    got = {r["doc_id"]: r["component_id"] for r in near.near_duplicates(df).collect()}
+    wrong = [f for f, family in enumerate(families) if [got[8 * f + k] for k in range(8)] != [8 * f + c for c in least_ids(sets(family))[0]]]
+    assert not wrong
+
+
 def test_odd_rows(docs, no_docs):
     rows = near.near_duplicates(docs).collect()
     assert len(rows) == docs.count()
