@@ -201,8 +201,8 @@ def modularity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def louvain_modularity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = stored(graph.infer_edges(answers(trials_sparse(spark, sf_dir)), directed=False))
-    return graph.modularity(edges, graph.louvain(edges))
+    edges = stored(graph.infer_edges(answers(trials_key(spark, sf_dir)), directed=False))
+    return graph.modularity(edges, stored(graph.louvain(edges)))
 
 
 def metric_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
