@@ -2,6 +2,7 @@
 
 import pytest
 
+from wortnetz.functions import text
 from wortnetz.plans import catalogue
 
 
@@ -15,6 +16,14 @@ def test_louvain_modularity_reads_every_order(spark, tmp_path):
     assert catalogue.QUERIES["louvain_modularity"](spark, str(tmp_path)).first()[0] == pytest.approx(best)
 
 
+def test_similar_cues_osa_takes_rare_and_accented_words(spark, tmp_path):
+    english, french = "House the été a nation night Forms éét x", "hosue tête été en nations nuit formes à xylophone"
+    spark.createDataFrame([(1, english, "en"), (2, french, "fr"), (3, "hause", "de")], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = {(a, b) for a in english.lower().split() for b in french.lower().split() if a != b and text.osa(a, b) <= 2}
+    assert {("house", "hosue"), ("éét", "été")} <= want
+    assert {tuple(r) for r in catalogue.QUERIES["similar_cues_osa"](spark, str(tmp_path)).collect()} == want
+
+
 def splits(nodes):
     """All ways to put nodes into communities."""
     first, *rest = nodes

@@ -109,8 +109,9 @@ def similar_cues(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def similar_cues_osa(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As similar_cues with swaps as one edit; SQL has no such distance."""
-    return ingest.similar_pairs(*_two_lists(spark, sf_dir), "word", 2, osa=True)
+    """All English and French words within two edits, a swap being one edit; SQL has no such distance."""
+    w = words(spark, sf_dir)
+    return ingest.similar_pairs(*(w.where(F.col("lang") == x).select("word").distinct() for x in ("en", "fr")), "word", 2, osa=True)
 
 
 def cue_exclusion(spark: SparkSession, sf_dir: str) -> DataFrame:
