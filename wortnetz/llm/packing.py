@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import os
-import random
 import re
 import zlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -19,9 +19,9 @@ CAPACITY, END_ID = 2048, 0
 #: Pieces in one instance of the packing problem, about; a sequence holds pieces of one instance.
 INSTANCE = 16384
 #: Islands per instance, individuals per island, generations between two migrations, and migrations.
-ISLANDS, POPULATION, GENERATIONS, MIGRATIONS = 3, 4, 6, 2
-#: Bins filled to this share or more may be injected into another individual.
-WELL_FILLED = 0.97
+ISLANDS, POPULATION, GENERATIONS, MIGRATIONS = 3, 4, 8, 2
+#: Bins filled to this share or more may be injected into another individual and stay in it, but for this share of them.
+WELL_FILLED, SHAKEN = 0.999, 0.1
 
 #: Texts of these characters only are cut alike by both libraries' patterns, whatever their Unicode versions.
 PLAIN = re.compile("[^\t\n\r\x20-\x7e\xa1-ɏ]")
@@ -138,20 +138,28 @@ def lower_bound(sizes: np.ndarray, capacity: int) -> int:
     return best
 
 
+class Individual(NamedTuple):
+    """A packing and where it comes from: crossovers in its longest line of descent, and the islands, as bits, whose founders
+    are among its ancestors."""
+
+    owner: np.ndarray
+    crossovers: int = 0
+    islands: int = 0
+
+
 def crossover(sizes: np.ndarray, into: np.ndarray, giver: np.ndarray, capacity: int, rng: np.random.Generator) -> np.ndarray:
-    """Whole well-filled bins of the giver are injected; bins that hold their items fall, and the displaced items are
-    placed by best fit, the largest first."""
+    """Whole well-filled bins of the giver are injected. Bins that hold an injected item too fall, so no item is twice in
+    the child, and so do badly filled bins and a few others; the displaced items are placed by best fit, the largest first."""
     fill = np.bincount(giver, sizes)
     good = np.flatnonzero(fill >= WELL_FILLED * capacity)
     if not len(good):
         good = np.argsort(-fill)[: max(1, len(fill) // 10)]
-    chosen = rng.choice(good, max(1, int(len(good) * rng.uniform(0.1, 0.4))), replace=False)
+    chosen = rng.choice(good, max(1, int(len(good) * rng.uniform(0.3, 0.7))), replace=False)
     given = np.isin(giver, chosen)
-    fallen = np.unique(into[given])
-    # the emptiest bins fall too, so that their items look for a better place
     own = np.bincount(into, sizes)
-    fallen = np.union1d(fallen, np.argsort(own)[: max(1, len(own) // 50)])
-    loose = np.isin(into, fallen) & ~given
+    falls = (own < WELL_FILLED * capacity) | (rng.random(len(own)) < SHAKEN)
+    falls[into[given]] = True
+    loose = falls[into] & ~given
     owner = np.where(given, giver + len(own), into)
     kept = ~loose
     labels, owner[kept] = np.unique(owner[kept], return_inverse=True)
@@ -161,40 +169,44 @@ def crossover(sizes: np.ndarray, into: np.ndarray, giver: np.ndarray, capacity:
     return best_fit(sizes, order, capacity, owner, room)
 
 
-def evolve(sizes: np.ndarray, elites: list[np.ndarray], capacity: int, seed: int, generations: int, population: int) -> list[np.ndarray]:
-    """The island's individuals after so many generations, the fittest first; elites join the founders."""
+def evolve(sizes: np.ndarray, elites: list[Individual], capacity: int, seed: int, generations: int, population: int, island: int = 0) -> list[Individual]:
+    """The island's individuals after ``generations`` generations, or fewer once the fittest has as few bins as any packing
+    can have, but one at least; the fittest first, of equals the youngest. Founders, where there are not enough elites, are
+    best fits of the items in random order."""
     rng = np.random.default_rng(seed)
-    down = np.argsort(-sizes, kind="stable")
-    founders = [best_fit(sizes, down, capacity)] if not elites else []
-    while len(founders) + len(elites) < population:
-        noise = rng.uniform(0.8, 1.25, len(sizes))
-        founders.append(best_fit(sizes, np.argsort(-sizes * noise, kind="stable"), capacity))
-    ranked = sorted(((fitness(sizes, o, capacity), k, o) for k, o in enumerate(elites + founders)), reverse=True, key=lambda x: (x[0], -x[1]))
+    ranked = [(fitness(sizes, o.owner, capacity), k, o) for k, o in enumerate(elites)]
+    while len(ranked) < population:
+        o = Individual(best_fit(sizes, rng.permutation(len(sizes)), capacity), 0, 1 << island)
+        ranked.append((fitness(sizes, o.owner, capacity), len(ranked), o))
     bound, born = lower_bound(sizes, capacity), len(ranked)
-    for _ in range(generations):
-        if -ranked[0][0][0] <= bound:
+    for generation in range(generations):
+        ranked.sort(reverse=True, key=lambda x: x[:2])
+        if generation and -ranked[0][0][0] <= bound:
             break
         for _ in range(population):
-            a, b = rng.choice(len(ranked), 2, replace=False) if len(ranked) > 1 else (0, 0)
-            a, b = min(a, b), max(a, b)
-            child = crossover(sizes, ranked[a][2], ranked[b][2], capacity, rng)
-            ranked.append((fitness(sizes, child, capacity), born, child))
+            a, b = sorted(rng.choice(population, 2, replace=False))
+            mother, father = ranked[a][2], ranked[b][2]
+            child = crossover(sizes, mother.owner, father.owner, capacity, rng)
+            ranked.append((fitness(sizes, child, capacity), born, Individual(child, max(mother.crossovers, father.crossovers) + 1, mother.islands | father.islands)))
             born += 1
-        ranked = sorted(ranked, reverse=True, key=lambda x: (x[0], -x[1]))[:population]
+        ranked = sorted(ranked, reverse=True, key=lambda x: x[:2])[:population]
     return [o for _, _, o in ranked]
 
 
+#: An individual as it travels: its bins as 32-bit numbers.
+ELITE = "struct<owner:binary,crossovers:int,islands:int>"
+
+
 def _island(capacity: int, turn: int, last: bool):
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in parts:
             out = []
             for shard, island, sizes, elites in zip(rows["shard"], rows["island"], rows["sizes"], rows["elites"]):
                 sizes = np.asarray(sizes, np.int64)
-                # the same items are offered in other orders, so that islands differ
-                seeds = [np.frombuffer(e, np.int32).astype(np.int64) for e in (elites if elites is not None else [])]
-                best = evolve(sizes, seeds, capacity, int(shard) * 1009 + int(island) * 31 + turn, GENERATIONS, POPULATION)
-                score = fitness(sizes, best[0], capacity)
-                out.append((shard, island, score[0], score[1], [best[0].astype(np.int32).tobytes()] if last else [b.astype(np.int32).tobytes() for b in best[:2]]))
+                came = [Individual(np.frombuffer(e["owner"], np.int32).astype(np.int64), e["crossovers"], e["islands"]) for e in (elites if elites is not None else [])]
+                best = evolve(sizes, came, capacity, int(shard) * 1009 + int(island) * 31 + turn, GENERATIONS, POPULATION, int(island))
+                score = fitness(sizes, best[0].owner, capacity)
+                out.append((shard, island, score[0], score[1], [{"owner": b.owner.astype(np.int32).tobytes(), "crossovers": b.crossovers, "islands": b.islands} for b in best[: 1 if last else 2]]))
             yield pd.DataFrame(out, columns=["shard", "island", "bins", "fill", "elites"])
 
     return run
@@ -205,7 +217,7 @@ def _places(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for rows in parts:
         bins, offsets = [], []
         for sizes, elite in zip(rows["sizes"], rows["elite"]):
-            sizes, owner = np.asarray(sizes, np.int64), np.frombuffer(elite, np.int32).astype(np.int64)
+            sizes, owner = np.asarray(sizes, np.int64), np.frombuffer(elite["owner"], np.int32).astype(np.int64)
             order = np.argsort(owner, kind="stable")
             before = np.cumsum(sizes[order]) - sizes[order]
             starts = np.flatnonzero(np.r_[True, owner[order][1:] != owner[order][:-1]])
@@ -213,21 +225,23 @@ def _places(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             at[order] = before - np.repeat(before[starts], np.diff(np.r_[starts, len(sizes)]))
             bins.append(owner)
             offsets.append(at)
-        yield pd.DataFrame({"shard": rows["shard"], "bins": bins, "offsets": offsets})
+        made = {k: [e[k] for e in rows["elite"]] for k in ("crossovers", "islands")}
+        yield pd.DataFrame({"shard": rows["shard"], "bins": bins, "offsets": offsets, **made})
 
 
 def pack(items: DataFrame, size_col: str = "length", capacity: int = CAPACITY, instance: int = INSTANCE) -> DataFrame:
-    """items with sequence_id and offset: sequences of at most ``capacity``, as few as the algorithm finds.
+    """items with sequence_id and offset: sequences of at most ``capacity``, as few as the algorithm finds; and with
+    crossovers and islands: how many crossovers lie behind the item's packing, and how many islands gave bins to it.
 
     Items of the capacity's size are sequences of their own. The others are dealt evenly, by row number, into instances
     of about ``instance`` items, whatever keys or sizes they share. Several islands evolve each instance; after each
     turn the two fittest individuals of an island migrate to the next island of that instance. Only sizes travel.
     Sizes must be from 1 to the capacity; null sizes are refused. An empty table gives no rows. Columns named
-    sequence_id or offset are replaced, all others stay.
+    sequence_id, offset, crossovers or islands are replaced, all others stay.
     """
     spark = items.sparkSession
     n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    items = cut(items.drop("sequence_id", "offset"))
+    items = cut(items.drop("sequence_id", "offset", "crossovers", "islands"))
     bad = items.where(F.col(size_col).isNull() | (F.col(size_col) < 1) | (F.col(size_col) > capacity))
     if not bad.isEmpty():
         raise ValueError(f"{size_col} must be from 1 to {capacity}")
@@ -239,26 +253,28 @@ def pack(items: DataFrame, size_col: str = "length", capacity: int = CAPACITY, i
     held = cut(rest.groupBy(shard).agg(F.array_sort(F.collect_list(F.struct("__pos", *items.drop("__pos").columns))).alias("items")))
     sizes = held.select("shard", F.transform("items", lambda x: x[size_col].cast("int")).alias("sizes"))
     islands = sizes.select("shard", "sizes", F.explode(F.array(*map(F.lit, range(ISLANDS)))).alias("island"))
-    schema = "shard long, island int, bins long, fill double, elites array<binary>"
+    schema = f"shard long, island int, bins long, fill double, elites array<{ELITE}>"
     elites = None
     for turn in range(MIGRATIONS + 1):
         if elites is None:
-            seeded = islands.withColumn("elites", F.lit(None).cast("array<binary>"))
+            seeded = islands.withColumn("elites", F.lit(None).cast(f"array<{ELITE}>"))
         else:
             moved = elites.select("shard", F.pmod(F.col("island") + 1, F.lit(ISLANDS)).cast("int").alias("island"), "elites")
             own = elites.select("shard", "island", F.slice("elites", 1, 1).alias("own"))
             seeded = islands.join(moved.join(own, ["shard", "island"]), ["shard", "island"]).select("shard", "sizes", "island", F.concat("own", "elites").alias("elites"))
         elites = cut(seeded.repartitionByRange(n_parts, "shard", "island").mapInPandas(_island(capacity, turn, turn == MIGRATIONS), schema))
     best = elites.groupBy("shard").agg(F.max_by(F.get("elites", F.lit(0)), F.struct("bins", "fill", -F.col("island"))).alias("elite"))
-    placed = sizes.join(best, "shard").repartitionByRange(n_parts, "shard").mapInPandas(_places, "shard long, bins array<long>, offsets array<long>")
-    rows = held.join(placed, "shard").select("shard", F.explode(F.arrays_zip("items", "bins", "offsets")).alias("e"))
-    rows = rows.select("e.items.*", (F.shiftleft(F.col("shard"), 20) + F.col("e.bins")).alias("sequence_id"), F.col("e.offsets").alias("offset"))
-    alone = full.select(*full.columns, (-F.col("__pos") - 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    placed = sizes.join(best, "shard").repartitionByRange(n_parts, "shard").mapInPandas(_places, "shard long, bins array<long>, offsets array<long>, crossovers int, islands int")
+    made = [F.col("crossovers").cast("long").alias("crossovers"), F.bit_count("islands").cast("long").alias("islands")]
+    rows = held.join(placed, "shard").select("shard", *made, F.explode(F.arrays_zip("items", "bins", "offsets")).alias("e"))
+    rows = rows.select("e.items.*", (F.shiftleft(F.col("shard"), 20) + F.col("e.bins")).alias("sequence_id"), F.col("e.offsets").alias("offset"), "crossovers", "islands")
+    none = F.lit(0).cast("long")
+    alone = full.select(*full.columns, (-F.col("__pos") - 1).alias("sequence_id"), none.alias("offset"), none.alias("crossovers"), none.alias("islands"))
     return rows.unionByName(alone).drop("__pos")
 
 
 def pack_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", paths: tuple[str, str, str] | None = None, capacity: int = CAPACITY) -> DataFrame:
-    """One row per piece of each document: id_col, piece, start, length, ids_crc32, sequence_id, offset.
+    """One row per piece of each document: id_col, piece, start, length, ids_crc32, sequence_id, offset, crossovers, islands.
 
     Null and empty texts are the end id alone; rows may repeat and ids be null, each row is packed. An empty table gives
     no rows. Other columns are not read. paths: the tokenizer's JSON file, its ranks for tiktoken, and the pattern.
@@ -274,4 +290,6 @@ def default_paths() -> tuple[str, str, str]:
 
 
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' pieces with their sequence and place there, one row per piece; null and empty texts are the end id
+    alone, repeated rows are packed each, a table without rows gives none."""
     return pack_documents(table(spark, sf_dir, "documents"))
