@@ -119,11 +119,11 @@ def best_fit(sizes: np.ndarray, order: np.ndarray, capacity: int, owner: np.ndar
     return out
 
 
-def fitness(sizes: np.ndarray, owner: np.ndarray, capacity: int) -> tuple[int, float]:
-    """Fewer bins first, then fuller full bins."""
+def fitness(sizes: np.ndarray, owner: np.ndarray, capacity: int, bound: int = 0) -> tuple[int, float]:
+    """Fewer bins first, then fuller full bins; with ``bound`` bins nothing is left to gain, and all are as fit."""
     fill = np.bincount(owner, sizes)
     fill = fill[fill > 0]
-    return -len(fill), float(np.square(fill / capacity).mean()) if len(fill) else 0.0
+    return -len(fill), float(np.square(fill / capacity).mean()) if len(fill) > bound else 1.0
 
 
 def lower_bound(sizes: np.ndarray, capacity: int) -> int:
@@ -173,12 +173,12 @@ def evolve(sizes: np.ndarray, elites: list[Individual], capacity: int, seed: int
     """The island's individuals after ``generations`` generations, or fewer once the fittest has as few bins as any packing
     can have, but one at least; the fittest first, of equals the youngest. Founders, where there are not enough elites, are
     best fits of the items in random order."""
-    rng = np.random.default_rng(seed)
-    ranked = [(fitness(sizes, o.owner, capacity), k, o) for k, o in enumerate(elites)]
+    rng, bound = np.random.default_rng(seed), lower_bound(sizes, capacity)
+    ranked = [(fitness(sizes, o.owner, capacity, bound), k, o) for k, o in enumerate(elites)]
     while len(ranked) < population:
         o = Individual(best_fit(sizes, rng.permutation(len(sizes)), capacity), 0, 1 << island)
-        ranked.append((fitness(sizes, o.owner, capacity), len(ranked), o))
-    bound, born = lower_bound(sizes, capacity), len(ranked)
+        ranked.append((fitness(sizes, o.owner, capacity, bound), len(ranked), o))
+    born = len(ranked)
     for generation in range(generations):
         ranked.sort(reverse=True, key=lambda x: x[:2])
         if generation and -ranked[0][0][0] <= bound:
@@ -187,7 +187,7 @@ def evolve(sizes: np.ndarray, elites: list[Individual], capacity: int, seed: int
             a, b = sorted(rng.choice(population, 2, replace=False))
             mother, father = ranked[a][2], ranked[b][2]
             child = crossover(sizes, mother.owner, father.owner, capacity, rng)
-            ranked.append((fitness(sizes, child, capacity), born, Individual(child, max(mother.crossovers, father.crossovers) + 1, mother.islands | father.islands)))
+            ranked.append((fitness(sizes, child, capacity, bound), born, Individual(child, max(mother.crossovers, father.crossovers) + 1, mother.islands | father.islands)))
             born += 1
         ranked = sorted(ranked, reverse=True, key=lambda x: x[:2])[:population]
     return [o for _, _, o in ranked]
@@ -205,7 +205,7 @@ def _island(capacity: int, turn: int, last: bool):
                 sizes = np.asarray(sizes, np.int64)
                 came = [Individual(np.frombuffer(e["owner"], np.int32).astype(np.int64), e["crossovers"], e["islands"]) for e in (elites if elites is not None else [])]
                 best = evolve(sizes, came, capacity, int(shard) * 1009 + int(island) * 31 + turn, GENERATIONS, POPULATION, int(island))
-                score = fitness(sizes, best[0].owner, capacity)
+                score = fitness(sizes, best[0].owner, capacity, lower_bound(sizes, capacity))
                 out.append((shard, island, score[0], score[1], [{"owner": b.owner.astype(np.int32).tobytes(), "crossovers": b.crossovers, "islands": b.islands} for b in best[: 1 if last else 2]]))
             yield pd.DataFrame(out, columns=["shard", "island", "bins", "fill", "elites"])
 
