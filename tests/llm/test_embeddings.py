@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from wortnetz.llm import embeddings
 
@@ -27,7 +28,7 @@ def test_groups_links_and_odd_vectors(spark, monkeypatch):
     monkeypatch.setattr(embeddings, "TILE", 16)  # many tiles
     x = vectors()
     rows = [(k, v.tolist(), 1) for k, v in enumerate(x)]
-    odd = [None, [], [0.0] * 16, [float("nan")] * 16, [1.0] * 15 + [float("inf")], [None] + [1.0] * 15, [1.0] * 7, [1.0] * 7]
+    odd = [None, [], [0.0] * 16, [float("nan")] * 16, [1.0] * 15 + [float("inf")], [None] + [1.0] * 15]
     rows += [(1000 + k, v, None) for k, v in enumerate(odd)] + [(None, x[0].tolist(), 2)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, links int").repartition(6)
     got = embeddings.embedding_dedup(df).collect()
@@ -48,3 +49,47 @@ def test_empty_and_all_odd(spark):
     schema = "vec_id long, embedding array<float>"
     assert embeddings.embedding_dedup(spark.createDataFrame([], schema)).count() == 0
     assert [tuple(r) for r in embeddings.embedding_dedup(spark.createDataFrame([(4, None)], schema)).collect()] == [(4, 0, 4, True)]
+
+
+def by_sql(rows, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    con.execute("CREATE TABLE embeddings (vec_id BIGINT, embedding DOUBLE[])")
+    con.executemany("INSERT INTO embeddings VALUES (?, ?)", rows)
+    return {tuple(r) for r in con.execute(f"SELECT vec_id, n_links, component_id, kept FROM ({embeddings.OP2_SQL})").fetchall()}
+
+
+def test_all_lengths_are_compared(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(embeddings, "TILE", 16)
+    rng = np.random.default_rng(4)
+    rows = []
+    for d, n in ((16, 200), (3, 90), (7, 40), (1, 9), (20, 2), (64, 70)):
+        base = rng.normal(size=(n // 3 + 1, d))
+        x = base[rng.integers(0, len(base), n)] + rng.normal(size=(n, d)) * rng.choice([0, 0.05, 0.2], (n, 1))
+        rows += x.tolist()
+    rng.shuffle(rows)
+    rows = [(k, v) for k, v in enumerate(rows)]
+    for fitted in (8, 1):
+        monkeypatch.setattr(embeddings, "FIT_LENGTHS", fitted)
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)
+        assert {tuple(r) for r in embeddings.embedding_dedup(df).select("vec_id", "n_links", "component_id", "kept").collect()} == by_sql(rows, tmp_path)
+
+
+def test_huge_and_tiny_components(spark):
+    rows = [(1, [1e200, 1e200]), (2, [1e200, 1.01e200]), (3, [1e-200, 1e-200]), (4, [5e-324, 5e-324]), (5, [1.7e308, -1.7e308]), (6, [1.0, -1.0])]
+    got = {tuple(r) for r in embeddings.embedding_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {(1, 3, 1, True), (2, 3, 1, False), (3, 3, 1, False), (4, 3, 1, False), (5, 1, 5, True), (6, 1, 5, False)}
+
+
+def test_long_vectors_and_one_that_a_third_shares(spark):
+    rng = np.random.default_rng(2)
+    long = rng.normal(size=(4, 20_000))
+    rows = [(k, v.tolist()) for k, v in enumerate([*long, long[0] * 3])] + [(100 + k, [1.0, 2.0]) for k in range(1000)]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embeddings.embedding_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got[4] == (1, 0) and got[1] == (0, 1) and all(got[100 + k] == (999, 100) for k in range(1000))
+
+
+def test_every_pair_of_tiles_has_one_owner():
+    numbers = np.random.default_rng(0).integers(0, 1 << 62, 200)
+    owned = np.stack([embeddings._owned(int(n), numbers) for n in numbers])
+    assert ((owned ^ owned.T) | np.eye(200, dtype=bool)).all() and 80 < owned.sum(axis=1).mean() < 120

@@ -15,10 +15,17 @@ from .common import connected_components, cut, shared_path, spread, table
 from .warc import file_system
 
 THRESHOLD = 0.95
-#: Vectors in a tile, and vectors (those with the smallest hashes) that the rotation is fitted on.
+#: Vectors in a tile, and vectors of one length (those with the smallest hashes) that its rotation is fitted on.
 TILE, FIT_ROWS = 1024, 4096
+#: Lengths, the most frequent ones, that get a rotation of their own; vectors of other lengths are compared as they are.
+FIT_LENGTHS = 8
+#: Leading components whose range in a tile is kept in the directory, tiles of the directory that a task reads at a time, and
+#: links whose groups a task remembers.
+BOX, DIRECTORY_ROWS, REMEMBERED = 16, 1 << 16, 1 << 20
 #: Leading components by whose signs vectors are brought into tiles; a hundred or so vectors need one bit more each doubling.
 CELL_BITS = 10
+#: Comparing tasks at most, as a multiple of the session's partitions.
+TASKS = 64
 #: Dimensions accumulated before each bound is tested, as shares of all.
 STEPS = (0.25, 0.5, 1.0)
 #: Rounding errors of sums in double precision are far below this; bounds give way by it, results never do.
@@ -32,75 +39,98 @@ def usable(column: str = "embedding"):
     return F.coalesce(F.col(column).isNotNull() & (F.size(column) > 0) & ok & F.exists(x, lambda v: v != 0), F.lit(False))
 
 
-def rotation(rows: DataFrame, column: str) -> np.ndarray:
-    """Principal axes of unit vectors, the strongest first, from a bounded sample; any sample gives exact results."""
-    sample = rows.select(column).orderBy(F.xxhash64(column)).limit(FIT_ROWS).toArrow()[column]
-    x = np.array(sample.to_pylist(), np.float64)
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
+def _vectors(column) -> np.ndarray:
+    """Rows of one length, each scaled by a power of two, which changes no cosine, so that squares neither overflow nor vanish."""
+    x = np.stack([np.asarray(v, np.float64) for v in column])
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1))[1][:, None])
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def rotation(rows: DataFrame, column: str, length: int) -> np.ndarray:
+    """Principal axes of the unit vectors of a length, the strongest first, from a bounded sample; any sample gives exact
+    results."""
+    sample = rows.where(F.size(column) == length).select(column).orderBy(F.xxhash64(column)).limit(FIT_ROWS).toArrow()[column]
+    x = _unit(_vectors(sample.to_pylist()))
     return np.ascontiguousarray(np.linalg.eigh(x.T @ x)[1][:, ::-1])
 
 
-def _vectors(column: pd.Series) -> np.ndarray:
-    return np.stack([np.asarray(v, np.float64) for v in column]) if len(column) else np.zeros((0, 0))
+def _by_length(rows: pd.DataFrame) -> Iterator[tuple[int, pd.DataFrame]]:
+    """Runs of rows of one length, in the order in which they come."""
+    sizes = rows["d"].to_numpy()
+    cuts = np.flatnonzero(np.r_[True, sizes[1:] != sizes[:-1], True]) if len(sizes) else []
+    for i, j in zip(cuts[:-1], cuts[1:]):
+        yield int(sizes[i]), rows.iloc[i:j]
 
 
-def _cells(axes: np.ndarray):
+def _cells(axes: dict[int, np.ndarray]):
     def cells(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """The place of each vector: signs of its leading components in Gray order, then the first component."""
-        for rows in parts:
-            x = _vectors(rows["v"])
-            if not len(x):
-                continue
-            z = (x / np.linalg.norm(x, axis=1, keepdims=True)) @ axes[:, :CELL_BITS]
-            bits = np.cumsum(z < 0, axis=1) % 2
-            yield rows.assign(cell=bits @ (1 << np.arange(bits.shape[1])[::-1]), lead=z[:, 0])
+        for part in parts:
+            for d, rows in _by_length(part.sort_values("d", kind="stable")):
+                z = _unit(_vectors(rows["v"]))
+                z = z @ axes[d][:, :CELL_BITS] if d in axes else z[:, :CELL_BITS]
+                bits = np.cumsum(z < 0, axis=1) % 2
+                yield rows.assign(cell=bits @ (1 << np.arange(bits.shape[1])[::-1]), lead=z[:, 0])
 
     return cells
 
 
-def _tiles(axes: np.ndarray, folder: str):
+def _tiles(axes: dict[int, np.ndarray], folder: str):
     def write(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Tiles of one partition, each a file of its own in the shared folder: ids, weights and vectors. Names are new
-        in each attempt, and only those that a finished attempt returns are read."""
+        """Tiles of one partition, each of one length and a file of its own in the shared folder: ids, weights and vectors.
+        Names are new in each attempt, and only those that a finished attempt returns are read."""
         store, top = file_system(folder)
         store.create_dir(top, recursive=True)
-        held: list[pd.DataFrame] = []
-        size, done = 0, []
 
-        def put(rows: pd.DataFrame) -> None:
+        def put(d: int, rows: pd.DataFrame) -> tuple:
             x = _vectors(rows["v"])
-            z = (x / np.linalg.norm(x, axis=1, keepdims=True)) @ axes
-            name, buffer = f"tile-{uuid.uuid4().hex}.npz", io.BytesIO()
+            z = _unit(x)
+            z = (z @ axes[d] if d in axes else z)[:, :BOX]
+            number = uuid.uuid4()
+            buffer = io.BytesIO()
             np.savez(buffer, cid=rows["cid"].to_numpy(np.int64), n=rows["n"].to_numpy(np.int64), x=x)
-            with store.open_output_stream(f"{top}/{name}", compression=None) as f:
+            with store.open_output_stream(f"{top}/tile-{number.hex}.npz", compression=None) as f:
                 f.write(buffer.getvalue())
-            done.append((name, int(rows["cid"].min()), z.min(axis=0).astype(np.float64).tobytes(), z.max(axis=0).astype(np.float64).tobytes()))
+            return f"tile-{number.hex}.npz", number.int >> 65, d, z.min(axis=0).tobytes(), z.max(axis=0).tobytes()
+
+        held: list[pd.DataFrame] = []
+        length, size = None, 0
+
+        def flush(all_: bool) -> Iterator[pd.DataFrame]:
+            nonlocal held, size
+            rows = pd.concat(held, ignore_index=True)
+            end = size if all_ else size - size % TILE
+            done = [put(length, rows.iloc[k : min(k + TILE, end)]) for k in range(0, end, TILE)]
+            held, size = ([rows.iloc[end:]] if end < size else []), size - end
+            yield pd.DataFrame(done, columns=["name", "number", "d", "low", "high"])
 
         for part in parts:
-            held.append(part)
-            size += len(part)
-            if size >= TILE:
-                rows = pd.concat(held, ignore_index=True)
-                for k in range(0, size - TILE + 1, TILE):
-                    put(rows.iloc[k : k + TILE])
-                held = [rows.iloc[size - size % TILE :]]
-                size %= TILE
+            for d, rows in _by_length(part):
+                if size and d != length:
+                    yield from flush(True)
+                length, size = d, size + len(rows)
+                held.append(rows)
+                if size >= TILE:
+                    yield from flush(False)
         if size:
-            put(pd.concat(held, ignore_index=True))
-        yield pd.DataFrame(done, columns=["name", "least", "low", "high"])
+            yield from flush(True)
 
     return write
 
 
-def near_pairs(a: np.ndarray, b: np.ndarray, axes: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+def near_pairs(a: np.ndarray, b: np.ndarray, axes: np.ndarray | None, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """Positions (i, j) with cosine >= threshold, in double precision.
 
     Leading dimensions are accumulated first; what the rest can add is at most the product of the suffix norms, so a
     pair stops as soon as even that cannot reach the threshold. Pairs that get through are decided by their full cosine.
     """
-    d = axes.shape[1]
+    d = a.shape[1]
     na, nb = np.linalg.norm(a, axis=1), np.linalg.norm(b, axis=1)
-    za, zb = (a / na[:, None]) @ axes, (b / nb[:, None]) @ axes
+    za, zb = a / na[:, None], b / nb[:, None]
+    za, zb = (za, zb) if axes is None else (za @ axes, zb @ axes)
     ends = sorted({max(1, round(s * d)) for s in STEPS})
     rest = lambda z, k: np.sqrt(np.maximum(0.0, np.square(z[:, k:]).sum(axis=1)))
     first = ends[0]
@@ -123,12 +153,17 @@ def near_pairs(a: np.ndarray, b: np.ndarray, axes: np.ndarray, threshold: float)
     return i[alive], j[alive]
 
 
-def _compare(axes: np.ndarray, folder: str, directory: str, threshold: float):
+def _owned(mine: int, others: np.ndarray) -> np.ndarray:
+    """Of a pair of tiles one compares them: the smaller number if the sum is even. Each has about half of its pairs."""
+    return ((mine + others) % 2 == 0) == (mine < others)
+
+
+def _compare(axes: dict[int, np.ndarray], folder: str, directory: str, threshold: float):
     reach = np.sqrt(max(0.0, 2 - 2 * threshold)) + SLACK
 
     def compare(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Each row's tile against itself and the half of all tiles that follow it on a circle, so that every pair of
-        tiles meets once and all rows have as much to do. Tiles whose boxes are too far apart are not read."""
+        """Each row's tile against itself and about half of all other tiles, so that every pair of tiles meets once. The
+        directory is read in ranges; tiles of another length, or whose boxes are too far apart, are not read."""
         import pyarrow.parquet as pq
 
         store, top = file_system(folder)
@@ -137,23 +172,24 @@ def _compare(axes: np.ndarray, folder: str, directory: str, threshold: float):
             with store.open_input_file(f"{top}/{name}") as f:
                 return np.load(io.BytesIO(f.read()))
 
-        whole = None
+        def near(number: int, d: int, low: np.ndarray, high: np.ndarray) -> Iterator[str]:
+            at, path = file_system(directory)
+            for info in at.get_file_info(fs_selector(path)):
+                if not info.path.endswith(".parquet"):
+                    continue
+                with pq.ParquetFile(at.open_input_file(info.path)) as f:
+                    for tiles in f.iter_batches(DIRECTORY_ROWS):
+                        tiles = tiles.to_pandas()
+                        tiles = tiles[(tiles["d"] == d) & (tiles["number"] != number)]
+                        tiles = tiles[_owned(number, tiles["number"].to_numpy())]
+                        if len(tiles):
+                            lows, highs = (np.frombuffer(b"".join(tiles[c])).reshape(len(tiles), -1) for c in ("low", "high"))
+                            gap = np.maximum(0.0, np.maximum(lows - high, low - highs))
+                            yield from tiles["name"].to_numpy()[np.square(gap).sum(axis=1) <= reach * reach]
+
         for part in parts:
-            if not len(part):
-                continue
-            if whole is None:
-                at = file_system(directory)
-                tiles = pq.read_table(at[1], filesystem=at[0]).to_pandas().sort_values(["least", "name"], ignore_index=True)
-                low, high = (np.stack([np.frombuffer(v) for v in tiles[c]]) for c in ("low", "high"))
-                place, whole = {n: k for k, n in enumerate(tiles["name"])}, len(tiles)
-            for name in part["name"]:
-                t = place[name]
-                mine = load(name)
-                ids, weights = [mine["cid"]], [mine["n"]]
-                steps = whole // 2
-                others = [(t + s) % whole for s in range(1, steps + 1) if not (whole % 2 == 0 and s == steps and t >= steps)]
-                links: dict[int, int] = {}
-                edges: list[tuple[int, int]] = []
+            for name, number, d, low, high in part.itertuples(index=False):
+                mine, turn = load(name), axes.get(d)
                 parent: dict[int, int] = {}
 
                 def root(v: int) -> int:
@@ -161,71 +197,77 @@ def _compare(axes: np.ndarray, folder: str, directory: str, threshold: float):
                         parent[v] = v = parent.setdefault(p, p)
                     return v
 
-                def found(c: np.ndarray, d: np.ndarray, m: np.ndarray, n: np.ndarray) -> None:
-                    for ids_, add in ((c, n), (d, m)):
-                        keys, inverse = np.unique(ids_, return_inverse=True)
-                        for k, v in zip(keys.tolist(), np.bincount(inverse, add).tolist()):
-                            links[k] = links.get(k, 0) + int(v)
+                def found(c: np.ndarray, d: np.ndarray, m: np.ndarray, n: np.ndarray) -> pd.DataFrame:
+                    """Every vector's number of links and, of all links, one per merge of two groups."""
+                    keys, inverse = np.unique(np.concatenate([c, d]), return_inverse=True)
+                    out = [(v, None, k) for v, k in zip(keys.tolist(), np.bincount(inverse, np.concatenate([n, m])).astype(np.int64).tolist())]
+                    if len(parent) > REMEMBERED:  # then some links between the same groups are returned again
+                        parent.clear()
                     for v, w in zip(c.tolist(), d.tolist()):
                         p, q = root(v), root(w)
                         if p != q:
                             parent[max(p, q)] = min(p, q)
-                            edges.append((v, w))
+                            out.append((v, w, 0))
+                    return pd.DataFrame(out, columns=["a", "b", "links"]).astype({"a": "Int64", "b": "Int64", "links": "Int64"})
 
-                i, j = near_pairs(mine["x"], mine["x"], axes, threshold)
+                i, j = near_pairs(mine["x"], mine["x"], turn, threshold)
                 i, j = i[i < j], j[i < j]
-                found(ids[0][i], ids[0][j], weights[0][i], weights[0][j])
-                gap = np.maximum(0.0, np.maximum(low[others] - high[t], low[t] - high[others])) if others else np.zeros((0, 1))
-                for k in np.flatnonzero(np.square(gap).sum(axis=1) <= reach * reach):
-                    other = load(tiles["name"][others[k]])
-                    i, j = near_pairs(mine["x"], other["x"], axes, threshold)
-                    found(ids[0][i], other["cid"][j], weights[0][i], other["n"][j])
-                # of all links, one per merge of two groups is returned, and every vector's number of links
-                out = pd.DataFrame([(v, None, k) for v, k in links.items()] + [(v, w, 0) for v, w in edges], columns=["a", "b", "links"])
-                yield out.astype({"a": "Int64", "b": "Int64", "links": "Int64"})
+                yield found(mine["cid"][i], mine["cid"][j], mine["n"][i], mine["n"][j])
+                for k in near(number, d, np.frombuffer(low), np.frombuffer(high)):
+                    other = load(k)
+                    i, j = near_pairs(mine["x"], other["x"], turn, threshold)
+                    if len(i):
+                        yield found(mine["cid"][i], other["cid"][j], mine["n"][i], other["n"][j])
 
     return compare
 
 
+def fs_selector(path: str):
+    from pyarrow import fs
+
+    return fs.FileSelector(path)
+
+
 def embedding_dedup(df: DataFrame, id_col: str = "vec_id", column: str = "embedding", threshold: float = THRESHOLD) -> DataFrame:
     """One row per input row: id_col, n_links (other rows with cosine >= threshold), component_id (smallest id reachable
     by links, its own included) and kept (id = component_id).
 
-    Vectors that are null, empty or zero, or hold null, NaN or infinite components, link with nothing; so do those whose
-    length is not the most common one, since no cosine is defined. Equal vectors are one entry with a weight, so a vector
-    that a third of the rows share is compared once; each row counts its copies as links. Rows with null ids take part;
-    component_id is null only where all ids of a group are. Every tile meets every other unless their bounding boxes
-    are further apart than the threshold allows; a task holds two tiles. An empty table gives no rows.
+    Vectors that are null, empty or zero, or hold null, NaN or infinite components, link with nothing. Vectors of different
+    lengths do not link, since no cosine is defined; those of each length are compared with one another. Equal vectors are
+    one entry with a weight, so a vector that a third of the rows share is compared once; each row counts its copies as
+    links. Rows with null ids take part; component_id is null only where all ids of a group are. Every tile meets every other
+    of its length unless their bounding boxes are further apart than the threshold allows; a task holds two tiles. An empty
+    table gives no rows; other columns are not read.
     """
     spark = df.sparkSession
     n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(column).alias("v"))
-    good = rows.where(usable("v"))
-    common = good.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
-    alone = lambda x: x.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.col("id").isNotNull().alias("kept"))
-    if common is None:
-        return alone(rows)
-    fits = usable("v") & (F.size("v") == common["d"])
-    classes = cut(rows.where(fits).groupBy("v").agg(F.min("id").alias("rep"), F.count("*").alias("n"))).withColumn("cid", F.monotonically_increasing_id())
-    axes = rotation(classes, "v")
+    good = usable("v")
+    alone = rows.where(~good).select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.col("id").isNotNull().alias("kept"))
+    classes = cut(rows.where(good).groupBy("v").agg(F.min("id").alias("rep"), F.count("*").alias("n"))).withColumn("cid", F.monotonically_increasing_id())
+    lengths = classes.groupBy(F.size("v").alias("d")).count().where(F.col("count") > TILE).orderBy(F.desc("count"), "d").limit(FIT_LENGTHS).collect()
+    axes = {r["d"]: rotation(classes, "v", r["d"]) for r in lengths}
     folder, directory = shared_path(spark, "tiles"), shared_path(spark, "tile-directory")
-    placed = cut(spread(classes.select("cid", "n", "v")).mapInPandas(_cells(axes), "cid long, n long, v array<double>, cell long, lead double"))
+    placed = cut(spread(classes.select("cid", "n", "v", F.size("v").alias("d"))).mapInPandas(_cells(axes), "cid long, n long, v array<double>, d int, cell long, lead double"))
     n_tiles = max(1, -(-placed.count() // TILE))
-    ordered = placed.repartitionByRange(max(1, min(n_parts, n_tiles)), "cell", "lead").sortWithinPartitions("cell", "lead")
-    tiles = cut(ordered.select("cid", "n", "v").mapInPandas(_tiles(axes, folder), "name string, least long, low binary, high binary"))
+    ordered = placed.repartitionByRange(max(1, min(n_parts, n_tiles)), "d", "cell", "lead").sortWithinPartitions("d", "cell", "lead")
+    tiles = cut(ordered.select("cid", "n", "v", "d").mapInPandas(_tiles(axes, folder), "name string, number long, d int, low binary, high binary"))
     tiles.write.parquet(directory)
-    compared = cut(tiles.select("name").repartition(max(n_parts, n_tiles), "name").mapInPandas(_compare(axes, folder, directory, threshold), "a long, b long, links long"))
+    n_tasks = max(n_parts, min(tiles.count(), TASKS * n_parts))
+    compared = cut(tiles.repartition(n_tasks).mapInPandas(_compare(axes, folder, directory, threshold), "a long, b long, links long"))
     links = compared.where("b IS NULL").groupBy(F.col("a").alias("cid")).agg(F.sum("links").alias("links"))
     groups = connected_components(compared.where("b IS NOT NULL")).select(F.col("node").alias("cid"), "component")
     named = classes.select("cid", "rep", "n").join(groups, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     lows = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     per_class = cut(named.join(lows, "component").join(links, "cid", "left").select("cid", "component_id", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links")))
-    keyed = classes.select("cid", "v").join(per_class, "cid").select("v", "component_id", "n_links")
-    linked = rows.where(fits).join(keyed, "v").select(F.col("id").alias(id_col), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
-    return linked.unionByName(alone(rows.where(~F.coalesce(fits, F.lit(False)))))
+    # stored, so that the join deals out both sides anew and Spark can split a vector that many rows share
+    keyed = cut(classes.select("cid", "v").join(per_class, "cid").select("v", "component_id", "n_links"))
+    linked = rows.where(good).join(keyed, "v").select(F.col("id").alias(id_col), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
+    return linked.unionByName(alone)
 
 
 def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors, whatever their labels, at a cosine of 0.95; odd vectors, ties and empty tables as embedding_dedup has them."""
     return embedding_dedup(table(spark, sf_dir, "embeddings"))
 
 
