@@ -1,4 +1,6 @@
 import hashlib
+import subprocess
+import sys
 from collections import defaultdict
 
 import pytest
@@ -64,3 +66,27 @@ def test_a_template_of_one_s_own(spark):
     rows = chat.format_conversations(df, "<s>{% for m in messages %}[{{ m.role }}] {% generation %}{{ m.text }}{% endgeneration %}\n{% endfor %}</s>").orderBy("seq").collect()
     assert "".join(r["formatted"] for r in rows) == "<s>[user] q\n[assistant] a\n</s>"
     assert [[r["formatted"][s["start"] : s["end"]] for s in r["loss"]] for r in rows] == [["q"], ["a"], []]
+
+
+LONG = """
+import resource
+import pandas as pd
+from wortnetz.llm import chat
+said = "<a \\\\ b>\\n" * (20_000_000 // 9)
+rows = pd.DataFrame({"no_id": [False], "id": [1], "role": ["assistant"], "text": [said]})
+out = pd.concat(chat._renderer(chat.TEMPLATE, "conv_id")(iter([rows])))
+read = pd.concat(chat._read(iter([out.assign(no_id=False, id=1)])))
+assert read["n_turns"].tolist() == [1] and read["loss_chars"].tolist() == [len(said)]
+print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss)
+"""
+
+
+def test_a_turn_of_20_million_characters_stays_below_a_gigabyte():
+    kilobytes = int(subprocess.run([sys.executable, "-c", LONG], check=True, capture_output=True, text=True).stdout)
+    assert kilobytes < 1 << 20
+
+
+def test_a_large_conversation_without_id(spark):
+    df = spark.range(60_000).selectExpr("cast(if(id % 3 = 0, null, id) AS bigint) AS conv_id", "id AS turn", "if(id % 2 = 0, 'user', 'assistant') AS role", "cast(id AS string) AS text")
+    got = {r["conv_id"]: r["n_turns"] for r in chat.read_back(chat.format_conversations(df)).where("conv_id IS NULL OR conv_id < 10").collect()}
+    assert got == {None: 20_000, **{k: 1 for k in range(10) if k % 3}}

@@ -30,7 +30,10 @@ def escape_line(text: str) -> str:
 
 
 def unescape(text: str) -> str:
-    return re.sub(r"\\(.)", lambda m: "\n" if m[1] == "n" else m[1], text, flags=re.S) if ESCAPE in text else text
+    """Pairs of backslashes are read from the left, so that one before a control string or an n is never half of a pair."""
+    if ESCAPE not in text:
+        return text
+    return ESCAPE.join(p.replace(ESCAPE + CONTROL, CONTROL).replace(ESCAPE + "n", "\n") for p in text.split(ESCAPE * 2))
 
 
 #: Escaped texts hold a backslash n only by escape_line: escape doubles every backslash.
