@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 from wortnetz.llm.secrets import RULES, find_secrets, masked
 from wortnetz.llm.trigrams import trigram_query, trigrams_of
@@ -61,3 +62,44 @@ def test_masking(spark, docs, no_docs):
     got = {r["doc_id"]: r["text"] for r in masked(df).collect()}
     assert got == {1: "a [secret] b [secret]", 2: "clean", 3: None, 4: "[secret]"}
     assert find_secrets(no_docs).count() == 0 and masked(docs).columns == docs.columns
+
+
+def unmasked(text):
+    """By brute force: the text with its base spans masked, overlapping ones as one."""
+    out, at = "", 0
+    for start, _, end in brute(text):
+        if start >= at:
+            out += text[at:start] + "[secret]"
+        at = max(at, end)
+    return out + text[at:]
+
+
+def test_masking_against_brute_force(spark, docs):
+    rng = random.Random(6)
+    plain = [p for p in PARTS if not p.startswith(("ghp", "---", "xox", "AIza", "eyJ"))]
+    made = ["".join(rng.choice(plain) for _ in range(rng.randint(1, 40))) for _ in range(200)]
+    made += ["🙂ü" * 5000 + "token=abcdefgh1" + "é" * 9000 + " token=" + "f" * 5000 + "ß" * 4095, "x" * 4096 + "f" * 40, "f" * 8192]
+    rows = spark.createDataFrame([(i, t, "en", 0) for i, t in enumerate(made)], docs.schema)
+    assert {r["doc_id"]: r["text"] for r in masked(rows).collect()} == dict(enumerate(map(unmasked, made)))
+
+
+def test_many_secrets_in_one_text(spark, docs):
+    def run(n):
+        text = "".join(f"{'ü' if k % 2 else 'a'} token=abcdefgh{k} " for k in range(n))
+        df = spark.createDataFrame([(1, text, "en", 0)], docs.schema)
+        began = time.perf_counter()
+        assert len(find_secrets(df).first()["secrets"]) == n
+        assert masked(df).first()["text"] == unmasked(text)
+        return time.perf_counter() - began
+
+    run(10)
+    assert run(100_000) < 60  # 2 MB; four times the matches took four times four as long before
+
+
+def test_a_text_that_many_rows_share_can_be_split(spark, docs):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = find_secrets(docs)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" in plan and "Aggregate" not in plan  # both sides of the join are plain shuffles

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_of
+from .common import cut, table, text_of
 from .trigrams import Query, trigram_query, trigrams_of
 
 
@@ -36,6 +37,8 @@ RULES = (
 BLOCK_TEXTS = 4096
 #: What a found secret is replaced by.
 MASK = "[secret]"
+#: Code points in a segment of a text; a part of a long text is cut from its segments, not counted from the text's start.
+SEGMENT = 4096
 
 
 def postings(df: DataFrame, text_col: str, grams: list[str], blocks: int) -> DataFrame:
@@ -74,24 +77,43 @@ def candidates(df: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] =
     return flat.groupBy("text_key").agg(F.collect_set("rule").alias("maybe"))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """The body with the value's name bound, so that it is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def scanned(items: Column, zero: Column, step: Callable[[Column, Column], Column], kind: str) -> Column:
+    """Running states: step(state before, item) of each item, zero before the first one, as an array of ``kind``.
+
+    Appending to an array copies it, so n items are worked off in about sqrt(n) chunks of about sqrt(n).
+    """
+    last = lambda states: F.element_at(states, F.lit(-1))
+    rest = lambda states: F.slice(states, 2, F.size(states))
+
+    def body(x: Column) -> Column:
+        width = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(x))).cast("int"))
+        chunks = F.transform(F.sequence(F.lit(0), F.floor(F.greatest(F.lit(0), F.size(x) - 1) / width).cast("int")), lambda k: F.slice(x, k * width + 1, width))
+        through = lambda chunk, first: F.aggregate(chunk, F.array(first), lambda states, item: F.concat(states, F.array(step(last(states), item).cast(kind))))
+        runs = F.aggregate(chunks, F.array(F.array(zero.cast(kind))), lambda runs, chunk: F.concat(runs, F.array(through(chunk, last(last(runs))))))
+        return F.flatten(F.transform(rest(runs), rest))
+
+    return let(items, body)
+
+
 def _spans(text: Column, rule: Rule, number: int, found: Column) -> Column:
     """Spans (start, kind number, end) of a rule's matches that are long enough; found: all matches.
 
     What lies between the matches gives their places, in code points.
     """
-    pieces = F.transform(F.split(text, rule.pattern, -1), lambda p: F.length(p))
-    long = F.transform(F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)), lambda m: F.length(m) >= rule.least)
-    each = F.arrays_zip(pieces.alias("gap"), F.transform(found, lambda m: F.length(m)).alias("size"), long.alias("long"))
-    kind = "array<struct<start:int,kind:int,end:int>>"
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("spans"))
-
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["gap"]
-        end = start + F.coalesce(x["size"], F.lit(0))
-        one = F.array(F.struct(start.alias("start"), F.lit(number).alias("kind"), end.alias("end"))).cast(kind)
-        return F.struct(end.alias("at"), F.when(x["long"], F.concat(acc["spans"], one)).otherwise(acc["spans"]).alias("spans"))
-
-    return F.when(F.size(found) > 0, F.aggregate(each, empty, step)["spans"]).otherwise(F.array().cast(kind))
+    gaps = F.transform(F.split(text, rule.pattern, -1), lambda p: F.length(p))
+    sizes = F.transform(found, lambda m: F.length(m))
+    long = F.transform(F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)) if rule.least > 1 else found, lambda m: F.length(m) >= rule.least)
+    each = F.slice(F.arrays_zip(gaps.alias("gap"), sizes.alias("size"), long.alias("long")), 1, F.size(found))
+    kind = "struct<start:int,end:int,long:boolean>"
+    zero = F.struct(F.lit(0).alias("start"), F.lit(0).alias("end"), F.lit(False).alias("long"))
+    step = lambda a, x: F.struct((a["end"] + x["gap"]).alias("start"), (a["end"] + x["gap"] + x["size"]).alias("end"), x["long"].alias("long"))
+    spans = F.transform(F.filter(scanned(each, zero, step, kind), lambda s: s["long"]), lambda s: F.struct(s["start"], F.lit(number).alias("kind"), s["end"]))
+    return F.when(F.size(found) > 0, spans).otherwise(F.array().cast("array<struct<start:int,kind:int,end:int>>"))
 
 
 def find_secrets(df: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -102,7 +124,8 @@ def find_secrets(df: DataFrame, text_col: str = "text", rules: tuple[Rule, ...]
     of different rules may overlap. Null and empty texts hold no secrets; a table without rows gives none. All other
     columns stay, whatever their names, except one named secrets, which is replaced.
     """
-    maybe = candidates(df, text_col, rules).select(F.col("text_key").alias("__key"), F.col("maybe").alias("__maybe"))
+    # stored, so that the join deals out both sides anew and Spark can split a text that many rows share
+    maybe = cut(candidates(df, text_col, rules).select(F.col("text_key").alias("__key"), F.col("maybe").alias("__maybe")))
     rows = df.drop("secrets").withColumn("__key", F.xxhash64(text_of(text_col))).join(maybe, "__key", "left")
     none = F.array().cast("array<string>")
     found = {}
@@ -121,18 +144,23 @@ def find_secrets(df: DataFrame, text_col: str = "text", rules: tuple[Rule, ...]
 
 
 def masked(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """df with every secret in the text replaced by MASK; overlapping spans are replaced as one. Columns as before."""
+    """df with every secret in the text replaced by MASK; overlapping spans are replaced as one. Columns as before; null and
+    empty texts stay as they are. The work is about in proportion to a text's length and its number of secrets."""
     rows = find_secrets(df, text_col)
-    whole = F.length(text_of(text_col))
-    acc = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    whole = F.length(text_col)
+    zero = F.struct(F.lit(0).alias("done"), F.lit(0).alias("start"), F.lit(0).alias("end"))
+    step = lambda a, s: F.struct(a["end"].alias("done"), s["start"].alias("start"), F.greatest(a["end"], s["end"]).alias("end"))
+    runs = F.filter(scanned(F.col("secrets"), zero, step, "struct<done:int,start:int,end:int>"), lambda x: x["start"] >= x["done"])
+    # what lies before each run of spans, and after the last one
+    last = F.array(F.struct(F.array_max(F.transform("secrets", lambda s: s["end"])).alias("done"), whole.alias("start"), whole.alias("end")))
 
-    def step(a: Column, s: Column) -> Column:
-        fresh = F.concat(a["out"], F.substr(F.col(text_col), a["at"] + 1, F.greatest(s["start"] - a["at"], F.lit(0))), F.lit(MASK))
-        return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.when(s["start"] < a["at"], a["out"]).otherwise(fresh).alias("out"))
+    def part(segments: Column, x: Column) -> Column:
+        first = F.floor(x["done"] / SEGMENT).cast("int")
+        some = F.slice(segments, first + 1, F.floor((x["start"] - 1) / SEGMENT).cast("int") - first + 1)
+        return F.when(x["start"] > x["done"], F.substr(F.array_join(some, ""), x["done"] % SEGMENT + 1, x["start"] - x["done"])).otherwise("")
 
-    done = F.aggregate("secrets", acc, step)
-    text = F.when(F.size("secrets") > 0, F.concat(done["out"], F.substr(F.col(text_col), done["at"] + 1, whole))).otherwise(F.col(text_col))
-    return rows.withColumn(text_col, text).drop("secrets")
+    between = let(F.regexp_extract_all(text_col, F.lit(f"(?s).{{1,{SEGMENT}}}"), F.lit(0)), lambda segments: F.transform(F.concat(runs, last), lambda x: part(segments, x)))
+    return rows.withColumn(text_col, F.when(F.size("secrets") > 0, F.array_join(between, MASK)).otherwise(F.col(text_col))).drop("secrets")
 
 
 def joined(spans: Column) -> Column:
@@ -140,6 +168,8 @@ def joined(spans: Column) -> Column:
 
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The spans of every document; null and empty texts and a table without rows as find_secrets has them, repeated rows
+    each."""
     rows = find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "secrets")
     base = [r.kind for r in RULES if r.base]
     counted = lambda kind: F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long")
