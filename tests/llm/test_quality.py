@@ -70,3 +70,31 @@ def test_training_is_bounded(spark, made):
     docs = spark.createDataFrame([(i, t) for i, t, _, _ in made], "doc_id long, text string")
     model = quality.fit(docs, train_rows=20)
     assert len(model.weights) < 100_000 and set(model.accuracies) == set(quality.HEADS)
+
+
+def test_mined_words_against_brute_force(spark, made):
+    rows = [(text, int(toxic)) for _, text, _, toxic in made]
+    got = quality.mine(spark.createDataFrame(rows, "text string, toxic int").repartition(3))
+    bad, good = ([quality.words_of(t) for t, x in rows if x == k] for k in (1, 0))
+    count = lambda texts, w: sum(w in t for t in texts)
+    want = {w for w in set().union(*bad) if (k := count(bad, w)) >= max(quality.LEAST_ROWS, quality.SUPPORT * len(bad)) and k >= quality.PURITY * (k + count(good, w))}
+    assert got[0] == want and {f"grobzz{x}" for x in ("an", "en", "ix", "ol")} <= want and "grob" in got[1]
+
+
+def test_insults_that_are_not_listed_are_found(spark, made):
+    docs = spark.createDataFrame([(i, t) for i, t, _, _ in made], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(x)) for i, _, _, x in made if i % 2], "doc_id long, toxic int")
+    score = {r["doc_id"]: r["toxic_score"] for r in quality.classify(docs, labels).collect()}
+    unlisted = [i for i, t, _, toxic in made if toxic and not i % 2 and not quality.words_of(t) & quality.INSULTS]
+    assert unlisted and np.mean([score[i] > 0 for i in unlisted]) > 0.95
+
+
+def test_an_id_of_many_rows_and_a_very_long_text(spark, made):
+    rng = random.Random(3)
+    docs = spark.createDataFrame([(i, t) for i, t, _, _ in made], "doc_id long, text string")
+    many = spark.range(100_000).selectExpr("5L AS doc_id", "concat('the same id again ', id % 50) AS text")
+    long = spark.createDataFrame([(5000, prose(rng, 300_000)), (5001, prose(rng, 300_000) + " idiot moron scum" * 5000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(x)) for i, _, _, x in made if i % 2] * 3, "doc_id long, toxic int")
+    got = quality.classify(docs.union(many).union(long), labels)
+    assert got.count() == len(made) + 100_002 and got.where("doc_id = 5 AND NOT keep").count() == 0
+    assert {r["doc_id"]: r["keep"] for r in got.where("doc_id >= 5000").collect()} == {5000: True, 5001: False}

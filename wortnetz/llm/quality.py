@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import operator
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -90,20 +89,29 @@ def toxic_votes(words: set[str], mined: tuple[frozenset, frozenset]) -> list[int
     return [*(rule(d, not h) for d, h in zip(dense, hits)), rule(sum(h > 1 for h in hits) > 1 or hits[0], not any(hits))]
 
 
-def mine(rows: list[tuple[str, int]]) -> tuple[frozenset, frozenset]:
-    """(words, stems) that toxic rows among the labelled ones hold far more often than others. Of near copies one counts,
-    or the idle words of a large family would look toxic."""
-    rows = list({(kin(text), toxic): (text, toxic) for text, toxic in sorted(rows, reverse=True)}.values())
-    found: list[frozenset] = []
-    for part in (lambda ws: ws, lambda ws: {w[:k] for w in ws for k in STEMS if len(w) > k}):
-        bad, good, n = Counter(), Counter(), [0, 0]
-        for text, toxic in rows:
-            (bad if toxic else good).update(part(words_of(text)))
-            n[bool(toxic)] += 1
-        if not min(n):
-            return frozenset(), frozenset()
-        least = max(LEAST_ROWS, SUPPORT * n[1])
-        found.append(frozenset(w for w, k in bad.items() if k >= least and k >= PURITY * (k + good[w])))
+def mine(rows: DataFrame) -> tuple[frozenset, frozenset]:
+    """(words, stems) that toxic rows among the labelled ones (text, toxic) hold far more often than others. Of near copies
+    one counts, or the idle words of a large family would look toxic.
+
+    Words are counted in the executors; the driver gets the mined ones alone. Each is in a share of SUPPORT of the toxic rows
+    or more, so there are 1 / SUPPORT times as many as a toxic row has words on average at most.
+    """
+
+    @F.pandas_udf("kin long, words array<string>, stems array<string>")
+    def parts(texts: pd.Series) -> pd.DataFrame:
+        words = [words_of(t) for t in texts]
+        stems = [sorted({w[:k] for w in ws for k in STEMS if len(w) > k}) for ws in words]
+        return pd.DataFrame({"kin": [kin(t) for t in texts], "words": list(map(sorted, words)), "stems": stems})
+
+    held = rows.select("toxic", F.xxhash64("text").alias("key"), parts("text").alias("p")).select("toxic", "key", "p.*")
+    one = cut(held.groupBy("kin", "toxic").agg(F.min_by(F.struct("words", "stems"), "key").alias("p")).select("toxic", "p.*"))
+    n = {bool(r["toxic"]): r["n"] for r in one.groupBy((F.col("toxic") != 0).alias("toxic")).agg(F.count("*").alias("n")).collect()}
+    if len(n) < 2:
+        return frozenset(), frozenset()
+    least, found = max(LEAST_ROWS, SUPPORT * n[True]), []
+    for c in ("words", "stems"):
+        seen = one.select(F.explode(c).alias("w"), F.when(F.col("toxic") != 0, 1).otherwise(0).alias("bad")).groupBy("w").agg(F.sum("bad").alias("bad"), F.count("*").alias("n"))
+        found.append(frozenset(r["w"] for r in seen.where((F.col("bad") >= least) & (F.col("bad") >= PURITY * F.col("n"))).collect()))
     return found[0], found[1]
 
 
@@ -171,23 +179,36 @@ def features(text: str, mined: tuple[frozenset, frozenset]) -> list[int]:
     return sorted({*sign_features(text, words, mined), *(f for w in words for f in word_features(w))})
 
 
+def telling(sample: DataFrame, heads: tuple[str, ...] = HEADS) -> DataFrame:
+    """(slot, junk, toxic): for each slot of the sample (key, x, p_junk, p_toxic) whether it tells much about a head.
+
+    That is, the share of bad rows among its rows lies at least halfway from the overall share to one, beyond doubt.
+    """
+    total = sample.agg(*(F.avg(f"p_{h}").alias(f"all_{h}") for h in heads))  # one row
+    per = sample.select(F.explode("x").alias("slot"), *(f"p_{h}" for h in heads)).groupBy("slot").agg(F.count("*").alias("k"), *(F.sum(f"p_{h}").alias(f"bad_{h}") for h in heads))
+    per = per.where(F.col("k") >= LEAST_SEEN).join(F.broadcast(total))
+    k = F.col("k")
+
+    def tells(h: str) -> Column:
+        bad, share = F.col(f"bad_{h}"), F.col(f"all_{h}")
+        return (bad >= k * (1 + share) / 2) & (bad - k * share > DOUBT * F.sqrt(F.greatest(k * share * (1 - share), F.lit(1e-9))))
+
+    flags = per.select("slot", *(tells(h).alias(h) for h in heads))
+    return flags.where(" OR ".join(heads))
+
+
 def train(rows: list[tuple[np.ndarray, float]], passes: int = 10, rate: float = 0.3, shrink: float = 0.04) -> tuple[dict[int, float], float]:
     """Weights and intercept of a logistic regression on soft labels, by FTRL-proximal steps.
 
-    Only features that tell much take part: the share of bad rows among theirs lies at least halfway from the overall
-    share to one, beyond doubt; and their gradients must sum to ``shrink`` of the bad rows before they get a weight. A long
-    text holds thousands of words that tell little, whose small weights would add up.
+    rows: the telling features of each text, and its label. Their gradients must sum to ``shrink`` of the bad rows before
+    they get a weight. A long text holds thousands of words that tell little, whose small weights would add up.
     """
     if not rows:
         return {}, 0.0
     target, sizes = np.array([y for _, y in rows]), np.array([len(x) for x, _ in rows])
     slots, at = np.unique(np.concatenate([x for x, _ in rows]), return_inverse=True)
-    k, bad, share = np.bincount(at, minlength=len(slots)), np.bincount(at, np.repeat(target, sizes), minlength=len(slots)), target.mean()
-    used = np.flatnonzero((k >= LEAST_SEEN) & (bad >= k * (1 + share) / 2) & (bad - k * share > DOUBT * np.sqrt(np.maximum(k * share * (1 - share), 1e-9))))
-    new = np.full(len(slots), -1)
-    new[used] = np.arange(len(used))
-    n = len(used)
-    data = [np.append(x[x >= 0], n) for x in np.split(new[at], np.cumsum(sizes)[:-1])]
+    n = len(slots)
+    data = [np.append(x, n) for x in np.split(at, np.cumsum(sizes)[:-1])]
     z, g2, w = np.zeros(n + 1), np.full(n + 1, 1e-6), np.zeros(n + 1)
     order, least = np.random.default_rng(0), max(2.0, shrink * float(target.sum()))
     for _ in range(passes):
@@ -199,7 +220,7 @@ def train(rows: list[tuple[np.ndarray, float]], passes: int = 10, rate: float =
             g2[x] += g * g
             limit = np.where(x == n, 0.0, least)
             w[x] = np.where(np.abs(z[x]) <= limit, 0.0, -(z[x] - np.sign(z[x]) * limit) / ((1.0 + np.sqrt(g2[x])) / rate))
-    return {int(s): float(v) for s, v in zip(slots[used], w) if v}, float(w[n])
+    return {int(s): float(v) for s, v in zip(slots, w) if v}, float(w[n])
 
 
 class Model:
@@ -252,10 +273,10 @@ def fit(df: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id",
     rows = spread(df.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text")))
     mined: tuple[frozenset, frozenset] = (frozenset(), frozenset())
     if labels is not None:
-        # the sample of labels is bounded, so its join needs no shuffle of texts
+        # the sample of labels is bounded, so its join needs no shuffle of texts; of rows that repeat an id one is taken
         present = rows.select("id").distinct()
-        toxic = labels.where("toxic IS NOT NULL").select(F.col(id_col).cast("long").alias("id"), F.col("toxic").cast("int").alias("toxic")).join(present, "id", "left_semi").orderBy(F.xxhash64("id"), "toxic").limit(labelled_rows)
-        mined = mine([(r["text"], r["toxic"]) for r in rows.join(F.broadcast(toxic), "id").select("text", "toxic").collect()])
+        toxic = labels.where("toxic IS NOT NULL").select(F.col(id_col).cast("long").alias("id"), F.col("toxic").cast("int").alias("toxic")).join(present, "id", "left_semi").distinct().orderBy(F.xxhash64("id"), "toxic").limit(labelled_rows)
+        mined = mine(rows.join(F.broadcast(toxic), "id").groupBy("id", "toxic").agg(F.min("text").alias("text")))
     voted = cut(rows.select(F.xxhash64("text").alias("key"), vote_patterns(F.col("text"), mined).alias("v")).select("key", "v.*"))
     seen = {h: {r[h]: r["count"] for r in voted.groupBy(h).count().collect()} for h in HEADS}  # at most 3 ** labellers rows
     posterior, accuracies = {}, {}
@@ -274,10 +295,16 @@ def fit(df: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id",
     def slots(texts: pd.Series) -> pd.Series:
         return pd.Series([features(t, mined) for t in texts])
 
-    picked = rows.withColumn("key", F.xxhash64("text")).join(F.broadcast(chosen), "key").dropDuplicates(["key"])
-    sample = picked.select("key", slots("text").alias("x"), "p_junk", "p_toxic").toArrow().sort_by("key")
-    x = [s.values.to_numpy() for s in sample["x"]]
-    return Model({h: train(list(zip(x, sample[f"p_{h}"].to_pylist()))) for h in HEADS}, accuracies, mined)
+    picked = rows.withColumn("key", F.xxhash64("text")).join(F.broadcast(chosen), "key").groupBy("key").agg(F.min("text").alias("text"), *(F.first(f"p_{h}").alias(f"p_{h}") for h in HEADS))
+    sample = cut(picked.select("key", slots("text").alias("x"), *(f"p_{h}" for h in HEADS)))
+    used = telling(sample)
+    # only telling slots reach the driver: a bounded number of rows, each with a few of them
+    long = sample.select("key", F.explode("x").alias("slot")).join(used, "slot")
+    kept = long.groupBy("key").agg(*(F.array_sort(F.collect_list(F.when(F.col(h), F.col("slot")))).alias(h) for h in HEADS))
+    none = F.array().cast("array<int>")
+    got = sample.join(kept, "key", "left").select("key", *(F.coalesce(h, none).alias(h) for h in HEADS), *(f"p_{h}" for h in HEADS)).toArrow().sort_by("key")
+    heads = {h: train([(x.values.to_numpy().astype(np.int64), p) for x, p in zip(got[h], got[f"p_{h}"].to_pylist())]) for h in HEADS}
+    return Model(heads, accuracies, mined)
 
 
 def classify(df: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -293,5 +320,7 @@ def classify(df: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_
 
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both scores of every document and whether it stays; null and empty texts stay, repeated rows have equal scores, a table
+    without rows gives none. The labels serve to mine insults."""
     out = classify(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
     return out.select("doc_id", F.round("junk_score", 6).alias("junk_score"), F.round("toxic_score", 6).alias("toxic_score"), "keep")
