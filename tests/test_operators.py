@@ -279,3 +279,25 @@ def test_unified(spark):
     b = spark.createDataFrame([("w", "v")], "cue string, one string")
     out = ingest.unified({"nl": a, "en": b}, {"nl": {"trial_id": "id", "cue": "c", "response_1": "r"}, "en": {"cue": "upper(cue)", "response_1": "one", "response_2": "cast(NULL AS string)"}}, ["#Missing"])
     assert rows(out.select("trial_id", "cue", "response_1", "response_2", "dataset")) == [(1, "q", None, None, "nl"), (None, "W", "v", None, "en")]
+
+
+def test_components_with_hubs(spark, monkeypatch):
+    """Stars whose centre is the smallest, the largest and a middle vertex, chains and random links, few rows making a hub."""
+    import random
+
+    monkeypatch.setattr(graph, "HUB_ROWS", 4)
+    rng = random.Random(5)
+    links = [(0, k) for k in range(1, 300)] + [(k, 1299) for k in range(1000, 1299)] + [(k, 2150) for k in range(2000, 2300) if k != 2150]
+    links += [(3000 + k, 3001 + k) for k in range(60)] + [(rng.randrange(4000, 4300), rng.randrange(4000, 4300)) for _ in range(200)]
+    parent = {}
+
+    def root(v):
+        while parent.setdefault(v, v) != v:
+            v = parent[v]
+        return v
+
+    for a, b in links:
+        p, q = sorted((root(a), root(b)))
+        parent[q] = p
+    got = dict(rows(graph.weak_components(spark.createDataFrame(links, "src long, dst long").repartition(7))))
+    assert got == {v: root(v) for v in parent}

@@ -75,11 +75,29 @@ def mean_clustering(edges: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return local_clustering(edges, by).groupBy(*by).agg(F.avg("clustering").alias("avg_local_cc"))
 
 
+#: Rows of one vertex from which it may be a hub, and hubs at most: so many rows are broadcast in a round.
+HUB_ROWS, HUBS = 256, 4096
+
+
+def with_least(rows: DataFrame, key: str, value: str, total: int) -> DataFrame:
+    """rows with the column m: the least value of the key's rows; total: how many rows there are, or more.
+
+    A vertex with more than total / HUBS rows is a hub, so there are HUBS at most, whatever the graph: these are broadcast, and
+    no task gets a hub's rows; the others meet in a join on the key.
+    """
+    least = rows.groupBy(key).agg(F.min(value).alias("m"), F.count("*").alias("n"))
+    limit = max(HUB_ROWS, total // HUBS)
+    hubs = least.where(F.col("n") > limit).select(key, "m")
+    split = rows.join(F.broadcast(hubs), key, "left")
+    rest = split.where("m IS NULL").drop("m").join(least.where(F.col("n") <= limit).select(key, "m"), key)
+    return split.where("m IS NOT NULL").unionByName(rest)
+
+
 def star_links(links: DataFrame, rounds: int = 100) -> DataFrame:
     """(v, u): each vertex that is not the smallest of its component, with the smallest one; links: distinct, u < v.
 
     Alternating large-star and small-star rounds (Kiveris et al., 2014): a round is two minimum aggregates and two joins on
-    vertices, stored, and the number of rounds grows with the logarithm of the longest path.
+    vertices, stored, and the number of rounds grows with the logarithm of the longest path. Hubs do not land in one task.
     """
     e, before = stored(links), None
     for _ in range(rounds):
@@ -88,10 +106,8 @@ def star_links(links: DataFrame, rounds: int = 100) -> DataFrame:
             return e
         before = mark
         both = e.select("u", "v").union(e.select("v", "u"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select("v", F.col("m").alias("u")).where("u < v").distinct()
-        low = large.groupBy("v").agg(F.min("u").alias("m"))
-        small = large.join(low, "v").select(F.explode(F.array(F.struct(F.col("u").alias("v"), F.col("m").alias("u")), F.struct("v", F.col("m").alias("u")))).alias("e")).select("e.v", "e.u")
+        large = with_least(both, "u", "v", 2 * mark[0]).where("v > u").select("v", F.least("u", "m").alias("u")).where("u < v").distinct()
+        small = with_least(large, "v", "u", mark[0]).select(F.explode(F.array(F.struct(F.col("u").alias("v"), F.col("m").alias("u")), F.struct("v", F.col("m").alias("u")))).alias("e")).select("e.v", "e.u")
         e = stored(small.where("u < v").distinct())
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
