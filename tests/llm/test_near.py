@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from tests.llm.conftest import prose
@@ -123,3 +124,51 @@ def test_odd_rows(docs, no_docs):
     blank = {r["doc_id"] for r in docs.collect() if not (r["text"] or "").strip()}
     assert len({r["component_id"] for r in rows if r["doc_id"] in blank and r["doc_id"] is not None}) == 1
     assert near.keep_one(docs).columns == docs.columns and near.near_duplicates(no_docs).count() == 0
+
+
+def test_one_row_of_each_group_stays_whatever_its_id(spark):
+    rng = random.Random(9)
+    a, b, c = (prose(rng, 200) for _ in range(3))
+    rows = [(1, a), (None, a + " x"), (None, b), (None, b + " y"), (None, b), (7, c), (7, c + " z"), (7, a + " x y"), (8, c), (8, c), (None, None), (None, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for keep in (near.keep_one, simhash.keep_representatives):
+        got = [(r["doc_id"], r["text"]) for r in keep(df).collect()]
+        group = lambda t: next((k for k, x in enumerate((a, b, c)) if (t or "").startswith(x)), 3)
+        if keep is near.keep_one:
+            assert sorted((group(t), i) for i, t in got if i is not None) == [(0, 1), (2, 7)]
+            assert sorted(group(t) for i, t in got if i is None) == [1, 3]
+        assert len(set(got)) == len(got) and {(1, a), *((i, t) for i, t in got if i == 7)} <= set(got)
+    triples = spark.createDataFrame([(1, a), (None, a + " x"), (None, b)], "doc_id long, text string")
+    assert sorted(repr(tuple(r)) for r in near.keep_one(triples).collect()) == sorted(map(repr, [(1, a), (None, b)]))
+
+
+def test_a_refuted_link_of_a_triangle_leaves_the_others(spark, monkeypatch):
+    """Estimates that are too high put false links into the forest first; the true one they closed is verified later."""
+    rng = random.Random(1)
+    base = prose(rng, 400).split()
+    bs, cs = list(base), list(base)
+    for k in range(8):
+        bs[k * 6], cs[200 + k * 6] = f"bb{k}", f"cc{k}"
+    texts = [" ".join(x) for x in (bs, base, cs)]  # the ends are each near the middle alone
+    s = sets(texts)
+    assert similarity(s[0], s[1]) >= 0.8 and similarity(s[1], s[2]) >= 0.8 and similarity(s[0], s[2]) < 0.8
+    monkeypatch.setattr(near, "estimate", lambda a, b: np.arange(len(a))[::-1] / 10 + 0.5)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["component_id"] for r in near.near_duplicates(df).collect()} == {0}
+
+
+def test_the_index_of_operator_4_is_descended(spark):
+    rng = random.Random(12)
+    base = prose(rng, 900)
+    texts = [base, base + " one more", prose(rng, 900)]
+    prints = near.prints(pd.Series(texts))
+    entries = spark.createDataFrame([(int(h), int(f)) for h, f in zip(prints["set_hash"], prints["fp"])], "set_hash long, fp long")
+    assert {frozenset(r) for r in near.indexed(entries).collect()} == {frozenset(int(h) for h in prints["set_hash"][:2])}
+
+
+def test_very_long_texts(spark):
+    text = prose(random.Random(4), 250_000)  # over 1 MB
+    rows = [(1, text), (2, text + " and a little more"), (3, prose(random.Random(5), 250_000))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {tuple(r) for r in near.near_duplicates(df).collect()} == {(1, 1), (2, 1), (3, 3)}
+    assert {r["doc_id"]: r["component_id"] for r in simhash.simhash_dedup(df).collect()}[2] == 1

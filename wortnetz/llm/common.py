@@ -11,7 +11,7 @@ from ..operators.graph import star_links
 from ..session import shared_dir
 from ..session import stored as cut
 
-__all__ = ["bound_batches", "connected_components", "cut", "shared_dir", "shared_path", "spread", "table", "text_of"]
+__all__ = ["bound_batches", "connected_components", "cut", "keep_rows", "row_key", "shared_dir", "shared_path", "spread", "table", "text_of"]
 
 #: Rows in one Arrow batch that goes to Python; with the byte limit below, a worker's memory stays bounded.
 BATCH_ROWS = 1024
@@ -43,11 +43,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def row_key(id_col: str, text_col: str) -> Column:
+    """A hash by which a row is found again: ids may be null, or repeat with other texts."""
+    return F.xxhash64(F.col(id_col).cast("long"), text_of(text_col))
+
+
+def keep_rows(df: DataFrame, kept: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of df, with all columns, whose id and row_key kept (id, row_key) lists; of rows that repeat id and text one."""
+    keys = ["__key", "__id", "__no"]
+    ids = lambda c: {"__id": F.coalesce(F.col(c).cast("long"), F.lit(0)), "__no": F.col(c).isNull()}
+    wanted = kept.withColumns({"__key": F.col("row_key"), **ids("id")}).select(*keys).distinct()
+    return df.withColumns({"__key": row_key(id_col, text_col), **ids(id_col)}).join(wanted, keys, "left_semi").dropDuplicates(keys).drop(*keys)
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for each node of the undirected edges; component is the smallest node reachable.
 
-    Null ends and loops are dropped; no edges give no rows. Links, not members, decide the work, and a component of any
-    size is spread over all executors.
+    Null ends and loops are dropped; no edges give no rows. Links, not members, decide the work; hubs, of which there is a
+    bounded number, are joined by broadcast, so a component of any size is spread over all executors.
     """
     ends = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
     e = star_links(ends.select(F.greatest(a, b).alias("v"), F.least(a, b).alias("u")).distinct())

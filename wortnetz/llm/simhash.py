@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bound_batches, connected_components, cut, spread, table, text_of
+from .common import bound_batches, connected_components, cut, keep_rows, row_key, spread, table, text_of
 
 #: The contract's shingles for the query; operators and the pipeline on word shingles take five words.
 SEED = 42
@@ -232,24 +232,32 @@ def simhash_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     share one fingerprint, so a group of copies of any size is one entry of the index. Null ids take part, but a group
     has a null component_id only if all its ids are null. An empty table gives no rows. Other columns are not read.
     """
+    prints, groups = _grouped(df, id_col, text_col, words)
+    return prints.join(groups, "fp").select(F.col("id").alias(id_col), "fp", F.col("rep.id").alias("component_id"))
+
+
+def _grouped(df: DataFrame, id_col: str, text_col: str, words: int) -> tuple[DataFrame, DataFrame]:
+    """(id, row_key, fp) of all rows and (fp, rep) of all fingerprints; rep (no_id, id, row_key) is the row that stands for the
+    group: with the smallest id, null ids last, then with the smallest row_key."""
     bound_batches(df.sparkSession)
-    rows = spread(df.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).alias("__text")))
-    prints = cut(rows.select(id_col, fingerprints(F.col("__text"), words).alias("fp")))
-    classes = cut(prints.groupBy("fp").agg(F.min(id_col).alias("rep")))
+    rows = spread(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")))
+    prints = cut(rows.select("id", row_key("id", "text").alias("row_key"), fingerprints(F.col("text"), words).alias("fp")))
+    classes = cut(prints.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row_key")).alias("rep")))
     found = cut(connected_components(links(classes.select("fp"))).select(F.col("node").alias("fp"), "component"))
     roots = classes.join(found, "fp", "left").select("fp", "rep", F.coalesce("component", "fp").alias("root"))
-    lows = roots.groupBy("root").agg(F.min("rep").alias("component_id"))
+    lows = roots.groupBy("root").agg(F.min("rep").alias("rep"))
     # stored, so that the join deals out both sides anew and Spark can split a fingerprint that many rows share
-    final = cut(roots.select("fp", "root").join(lows, "root").select("fp", "component_id"))
-    return prints.join(final, "fp").select(id_col, "fp", "component_id")
+    return prints, cut(roots.select("fp", "root").join(lows, "root").select("fp", "rep"))
 
 
 def keep_representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5) -> DataFrame:
-    """The rows of df whose id is their group's component_id, with all columns; of groups without any id, all rows."""
-    kept = simhash_dedup(df, id_col, text_col, words).where(F.col("component_id").isNull() | (F.col(id_col) == F.col("component_id"))).select(F.col(id_col).alias("__keep"))
-    return df.join(kept.distinct(), df[id_col].eqNullSafe(F.col("__keep")), "left_semi")
+    """One row of each group, with all columns: that with the smallest id; null ids come last, and of rows that share the id
+    one stays, whether their texts differ or not."""
+    return keep_rows(df, _grouped(df, id_col, text_col, words)[1].select("rep.id", "rep.row_key"), id_col, text_col)
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint of three-word shingles and its group; nulls, empty texts, repeated rows and a table without
+    rows as simhash_dedup has them."""
     out = simhash_dedup(table(spark, sf_dir, "documents"), words=3)
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
