@@ -20,7 +20,7 @@ MAX_BITS = 2
 #: The index is kept in MAX_BITS + 1 rotations; links differ in none of the leading ROOT_BITS of one of them at least.
 ROOT_BITS = 21
 #: Fingerprints in one block (a unit of work), and children of an index node.
-BLOCK, FANOUT = 1024, 16
+BLOCK, FANOUT = 4096, 16
 #: Shingles hashed at a time, whatever the length of the text.
 CHUNK = 1 << 16
 
@@ -174,31 +174,44 @@ def _forest(n: int, links: list[tuple[np.ndarray, np.ndarray]], report: bool, pa
     return parent, used
 
 
-def _search(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Links of block pairs. Of many links among the same trees one is returned: the groups are the same, and a group of
-    n fingerprints gives about n rows instead of n * n."""
+def _found(t: int, both: np.ndarray, used: list[tuple[int, int]]) -> bytes:
+    """Links as pairs of prints, turned back from rotation t."""
+    p = np.array(used, np.int64).reshape(-1, 2)
+    f = (both << np.uint64(64 - ROOT_BITS * t)) | (both >> np.uint64(ROOT_BITS * t)) if t else both
+    return np.stack([f[p[:, 0]], f[p[:, 1]]], axis=1).tobytes()
+
+
+def _within(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Per block the links among its prints that join two of its groups, and the group of each print."""
     for rows in parts:
-        out = []
-        for t, a, b in zip(rows["t"], rows["xs"], rows["ys"]):
+        found, labels = [], []
+        for t, a in zip(rows["t"], rows["xs"]):
             x = np.frombuffer(a, np.uint64)
-            i, j = close_pairs(x, x, same=True)
-            if b is None:
-                used, both = _forest(len(x), [(i, j)], True)[1], x
-            else:
-                y = np.frombuffer(b, np.uint64)
-                u, v = close_pairs(x, y)
-                if not len(u):
-                    continue
-                k, m = close_pairs(y, y, same=True)
-                parent, _ = _forest(len(x) + len(y), [(i, j), (k + len(x), m + len(x))], False)
-                used, both = _forest(0, [(u, v + len(x))], True, parent)[1], np.concatenate([x, y])
-            if used:
-                back = np.uint64(64 - ROOT_BITS * t) if t else np.uint64(0)
-                f = (both << back) | (both >> np.uint64(ROOT_BITS * t)) if t else both
-                p = np.array(used)
-                out.append(np.stack([f[p[:, 0]], f[p[:, 1]]], axis=1).view(np.int64))
-        if out:
-            yield pd.DataFrame(np.concatenate(out), columns=["a", "b"])
+            parent, used = _forest(len(x), [close_pairs(x, x, same=True)], True)
+            found.append(_found(t, x, used))
+            labels.append(np.array(parent, np.int32).tobytes())
+        yield rows.assign(found=found, labels=labels)
+
+
+def _across(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Links of block pairs. Of many links between the same groups one is returned: a group of n prints gives about n rows
+    instead of n * n."""
+    for rows in parts:
+        out = []
+        for t, a, b, left, right in zip(rows["t"], rows["xs"], rows["ys"], rows["labels"], rows["labels_b"]):
+            x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+            u, v = close_pairs(x, y)
+            if len(u):
+                parent = [*np.frombuffer(left, np.int32).tolist(), *(np.frombuffer(right, np.int32) + len(x)).tolist()]
+                used = _forest(0, [(u, v + len(x))], True, parent)[1]
+                if used:
+                    out.append(_found(t, np.concatenate([x, y]), used))
+        yield pd.DataFrame({"found": out})
+
+
+def _pairs(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for rows in parts:
+        yield pd.DataFrame(np.frombuffer(b"".join(rows["found"]), np.int64).reshape(-1, 2), columns=["a", "b"])
 
 
 def links(prints: DataFrame, column: str = "fp") -> DataFrame:
@@ -206,7 +219,9 @@ def links(prints: DataFrame, column: str = "fp") -> DataFrame:
 
     prints holds distinct fingerprints. Two of them that differ in MAX_BITS bits share the leading ROOT_BITS in one of
     MAX_BITS + 1 rotations, so the upper nodes of the index are these patterns and roots that differ never meet. Within
-    a root, rows in Gray order form blocks; block pairs over the bound fall by their shared bits, the rest are searched.
+    a root, rows in Gray order form blocks of BLOCK prints at most, each searched once; of the block pairs of a root those
+    over the bound fall by their shared bits, the others are searched with the groups found inside them at hand. A root of k
+    blocks has up to k * k / 2 pairs, and each ships two blocks of 50 KB at most.
     """
     spark = prints.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -215,14 +230,14 @@ def links(prints: DataFrame, column: str = "fp") -> DataFrame:
     rows = prints.select(F.explode(tables).alias("e")).select("e.t", "e.x").select("t", F.shiftrightunsigned(x, 64 - ROOT_BITS).alias("cell"), "x", gray_rank(x).alias("rank"))
     rows = rows.repartitionByRange(n, "t", "rank").sortWithinPartitions("t", "rank")
     blocks = cut(rows.mapInPandas(_blocks, "t int, cell long, head long, n int, bits long, mask long, xs binary"))
-    alone = blocks.where("n > 1").select("t", "xs", F.lit(None).cast("binary").alias("ys"))
-    heads = blocks.select("t", "cell", "head", "bits", "mask", "xs")
-    more = blocks.groupBy("t", "cell").agg(F.count("*").alias("k")).where("k > 1").select("t", "cell")
-    heads = heads.join(more, ["t", "cell"], "left_semi")
-    other = heads.select("t", "cell", F.col("head").alias("head_b"), F.col("bits").alias("bits_b"), F.col("mask").alias("mask_b"), F.col("xs").alias("ys"))
+    inner = cut(blocks.repartition(n).mapInPandas(_within, "t int, cell long, head long, n int, bits long, mask long, xs binary, found binary, labels binary"))
+    more = inner.groupBy("t", "cell").agg(F.count("*").alias("k")).where("k > 1").select("t", "cell")
+    heads = inner.select("t", "cell", "head", "bits", "mask", "xs", "labels").join(more, ["t", "cell"], "left_semi")
+    other = heads.select("t", "cell", *(F.col(c).alias(f"{c}_b") for c in ("head", "bits", "mask", "labels")), F.col("xs").alias("ys"))
     near = F.bit_count(F.col("bits").bitwiseXOR(F.col("bits_b")).bitwiseAND(F.col("mask")).bitwiseAND(F.col("mask_b"))) <= MAX_BITS
-    pairs = heads.join(other, ["t", "cell"]).where((F.col("head") < F.col("head_b")) & near).select("t", "xs", "ys")
-    return alone.union(pairs).repartition(n).mapInPandas(_search, "a long, b long")
+    pairs = heads.join(other, ["t", "cell"]).where((F.col("head") < F.col("head_b")) & near).select("t", "xs", "ys", "labels", "labels_b")
+    found = pairs.repartition(n).mapInPandas(_across, "found binary")
+    return inner.where(F.length("found") > 0).select("found").union(found).mapInPandas(_pairs, "a long, b long")
 
 
 def simhash_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5) -> DataFrame:
