@@ -12,11 +12,10 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _trials(spark: SparkSession, sf_dir: str, word: str, every: int = 1) -> DataFrame:
+def _trials(spark: SparkSession, sf_dir: str, word: str) -> DataFrame:
     """Orders of two lines or more: the first line's part is the cue, the next three are the answers. An order has a few
     lines, which are gathered in one aggregation."""
     lines = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
-    lines = lines.where(F.col("l_orderkey") % every == 0) if every > 1 else lines
     if word == "p_name":
         lines = lines.join(load(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name"), "l_partkey")
     else:
@@ -36,11 +35,6 @@ def trials_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _trials(spark, sf_dir, "p_partkey")
 
 
-def trials_sparse(spark: SparkSession, sf_dir: str, every: int = 10) -> DataFrame:
-    """The part-key trials of every tenth order: a graph of several components."""
-    return _trials(spark, sf_dir, "p_partkey", every)
-
-
 def answers(trials: DataFrame) -> DataFrame:
     return wide_to_long(trials, ["response"], (1, 2, 3))
 
@@ -78,15 +72,13 @@ TRIAL_BODY = """
   SELECT o_orderkey AS trial_id, o_custkey AS participant_id, cue, response_1, response_2, response_3, o_orderpriority AS section, o_orderdate AS created_at
   FROM orders JOIN (
     SELECT l_orderkey, max(CASE WHEN pos = 1 THEN w END) AS cue, max(CASE WHEN pos = 2 THEN w END) AS response_1, max(CASE WHEN pos = 3 THEN w END) AS response_2, max(CASE WHEN pos = 4 THEN w END) AS response_3
-    FROM (SELECT l_orderkey, {word} AS w, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS pos FROM lineitem JOIN part ON l_partkey = p_partkey {where}) x
+    FROM (SELECT l_orderkey, {word} AS w, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS pos FROM lineitem JOIN part ON l_partkey = p_partkey) x
     GROUP BY l_orderkey HAVING count(*) > 1) y ON o_orderkey = l_orderkey"""
 CTES = {
-    "trials": TRIAL_BODY.format(word="p_name", where=""),
-    "trials_key": TRIAL_BODY.format(word="p_partkey", where=""),
-    "trials_sparse": TRIAL_BODY.format(word="p_partkey", where="WHERE l_orderkey % 10 = 0"),
+    "trials": TRIAL_BODY.format(word="p_name"),
+    "trials_key": TRIAL_BODY.format(word="p_partkey"),
     "answers": "SELECT trial_id, participant_id, cue, section, created_at, position, response FROM trials CROSS JOIN LATERAL (VALUES (1, response_1), (2, response_2), (3, response_3)) v(position, response)",
     "answers_key": "SELECT trial_id, section, cue, position, response FROM trials_key CROSS JOIN LATERAL (VALUES (1, response_1), (2, response_2), (3, response_3)) v(position, response)",
-    "answers_sparse": "SELECT trial_id, cue, position, response FROM trials_sparse CROSS JOIN LATERAL (VALUES (1, response_1), (2, response_2), (3, response_3)) v(position, response)",
     "participants": """SELECT c_custkey AS id_p, c_mktsegment AS gender, n_name AS native_language, r_name AS region, c_acctbal / 100 AS latitude, c_acctbal / 50 AS longitude,
   CAST(16 + c_custkey % 84 AS INTEGER) AS age, CAST(c_custkey % 8 AS INTEGER) AS education
   FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""",
@@ -97,11 +89,10 @@ CTES = {
     "counts": "SELECT cue, response, count(*) AS n FROM answers WHERE cue IS NOT NULL AND response IS NOT NULL GROUP BY cue, response",
     "edges": "SELECT cue AS src, response AS dst, count(*) AS weight FROM answers WHERE response IN (SELECT cue FROM answers WHERE cue IS NOT NULL) GROUP BY 1, 2",
     "edges_key": "SELECT cue AS src, response AS dst, count(*) AS weight FROM answers_key WHERE response IN (SELECT cue FROM answers_key WHERE cue IS NOT NULL) GROUP BY 1, 2",
-    "edges_sparse": "SELECT cue AS src, response AS dst, count(*) AS weight FROM answers_sparse WHERE response IN (SELECT cue FROM answers_sparse WHERE cue IS NOT NULL) GROUP BY 1, 2",
 }
 _NEEDS = {
-    "answers": ["trials"], "answers_key": ["trials_key"], "answers_sparse": ["trials_sparse"], "words": ["words_raw"], "dict": ["words"],
-    "counts": ["answers"], "edges": ["answers"], "edges_key": ["answers_key"], "edges_sparse": ["answers_sparse"],
+    "answers": ["trials"], "answers_key": ["trials_key"], "words": ["words_raw"], "dict": ["words"],
+    "counts": ["answers"], "edges": ["answers"], "edges_key": ["answers_key"],
 }
 
 

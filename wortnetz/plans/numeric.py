@@ -11,7 +11,7 @@ from ..session import stored
 from ..sources import readers, writers
 from ..sources.enrich import LookupEnricher
 from ..streaming import counts as streaming
-from .fixtures import answers, load, norms, r6, sql, trials, trials_key, trials_sparse, words
+from .fixtures import answers, load, norms, r6, sql, trials, trials_key, words
 
 
 def _rounded(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -20,7 +20,7 @@ def _rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 
 def norms_full_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     n, e = norms(spark, sf_dir), load(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "label")
-    long = load(spark, sf_dir, "documents").where("doc_id % 3 = 0").select("doc_id", F.length("text").cast("double").alias("length"))
+    long = load(spark, sf_dir, "documents").select("doc_id", F.length("text").cast("double").alias("length"))
     joined = n.select("doc_id", "quality", "toxic").join(e, ["doc_id"], "full").join(long, ["doc_id"], "full")
     total = reshape.row_sum([f"__{c}" for c in ("quality", "toxic", "label", "length")])
     there = {f"__{c}": F.col(c).isNotNull().cast("int") for c in ("quality", "toxic", "label", "length")}
@@ -71,10 +71,15 @@ def cosine_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(matrix.cosine_pairs(_coo(spark, sf_dir)))
 
 
+def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(a, b): the names of parts with neighbouring keys, as pairs that are asked for."""
+    p = load(spark, sf_dir, "part").select("p_partkey", "p_name")
+    after = p.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("p_name").alias("b"))
+    return p.withColumnRenamed("p_name", "a").join(after, "p_partkey").select("a", "b").distinct()
+
+
 def cosine_requested(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = load(spark, sf_dir, "part").select("p_name").distinct()
-    pairs = names.select(F.col("p_name").alias("a")).join(names.orderBy("p_name").limit(3).select(F.col("p_name").alias("b")), F.col("a") < F.col("b"))
-    return _rounded(matrix.cosine_pairs(_coo(spark, sf_dir), pairs))
+    return _rounded(matrix.cosine_pairs(_coo(spark, sf_dir), _asked(spark, sf_dir)))
 
 
 def ppmi_joint(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,30 +103,27 @@ def matrix_density(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def katz_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(matrix.katz(matrix.normalize_rows(_coo(spark, sf_dir)), 0.25, tol=1e-13, method="series"))
+    return _rounded(matrix.katz(matrix.normalize_rows(_coo(spark, sf_dir)), 0.75, tol=1e-13, method="series"))
 
 
 def katz_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(matrix.katz(matrix.normalize_rows(_coo(spark, sf_dir)), 0.25, method="dense"))
+    return _rounded(matrix.katz(matrix.normalize_rows(_coo(spark, sf_dir)), 0.75, method="dense"))
 
 
 def spreading_activation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = load(spark, sf_dir, "part").select("p_name").distinct()
-    pairs = names.select(F.col("p_name").alias("a")).join(names.orderBy("p_name").limit(3).select(F.col("p_name").alias("b")), F.col("a") < F.col("b"))
-    return _rounded(matrix.spreading_activation(_coo(spark, sf_dir), pairs))
+    return _rounded(matrix.spreading_activation(_coo(spark, sf_dir), _asked(spark, sf_dir)))
 
 
 def svd_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cosines of words in an embedding of eight dimensions: they do not depend on signs."""
-    e = matrix.svd_embedding(matrix.ppmi_joint(_coo(spark, sf_dir)), 8)
-    unit = matrix.l2_normalize(e)
-    first = unit.orderBy("word").limit(3).select(F.col("word").alias("b"), F.col("vec").alias("y"))
-    return _rounded(unit.select(F.col("word").alias("a"), F.col("vec").alias("x")).join(F.broadcast(first), F.col("a") > F.col("b")).select("a", "b", matrix.dot("x", "y").alias("cosine")))
+    """Cosines, which do not depend on signs, of all pairs asked for, in an embedding of 300 dimensions or the rank."""
+    unit = stored(matrix.l2_normalize(matrix.svd_embedding(matrix.ppmi_joint(_coo(spark, sf_dir)), 300)))
+    end = lambda c, v: unit.select(F.col("word").alias(c), F.col("vec").alias(v))
+    return _rounded(_asked(spark, sf_dir).join(end("a", "x"), "a").join(end("b", "y"), "b").select("a", "b", matrix.dot("x", "y").alias("cosine")))
 
 
 def l2_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = load(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double") * 3).alias("vec"))
-    return matrix.l2_normalize(e).select("vec_id", F.round(F.get("vec", F.lit(0)), 6).alias("first"), F.round(F.get("vec", F.lit(63)), 6).alias("last"))
+    return matrix.l2_normalize(e).select("vec_id", F.posexplode("vec").alias("k", "x")).withColumn("x", r6(F.col("x")))
 
 
 def embedding_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -165,15 +167,15 @@ def clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def components_weak(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.weak_components(graph.infer_edges(answers(trials_sparse(spark, sf_dir))))
+    return graph.weak_components(graph.infer_edges(answers(trials_key(spark, sf_dir))))
 
 
 def components_strong(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.strong_components(graph.infer_edges(answers(trials_sparse(spark, sf_dir))))
+    return graph.strong_components(graph.infer_edges(answers(trials_key(spark, sf_dir))))
 
 
 def largest_component(spark: SparkSession, sf_dir: str) -> DataFrame:
-    inside, _, _ = graph.largest_component(graph.infer_edges(answers(trials_sparse(spark, sf_dir))), "strong")
+    inside, _, _ = graph.largest_component(graph.infer_edges(answers(trials_key(spark, sf_dir))), "strong")
     return inside
 
 
@@ -235,11 +237,10 @@ def vector_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A vector file with a header line, scanned for some words whose case may differ."""
     path = _out(spark, "vectors")
     e = load(spark, sf_dir, "embeddings")
-    lines = e.select(F.concat_ws(" ", F.concat(F.lit("Word"), F.col("vec_id")), F.array_join(F.transform(F.slice("embedding", 1, 4), lambda x: F.format_string("%.4f", x)), " ")).alias("value"))
-    lines.union(spark.createDataFrame([("500 4",)], "value string")).write.text(path)
-    wanted = e.where("vec_id % 7 = 0").select(F.concat(F.lit("wORD"), F.col("vec_id")).alias("word"))
-    v = readers.read_vectors(spark, path, wanted)
-    return v.select("word", F.round(F.get("vec", F.lit(0)), 4).alias("first"), F.size("vec").alias("size"))
+    lines = e.select(F.concat_ws(" ", F.concat(F.lit("Word"), F.col("vec_id")), F.array_join(F.transform("embedding", lambda x: F.format_string("%.4f", x)), " ")).alias("value"))
+    lines.union(spark.createDataFrame([("500 64",)], "value string")).write.text(path)
+    v = readers.read_vectors(spark, path, e.select(F.concat(F.lit("wORD"), F.col("vec_id")).alias("word")))
+    return v.select("word", F.posexplode("vec").alias("k", "x"))
 
 
 def chunked_export(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -253,7 +254,7 @@ def chunked_export(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def title_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = words(spark, sf_dir).select("word").distinct()
-    known = w.where(F.length("word") % 2 == 0).select("word", F.upper("word").alias("title")).where("NOT contains(word, 'ß')")
+    known = w.where(F.length("word") % 2 == 0).select("word", F.upper("word").alias("title"))
     return LookupEnricher(known).enrich(w, ["word"])
 
 
@@ -278,14 +279,17 @@ QUERIES = {f.__name__: f for f in (norms_full_join, rating_rescale, pearson_by_g
 _XY = "x AS (SELECT lang, log10(n_chars) AS x, CAST(quality + doc_id % 7 AS DOUBLE) AS y FROM norms)"
 _R = "SELECT lang, count(*) AS n, corr(x, y) AS r FROM x GROUP BY lang"
 _NORM = "g AS (SELECT cue AS i, response AS j, n / sum(n) OVER (PARTITION BY cue) AS v FROM counts)"
-_KATZ = _NORM + ", w AS (SELECT DISTINCT cue AS i FROM counts UNION SELECT DISTINCT response FROM counts), t0 AS (SELECT i, i AS j, CAST(1 AS DOUBLE) AS v FROM w)" + "".join(f", t{k} AS (SELECT a.i, g.j, sum(a.v * g.v * 0.25) AS v FROM t{k - 1} a JOIN g ON a.j = g.i GROUP BY 1, 2)" for k in range(1, 17))
-_K = "SELECT i AS row_id, j AS col_id, round(sum(v), 6) AS value FROM (" + " UNION ALL ".join(f"SELECT * FROM t{k}" for k in range(17)) + ") x GROUP BY 1, 2"
+_KATZ = _NORM + ", p0 AS MATERIALIZED (SELECT i, j, v * 0.75 AS v FROM g), w AS (SELECT i FROM p0 UNION SELECT j FROM p0), s0 AS MATERIALIZED (SELECT i, j, sum(v) AS v FROM (SELECT i, i AS j, CAST(1 AS DOUBLE) AS v FROM w UNION ALL SELECT * FROM p0) x GROUP BY 1, 2)" + "".join(
+    f", p{k} AS MATERIALIZED (SELECT a.i, b.j, sum(a.v * b.v) AS v FROM p{k - 1} a JOIN p{k - 1} b ON a.j = b.i GROUP BY 1, 2), s{k} AS MATERIALIZED (SELECT i, j, sum(v) AS v FROM (SELECT * FROM s{k - 1} UNION ALL SELECT a.i, b.j, sum(a.v * b.v) FROM p{k} a JOIN s{k - 1} b ON a.j = b.i GROUP BY 1, 2) x GROUP BY 1, 2)"
+    for k in range(1, 8)
+)
+_K = "SELECT i AS row_id, j AS col_id, round(v, 6) AS value FROM s7"
 _COS = "u AS (SELECT cue AS i, response AS k, n / sqrt(sum(n * n) OVER (PARTITION BY cue)) AS v FROM counts)"
 _SIMPLE = "e AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM edges_key WHERE src <> dst), n AS (SELECT a AS v, b AS w FROM e UNION ALL SELECT b, a FROM e), d AS (SELECT v, count(*) AS degree FROM n GROUP BY v), tr AS (SELECT x.v, count(*) AS triangles FROM n x JOIN n y ON x.v = y.v AND x.w < y.w JOIN e ON e.a = x.w AND e.b = y.w GROUP BY x.v), vs AS (SELECT src AS id FROM edges_key UNION SELECT dst FROM edges_key)"
 _ARCS = "len AS (SELECT src, dst, (SELECT max(weight) + 1 FROM edges) - weight AS l FROM edges WHERE src <> dst), vs AS (SELECT src AS id FROM edges UNION SELECT dst FROM edges), arc AS (SELECT src, dst, min(l) AS l FROM (SELECT * FROM len UNION ALL SELECT dst, src, l FROM len) x GROUP BY 1, 2), d0 AS (SELECT a.id AS a, b.id AS b, CASE WHEN a.id = b.id THEN 0 ELSE arc.l END AS d FROM vs a CROSS JOIN vs b LEFT JOIN arc ON src = a.id AND dst = b.id)" + "".join(f", d{k} AS (SELECT x.a, y.b, min(x.d + y.d) AS d FROM d{k - 1} x JOIN d{k - 1} y ON x.b = y.a WHERE x.d IS NOT NULL AND y.d IS NOT NULL GROUP BY 1, 2)" for k in range(1, 7))
 _BY_SECTION = "s AS (SELECT section, cue AS src, response AS dst, count(*) AS weight FROM answers WHERE response IS NOT NULL AND (section, response) IN (SELECT (section, cue) FROM answers) GROUP BY 1, 2, 3), e AS (SELECT DISTINCT section, least(src, dst) AS a, greatest(src, dst) AS b FROM s WHERE src <> dst), n AS (SELECT section, a AS v, b AS w FROM e UNION ALL SELECT section, b, a FROM e), d AS (SELECT section, v, count(*) AS degree FROM n GROUP BY 1, 2), tr AS (SELECT x.section, x.v, count(*) AS t FROM n x JOIN n y ON x.section = y.section AND x.v = y.v AND x.w < y.w JOIN e ON e.section = x.section AND e.a = x.w AND e.b = y.w GROUP BY 1, 2), cc AS (SELECT section, avg(2 * coalesce(t, 0) / (degree * (degree - 1))) AS cc FROM d LEFT JOIN tr USING (section, v) WHERE degree > 1 GROUP BY 1), vs AS (SELECT section, src AS id FROM s UNION SELECT section, dst FROM s), k AS (SELECT section, count(*) AS n_nodes FROM vs GROUP BY 1), m AS (SELECT section, n_nodes, count(*) AS n_edges, 2 * sum(weight) / n_nodes AS st, cc FROM s JOIN k USING (section) JOIN cc USING (section) GROUP BY section, n_nodes, cc)"
 SQL = {
-    "norms_full_join": sql("norms", "SELECT doc_id % 50 AS g, round(avg(quality), 6) AS quality, round(avg(toxic), 6) AS toxic, round(avg(label), 6) AS label, round(avg(length), 6) AS length, count(quality) + count(toxic) + count(label) + count(length) AS n_there FROM norms FULL JOIN (SELECT vec_id AS doc_id, label FROM embeddings) e USING (doc_id) FULL JOIN (SELECT doc_id, CAST(length(text) AS DOUBLE) AS length FROM documents WHERE doc_id % 3 = 0) l USING (doc_id) GROUP BY 1"),
+    "norms_full_join": sql("norms", "SELECT doc_id % 50 AS g, round(avg(quality), 6) AS quality, round(avg(toxic), 6) AS toxic, round(avg(label), 6) AS label, round(avg(length), 6) AS length, count(quality) + count(toxic) + count(label) + count(length) AS n_there FROM norms FULL JOIN (SELECT vec_id AS doc_id, label FROM embeddings) e USING (doc_id) FULL JOIN (SELECT doc_id, CAST(length(text) AS DOUBLE) AS length FROM documents) l USING (doc_id) GROUP BY 1"),
     "rating_rescale": sql("norms", "SELECT doc_id, ['ten', 'four', 'twenty'][doc_id % 3 + 1] AS source, round(CASE doc_id % 3 WHEN 0 THEN n_chars % 20 / 10 WHEN 1 THEN n_chars % 20 / 4 ELSE (n_chars % 20 - 1) / 19 END, 6) AS rating FROM norms"),
     "pearson_by_group": sql("norms", f"SELECT lang, n, round(r, 6) AS r, round(tanh(atanh(r) - 1.959963984540054 / sqrt(n - 3)), 6) AS ci_lower, round(tanh(atanh(r) + 1.959963984540054 / sqrt(n - 3)), 6) AS ci_upper FROM ({_R}) y", more=_XY),
     "steiger_test": sql("norms", "SELECT lang, round(jk, 6) AS r_jk, round(jh, 6) AS r_jh, round(kh, 6) AS r_kh, n, round((atanh(jk) - atanh(jh)) * sqrt(n - 3) / sqrt(2 - 2 * ((kh * (1 - 2 * m * m) - m * m / 2 * (1 - 2 * m * m - kh * kh)) / pow(1 - m * m, 2))), 6) AS z FROM (SELECT *, (jk + jh) / 2 AS m FROM (SELECT lang, corr(j, k) AS jk, corr(j, h) AS jh, corr(k, h) AS kh, count(j) AS n FROM (SELECT lang, log10(n_chars) AS j, CAST(quality + doc_id % 7 AS DOUBLE) AS k, CAST(toxic * 2 + doc_id % 5 AS DOUBLE) AS h FROM norms) a GROUP BY lang) b) c"),
@@ -293,7 +297,7 @@ SQL = {
     "perc_increase": "SELECT event_type, CAST(day AS INTEGER) AS day, n, round(n / min(n) OVER (PARTITION BY event_type) - 1, 6) AS increase FROM (SELECT event_type, dayofmonth(ts) AS day, count(*) AS n FROM events GROUP BY 1, 2) x",
     "kernel_density": "SELECT round(x, 6) AS x, round(sum(n * exp(-pow((x - b * 0.5) / 4, 2) / 2)) / ((SELECT count(value) FROM events) * 4 * 2.5066282746310002), 6) AS density FROM (SELECT round(value / 0.5) AS b, count(*) AS n FROM events WHERE value IS NOT NULL GROUP BY 1) c CROSS JOIN (SELECT i * 5.0 AS x FROM range(0, 21) r(i)) g GROUP BY x",
     "cosine_counts": sql("counts", "SELECT x.i AS a, y.i AS b, round(sum(x.v * y.v), 6) AS cosine FROM u x JOIN u y ON x.k = y.k AND x.i < y.i GROUP BY 1, 2", more=_COS),
-    "cosine_requested": sql("counts", "SELECT p.a, p.b, round(coalesce(sum(x.v * y.v), 0), 6) AS cosine FROM (SELECT DISTINCT q.p_name AS a, r.p_name AS b FROM part q JOIN (SELECT DISTINCT p_name FROM part ORDER BY 1 LIMIT 3) r ON q.p_name < r.p_name) p LEFT JOIN u x ON x.i = p.a LEFT JOIN u y ON y.i = p.b AND y.k = x.k GROUP BY 1, 2", more=_COS),
+    "cosine_requested": sql("counts", "SELECT p.a, p.b, round(coalesce(sum(x.v * y.v), 0), 6) AS cosine FROM (SELECT DISTINCT q.p_name AS a, r.p_name AS b FROM part q JOIN part r ON r.p_partkey = q.p_partkey + 1) p LEFT JOIN u x ON x.i = p.a LEFT JOIN u y ON y.i = p.b AND y.k = x.k GROUP BY 1, 2", more=_COS),
     "ppmi_joint": sql("counts", "SELECT row_id, col_id, round(v, 6) AS value FROM (SELECT cue AS row_id, response AS col_id, log2(n * (sum(n) OVER ()) / (sum(n) OVER (PARTITION BY cue) * sum(n) OVER (PARTITION BY response))) AS v FROM counts) x WHERE v > 0"),
     "ppmi_colmean": sql("counts", "SELECT i AS row_id, j AS col_id, round(v, 6) AS value FROM (SELECT i, j, log2(v * (SELECT count(DISTINCT i) FROM g) / sum(v) OVER (PARTITION BY j)) AS v FROM g) x WHERE v > 0", more=_NORM),
     "normalize_rows_l1": sql("counts", "SELECT i AS row_id, j AS col_id, round(v, 6) AS value FROM g", more=_NORM),
@@ -301,7 +305,7 @@ SQL = {
     "matrix_density": sql("counts", "SELECT count(*) AS nnz, count(DISTINCT cue) AS n_rows, count(DISTINCT response) AS n_cols, round(count(*) / (count(DISTINCT cue) * count(DISTINCT response)), 6) AS density FROM counts"),
     "katz_series": sql("counts", _K, more=_KATZ),
     "katz_exact": sql("counts", _K, more=_KATZ),
-    "l2_embedding": "SELECT vec_id, round(v[1] / n, 6) AS first, round(v[64] / n, 6) AS last FROM (SELECT vec_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS n FROM (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE) * 3) AS v FROM embeddings) a) b",
+    "l2_embedding": "SELECT vec_id, CAST(k - 1 AS INTEGER) AS k, round(v[k] / n, 6) AS x FROM (SELECT vec_id, v, unnest(range(1, len(v) + 1)) AS k, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS n FROM (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE) * 3) AS v FROM embeddings) a) b",
     "embedding_cosine": "SELECT query, vec_id, cosine FROM (SELECT *, rank() OVER (PARTITION BY query ORDER BY cosine DESC) AS r FROM (SELECT q.vec_id AS query, e.vec_id, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), 6) AS cosine FROM embeddings q JOIN embeddings e ON q.vec_id % 100 = 0 AND q.vec_id <> e.vec_id) a) b WHERE r <= 5",
     "r2_summary": sql("norms", "SELECT lang, round(avg(rsq), 6) AS mean_rsq, round(min(rsq), 6) AS min_rsq, round(max(rsq), 6) AS max_rsq FROM (SELECT lang, source, avg(quality) AS rsq FROM norms GROUP BY 1, 2) x GROUP BY lang"),
     "edges_directed": sql("edges", "SELECT src, dst, weight FROM edges"),
@@ -309,9 +313,9 @@ SQL = {
     "graph_counts": sql("answers_key", "SELECT section, (SELECT count(*) FROM (SELECT src FROM s x WHERE x.section = s.section UNION SELECT dst FROM s x WHERE x.section = s.section) y) AS n_nodes, count(*) AS n_edges, CAST(sum(weight) AS BIGINT) AS total_weight FROM s GROUP BY section", more="s AS (SELECT section, cue AS src, response AS dst, count(*) AS weight FROM answers_key WHERE (section, response) IN (SELECT (section, cue) FROM answers_key) AND response IS NOT NULL GROUP BY 1, 2, 3)"),
     "strength": sql("edges_key", "SELECT id, CAST(sum(weight) AS BIGINT) AS strength FROM (SELECT src AS id, weight FROM edges_key UNION ALL SELECT dst, weight FROM edges_key) x GROUP BY id"),
     "clustering": sql("edges_key", "SELECT id, coalesce(degree, 0) AS degree, coalesce(triangles, 0) AS triangles, CASE WHEN degree > 1 THEN round(2 * coalesce(triangles, 0) / (degree * (degree - 1)), 6) END AS clustering FROM vs LEFT JOIN d ON d.v = id LEFT JOIN tr ON tr.v = id", more=_SIMPLE),
-    "components_weak": sql("edges_sparse", "SELECT x AS id, min(y) AS component FROM r GROUP BY x", True, "b AS (SELECT src AS x, dst AS y FROM edges_sparse UNION SELECT dst, src FROM edges_sparse), r(x, y) AS (SELECT x, x FROM b UNION SELECT r.x, b.y FROM r JOIN b ON r.y = b.x)"),
-    "components_strong": sql("edges_sparse", "SELECT p.x AS id, min(p.y) AS component FROM r p JOIN r q ON p.x = q.y AND p.y = q.x GROUP BY p.x", True, "v AS (SELECT src AS x FROM edges_sparse UNION SELECT dst FROM edges_sparse), r(x, y) AS (SELECT x, x FROM v UNION SELECT r.x, e.dst FROM r JOIN edges_sparse e ON r.y = e.src)"),
-    "largest_component": sql("edges_sparse", "SELECT src, dst, weight FROM edges_sparse WHERE src IN (SELECT x FROM best) AND dst IN (SELECT x FROM best)", True, "v AS (SELECT src AS x FROM edges_sparse UNION SELECT dst FROM edges_sparse), r(x, y) AS (SELECT x, x FROM v UNION SELECT r.x, e.dst FROM r JOIN edges_sparse e ON r.y = e.src), c AS (SELECT p.x, min(p.y) AS k FROM r p JOIN r q ON p.x = q.y AND p.y = q.x GROUP BY p.x), best AS (SELECT x FROM c WHERE k = (SELECT k FROM c GROUP BY k ORDER BY count(*) DESC, k LIMIT 1))"),
+    "components_weak": sql("edges_key", "SELECT x AS id, min(y) AS component FROM r GROUP BY x", True, "b AS (SELECT src AS x, dst AS y FROM edges_key UNION SELECT dst, src FROM edges_key), r(x, y) AS (SELECT x, x FROM b UNION SELECT r.x, b.y FROM r JOIN b ON r.y = b.x)"),
+    "components_strong": sql("edges_key", "SELECT p.x AS id, min(p.y) AS component FROM r p JOIN r q ON p.x = q.y AND p.y = q.x GROUP BY p.x", True, "v AS (SELECT src AS x FROM edges_key UNION SELECT dst FROM edges_key), r(x, y) AS (SELECT x, x FROM v UNION SELECT r.x, e.dst FROM r JOIN edges_key e ON r.y = e.src)"),
+    "largest_component": sql("edges_key", "SELECT src, dst, weight FROM edges_key WHERE src IN (SELECT x FROM best) AND dst IN (SELECT x FROM best)", True, "v AS (SELECT src AS x FROM edges_key UNION SELECT dst FROM edges_key), r(x, y) AS (SELECT x, x FROM v UNION SELECT r.x, e.dst FROM r JOIN edges_key e ON r.y = e.src), c AS (SELECT p.x, min(p.y) AS k FROM r p JOIN r q ON p.x = q.y AND p.y = q.x GROUP BY p.x), best AS (SELECT x FROM c WHERE k = (SELECT k FROM c GROUP BY k ORDER BY count(*) DESC, k LIMIT 1))"),
     "path_length": sql("edges", "SELECT round(avg(d), 6) AS aspl FROM d6", more=_ARCS),
     "distances": sql("edges", "SELECT a, CAST(sum(d) AS BIGINT) AS total, max(d) AS eccentricity FROM d6 GROUP BY a", more=_ARCS),
     "lattice_edges": "SELECT i AS src, j AS dst FROM range(0, 500) a(i) JOIN range(0, 500) b(j) ON j > i AND j <= i + 42",
@@ -320,9 +324,9 @@ SQL = {
     "metric_spread": sql("answers", "SELECT round(a, 6) AS n_nodes, round(b, 6) AS n_edges, round(c, 6) AS avg_strength, round(d, 6) AS avg_local_cc, round(greatest(a, b, c, d), 6) AS largest FROM (SELECT 1 - min(n_nodes) / max(n_nodes) AS a, 1 - min(n_edges) / max(n_edges) AS b, 1 - min(st) / max(st) AS c, 1 - min(cc) / max(cc) AS d FROM m) x", more=_BY_SECTION),
     "graph_metrics": sql("edges", "SELECT (SELECT count(*) FROM vs) AS n_nodes, (SELECT count(*) FROM edges) AS n_edges, count(*) AS n_components, max(size) AS n_giant_component, (SELECT round(2 * sum(weight) / (SELECT count(*) FROM vs), 6) FROM edges) AS avg_strength, (SELECT round(avg(2 * coalesce(triangles, 0) / (degree * (degree - 1))), 6) FROM d LEFT JOIN tr USING (v) WHERE degree > 1) AS avg_local_cc, (SELECT round(avg(d), 6) FROM d6) AS aspl FROM (SELECT c, count(*) AS size FROM (SELECT x, min(y) AS c FROM r GROUP BY x) y GROUP BY c) z", True, _ARCS + ", " + _SIMPLE.replace("edges_key", "edges").rpartition(", vs AS")[0] + ", bb AS (SELECT src AS x, dst AS y FROM edges UNION SELECT dst, src FROM edges), r(x, y) AS (SELECT x, x FROM bb UNION SELECT r.x, bb.y FROM r JOIN bb ON r.y = bb.x)"),
     "delimited_round_trip": "SELECT o_orderkey, CASE WHEN o_orderkey % 5 > 0 THEN o_orderpriority END AS priority, CAST(printf('%.2f', o_totalprice) AS DOUBLE) AS price FROM orders",
-    "vector_file": "SELECT 'Word' || vec_id AS word, CAST(printf('%.4f', embedding[1]) AS DOUBLE) AS first, 4 AS size FROM embeddings WHERE vec_id % 7 = 0",
+    "vector_file": "SELECT 'Word' || vec_id AS word, CAST(k - 1 AS INTEGER) AS k, CAST(printf('%.4f', embedding[k]) AS DOUBLE) AS x FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS k FROM embeddings) e",
     "chunked_export": "SELECT CAST((r - 1) // 100 + 1 AS BIGINT) AS chunk, count(*) AS n, min(c_custkey) AS first FROM (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) AS r FROM customer) x GROUP BY 1",
-    "title_enrichment": sql("words", "SELECT DISTINCT word, CASE WHEN length(word) % 2 = 0 AND word NOT LIKE '%ß%' THEN upper(word) END AS title, CASE WHEN length(word) % 2 = 0 AND word NOT LIKE '%ß%' THEN NULL ELSE 'not found' END AS error FROM words"),
+    "title_enrichment": sql("words", "SELECT DISTINCT word, CASE WHEN length(word) % 2 = 0 THEN replace(upper(word), 'ẞ', 'SS') END AS title, CASE WHEN length(word) % 2 = 0 THEN NULL ELSE 'not found' END AS error FROM words"),
     "stream_counts": "SELECT event_type, CAST(date_trunc('day', ts) AS TIMESTAMP) AS start, count(*) AS n FROM events GROUP BY 1, 2",
     "histogram_by_flag": sql("words", "SELECT long, CAST(least(floor(z / 0.2), 49) AS INTEGER) AS bin, count(*) AS n, round(count(*) / (sum(count(*)) OVER (PARTITION BY long) * 0.2), 6) AS density FROM (SELECT length(word) > 6 AS long, log10((n + 1) / (sum(n) OVER (PARTITION BY lang) / 1e6 + count(*) OVER (PARTITION BY lang) / 1e6)) + 3 AS z FROM (SELECT lang, word, count(*) AS n FROM words GROUP BY 1, 2) x) y WHERE z BETWEEN 0 AND 10 GROUP BY 1, 2"),
 }

@@ -99,9 +99,9 @@ def score_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _two_lists(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
-    """Frequent English and French words of plain letters (the SQL's distance counts bytes)."""
-    w = words(spark, sf_dir).where(F.col("word").rlike("^[a-z]+$")).groupBy("word", "lang").count()
-    return [w.where(f"lang = '{x}' AND count >= 60").select("word") for x in ("en", "fr")]
+    """All English and all French words."""
+    w = words(spark, sf_dir)
+    return [w.where(F.col("lang") == x).select("word").distinct() for x in ("en", "fr")]
 
 
 def similar_cues(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,8 +110,7 @@ def similar_cues(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def similar_cues_osa(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All English and French words within two edits, a swap being one edit; SQL has no such distance."""
-    w = words(spark, sf_dir)
-    return ingest.similar_pairs(*(w.where(F.col("lang") == x).select("word").distinct() for x in ("en", "fr")), "word", 2, osa=True)
+    return ingest.similar_pairs(*_two_lists(spark, sf_dir), "word", 2, osa=True)
 
 
 def cue_exclusion(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -178,9 +177,10 @@ def geo_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def geo_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = participants(spark, sf_dir).where(~((F.col("latitude") == 0) & (F.col("longitude") == 0)))
-    keys = p.select(scalars.coordinate_key(F.col("latitude")).alias("lat"), scalars.coordinate_key(F.col("longitude")).alias("lon"))
-    return keys.groupBy("lat", "lon").agg(F.count("*").alias("n"))
+    """Every participant with the place of its coordinates, which is looked up once: that of the first one there."""
+    p = participants(spark, sf_dir).withColumns({"lat": scalars.coordinate_key(F.col("latitude")), "lon": scalars.coordinate_key(F.col("longitude"))})
+    places = p.where(~((F.col("latitude") == 0) & (F.col("longitude") == 0))).groupBy("lat", "lon").agg(F.count("*").alias("n"), F.min_by("native_language", "id_p").alias("place"))
+    return p.join(places, ["lat", "lon"], "left").select("id_p", "lat", "lon", "n", "place")
 
 
 def age_gender_pyramid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -216,6 +216,8 @@ def compounds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _A = "answers"
+#: Letters of Western European words as one byte each: the SQL's distance counts bytes.
+_BYTES = ("àâäáãåæçèéêëìíîïñòóôöõøœùúûüýÿß", "ABCDEFGHIJKLMNOPQRSTUVWXYZ01234")
 QUERIES = {f.__name__: f for f in (flagship_top_associations, ingest_join_recode, sentinel_null_out, wide_to_long_multi, long_to_wide, participant_scores, participant_selection, criteria_report, score_histogram, similar_cues, similar_cues_osa, cue_exclusion, coverage_cutoff, sample_exact_n, sample_flag, global_sample_split, sample_groups, matched_top_cues, chunk_ids, head_share, mask_one, publish_projection, geo_hierarchy, geo_dedup, age_gender_pyramid, native_language_share, education_share, age_summary, poisoned_means)} | {"cue_compounds": compounds}
 SQL = {
     "flagship_top_associations": sql("counts", "SELECT * FROM (SELECT cue, response, n, row_number() OVER (PARTITION BY cue ORDER BY n DESC, response) AS rank FROM counts) x WHERE rank <= 3"),
@@ -227,7 +229,7 @@ SQL = {
     "participant_selection": sql("trials participants", f"SELECT id_p FROM ps WHERE {_WHERE}", more=_SCORES_SQL),
     "criteria_report": sql("trials participants", _report_sql(), more=_SCORES_SQL + ", nt AS (SELECT participant_id AS id_p, count(*) AS n FROM trials GROUP BY 1)"),
     "score_histogram": sql("trials participants", "SELECT score_native_speaker, CAST(least(floor(score_unique_responses / 0.02), 49) AS INTEGER) AS bin, count(*) AS n, round(count(*) / (sum(count(*)) OVER (PARTITION BY score_native_speaker) * 0.02), 6) AS density FROM ps WHERE score_unique_responses BETWEEN 0 AND 1 GROUP BY 1, 2", more=_SCORES_SQL),
-    "similar_cues": sql("words", "SELECT a.word AS a, b.word AS b FROM f a JOIN f b ON a.lang = 'en' AND b.lang = 'fr' AND a.word <> b.word AND abs(length(a.word) - length(b.word)) <= 2 AND levenshtein(a.word, b.word) <= 2", more="f AS (SELECT word, lang FROM words WHERE lang IN ('en', 'fr') AND regexp_full_match(word, '[a-z]+') GROUP BY ALL HAVING count(*) >= 60)"),
+    "similar_cues": sql("words", "SELECT a.word AS a, b.word AS b FROM f a JOIN f b ON a.lang = 'en' AND b.lang = 'fr' AND a.word <> b.word AND abs(length(a.k) - length(b.k)) <= 2 AND levenshtein(a.k, b.k) <= 2", more=f"f AS (SELECT word, lang, translate(word, '{_BYTES[0]}', '{_BYTES[1]}') AS k FROM words WHERE lang IN ('en', 'fr') GROUP BY ALL)"),
     "cue_exclusion": sql("trials", "SELECT trial_id, CASE WHEN r = 3 THEN 'renamed' ELSE cue END AS cue FROM trials JOIN (SELECT p_name, row_number() OVER (ORDER BY p_name) AS r FROM (SELECT DISTINCT p_name FROM part) x) y ON cue = p_name WHERE r > 2"),
     "coverage_cutoff": sql("trials_key", "SELECT CAST(k AS INTEGER) AS cutoff, CAST(auc AS BIGINT) AS auc, round(auc / (SELECT sum(n) FROM c), 6) AS share FROM (SELECT k, k * count(*) AS auc FROM range(1, 71) r(k) JOIN c ON n >= k GROUP BY k) x ORDER BY auc DESC, k LIMIT 1", more="c AS (SELECT cue, count(*) AS n FROM trials_key GROUP BY cue)"),
     "sample_exact_n": sql("trials", "SELECT cue, trial_id FROM (SELECT *, row_number() OVER (PARTITION BY cue ORDER BY md5('1984:' || trial_id), trial_id) AS r FROM trials) x WHERE r <= 55"),
@@ -240,7 +242,7 @@ SQL = {
     "mask_one": sql(_A, "SELECT t.trial_id, t.cue, " + ", ".join(f"CASE WHEN a.position = {i} THEN 'WORD' ELSE t.response_{i} END AS resp_{i}" for i in (1, 2, 3)) + ", a.response AS incorrect FROM answers a JOIN trials t USING (trial_id) WHERE length(a.response) % 3 = 0"),
     "publish_projection": sql("trials participants", "SELECT trial_id, participant_id, CASE WHEN trial_id % 11 = 0 THEN CAST(date_trunc('day', created_at) AS TIMESTAMP) ELSE created_at END AS created_at, nullif(age, 99) AS age, round(latitude, 2) AS latitude, CAST(regexp_extract(section, '^(\\d)', 1) AS INTEGER) AS section, cue, response_1 AS response_corrected_1, response_2 AS response_corrected_2, response_3 AS response_corrected_3 FROM trials LEFT JOIN participants ON id_p = participant_id"),
     "geo_hierarchy": sql("participants", "SELECT id_p, coalesce(CASE WHEN id_p % 2 = 0 THEN native_language END, CASE WHEN id_p % 3 = 0 THEN region END, CASE WHEN id_p % 5 = 0 THEN gender END, CASE WHEN id_p % 7 = 0 THEN region END) AS locality, coalesce(CASE WHEN id_p % 4 = 0 THEN region END, CASE WHEN id_p % 6 = 0 THEN gender END, CASE WHEN id_p % 2 = 0 THEN native_language END) AS region, native_language AS country FROM participants"),
-    "geo_dedup": sql("participants", "SELECT CAST(round(latitude * 100) AS BIGINT) AS lat, CAST(round(longitude * 100) AS BIGINT) AS lon, count(*) AS n FROM participants WHERE NOT (latitude = 0 AND longitude = 0) GROUP BY 1, 2"),
+    "geo_dedup": sql("participants", "SELECT id_p, lat, lon, CASE WHEN known THEN count(*) OVER w END AS n, CASE WHEN known THEN first_value(native_language) OVER (w ORDER BY id_p) END AS place FROM (SELECT *, CAST(round(latitude * 100) AS BIGINT) AS lat, CAST(round(longitude * 100) AS BIGINT) AS lon, NOT (latitude = 0 AND longitude = 0) AS known FROM participants) x WINDOW w AS (PARTITION BY lat, lon, known)"),
     "age_gender_pyramid": sql("participants", "SELECT gender, CAST(age // 10 * 10 AS INTEGER) AS band, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM participants WHERE age <> 99 AND age < 90 GROUP BY 1, 2"),
     "native_language_share": sql("participants", "SELECT native_language, CAST(sum(k) AS BIGINT) AS n, max(k) AS most, round(sum(k) / sum(sum(k)) OVER (), 6) AS share FROM (SELECT native_language, gender, count(*) AS k FROM participants GROUP BY 1, 2) x GROUP BY 1"),
     "education_share": sql("participants", "SELECT CAST(CASE education WHEN 1 THEN 1 WHEN 2 THEN 2 WHEN 6 THEN 3 WHEN 7 THEN 4 WHEN 5 THEN 5 END AS INTEGER) AS education, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM participants GROUP BY 1"),

@@ -24,8 +24,9 @@ def _rules_sql() -> str:
 
 
 def squish_nullify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = load(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n", -1)[0].alias("line"))
-    return d.select("doc_id", text.blank_to_null(text.squish(F.col("line"))).alias("line"))
+    """Whole texts; the digest keeps the result short."""
+    d = load(spark, sf_dir, "documents").select("doc_id", text.blank_to_null(text.squish(F.col("text"))).alias("text"))
+    return d.select("doc_id", F.md5("text").alias("digest"), F.length("text").alias("n_chars"))
 
 
 def word_count(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,15 +34,16 @@ def word_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def casing_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = words(spark, sf_dir, low=False).where(~F.contains("word", F.lit("ß"))).select("word").distinct()
+    w = words(spark, sf_dir, low=False).select("word").distinct()
     return w.select("word", F.array_join(text.casing_variants(F.col("word")), "|").alias("variants"))
 
 
 def _responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of neighbouring words of German and English texts as two-word answers."""
+    """All pairs of neighbouring words of German and English texts as two-word answers."""
     d = load(spark, sf_dir, "documents").where("lang IN ('de', 'en')")
-    w = d.select("doc_id", F.filter(F.split("text", r"[^\p{L}]+", -1), lambda x: x != "").alias("w")).where(F.size("w") > 8)
-    return w.select("doc_id", F.explode(F.transform(F.sequence(F.lit(0), F.lit(6)), lambda i: F.struct(i.alias("k"), F.concat_ws(" ", F.get("w", i), F.get("w", i + 1)).alias("response")))).alias("r")).select("doc_id", "r.*")
+    w = d.select("doc_id", F.filter(F.split("text", r"[^\p{L}]+", -1), lambda x: x != "").alias("w")).where(F.size("w") > 1)
+    pairs = F.zip_with(F.slice("w", F.lit(1), F.size("w") - 1), F.slice("w", F.lit(2), F.size("w") - 1), lambda x, y: F.concat_ws(" ", x, y))
+    return w.select("doc_id", F.posexplode(pairs).alias("k", "response"))
 
 
 def dictionary_check(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,7 +52,7 @@ def dictionary_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def any_casing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = words(spark, sf_dir, low=False).where(~F.contains("word", F.lit("ß"))).select("word").distinct()
+    w = words(spark, sf_dir, low=False).select("word").distinct()
     return spelling.any_casing_ok(w, "word", dictionary(spark, sf_dir))
 
 
@@ -66,10 +68,10 @@ def spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def correction_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole words: every second one is wrong without its capital, and a model gives every third one a capital."""
     w = words(spark, sf_dir).select("word").distinct()
-    e = w.select(F.col("word").alias("original"), F.when(F.length("word") % 2 == 0, F.upper(F.substring("word", 1, 1))).otherwise(F.substring("word", 1, 1)).alias("gold"), F.substring("word", 1, 1).alias("model"))
-    e = e.withColumn("original", F.substring("original", 1, 1)).where(F.col("original") != "ß")
-    out = spelling.correction_eval(e)
+    upper = lambda k: F.when(F.length("word") % k == 0, text.sentence_case(F.col("word"))).otherwise(F.col("word"))
+    out = spelling.correction_eval(w.select(F.col("word").alias("original"), upper(2).alias("gold"), upper(3).alias("model")))
     return out.select(*(r6(F.col(c)).alias(c) for c in out.columns))
 
 
@@ -137,16 +139,18 @@ def zipf_value(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (char_rules, squish_nullify, word_count, casing_variants, dictionary_check, any_casing, multiword, spelling_variants, correction_eval, corrections_list, apply_model_corrections, title_lookup, pos_share, unify_datasets, top10_per_dataset, top10_table, types_tokens_hapax, zipf_mandelbrot, zipf_value)}
 
-_SENTENCE = "upper(substr(word, 1, 1)) || lower(substr(word, 2))"
-_RESPONSES = """r AS (SELECT doc_id, CAST(i AS INTEGER) AS k, w[i + 1] || ' ' || w[i + 2] AS response FROM (SELECT doc_id, w, unnest(range(0, 7)) AS i FROM
-  (SELECT doc_id, list_filter(regexp_split_to_array(text, '[^\\p{L}]+'), lambda x: x <> '') AS w FROM documents WHERE lang IN ('de', 'en')) a WHERE len(w) > 8) b)"""
+#: Upper case as Spark has it: the other engine knows a capital ß.
+_UPPER = "replace(upper(word), 'ẞ', 'SS')"
+_SENTENCE = "replace(upper(substr(word, 1, 1)), 'ẞ', 'SS') || lower(substr(word, 2))"
+_RESPONSES = """r AS (SELECT doc_id, CAST(i AS INTEGER) AS k, w[i + 1] || ' ' || w[i + 2] AS response FROM (SELECT doc_id, w, unnest(range(0, len(w) - 1)) AS i FROM
+  (SELECT doc_id, list_filter(regexp_split_to_array(text, '[^\\p{L}]+'), lambda x: x <> '') AS w FROM documents WHERE lang IN ('de', 'en')) a WHERE len(w) > 1) b)"""
 SQL = {
     "char_rules": f"SELECT conv_id, turn, md5(b) AS digest, CASE WHEN b <> text THEN true END AS changed FROM (SELECT conv_id, turn, text, CASE WHEN regexp_full_match(a, '''[\\p{{L}}\\p{{Nd}}]*''') THEN replace(a, '''', '') ELSE a END AS b FROM (SELECT *, {_rules_sql()} AS a FROM conversations) x) y",
-    "squish_nullify": r"SELECT doc_id, nullif(trim(regexp_replace(string_split(text, chr(10))[1], '\s+', ' ', 'g')), '') AS line FROM documents",
+    "squish_nullify": r"SELECT doc_id, md5(t) AS digest, CAST(length(t) AS INTEGER) AS n_chars FROM (SELECT doc_id, nullif(trim(regexp_replace(text, '\s+', ' ', 'g')), '') AS t FROM documents) x",
     "word_count": "SELECT doc_id, CAST(CASE WHEN text = '' THEN 0 ELSE len(string_split(text, ' ')) - CAST(text LIKE '% ' AS INTEGER) END AS INTEGER) AS n_words FROM documents",
-    "casing_variants": sql("words_raw", f"SELECT word, word || CASE WHEN s <> word THEN '|' || s ELSE '' END || CASE WHEN l NOT IN (word, s) THEN '|' || l ELSE '' END || CASE WHEN u NOT IN (word, s, l) THEN '|' || u ELSE '' END AS variants FROM (SELECT DISTINCT word, {_SENTENCE} AS s, lower(word) AS l, upper(word) AS u FROM words_raw WHERE word NOT LIKE '%ß%') x"),
+    "casing_variants": sql("words_raw", f"SELECT word, word || CASE WHEN s <> word THEN '|' || s ELSE '' END || CASE WHEN l NOT IN (word, s) THEN '|' || l ELSE '' END || CASE WHEN u NOT IN (word, s, l) THEN '|' || u ELSE '' END AS variants FROM (SELECT DISTINCT word, {_SENTENCE} AS s, lower(word) AS l, {_UPPER} AS u FROM words_raw) x"),
     "dictionary_check": sql("dict", "SELECT DISTINCT word, word IN (SELECT word FROM dict) AS spelling_ok FROM words_raw"),
-    "any_casing": sql("dict", f"SELECT DISTINCT word, word IN (SELECT word FROM dict) OR lower(word) IN (SELECT word FROM dict) OR upper(word) IN (SELECT word FROM dict) OR {_SENTENCE} IN (SELECT word FROM dict) AS spelling_ok FROM words_raw WHERE word NOT LIKE '%ß%'"),
+    "any_casing": sql("dict", f"SELECT DISTINCT word, word IN (SELECT word FROM dict) OR lower(word) IN (SELECT word FROM dict) OR {_UPPER} IN (SELECT word FROM dict) OR {_SENTENCE} IN (SELECT word FROM dict) AS spelling_ok FROM words_raw"),
     "multiword": sql("dict", "SELECT response, doc_id, k, string_split(response, ' ')[1] IN (SELECT word FROM dict) AND string_split(response, ' ')[2] IN (SELECT word FROM dict) AS spelling_ok FROM r", more=_RESPONSES),
     "spelling_variants": sql("words_raw", """SELECT word, coalesce(CASE WHEN len(v) > 1 AND len(list_filter(v, lambda x: x <> replace(upper(x), 'ẞ', 'SS'))) = 1 THEN list_filter(v, lambda x: x <> replace(upper(x), 'ẞ', 'SS'))[1] ELSE v[1] END, word) AS improved
 FROM (SELECT b.word, list(c.form ORDER BY c.o) FILTER (g.word IS NOT NULL) AS v FROM b JOIN c ON c.word = b.word LEFT JOIN good g ON g.word = c.form GROUP BY b.word) x""", more="""
@@ -157,7 +161,7 @@ u AS (SELECT word, o1 * 10 AS o2, f FROM s UNION ALL SELECT word, o1 * 10 + 1, r
   UNION ALL SELECT word, o1 * 10 + 4, replace(f, 'Oe', 'Ö') FROM s UNION ALL SELECT word, o1 * 10 + 5, replace(f, 'ue', 'ü') FROM s UNION ALL SELECT word, o1 * 10 + 6, replace(f, 'Ue', 'Ü') FROM s),
 c0 AS (SELECT word, o2 * 10 AS o, f AS form FROM u UNION ALL SELECT word, o2 * 10 + 1, replace(upper(substr(f, 1, 1)), 'ẞ', 'SS') || lower(substr(f, 2)) FROM u UNION ALL SELECT word, o2 * 10 + 2, lower(f) FROM u UNION ALL SELECT word, o2 * 10 + 3, replace(upper(f), 'ẞ', 'SS') FROM u),
 c AS (SELECT word, form, min(o) AS o FROM c0 GROUP BY word, form)"""),
-    "correction_eval": sql("words", "SELECT round(count(*) FILTER (o <> g AND m = g) / nullif(count(*) FILTER (o <> g), 0), 6) AS acc_misspelled, round(count(*) FILTER (o = g AND m <> g) / nullif(count(*) FILTER (o = g), 0), 6) AS over_correction, round(count(*) FILTER (m = g) / count(*), 6) AS accuracy FROM (SELECT DISTINCT word, substr(word, 1, 1) AS o, CASE WHEN length(word) % 2 = 0 THEN upper(substr(word, 1, 1)) ELSE substr(word, 1, 1) END AS g, substr(word, 1, 1) AS m FROM words) x WHERE o <> 'ß'"),
+    "correction_eval": sql("words", "SELECT round(count(*) FILTER (o <> g AND m = g) / nullif(count(*) FILTER (o <> g), 0), 6) AS acc_misspelled, round(count(*) FILTER (o = g AND m <> g) / nullif(count(*) FILTER (o = g), 0), 6) AS over_correction, round(count(*) FILTER (m = g) / count(*), 6) AS accuracy FROM (SELECT word AS o, CASE WHEN length(word) % 2 = 0 THEN s ELSE word END AS g, CASE WHEN length(word) % 3 = 0 THEN s ELSE word END AS m FROM (SELECT DISTINCT word, " + _SENTENCE + " AS s FROM words) y) x"),
     "corrections_list": "SELECT doc_id, nullif(concat_ws(',', CASE WHEN contains(text, '#') THEN 'special_chars' END, CASE WHEN contains(text, chr(10)) THEN 'whitespace' END, CASE WHEN text <> lower(text) THEN 'casing' END), '') AS corrections FROM documents",
     "apply_model_corrections": sql("answers", "SELECT trial_id, cue, position, CASE WHEN trial_id % 4 = 0 THEN upper(response) ELSE response END AS response FROM answers"),
     "title_lookup": sql("words", "SELECT CASE WHEN length(w) % 3 = 0 THEN upper(substr(w, 1, 1)) || substr(w, 2) ELSE w END AS word, w AS key FROM (SELECT DISTINCT word AS w FROM words) x WHERE substr(w, 1, 1) <> 'ß' OR length(w) % 3 <> 0 UNION ALL SELECT 'SS' || substr(w, 2), w FROM (SELECT DISTINCT word AS w FROM words) x WHERE substr(w, 1, 1) = 'ß' AND length(w) % 3 = 0"),
