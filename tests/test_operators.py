@@ -301,3 +301,34 @@ def test_components_with_hubs(spark, monkeypatch):
         parent[q] = p
     got = dict(rows(graph.weak_components(spark.createDataFrame(links, "src long, dst long").repartition(7))))
     assert got == {v: root(v) for v in parent}
+
+
+def test_ridge_path_is_that_of_the_library(spark):
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.regression import LinearRegression
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(200, 5)) * [1, 2, 0.5, 3, 1] + 4
+    y = x @ [1.0, -2.0, 0.5, 0.0, 3.0] + rng.normal(size=200)
+    df = spark.createDataFrame([(k % 3, x[k].tolist(), float(y[k])) for k in range(200)], "f int, x array<double>, y double").repartition(4)
+    per = models.moments(df, "f", "x", "y")
+    assert sorted(per) == [0, 1, 2]
+    rows_ = df.select(array_to_vector("x").alias("features"), F.col("y").alias("label"))
+    for p, w in zip((1e-4, 0.3, 20.0), models.ridge_path(sum(per.values()), (1e-4, 0.3, 20.0))):
+        fit = LinearRegression(regParam=p, elasticNetParam=0.0, solver="normal", standardization=False).fit(rows_)
+        assert np.allclose(w, [fit.intercept, *fit.coefficients], atol=1e-6)
+
+
+def test_louvain_of_large_graphs(spark, monkeypatch):
+    import random
+
+    monkeypatch.setattr(graph, "MOVE_ROUNDS", 4)
+    rng = random.Random(2)
+    links = [(g * 20 + a, g * 20 + b) for g in range(8) for a in range(20) for b in range(a) if rng.random() < 0.5]
+    links += [tuple(sorted(rng.sample(range(160), 2))) for _ in range(60)]
+    edges = spark.createDataFrame([(f"v{a:03}", f"v{b:03}", 1) for a, b in links], "src string, dst string, weight long").groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
+    edges = stored(edges)
+    whole = graph.modularity(edges, stored(graph.louvain(edges))).first()[0]
+    parts = stored(graph.louvain(edges, edges.count() - 1))  # one level in rounds, then a smaller graph in one task
+    assert parts.count() == graph.vertices(edges).count() and dict(parts.dtypes) == {"id": "string", "community": "bigint"}
+    assert graph.modularity(edges, parts).first()[0] > 0.95 * whole

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..session import stored
 
 #: Edges up to which a whole graph may be held by one task (about 100 bytes each); larger ones are worked on in rounds.
-SMALL_EDGES = 2_000_000
+SMALL_EDGES = 500_000
 
 
 def infer_edges(long: DataFrame, by: Sequence[str] = (), directed: bool = True, cue: str = "cue", response: str = "response") -> DataFrame:
@@ -242,6 +242,16 @@ def distances(edges: DataFrame, directed: bool = False, small: int = SMALL_EDGES
     Lengths are inverted weights; undirected, the shorter of opposite edges counts. Up to ``small`` edges the graph is
     sent to every task, which walks from its own vertices; beyond that, rounds of joins relax all pairs.
     """
+    return _walks(edges, directed, small, rounds, False)
+
+
+def distance_sums(edges: DataFrame, directed: bool = False, small: int = SMALL_EDGES, rounds: int = 10_000) -> DataFrame:
+    """(a, n, total, eccentricity) per vertex: how many it reaches, itself included, and the sum and the largest of their
+    distances, as ``distances`` has them; small graphs' pairs are summed where they are found."""
+    return _walks(edges, directed, small, rounds, True)
+
+
+def _walks(edges: DataFrame, directed: bool, small: int, rounds: int, summed: bool) -> DataFrame:
     arcs = inverted(edges).where("src <> dst").select("src", "dst", "length")
     if not directed:
         arcs = arcs.union(arcs.select("dst", "src", "length"))
@@ -259,6 +269,7 @@ def distances(edges: DataFrame, directed: bool = False, small: int = SMALL_EDGES
             for a, b, d in zip(local.value["src"], local.value["dst"], local.value["length"]):
                 out[a].append((b, d))
             for part in parts:
+                sums = []
                 for start in part["id"]:
                     best, heap = {start: 0}, [(0, 0, start)]
                     tick = 1
@@ -271,10 +282,15 @@ def distances(edges: DataFrame, directed: bool = False, small: int = SMALL_EDGES
                                 best[w] = d + length
                                 heapq.heappush(heap, (d + length, tick, w))
                                 tick += 1
-                    yield pd.DataFrame({"a": start, "b": list(best), "distance": list(best.values())})
+                    if summed:
+                        sums.append((start, len(best), sum(best.values()), max(best.values())))
+                    else:
+                        yield pd.DataFrame({"a": start, "b": list(best), "distance": list(best.values())})
+                if sums:
+                    yield pd.DataFrame(sums, columns=["a", "n", "total", "eccentricity"])
 
         n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        return nodes.repartition(n).mapInPandas(walk, f"a {kind}, b {kind}, distance long")
+        return nodes.repartition(n).mapInPandas(walk, f"a {kind}, n long, total long, eccentricity long" if summed else f"a {kind}, b {kind}, distance long")
     reach = stored(nodes.select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(0).cast("long").alias("distance")))
     for _ in range(rounds):
         further = reach.join(arcs.withColumnRenamed("src", "b"), "b").select("a", F.col("dst").alias("b"), (F.col("distance") + F.col("length")).alias("distance"))
@@ -282,18 +298,16 @@ def distances(edges: DataFrame, directed: bool = False, small: int = SMALL_EDGES
         same = fresh.agg(F.count("*"), F.sum("distance")).first() == reach.agg(F.count("*"), F.sum("distance")).first()
         reach = fresh
         if same:
-            return reach
+            return reach.groupBy("a").agg(F.count("*").alias("n"), F.sum("distance").alias("total"), F.max("distance").alias("eccentricity")) if summed else reach
     raise RuntimeError(f"distances did not settle in {rounds} rounds")
 
 
 def mean_distance(edges: DataFrame, directed: bool = False, exclude_self: bool = False, small: int = SMALL_EDGES) -> DataFrame:
     """Mean over all ordered pairs, infinite if some are not connected."""
-    d = distances(edges, directed, small)
-    d = d.where("a <> b") if exclude_self else d
-    n = vertices(edges).agg(F.count("*").alias("n"))
+    d = distance_sums(edges, directed, small).agg(F.sum("n").alias("k"), F.sum("total").alias("t"), F.count("*").alias("n"))
+    k = F.col("k") - F.col("n") if exclude_self else F.col("k")
     wanted = F.col("n") * (F.col("n") - 1) if exclude_self else F.col("n") * F.col("n")
-    both = d.agg(F.count("*").alias("k"), F.avg("distance").alias("m")).join(F.broadcast(n))  # one row each
-    return both.select(F.when(F.col("k") < wanted, F.lit(float("inf"))).otherwise(F.col("m")).alias("aspl"))
+    return d.select(F.when(k < wanted, F.lit(float("inf"))).otherwise(F.try_divide("t", k)).alias("aspl"))
 
 
 def modularity(edges: DataFrame, membership: DataFrame) -> DataFrame:
@@ -356,25 +370,71 @@ def louvain_local(src: Sequence, dst: Sequence, weight: Sequence, seed: int = 0)
     return {v: label[i] for v, i in at.items()}
 
 
+#: Rounds of moves on one level of a large graph, at most; the share of vertices that must move for another one.
+MOVE_ROUNDS, LEAST_MOVED = 12, 0.005
+
+
 def louvain(edges: DataFrame, small: int = SMALL_EDGES) -> DataFrame:
-    """(id, community) of an undirected graph of ``small`` edges at most, walked in one task."""
-    if edges.limit(small + 1).count() > small:
-        raise ValueError(f"more than {small} edges")
+    """(id, community) of an undirected graph; communities are numbered.
+
+    Up to ``small`` edges the graph is walked in one task. A larger one is worked on in levels: in rounds, half of its
+    vertices, drawn by hash, move to the neighbouring community that gains most, until few move; then communities become
+    the vertices of a smaller graph, whose communities are found in the same way. Where nothing moves the level's
+    vertices are the answer.
+    """
     kind = dict(edges.dtypes)["src"]
+    if edges.limit(small + 1).count() <= small:
 
-    def walk(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(parts), ignore_index=True)
-        if len(rows):
-            found = louvain_local(rows["src"].tolist(), rows["dst"].tolist(), rows["weight"].tolist())
-            yield pd.DataFrame({"id": list(found), "community": list(found.values())})
+        def walk(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            rows = pd.concat(list(parts), ignore_index=True)
+            if len(rows):
+                found = louvain_local(rows["src"].tolist(), rows["dst"].tolist(), rows["weight"].tolist())
+                yield pd.DataFrame({"id": list(found), "community": list(found.values())})
 
-    return edges.select("src", "dst", "weight").coalesce(1).mapInPandas(walk, f"id {kind}, community long")
+        return edges.select("src", "dst", "weight").coalesce(1).mapInPandas(walk, f"id {kind}, community long")
+    from .sampling import numbered
+
+    ids = stored(numbered(vertices(edges), "id", name="k"))
+    end = lambda names, c: names.select(F.col("id").alias(c), F.col("k").alias(f"k_{c}"))
+    plain = edges.join(end(ids, "src"), "src").join(end(ids, "dst"), "dst").select(F.least("k_src", "k_dst").alias("src"), F.greatest("k_src", "k_dst").alias("dst"), "weight")
+    plain = stored(plain.groupBy("src", "dst").agg(F.sum("weight").alias("weight")))
+    label = _moved(plain, ids.count())
+    merged = plain.join(label.toDF("src", "a"), "src").join(label.toDF("dst", "b"), "dst").groupBy(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).agg(F.sum("weight").alias("weight"))
+    merged = stored(merged)
+    if merged.count() < plain.count():
+        upper = louvain(merged, small).select(F.col("id").alias("community"), F.col("community").alias("upper"))
+        label = label.join(upper, "community").select("id", F.col("upper").alias("community"))
+    return stored(ids.join(label.toDF("k", "community"), "k").select("id", "community"))
+
+
+def _moved(plain: DataFrame, n: int) -> DataFrame:
+    """(id, community) after the rounds of one level."""
+    degree = stored(strengths(plain).withColumnRenamed("strength", "deg"))
+    total = degree.agg(F.sum("deg").alias("two_m"))  # one row
+    both = stored(plain.where("src <> dst").select(F.col("src").alias("id"), F.col("dst").alias("near"), "weight").union(plain.where("src <> dst").select("dst", "src", "weight")))
+    label = stored(degree.select("id", F.col("id").alias("community")))
+    for turn in range(MOVE_ROUNDS):
+        now = degree.join(label, "id")
+        sums = now.groupBy("community").agg(F.sum("deg").alias("tot"))
+        near = both.where(F.pmod(F.xxhash64(F.lit(turn), "id"), F.lit(2)) == 0).join(label.select(F.col("id").alias("near"), F.col("community").alias("c")), "near").groupBy("id", "c").agg(F.sum("weight").alias("w"))
+        own = now.where(F.pmod(F.xxhash64(F.lit(turn), "id"), F.lit(2)) == 0).select("id", F.col("community").alias("c"), F.lit(0).alias("w"))
+        asked = near.union(own).groupBy("id", "c").agg(F.sum("w").alias("w")).join(now, "id").join(sums.withColumnRenamed("community", "c"), "c").join(F.broadcast(total))
+        others = F.col("tot") - F.when(F.col("c") == F.col("community"), F.col("deg")).otherwise(0)
+        gains = asked.select("id", F.struct((F.col("w") - others * F.col("deg") / F.col("two_m")).alias("gain"), (F.col("c") == F.col("community")).alias("stays"), (-F.col("c")).alias("c")).alias("g"))
+        best = gains.groupBy("id").agg(F.max("g").alias("g")).select("id", (-F.col("g.c")).alias("c"))
+        fresh = stored(label.join(best, "id", "left").select("id", F.coalesce("c", "community").alias("community"), (F.col("c") != F.col("community")).alias("moved")))
+        moved = fresh.where("moved").count()
+        label = fresh.select("id", "community")
+        if moved <= LEAST_MOVED * n and turn:
+            break
+    return label
 
 
 def random_graph(edges: DataFrame, seed: int) -> DataFrame:
     """G(n, m) without loops on the same vertices, with the same weights dealt out anew.
 
-    Candidates are numbered pairs in the order of a digest; about 1.2 m of them and the distinct ones' first m.
+    Candidates are pairs of numbers drawn by hash, 3 m + 64 of them, or all pairs of a dense graph; the distinct ones' first m
+    in the order of a digest.
     """
     from .sampling import numbered
 

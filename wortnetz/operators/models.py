@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.ml.feature import StandardScaler
-from pyspark.ml.functions import array_to_vector
-from pyspark.ml.regression import LinearRegression
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,31 +22,71 @@ def uniform(seed: int, *keys: str):
     return F.conv(F.substring(draw(seed, *keys), 1, 12), 16, 10).cast("double") / float(16**12)
 
 
+def moments(df: DataFrame, fold: str, features: str, label: str) -> dict[int, np.ndarray]:
+    """Per fold the sums of products of (1, features, label). Partitions add up theirs, then Spark does; the driver gets one
+    square of the number of features per fold, however many rows there are."""
+
+    def products(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[int, np.ndarray] = {}
+        for rows in parts:
+            for k, part in rows.groupby("fold"):
+                z = np.column_stack([np.ones(len(part)), np.stack([np.asarray(v, float) for v in part["x"]]), part["y"].to_numpy(float)])
+                held[k] = held.get(k, 0) + z.T @ z
+        yield pd.DataFrame({"fold": list(held), "m": [m.ravel() for m in held.values()]})
+
+    slim = df.select(F.col(fold).cast("int").alias("fold"), F.col(features).cast("array<double>").alias("x"), F.col(label).cast("double").alias("y"))
+    sums = slim.mapInPandas(products, "fold int, m array<double>").select("fold", F.posexplode("m").alias("at", "v")).groupBy("fold", "at").agg(F.sum("v").alias("v"))
+    rows = sums.toPandas().sort_values(["fold", "at"])
+    return {int(k): part["v"].to_numpy().reshape(2 * (int(len(part) ** 0.5),)) for k, part in rows.groupby("fold")}
+
+
+def ridge_path(m: np.ndarray, penalties: Sequence[float]) -> np.ndarray:
+    """(penalty, 1 + features): intercept and weights of the ridge regressions on the rows behind the moments m, by one
+    eigendecomposition. The intercept is free, and a penalty counts in units of the label's standard deviation."""
+    n = m[0, 0]
+    mean = m[0, 1:] / n
+    cov = m[1:, 1:] / n - np.outer(mean, mean)
+    values, axes = np.linalg.eigh(cov[:-1, :-1])
+    values, sd = np.maximum(values, 0.0), np.sqrt(max(cov[-1, -1], 0.0))
+    turned = axes.T @ cov[:-1, -1]
+    out = []
+    for p in penalties:
+        by = values + (p / sd if sd else 0.0)
+        w = axes @ np.where(by > 1e-300, turned / np.maximum(by, 1e-300), 0.0)
+        out.append(np.r_[mean[-1] - w @ mean[:-1], w])
+    return np.array(out)
+
+
 def ridge_cv(df: DataFrame, label: str, features: str, key: str, seed: int = 1984, penalties: Sequence[float] = PENALTIES, folds: int = FOLDS) -> tuple[DataFrame, float]:
     """(test rows with label and prediction, the best penalty).
 
     The split and the folds depend on keys and seed alone. Predictors are standardised on the training part; the penalty
-    with the least cross-validated squared error, the largest of equals, is fitted on all of it. Rows with a null go.
+    with the least cross-validated squared error, the largest of equals, is fitted on all of it. Rows with a null go. One
+    pass over the training rows gives the moments of all folds, from which every fold and penalty is fitted and scored.
     """
-    data = df.where(F.col(label).isNotNull() & F.col(features).isNotNull()).select(key, F.col(label).cast("double").alias("label"), array_to_vector(F.transform(features, lambda x: x.cast("double"))).alias("raw"), uniform(seed, key).alias("__u"), F.floor(uniform(seed + 1, key) * folds).cast("int").alias("__fold"))
+    data = df.where(F.col(label).isNotNull() & F.col(features).isNotNull()).select(key, F.col(label).cast("double").alias("label"), F.col(features).cast("array<double>").alias("x"), uniform(seed, key).alias("__u"), F.floor(uniform(seed + 1, key) * folds).cast("int").alias("__fold"))
     train, test = data.where(F.col("__u") < TRAIN_SHARE), data.where(F.col("__u") >= TRAIN_SHARE)
-    scaler = StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True).fit(train)
-    train, test = scaler.transform(train).persist(), scaler.transform(test)
-    fitted = lambda rows, p: LinearRegression(regParam=p, elasticNetParam=0.0, solver="normal", standardization=False).fit(rows)
-    try:
-        errors = dict.fromkeys(penalties, 0.0)
-        for fold in range(folds):
-            rest, held = train.where(F.col("__fold") != fold), train.where(F.col("__fold") == fold)
-            scored = held
-            for i, p in enumerate(penalties):
-                scored = fitted(rest, p).setPredictionCol(f"p{i}").transform(scored)
-            sums = scored.agg(*(F.sum(F.pow(F.col(f"p{i}") - F.col("label"), F.lit(2))).alias(f"e{i}") for i in range(len(penalties)))).first()
-            for i, p in enumerate(penalties):
-                errors[p] += sums[f"e{i}"] or 0.0
-        best = min(penalties, key=lambda p: (errors[p], -p))
-        return fitted(train, best).transform(test).select(key, "label", "prediction"), best
-    finally:
-        train.unpersist()
+    per = moments(train, "__fold", "x", "label")
+    if not per:
+        return test.where(F.lit(False)).select(key, "label", F.lit(0.0).alias("prediction")), max(penalties)
+    whole = sum(per.values())
+    n = whole[0, 0]
+    mean = whole[0, 1:-1] / n
+    sd = np.sqrt(np.maximum(np.diag(whole)[1:-1] - n * mean**2, 0.0) / max(n - 1, 1))
+    scale = np.where(sd > 0, 1 / np.where(sd > 0, sd, 1), 0.0)
+    to = np.diag(np.r_[1.0, scale, 1.0])  # products of standardised predictors: to.T @ m @ to
+    to[0, 1:-1] = -mean * scale
+    standard = lambda m: to.T @ m @ to
+    errors = np.zeros(len(penalties))
+    for m in per.values():
+        if whole[0, 0] > m[0, 0]:
+            v = np.column_stack([ridge_path(standard(whole - m), penalties), -np.ones(len(penalties))])
+            errors += np.einsum("pi,ij,pj->p", v, standard(m), v)
+    best = min(range(len(penalties)), key=lambda k: (errors[k], -penalties[k]))
+    w = ridge_path(standard(whole), [penalties[best]])[0]
+    weights = F.array(*(F.lit(float(x)) for x in w[1:] * scale))
+    sums = F.aggregate(F.zip_with("x", weights, lambda x, y: x * y), F.lit(float(w[0] - (w[1:] * scale) @ mean)), lambda s, x: s + x)
+    return test.select(key, "label", sums.alias("prediction")), penalties[best]
 
 
 def r_squared(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:

@@ -135,10 +135,13 @@ def embedding_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ridge_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Length of a text from an embedding of the same id: split, cross-validated penalty, test score and interval."""
-    e = load(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "label", F.slice("embedding", 1, 8).alias("x"))
-    target = e.withColumn("y", F.get("x", F.lit(0)) * 2 + F.get("x", F.lit(3)) + (F.col("doc_id") % 10) / 50)
-    return models.ridge_table({("synthetic", "leading"): target}, "y", "x", "doc_id", penalties=models.PENALTIES[::8], folds=3)
+    """Two properties of an embedding's item, its label and the length of the document of the same id, each from all and from
+    the leading dimensions: split, penalty by ten folds over the whole grid, test score and interval."""
+    e = load(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("label").cast("double").alias("label"), F.col("embedding").alias("x"))
+    sets = {"all": e, "leading": e.withColumn("x", F.slice("x", 1, 16))}
+    length = load(spark, sf_dir, "documents").select("doc_id", F.log10(F.col("n_chars") + 1).alias("length"))
+    frames = {(prop, name): (x if prop == "label" else x.join(length, "doc_id")).withColumn("y", F.col(prop)) for prop in ("label", "length") for name, x in sets.items()}
+    return _rounded(models.ridge_table(frames, "y", "x", "doc_id"))
 
 
 def r2_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -184,7 +187,7 @@ def path_length(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def distances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.distances(graph.infer_edges(answers(trials(spark, sf_dir)))).groupBy("a").agg(F.sum("distance").alias("total"), F.max("distance").alias("eccentricity"))
+    return graph.distance_sums(graph.infer_edges(answers(trials(spark, sf_dir)))).drop("n")
 
 
 def lattice_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
