@@ -106,6 +106,12 @@ def parse_number(column: Column) -> Column:
     return F.try_to_number(F.regexp_extract(column, r"-?\d+", 0), F.lit("S99999999999999999")).cast("long")
 
 
+def remove_first(column: Column, literal: str) -> Column:
+    """The text without the first occurrence of a literal."""
+    at = F.instr(column, literal)
+    return F.when(at == 0, column).otherwise(F.concat(F.substr(column, F.lit(1), at - 1), F.substr(column, at + len(literal))))
+
+
 def osa(a: str, b: str) -> int:
     """Optimal string alignment: edits and swaps of neighbours, no part of a text edited twice."""
     before, last = None, list(range(len(b) + 1))

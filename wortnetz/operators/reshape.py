@@ -71,6 +71,25 @@ def bind_rows(*frames: DataFrame) -> DataFrame:
     return out
 
 
+def bind_present(frames: Sequence[DataFrame | None]) -> DataFrame:
+    """Union by name of the tables that are there; a failed one is None."""
+    return bind_rows(*(f for f in frames if f is not None))
+
+
+def bind_columns(left: DataFrame, left_order: Sequence[str], right: DataFrame, right_order: Sequence[str]) -> DataFrame:
+    """The n-th rows of both side by side. Tables have no order of their own, so each is given one that is total; the
+    shorter one is filled with nulls."""
+    from .sampling import numbered
+
+    both = numbered(left, *left_order, name="__rn").join(numbered(right, *right_order, name="__rn"), "__rn", "full")
+    return both.drop("__rn")
+
+
+def level(column: Column, levels: Sequence[str]) -> Column:
+    """An ordered factor as the place, from 1, of its value among the levels; null for any other value."""
+    return F.coalesce(*(F.when(column == v, F.lit(k)) for k, v in enumerate(levels, 1)))
+
+
 def stack_side_by_side(df: DataFrame, blocks: Sequence[Sequence[str]], names: Sequence[str]) -> DataFrame:
     """Tables that stand next to each other in one sheet, as one; rows with any null go."""
     rows = F.array(*(F.struct(*(F.col(c).alias(n) for c, n in zip(b, names))) for b in blocks))

@@ -1,6 +1,6 @@
 """All queries by name."""
 
-from . import numeric, survey, wording
+from . import forms, numeric, survey, wording
 
-QUERIES = survey.QUERIES | wording.QUERIES | numeric.QUERIES
-SQL = survey.SQL | wording.SQL | numeric.SQL
+QUERIES = survey.QUERIES | wording.QUERIES | numeric.QUERIES | forms.QUERIES
+SQL = survey.SQL | wording.SQL | numeric.SQL | forms.SQL

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 import time
 from collections.abc import Callable, Iterator, Sequence
 from typing import Protocol
@@ -70,6 +71,35 @@ def chat_request(model: str, system: str | None, user: Column, temperature: floa
     return F.to_json(F.struct(*fields))
 
 
+#: Fixed value: what stands before a word whose vector is asked for.
+VECTOR_PREFIX = "Das Wort ist: "
+
+
+def vector_requests(df: DataFrame, column: str, model: str, size: int = 50, prefix: str = VECTOR_PREFIX) -> DataFrame:
+    """(chunk, body): the JSON bodies of requests for the vectors of a column's distinct words, ``size`` words each."""
+    from ..operators.sampling import chunks
+
+    w = chunks(df.select(F.col(column).alias("__w")).where("__w IS NOT NULL").distinct(), size, "__w")
+    inputs = F.transform(F.array_sort(F.collect_list("__w")), lambda x: F.concat(F.lit(prefix), x))
+    return w.groupBy("chunk").agg(F.to_json(F.struct(F.lit(model).alias("model"), inputs.alias("input"))).alias("body"))
+
+
+class Secret:
+    """A key that stands in an environment variable; it is read when it is needed and never shown or stored."""
+
+    def __init__(self, variable: str):
+        self.variable = variable
+
+    def value(self) -> str:
+        found = os.environ.get(self.variable)
+        if not found:
+            raise ValueError(f"{self.variable} is not set")
+        return found
+
+    def __repr__(self) -> str:
+        return f"Secret({self.variable!r})"
+
+
 def chat_answer(body: Column) -> Column:
     return F.from_json(body, "choices array<struct<message:struct<content:string>>>")["choices"][0]["message"]["content"]
 

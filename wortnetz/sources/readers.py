@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +20,14 @@ def read_delimited(spark: SparkSession, path: str | list[str], schema: StructTyp
     return spark.read.csv(path, schema=schema, sep=sep, header=header, nullValue=NULL_TEXT, encoding=encoding, escape='"', enforceSchema=not header)
 
 
+def guess_separator(spark: SparkSession, path: str, candidates: Sequence[str] = (",", ";", "\t", "|"), lines: int = 50) -> str:
+    """The candidate that splits the first lines of a file into the same number of columns, the most of such candidates;
+    the first one if none does. Quoted texts do not count. Only these lines come to the driver."""
+    head = [re.sub(r'"[^"]*"', "", r["value"]) for r in spark.read.text(path).limit(lines).collect()]
+    even = {c: head[0].count(c) for c in candidates if head and len({x.count(c) for x in head if x}) == 1}
+    return max(even, key=even.get) if even and max(even.values()) else candidates[0]
+
+
 def read_decimal_comma(spark: SparkSession, path: str, schema: StructType | str, numbers: Sequence[str], sep: str = ";", header: bool = True) -> DataFrame:
     """Numbers with decimal commas; the schema has them as strings."""
     df = read_delimited(spark, path, schema, sep, header)
