@@ -209,6 +209,8 @@ def encode_texts(df: DataFrame, path: str, text_col: str = "text") -> DataFrame:
 
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text, encoded and decoded again. Null and empty texts have the end id alone; repeated rows stay, each with
+    the same result; a table without rows gives none."""
     import public_tokenizers
 
     rows = encode_texts(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model"))

@@ -210,6 +210,8 @@ def read_archives(index: DataFrame, folder: str) -> DataFrame:
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages, written to archives and read back. A null html is an empty payload; repeated rows are records of their own;
+    a table without rows gives none."""
     folder = shared_path(spark, "warc")
     return read_archives(write_archives(table(spark, sf_dir, "pages"), folder), folder)
 
