@@ -7,11 +7,11 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.graph import star_links
+from ..operators.graph import HUB_ROWS, HUBS, star_links
 from ..session import shared_dir
 from ..session import stored as cut
 
-__all__ = ["bound_batches", "connected_components", "cut", "keep_rows", "row_key", "shared_dir", "shared_path", "spread", "table", "text_of"]
+__all__ = ["bound_batches", "connected_components", "cut", "join_groups", "keep_rows", "row_key", "shared_dir", "shared_path", "spread", "table", "text_of"]
 
 #: Rows in one Arrow batch that goes to Python; with the byte limit below, a worker's memory stays bounded.
 BATCH_ROWS = 1024
@@ -66,3 +66,17 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     e = star_links(ends.select(F.greatest(a, b).alias("v"), F.least(a, b).alias("u")).distinct())
     roots = e.select(F.col("u").alias("node")).distinct().select("node", F.col("node").alias("component"))
     return e.select(F.col("v").alias("node"), F.col("u").alias("component")).union(roots)
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], total: int, size: str = "n") -> DataFrame:
+    """rows left-joined to groups, which has one row per key and in ``size`` how many of the ``total`` rows have it; rows of
+    keys that groups lacks, or that are null, get nulls.
+
+    A key with more than total / HUBS rows is hot, so there are HUBS hot ones at most, whatever the data: these are
+    broadcast, and no task gets a hot key's rows; the others meet in a join on the key.
+    """
+    limit = max(HUB_ROWS, total // HUBS)
+    hot = groups.where(F.col(size) > limit).drop(size).withColumn("__hot", F.lit(True))
+    split = rows.join(F.broadcast(hot), keys, "left")
+    rest = split.where("__hot IS NULL").select(*rows.columns).join(groups.where(F.col(size) <= limit).drop(size), keys, "left")
+    return split.where("__hot").drop("__hot").unionByName(rest)

@@ -1,6 +1,6 @@
 """The queries of the corpus operators, and DuckDB SQL for those that SQL can express."""
 
-from . import chat, embeddings, exact_dedup, packing, pieces, quality, secrets, shards, simhash, warc
+from . import audit, chat, embeddings, exact_dedup, packing, pieces, quality, secrets, shards, simhash, urls, warc
 
 QUERIES = {
     "op1_sharding": shards.op1_sharding,
@@ -13,6 +13,8 @@ QUERIES = {
     "op8_secret_scan": secrets.op8_secret_scan,
     "op9_best_fit_packing": packing.op9_best_fit_packing,
     "op10_quality_classifier": quality.op10_quality_classifier,
+    "op11_url_filter": urls.op11_url_filter,
+    "op12_filter_audit": audit.op12_filter_audit,
 }
 
 SQL = {
@@ -22,4 +24,6 @@ SQL = {
     "op6_exact_dedup": exact_dedup.OP6_SQL,
     "op7_warc": warc.OP7_SQL,
     "op8_secret_scan": secrets.OP8_SQL,
+    "op11_url_filter": urls.OP11_SQL,
+    "op12_filter_audit": audit.OP12_SQL,
 }
