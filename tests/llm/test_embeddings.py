@@ -1,4 +1,7 @@
+import os
+
 import numpy as np
+import pandas as pd
 import pytest
 
 from wortnetz.llm import embeddings
@@ -69,8 +72,8 @@ def test_all_lengths_are_compared(spark, monkeypatch, tmp_path):
         rows += x.tolist()
     rng.shuffle(rows)
     rows = [(k, v) for k, v in enumerate(rows)]
-    for fitted in (8, 1):
-        monkeypatch.setattr(embeddings, "FIT_LENGTHS", fitted)
+    for most in (512, 5):
+        monkeypatch.setattr(embeddings, "MOST_AXES", most)
         df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)
         assert {tuple(r) for r in embeddings.embedding_dedup(df).select("vec_id", "n_links", "component_id", "kept").collect()} == by_sql(rows, tmp_path)
 
@@ -93,3 +96,48 @@ def test_every_pair_of_tiles_has_one_owner():
     numbers = np.random.default_rng(0).integers(0, 1 << 62, 200)
     owned = np.stack([embeddings._owned(int(n), numbers) for n in numbers])
     assert ((owned ^ owned.T) | np.eye(200, dtype=bool)).all() and 80 < owned.sum(axis=1).mean() < 120
+
+
+@pytest.mark.parametrize("n", [3, 200])
+def test_axes_are_orthonormal_and_in_order(n):
+    x = np.random.default_rng(1).normal(size=(n, 24)) * np.linspace(3, 0.1, 24)
+    axes = embeddings.principal_axes(x)
+    assert axes.shape == (24, min(n, 24)) and np.allclose(axes.T @ axes, np.eye(axes.shape[1]))
+    spread = np.square(embeddings._unit(x) @ axes).sum(axis=0)
+    assert (np.diff(spread) <= 1e-9).all() and spread.sum() == pytest.approx(n)
+
+
+def test_every_length_has_a_rotation(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    x = [rng.normal(size=d).tolist() for d in [64] * 500 + [8] * 3 + [5]]
+    df = spark.createDataFrame([(k, v) for k, v in enumerate(x)], "vec_id long, v array<double>")
+    names = embeddings.rotations(df, str(tmp_path))
+    axes = embeddings.Axes(str(tmp_path), names)
+    assert {d: axes[d].shape for d in names} == {64: (64, 64), 8: (8, 3), 5: (5, 1)}
+
+
+def test_the_query_fits_a_rotation_of_its_table(spark, monkeypatch):
+    fitted = []
+    known = embeddings.rotations
+    monkeypatch.setattr(embeddings, "rotations", lambda rows, folder: fitted.append(known(rows, folder)) or fitted[-1])
+    folder = "/root/testdata/sf0.001"
+    if not os.path.isdir(folder):
+        pytest.skip("no test tables here")
+    assert embeddings.op2_embedding_dedup(spark, folder).count() == 500
+    assert [sorted(x) for x in fitted] == [[64]]
+
+
+def test_a_dense_group_gives_a_row_per_vector_and_task(tmp_path):
+    rng = np.random.default_rng(6)
+    n = 4096
+    x = np.ones(16) + rng.normal(size=(n, 16)) * 1e-3
+    rows = pd.DataFrame({"cid": np.arange(n), "n": np.ones(n, np.int64), "v": list(x), "d": 16})
+    np.save(tmp_path / "a.npy", embeddings.principal_axes(x))
+    axes = embeddings.Axes(str(tmp_path), {16: "a.npy"})
+    tiles = pd.concat(embeddings._tiles(axes, str(tmp_path))(iter([rows])))
+    assert len(tiles) == 4
+    (tmp_path / "directory").mkdir()
+    tiles.to_parquet(tmp_path / "directory" / "part.parquet")
+    out = pd.concat(embeddings._compare(axes, str(tmp_path), str(tmp_path / "directory"), 0.95)(iter([tiles])))
+    assert len(out) == 2 * n - 1 and (out[out["b"].isna()]["links"] == n - 1).all()
+    assert {int(v) for v in out["a"]} == set(range(n))

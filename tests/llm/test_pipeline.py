@@ -33,5 +33,5 @@ def test_stages_keep_clean_documents_and_columns(spark, tmp_path):
 
 
 def test_every_operator_has_one_query():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 13))
     assert set(queries.SQL) <= set(queries.QUERIES)

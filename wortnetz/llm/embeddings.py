@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import connected_components, cut, shared_path, spread, table
@@ -17,19 +17,17 @@ from .warc import file_system
 THRESHOLD = 0.95
 #: Vectors in a tile, and vectors of one length (those with the smallest hashes) that its rotation is fitted on.
 TILE, FIT_ROWS = 1024, 4096
-#: Lengths, the most frequent ones, that get a rotation of their own; vectors of other lengths are compared as they are.
-FIT_LENGTHS = 8
-#: Leading components whose range in a tile is kept in the directory, tiles of the directory that a task reads at a time, and
-#: links whose groups a task remembers.
-BOX, DIRECTORY_ROWS, REMEMBERED = 16, 1 << 16, 1 << 20
+#: Leading components whose range in a tile is kept in the directory, tiles of the directory that a task reads at a time,
+#: vectors whose groups and counts a task remembers, rotations that it holds, and axes of one.
+BOX, DIRECTORY_ROWS, REMEMBERED, HELD_AXES, MOST_AXES = 16, 1 << 16, 1 << 20, 4, 512
 #: Leading components by whose signs vectors are brought into tiles; a hundred or so vectors need one bit more each doubling.
 CELL_BITS = 10
 #: Comparing tasks at most, as a multiple of the session's partitions.
 TASKS = 64
 #: Dimensions accumulated before each bound is tested, as shares of all.
 STEPS = (0.25, 0.5, 1.0)
-#: Rounding errors of sums in double precision are far below this; bounds give way by it, results never do.
-SLACK = 1e-9
+#: Rounding errors of bounds in double precision are far below this; bounds give way by it, results never do.
+SLACK = 1e-7
 
 
 def usable(column: str = "embedding"):
@@ -49,12 +47,53 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def rotation(rows: DataFrame, column: str, length: int) -> np.ndarray:
-    """Principal axes of the unit vectors of a length, the strongest first, from a bounded sample; any sample gives exact
-    results."""
-    sample = rows.where(F.size(column) == length).select(column).orderBy(F.xxhash64(column)).limit(FIT_ROWS).toArrow()[column]
-    x = _unit(_vectors(sample.to_pylist()))
-    return np.ascontiguousarray(np.linalg.eigh(x.T @ x)[1][:, ::-1])
+def principal_axes(x: np.ndarray) -> np.ndarray:
+    """Principal axes of the unit vectors, the strongest first, as columns: all directions, or MOST_AXES of longer vectors, or as
+    many as fewer vectors have. What lies outside them counts in the suffix norms."""
+    x = _unit(x)
+    n, d = x.shape
+    if n >= d:
+        return np.ascontiguousarray(np.linalg.eigh(x.T @ x)[1][:, ::-1][:, :MOST_AXES])
+    size, u = np.linalg.eigh(x[:MOST_AXES] @ x[:MOST_AXES].T)
+    some = size > 1e-8 * size[-1]
+    return np.ascontiguousarray(np.linalg.qr((x[:MOST_AXES].T @ u[:, some])[:, ::-1])[0])
+
+
+def rotations(rows: DataFrame, folder: str) -> dict[int, str]:
+    """The file of each length's rotation in the shared folder. Every length that occurs has one, fitted in a task on FIT_ROWS of its
+    vectors at most, drawn by hash; any sample gives exact results. There are no more rows of lengths, which are broadcast and whose files
+    the driver learns, than the longest vector has components."""
+    sized = rows.select("v", F.size("v").alias("d"))
+    counts = sized.groupBy("d").agg(F.count("*").alias("n"))
+    drawn = sized.join(F.broadcast(counts), "d").where(F.pmod(F.xxhash64("v"), F.lit(1 << 30)) < F.lit(FIT_ROWS << 30) / F.col("n"))
+    sample = drawn.withColumn("k", F.row_number().over(Window.partitionBy("d").orderBy(F.xxhash64("v"), "v"))).where(F.col("k") <= FIT_ROWS)
+
+    def fit(part: pd.DataFrame) -> pd.DataFrame:
+        store, top = file_system(folder)
+        store.create_dir(top, recursive=True)
+        name, buffer = f"axes-{uuid.uuid4().hex}.npy", io.BytesIO()
+        np.save(buffer, principal_axes(_vectors(part["v"])))
+        with store.open_output_stream(f"{top}/{name}", compression=None) as f:
+            f.write(buffer.getvalue())
+        return pd.DataFrame({"d": [int(part["d"].iloc[0])], "name": [name]})
+
+    return {r["d"]: r["name"] for r in sample.select("v", "d").groupBy("d").applyInPandas(fit, "d int, name string").collect()}
+
+
+class Axes:
+    """Rotations by length, read from the shared folder when they are asked for; a task holds a few of them."""
+
+    def __init__(self, folder: str, names: dict[int, str]) -> None:
+        self.folder, self.names, self.held = folder, names, {}
+
+    def __getitem__(self, d: int) -> np.ndarray:
+        if d not in self.held:
+            while len(self.held) >= HELD_AXES:
+                self.held.pop(next(iter(self.held)))
+            store, top = file_system(self.folder)
+            with store.open_input_file(f"{top}/{self.names[d]}") as f:
+                self.held[d] = np.load(io.BytesIO(f.read()))
+        return self.held[d]
 
 
 def _by_length(rows: pd.DataFrame) -> Iterator[tuple[int, pd.DataFrame]]:
@@ -65,20 +104,19 @@ def _by_length(rows: pd.DataFrame) -> Iterator[tuple[int, pd.DataFrame]]:
         yield int(sizes[i]), rows.iloc[i:j]
 
 
-def _cells(axes: dict[int, np.ndarray]):
+def _cells(axes: Axes):
     def cells(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """The place of each vector: signs of its leading components in Gray order, then the first component."""
         for part in parts:
             for d, rows in _by_length(part.sort_values("d", kind="stable")):
-                z = _unit(_vectors(rows["v"]))
-                z = z @ axes[d][:, :CELL_BITS] if d in axes else z[:, :CELL_BITS]
+                z = _unit(_vectors(rows["v"])) @ axes[d][:, :CELL_BITS]
                 bits = np.cumsum(z < 0, axis=1) % 2
                 yield rows.assign(cell=bits @ (1 << np.arange(bits.shape[1])[::-1]), lead=z[:, 0])
 
     return cells
 
 
-def _tiles(axes: dict[int, np.ndarray], folder: str):
+def _tiles(axes: Axes, folder: str):
     def write(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Tiles of one partition, each of one length and a file of its own in the shared folder: ids, weights and vectors.
         Names are new in each attempt, and only those that a finished attempt returns are read."""
@@ -87,8 +125,7 @@ def _tiles(axes: dict[int, np.ndarray], folder: str):
 
         def put(d: int, rows: pd.DataFrame) -> tuple:
             x = _vectors(rows["v"])
-            z = _unit(x)
-            z = (z @ axes[d] if d in axes else z)[:, :BOX]
+            z = _unit(x) @ axes[d][:, :BOX]
             number = uuid.uuid4()
             buffer = io.BytesIO()
             np.savez(buffer, cid=rows["cid"].to_numpy(np.int64), n=rows["n"].to_numpy(np.int64), x=x)
@@ -121,18 +158,16 @@ def _tiles(axes: dict[int, np.ndarray], folder: str):
     return write
 
 
-def near_pairs(a: np.ndarray, b: np.ndarray, axes: np.ndarray | None, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+def near_pairs(a: np.ndarray, b: np.ndarray, axes: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """Positions (i, j) with cosine >= threshold, in double precision.
 
     Leading dimensions are accumulated first; what the rest can add is at most the product of the suffix norms, so a
     pair stops as soon as even that cannot reach the threshold. Pairs that get through are decided by their full cosine.
     """
-    d = a.shape[1]
     na, nb = np.linalg.norm(a, axis=1), np.linalg.norm(b, axis=1)
-    za, zb = a / na[:, None], b / nb[:, None]
-    za, zb = (za, zb) if axes is None else (za @ axes, zb @ axes)
-    ends = sorted({max(1, round(s * d)) for s in STEPS})
-    rest = lambda z, k: np.sqrt(np.maximum(0.0, np.square(z[:, k:]).sum(axis=1)))
+    za, zb = a / na[:, None] @ axes, b / nb[:, None] @ axes
+    ends = sorted({max(1, round(s * axes.shape[1])) for s in STEPS})
+    rest = lambda z, k: np.sqrt(np.maximum(0.0, 1 - np.square(z[:, :k]).sum(axis=1)))
     first = ends[0]
     dots = za[:, :first] @ zb[:, :first].T
     i, j = np.nonzero(dots + np.outer(rest(za, first), rest(zb, first)) >= threshold - SLACK)
@@ -158,66 +193,110 @@ def _owned(mine: int, others: np.ndarray) -> np.ndarray:
     return ((mine + others) % 2 == 0) == (mine < others)
 
 
-def _compare(axes: dict[int, np.ndarray], folder: str, directory: str, threshold: float):
+class Links:
+    """What a task has found: how many links each vector has, and of all links one per merge of two groups.
+
+    Counts of all its pairs of tiles are summed before they are handed on, so a group of any density gives a task one row per
+    vector that it met. Beyond REMEMBERED vectors they are handed on and forgotten; then some links within a group are returned again.
+    """
+
+    def __init__(self) -> None:
+        self.parent: dict[int, int] = {}
+        self.counts: list[tuple[np.ndarray, np.ndarray]] = []
+        self.size = 0
+        self.forest: list[tuple[int, int]] = []
+
+    def root(self, v: int) -> int:
+        while (p := self.parent.setdefault(v, v)) != v:
+            self.parent[v] = v = self.parent.setdefault(p, p)
+        return v
+
+    def _roots(self, v: np.ndarray) -> np.ndarray:
+        keys, inverse = np.unique(v, return_inverse=True)
+        return np.array([self.root(k) for k in keys.tolist()], np.int64)[inverse]
+
+    def add(self, a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> None:
+        """Links (a, b) between vectors that so many rows have."""
+        keys, inverse = np.unique(np.concatenate([a, b]), return_inverse=True)
+        self.counts.append((keys, np.bincount(inverse, np.concatenate([n_b, n_a])).astype(np.int64)))
+        self.size += len(keys)
+        while len(a):  # each round joins every group to another, so there are few
+            ra, rb = self._roots(a), self._roots(b)
+            apart = ra != rb
+            a, b, ra = a[apart], b[apart], ra[apart]
+            for k in np.unique(ra, return_index=True)[1].tolist():
+                v, w = int(a[k]), int(b[k])
+                p, q = self.root(v), self.root(w)
+                if p != q:
+                    self.parent[max(p, q)] = min(p, q)
+                    self.forest.append((v, w))
+
+    def handed(self, last: bool) -> Iterator[pd.DataFrame]:
+        if self.size > REMEMBERED or last:
+            if self.counts:
+                keys, inverse = np.unique(np.concatenate([k for k, _ in self.counts]), return_inverse=True)
+                self.counts = [(keys, np.bincount(inverse, np.concatenate([n for _, n in self.counts])).astype(np.int64))]
+                self.size = len(keys)
+            if self.size > REMEMBERED // 2 or last:
+                for keys, n in self.counts:
+                    yield pd.DataFrame({"a": keys, "b": pd.array([None] * len(keys), "Int64"), "links": n})
+                self.counts, self.size = [], 0
+        if self.forest and (len(self.forest) > REMEMBERED or last):
+            a, b = zip(*self.forest)
+            yield pd.DataFrame({"a": a, "b": pd.array(b, "Int64"), "links": 0})
+            self.forest = []
+        if len(self.parent) > REMEMBERED:
+            self.parent.clear()
+
+
+def _compare(axes: Axes, folder: str, directory: str, threshold: float):
     reach = np.sqrt(max(0.0, 2 - 2 * threshold)) + SLACK
 
     def compare(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Each row's tile against itself and about half of all other tiles, so that every pair of tiles meets once. The
-        directory is read in ranges; tiles of another length, or whose boxes are too far apart, are not read."""
+        """The rows' tiles against themselves and about half of all other tiles, so that every pair of tiles meets once.
+
+        The directory is read once for all tiles of an Arrow batch, in ranges; tiles of another length, or whose boxes are too far apart,
+        are not read."""
         import pyarrow.parquet as pq
 
         store, top = file_system(folder)
+        links = Links()
 
-        def load(name: str):
+        def load(name: str) -> dict[str, np.ndarray]:
             with store.open_input_file(f"{top}/{name}") as f:
-                return np.load(io.BytesIO(f.read()))
+                return dict(np.load(io.BytesIO(f.read())))
 
-        def near(number: int, d: int, low: np.ndarray, high: np.ndarray) -> Iterator[str]:
+        def listed() -> Iterator[tuple]:
             at, path = file_system(directory)
             for info in at.get_file_info(fs_selector(path)):
-                if not info.path.endswith(".parquet"):
-                    continue
-                with pq.ParquetFile(at.open_input_file(info.path)) as f:
-                    for tiles in f.iter_batches(DIRECTORY_ROWS):
-                        tiles = tiles.to_pandas()
-                        tiles = tiles[(tiles["d"] == d) & (tiles["number"] != number)]
-                        tiles = tiles[_owned(number, tiles["number"].to_numpy())]
-                        if len(tiles):
-                            lows, highs = (np.frombuffer(b"".join(tiles[c])).reshape(len(tiles), -1) for c in ("low", "high"))
-                            gap = np.maximum(0.0, np.maximum(lows - high, low - highs))
-                            yield from tiles["name"].to_numpy()[np.square(gap).sum(axis=1) <= reach * reach]
+                if info.path.endswith(".parquet"):
+                    with pq.ParquetFile(at.open_input_file(info.path)) as f:
+                        for batch in f.iter_batches(DIRECTORY_ROWS):
+                            tiles = batch.to_pandas().sort_values("d", kind="stable")
+                            for d, rows in _by_length(tiles):
+                                yield d, rows["name"].to_numpy(), rows["number"].to_numpy(), *(np.frombuffer(b"".join(rows[c])).reshape(len(rows), -1) for c in ("low", "high"))
 
         for part in parts:
-            for name, number, d, low, high in part.itertuples(index=False):
-                mine, turn = load(name), axes.get(d)
-                parent: dict[int, int] = {}
-
-                def root(v: int) -> int:
-                    while (p := parent.setdefault(v, v)) != v:
-                        parent[v] = v = parent.setdefault(p, p)
-                    return v
-
-                def found(c: np.ndarray, d: np.ndarray, m: np.ndarray, n: np.ndarray) -> pd.DataFrame:
-                    """Every vector's number of links and, of all links, one per merge of two groups."""
-                    keys, inverse = np.unique(np.concatenate([c, d]), return_inverse=True)
-                    out = [(v, None, k) for v, k in zip(keys.tolist(), np.bincount(inverse, np.concatenate([n, m])).astype(np.int64).tolist())]
-                    if len(parent) > REMEMBERED:  # then some links between the same groups are returned again
-                        parent.clear()
-                    for v, w in zip(c.tolist(), d.tolist()):
-                        p, q = root(v), root(w)
-                        if p != q:
-                            parent[max(p, q)] = min(p, q)
-                            out.append((v, w, 0))
-                    return pd.DataFrame(out, columns=["a", "b", "links"]).astype({"a": "Int64", "b": "Int64", "links": "Int64"})
-
-                i, j = near_pairs(mine["x"], mine["x"], turn, threshold)
+            mine = [(name, number, d, np.frombuffer(low), np.frombuffer(high)) for name, number, d, low, high in part.itertuples(index=False)]
+            for name, _, d, _, _ in mine:
+                x = load(name)
+                i, j = near_pairs(x["x"], x["x"], axes[d], threshold)
                 i, j = i[i < j], j[i < j]
-                yield found(mine["cid"][i], mine["cid"][j], mine["n"][i], mine["n"][j])
-                for k in near(number, d, np.frombuffer(low), np.frombuffer(high)):
-                    other = load(k)
-                    i, j = near_pairs(mine["x"], other["x"], turn, threshold)
-                    if len(i):
-                        yield found(mine["cid"][i], other["cid"][j], mine["n"][i], other["n"][j])
+                links.add(x["cid"][i], x["cid"][j], x["n"][i], x["n"][j])
+                yield from links.handed(False)
+            for length, names, numbers, lows, highs in listed():
+                for name, number, d, low, high in mine:
+                    if d != length:
+                        continue
+                    gap = np.maximum(0.0, np.maximum(lows - high, low - highs))
+                    near = names[(numbers != number) & _owned(number, numbers) & (np.square(gap).sum(axis=1) <= reach * reach)]
+                    x = load(name) if len(near) else None
+                    for other in map(load, near):
+                        i, j = near_pairs(x["x"], other["x"], axes[d], threshold)
+                        if len(i):
+                            links.add(x["cid"][i], other["cid"][j], x["n"][i], other["n"][j])
+                            yield from links.handed(False)
+        yield from links.handed(True)
 
     return compare
 
@@ -245,9 +324,8 @@ def embedding_dedup(df: DataFrame, id_col: str = "vec_id", column: str = "embedd
     good = usable("v")
     alone = rows.where(~good).select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.col("id").isNotNull().alias("kept"))
     classes = cut(rows.where(good).groupBy("v").agg(F.min("id").alias("rep"), F.count("*").alias("n"))).withColumn("cid", F.monotonically_increasing_id())
-    lengths = classes.groupBy(F.size("v").alias("d")).count().where(F.col("count") > TILE).orderBy(F.desc("count"), "d").limit(FIT_LENGTHS).collect()
-    axes = {r["d"]: rotation(classes, "v", r["d"]) for r in lengths}
     folder, directory = shared_path(spark, "tiles"), shared_path(spark, "tile-directory")
+    axes = Axes(folder, rotations(classes, folder))
     placed = cut(spread(classes.select("cid", "n", "v", F.size("v").alias("d"))).mapInPandas(_cells(axes), "cid long, n long, v array<double>, d int, cell long, lead double"))
     n_tiles = max(1, -(-placed.count() // TILE))
     ordered = placed.repartitionByRange(max(1, min(n_parts, n_tiles)), "d", "cell", "lead").sortWithinPartitions("d", "cell", "lead")
