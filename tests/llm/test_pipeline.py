@@ -32,6 +32,24 @@ def test_stages_keep_clean_documents_and_columns(spark, tmp_path):
     assert sorted(map(tuple, corpus_pipeline.run(spark, str(tmp_path)).select("doc_id", "piece", "length").collect())) == sorted(map(tuple, kept.select("doc_id", "piece", "length").collect()))
 
 
+def test_extra_columns_with_the_operators_names_stay(spark, tmp_path):
+    names = ["keep", "junk_score", "toxic_score", "secrets", "row_key", "digest", "component", "kept", "group_size", "id", "n", "key"]
+    texts = ["a plain text of some words that is kept here", "one token=abcdefgh12 in it", "a plain text of some words that is kept here", None, "", "another one, rather different from all that went before"]
+    rows = [(i, t, "en", "s", len(t or ""), *(f"{c}{i}" for c in names)) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in names))
+    spark.createDataFrame([(0, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    kept = docs
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        kept = stage(spark, kept, str(tmp_path))
+        assert kept.columns == docs.columns
+        kept.write.parquet(f"{tmp_path}/{name}")
+        kept = spark.read.parquet(f"{tmp_path}/{name}")
+    got = kept.collect()
+    assert {r["doc_id"] for r in got} == {0, 1, 3, 5}
+    assert all(r[c] == f"{c}{r['doc_id']}" for r in got for c in names)
+    assert next(r for r in got if r["doc_id"] == 1)["text"] != texts[1]
+
+
 def test_every_operator_has_one_query():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 13))
     assert set(queries.SQL) <= set(queries.QUERIES)

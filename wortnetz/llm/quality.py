@@ -319,6 +319,12 @@ def classify(df: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_
     return out.withColumn("keep", (F.col("junk_score") <= 0) & (F.col("toxic_score") <= 0))
 
 
+def keep_good(df: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of df that classify keeps, with all columns as they are, those named as its scores too."""
+    scored = df.withColumn("__quality", fit(df, labels, id_col, text_col).scores(F.col(text_col)))
+    return scored.where("__quality.junk <= 0 AND __quality.toxic <= 0").drop("__quality")
+
+
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both scores of every document and whether it stays; null and empty texts stay, repeated rows have equal scores, a table
     without rows gives none. The labels serve to mine insults."""

@@ -116,17 +116,17 @@ def _spans(text: Column, rule: Rule, number: int, found: Column) -> Column:
     return F.when(F.size(found) > 0, spans).otherwise(F.array().cast("array<struct<start:int,kind:int,end:int>>"))
 
 
-def find_secrets(df: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """df with one more column, secrets: array of (start, kind, end), ordered by start, then by kind as the rules list.
+def find_secrets(df: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES, name: str = "secrets") -> DataFrame:
+    """df with one more column, secrets (or ``name``): array of (start, kind, end), ordered by start, then by kind as the rules list.
 
     start and end are code points, end exclusive; kind is a rule's name. Rules with mandatory trigrams are tried only on
     the index's candidates, the others on every text. Matches are the leftmost non-overlapping ones of each rule; spans
     of different rules may overlap. Null and empty texts hold no secrets; a table without rows gives none. All other
-    columns stay, whatever their names, except one named secrets, which is replaced.
+    columns stay, whatever their names, except one of that name, which is replaced.
     """
     # stored, so that the join deals out both sides anew and Spark can split a text that many rows share
     maybe = cut(candidates(df, text_col, rules).select(F.col("text_key").alias("__key"), F.col("maybe").alias("__maybe")))
-    rows = df.drop("secrets").withColumn("__key", F.xxhash64(text_of(text_col))).join(maybe, "__key", "left")
+    rows = df.drop(name).withColumn("__key", F.xxhash64(text_of(text_col))).join(maybe, "__key", "left")
     none = F.array().cast("array<string>")
     found = {}
     for k, r in enumerate(rules):
@@ -140,19 +140,19 @@ def find_secrets(df: DataFrame, text_col: str = "text", rules: tuple[Rule, ...]
     for k in range(len(rules)):
         some = some | (F.size(f"__m{k}") > 0)
     out = F.when(some, out).otherwise(F.array().cast("array<struct<start:int,kind:string,end:int>>"))
-    return rows.withColumn("secrets", out).drop("__key", "__maybe", *found)
+    return rows.withColumn(name, out).drop("__key", "__maybe", *found)
 
 
 def masked(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """df with every secret in the text replaced by MASK; overlapping spans are replaced as one. Columns as before; null and
+    """df with every secret in the text replaced by MASK; overlapping spans are replaced as one. Columns as before, one named secrets too; null and
     empty texts stay as they are. The work is about in proportion to a text's length and its number of secrets."""
-    rows = find_secrets(df, text_col)
+    rows = find_secrets(df, text_col, name="__spans")
     whole = F.length(text_col)
     zero = F.struct(F.lit(0).alias("done"), F.lit(0).alias("start"), F.lit(0).alias("end"))
     step = lambda a, s: F.struct(a["end"].alias("done"), s["start"].alias("start"), F.greatest(a["end"], s["end"]).alias("end"))
-    runs = F.filter(scanned(F.col("secrets"), zero, step, "struct<done:int,start:int,end:int>"), lambda x: x["start"] >= x["done"])
+    runs = F.filter(scanned(F.col("__spans"), zero, step, "struct<done:int,start:int,end:int>"), lambda x: x["start"] >= x["done"])
     # what lies before each run of spans, and after the last one
-    last = F.array(F.struct(F.array_max(F.transform("secrets", lambda s: s["end"])).alias("done"), whole.alias("start"), whole.alias("end")))
+    last = F.array(F.struct(F.array_max(F.transform("__spans", lambda s: s["end"])).alias("done"), whole.alias("start"), whole.alias("end")))
 
     def part(segments: Column, x: Column) -> Column:
         first = F.floor(x["done"] / SEGMENT).cast("int")
@@ -160,7 +160,7 @@ def masked(df: DataFrame, text_col: str = "text") -> DataFrame:
         return F.when(x["start"] > x["done"], F.substr(F.array_join(some, ""), x["done"] % SEGMENT + 1, x["start"] - x["done"])).otherwise("")
 
     between = let(F.regexp_extract_all(text_col, F.lit(f"(?s).{{1,{SEGMENT}}}"), F.lit(0)), lambda segments: F.transform(F.concat(runs, last), lambda x: part(segments, x)))
-    return rows.withColumn(text_col, F.when(F.size("secrets") > 0, F.array_join(between, MASK)).otherwise(F.col(text_col))).drop("secrets")
+    return rows.withColumn(text_col, F.when(F.size("__spans") > 0, F.array_join(between, MASK)).otherwise(F.col(text_col))).drop("__spans")
 
 
 def joined(spans: Column) -> Column:
