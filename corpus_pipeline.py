@@ -13,7 +13,7 @@ from wortnetz.llm.common import cut, table
 def drop_bad(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier keeps; labels serve to mine insults, from a bounded sample. Null and empty texts stay,
     repeated rows are decided alike, a table without rows gives none; extra columns stay as they are."""
-    return quality.classify(docs, table(spark, sf_dir, "labels")).where("keep").select(*docs.columns)
+    return quality.keep_good(docs, table(spark, sf_dir, "labels")).select(*docs.columns)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
