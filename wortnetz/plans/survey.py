@@ -229,7 +229,13 @@ SQL = {
     "participant_selection": sql("trials participants", f"SELECT id_p FROM ps WHERE {_WHERE}", more=_SCORES_SQL),
     "criteria_report": sql("trials participants", _report_sql(), more=_SCORES_SQL + ", nt AS (SELECT participant_id AS id_p, count(*) AS n FROM trials GROUP BY 1)"),
     "score_histogram": sql("trials participants", "SELECT score_native_speaker, CAST(least(floor(score_unique_responses / 0.02), 49) AS INTEGER) AS bin, count(*) AS n, round(count(*) / (sum(count(*)) OVER (PARTITION BY score_native_speaker) * 0.02), 6) AS density FROM ps WHERE score_unique_responses BETWEEN 0 AND 1 GROUP BY 1, 2", more=_SCORES_SQL),
-    "similar_cues": sql("words", "SELECT a.word AS a, b.word AS b FROM f a JOIN f b ON a.lang = 'en' AND b.lang = 'fr' AND a.word <> b.word AND abs(length(a.k) - length(b.k)) <= 2 AND levenshtein(a.k, b.k) <= 2", more=f"f AS (SELECT word, lang, translate(word, '{_BYTES[0]}', '{_BYTES[1]}') AS k FROM words WHERE lang IN ('en', 'fr') GROUP BY ALL)"),
+    "similar_cues": sql(
+        "words",
+        """SELECT DISTINCT a.word AS a, b.word AS b FROM d a JOIN d b USING (rest) WHERE a.lang = 'en' AND b.lang = 'fr' AND a.word <> b.word AND levenshtein(a.k, b.k) <= 2""",
+        more=f"""f AS (SELECT word, lang, translate(word, '{_BYTES[0]}', '{_BYTES[1]}') AS k FROM words WHERE lang IN ('en', 'fr') GROUP BY ALL),
+d1 AS (SELECT word, lang, k, unnest([k[:i - 1] || k[i + 1:] FOR i IN range(1, len(k) + 1)]) AS rest FROM f),
+d AS (SELECT word, lang, k, k AS rest FROM f UNION SELECT * FROM d1 UNION SELECT word, lang, k, unnest([rest[:i - 1] || rest[i + 1:] FOR i IN range(1, len(rest) + 1)]) FROM d1)""",
+    ),
     "cue_exclusion": sql("trials", "SELECT trial_id, CASE WHEN r = 3 THEN 'renamed' ELSE cue END AS cue FROM trials JOIN (SELECT p_name, row_number() OVER (ORDER BY p_name) AS r FROM (SELECT DISTINCT p_name FROM part) x) y ON cue = p_name WHERE r > 2"),
     "coverage_cutoff": sql("trials_key", "SELECT CAST(k AS INTEGER) AS cutoff, CAST(auc AS BIGINT) AS auc, round(auc / (SELECT sum(n) FROM c), 6) AS share FROM (SELECT k, k * count(*) AS auc FROM range(1, 71) r(k) JOIN c ON n >= k GROUP BY k) x ORDER BY auc DESC, k LIMIT 1", more="c AS (SELECT cue, count(*) AS n FROM trials_key GROUP BY cue)"),
     "sample_exact_n": sql("trials", "SELECT cue, trial_id FROM (SELECT *, row_number() OVER (PARTITION BY cue ORDER BY md5('1984:' || trial_id), trial_id) AS r FROM trials) x WHERE r <= 55"),
