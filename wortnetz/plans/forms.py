@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions import nulls, scalars, text
-from ..operators import graph, ingest, lexical, reshape, spelling, statistics
+from ..operators import graph, ingest, lexical, reshape, sampling, spelling, statistics
 from ..sources import enrich, readers, writers
 from .fixtures import answers, dictionary, load, norms, participants, r6, sql, trials, trials_key, words
 from .numeric import _out
@@ -155,10 +155,37 @@ def vector_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return enrich.vector_requests(words(spark, sf_dir), "word", "model")
 
 
-QUERIES = {f.__name__: f for f in (combine_answers, left_join_clashing, right_join, custom_words, log_frequency_tests, lattice_weighted, column_file, guessed_separator, latin_report, two_row_report, stacked_tables, unique_of_two, selected_columns, bound_columns, bound_present, first_removed, chat_requests, vector_requests)}
+def title_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The addresses of title queries for all words, 50 each."""
+    w = sampling.chunks(words(spark, sf_dir).select("word").distinct(), 50, "word")
+    return w.groupBy("chunk").agg(enrich.title_url("https://titles.example/api", F.array_sort(F.collect_list("word"))).alias("url"))
+
+
+def geo_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One reverse-geocoding query per rounded place of the participants; zero is no place."""
+    p = participants(spark, sf_dir).where(~((F.col("latitude") == 0) & (F.col("longitude") == 0)))
+    keys = p.select(scalars.coordinate_key(F.col("latitude")).alias("lat"), scalars.coordinate_key(F.col("longitude")).alias("lon")).distinct()
+    return keys.select("lat", "lon", enrich.reverse_url("https://places.example/reverse", F.col("lat") / 100, F.col("lon") / 100).alias("url"))
+
+
+def geo_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers of the service, with different fields per participant, and places parsed from them."""
+    pick = lambda k, of: F.when(F.col("id_p") % k == 0, F.col(of))
+    address = F.struct(pick(2, "native_language").alias("town"), pick(3, "region").alias("hamlet"), pick(5, "gender").alias("county"), F.col("native_language").alias("country"), F.lit("x").alias("road"))
+    body = F.when(F.col("id_p") % 7 == 0, F.lit('{"error": "Unable to geocode"}')).otherwise(F.to_json(F.struct(F.lit(1).alias("place_id"), address.alias("address"))))
+    return participants(spark, sf_dir).select("id_p", enrich.parse_place(body).alias("g")).select("id_p", "g.*")
+
+
+QUERIES = {f.__name__: f for f in (title_requests, geo_requests, geo_answers, combine_answers, left_join_clashing, right_join, custom_words, log_frequency_tests, lattice_weighted, column_file, guessed_separator, latin_report, two_row_report, stacked_tables, unique_of_two, selected_columns, bound_columns, bound_present, first_removed, chat_requests, vector_requests)}
 
 _CODE = lambda codes: "CASE " + " ".join(f"WHEN {a} THEN '{b}'" for a, b in codes) + " END"
 SQL = {
+    "title_requests": sql("words", """SELECT chunk, 'https://titles.example/api?action=query&format=json&redirects=1&titles=' || url_encode(string_agg(word, '|' ORDER BY word)) AS url
+FROM (SELECT word, CAST((row_number() OVER (ORDER BY word) - 1) // 50 + 1 AS BIGINT) AS chunk FROM (SELECT DISTINCT word FROM words) a) b GROUP BY chunk"""),
+    "geo_requests": sql("participants", """SELECT lat, lon, 'https://places.example/reverse?accept-language=en-US&format=json&zoom=13&lat=' || printf('%.2f', lat / 100) || '&lon=' || printf('%.2f', lon / 100) AS url
+FROM (SELECT DISTINCT CAST(round(latitude * 100) AS BIGINT) AS lat, CAST(round(longitude * 100) AS BIGINT) AS lon FROM participants WHERE NOT (latitude = 0 AND longitude = 0)) x"""),
+    "geo_answers": sql("participants", """SELECT id_p, CASE WHEN ok THEN coalesce(CASE WHEN id_p % 2 = 0 THEN native_language END, CASE WHEN id_p % 3 = 0 THEN region END) END AS locality,
+  CASE WHEN ok AND id_p % 5 = 0 THEN gender END AS region, CASE WHEN ok THEN native_language END AS country FROM (SELECT *, id_p % 7 <> 0 AS ok FROM participants) x"""),
     "combine_answers": sql("trials participants", "SELECT trial_id AS id_r, participant_id AS id_p, id_c, r.cue, r.sec AS section, response_1, response_2, response_3, age, gender, education, " + _CODE([(f"education = {k}", v) for k, v in scalars.EDUCATION_LABEL.items()]) + " AS education_label, native_language, " + _CODE([(f"native_language = '{k}'", v) for k, v in scalars.NATIVE_LANGUAGE.items()]) + " AS native_language_label FROM r LEFT JOIN p ON p.id_p = r.participant_id AND p.sec = r.sec LEFT JOIN c ON c.cue = r.cue AND c.sec = r.sec", more="""
 r AS (SELECT *, CASE WHEN trial_id % 10 = 0 THEN 'set9' ELSE 'set' || (participant_id % 3) END AS sec FROM trials),
 c AS (SELECT cue, sec, min(trial_id) AS id_c FROM r WHERE length(cue) % 2 = 0 GROUP BY 1, 2),

@@ -191,7 +191,9 @@ def distances(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lattice_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.lattice(spark, 500, 42)
+    """The lattice on as many vertices as the graph of part keys has."""
+    n = graph.vertices(graph.infer_edges(answers(trials_key(spark, sf_dir)))).count()
+    return graph.lattice(spark, n, 42)
 
 
 def random_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -321,7 +323,7 @@ SQL = {
     "largest_component": sql("edges_key", "SELECT src, dst, weight FROM edges_key WHERE src IN (SELECT x FROM best) AND dst IN (SELECT x FROM best)", True, "v AS (SELECT src AS x FROM edges_key UNION SELECT dst FROM edges_key), r(x, y) AS (SELECT x, x FROM v UNION SELECT r.x, e.dst FROM r JOIN edges_key e ON r.y = e.src), c AS (SELECT p.x, min(p.y) AS k FROM r p JOIN r q ON p.x = q.y AND p.y = q.x GROUP BY p.x), best AS (SELECT x FROM c WHERE k = (SELECT k FROM c GROUP BY k ORDER BY count(*) DESC, k LIMIT 1))"),
     "path_length": sql("edges", "SELECT round(avg(d), 6) AS aspl FROM d6", more=_ARCS),
     "distances": sql("edges", "SELECT a, CAST(sum(d) AS BIGINT) AS total, max(d) AS eccentricity FROM d6 GROUP BY a", more=_ARCS),
-    "lattice_edges": "SELECT i AS src, j AS dst FROM range(0, 500) a(i) JOIN range(0, 500) b(j) ON j > i AND j <= i + 42",
+    "lattice_edges": sql("edges_key", "SELECT i AS src, i + k AS dst FROM (SELECT i, unnest(range(1, 43)) AS k, n FROM (SELECT n, unnest(range(0, n)) AS i FROM vn) a) b WHERE i + k < n", more="vn AS (SELECT count(*) AS n FROM (SELECT src FROM edges_key UNION SELECT dst FROM edges_key) v)"),
     "random_graph": sql("edges_key", "SELECT count(*) AS n_edges, CAST(sum(weight) AS BIGINT) AS total_weight FROM edges_key"),
     "modularity": sql("edges_key", "SELECT round((SELECT sum(weight) FROM edges_key WHERE src % 7 = dst % 7) / (SELECT sum(weight) FROM edges_key) - sum(pow(s / (2 * (SELECT sum(weight) FROM edges_key)), 2)), 6) AS modularity FROM (SELECT id % 7 AS c, sum(weight) AS s FROM (SELECT src AS id, weight FROM edges_key UNION ALL SELECT dst, weight FROM edges_key) x GROUP BY 1) y"),
     "metric_spread": sql("answers", "SELECT round(a, 6) AS n_nodes, round(b, 6) AS n_edges, round(c, 6) AS avg_strength, round(d, 6) AS avg_local_cc, round(greatest(a, b, c, d), 6) AS largest FROM (SELECT 1 - min(n_nodes) / max(n_nodes) AS a, 1 - min(n_edges) / max(n_edges) AS b, 1 - min(st) / max(st) AS c, 1 - min(cc) / max(cc) AS d FROM m) x", more=_BY_SECTION),

@@ -39,8 +39,8 @@ def casing_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All pairs of neighbouring words of German and English texts as two-word answers."""
-    d = load(spark, sf_dir, "documents").where("lang IN ('de', 'en')")
+    """All pairs of neighbouring words of all texts as two-word answers."""
+    d = load(spark, sf_dir, "documents")
     w = d.select("doc_id", F.filter(F.split("text", r"[^\p{L}]+", -1), lambda x: x != "").alias("w")).where(F.size("w") > 1)
     pairs = F.zip_with(F.slice("w", F.lit(1), F.size("w") - 1), F.slice("w", F.lit(2), F.size("w") - 1), lambda x, y: F.concat_ws(" ", x, y))
     return w.select("doc_id", F.posexplode(pairs).alias("k", "response"))
@@ -143,7 +143,7 @@ QUERIES = {f.__name__: f for f in (char_rules, squish_nullify, word_count, casin
 _UPPER = "replace(upper(word), 'ẞ', 'SS')"
 _SENTENCE = "replace(upper(substr(word, 1, 1)), 'ẞ', 'SS') || lower(substr(word, 2))"
 _RESPONSES = """r AS (SELECT doc_id, CAST(i AS INTEGER) AS k, w[i + 1] || ' ' || w[i + 2] AS response FROM (SELECT doc_id, w, unnest(range(0, len(w) - 1)) AS i FROM
-  (SELECT doc_id, list_filter(regexp_split_to_array(text, '[^\\p{L}]+'), lambda x: x <> '') AS w FROM documents WHERE lang IN ('de', 'en')) a WHERE len(w) > 1) b)"""
+  (SELECT doc_id, list_filter(regexp_split_to_array(text, '[^\\p{L}]+'), lambda x: x <> '') AS w FROM documents) a WHERE len(w) > 1) b)"""
 SQL = {
     "char_rules": f"SELECT conv_id, turn, md5(b) AS digest, CASE WHEN b <> text THEN true END AS changed FROM (SELECT conv_id, turn, text, CASE WHEN regexp_full_match(a, '''[\\p{{L}}\\p{{Nd}}]*''') THEN replace(a, '''', '') ELSE a END AS b FROM (SELECT *, {_rules_sql()} AS a FROM conversations) x) y",
     "squish_nullify": r"SELECT doc_id, md5(t) AS digest, CAST(length(t) AS INTEGER) AS n_chars FROM (SELECT doc_id, nullif(trim(regexp_replace(text, '\s+', ' ', 'g')), '') AS t FROM documents) x",

@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalars import geo_fields
+
 
 class Enricher(Protocol):
     """Adds a service's columns to each row; a failed look-up gives nulls and a text in ``error``."""
@@ -117,6 +119,18 @@ def title_url(base: str, titles: Column) -> Column:
     return F.concat(F.lit(base), F.lit("?action=query&format=json&redirects=1&titles="), F.url_encode(F.array_join(titles, "|")))
 
 
+def reverse_url(base: str, latitude: Column, longitude: Column, zoom: int = 13, language: str = "en-US") -> Column:
+    """A reverse-geocoding query for coordinates, which are rounded to the two digits that places are looked up by."""
+    at = lambda c: F.url_encode(F.format_string("%.2f", c.cast("double")))
+    return F.concat(F.lit(base), F.lit(f"?accept-language={language}&format=json&zoom={zoom}&lat="), at(latitude), F.lit("&lon="), at(longitude))
+
+
+def parse_place(body: Column) -> Column:
+    """struct(locality, region, country) of an answer; nulls where it has no address."""
+    fields = ("city", "town", "village", "municipality", "hamlet", "state", "county", "province", "country")
+    return geo_fields(F.from_json(body, f"address struct<{', '.join(f'{x}: string' for x in fields)}>")["address"])
+
+
 def parse_titles(body: str) -> list[dict]:
     """(word, wikipedia_page, page_id, title) of each title in a query's answer; missing pages are rows too."""
     query = json.loads(body).get("query", {})
