@@ -145,7 +145,7 @@ def filter_urls(pages: DataFrame, rules: Sequence[Rule] = RULES, damping: float
     hosts = cut(urls.where("host <> ''").groupBy("host").agg(F.count("*").alias("n"), F.sum(F.when(F.col("said") == "allow", 1).otherwise(0)).alias("allowed"), F.sum(F.when(F.col("said") == "block", 1).otherwise(0)).alias("stopped")))
     share = lambda c: F.when(F.col(c) > SEED_SHARE * F.col("n"), F.col(c) / F.col("n")).otherwise(0.0)
     seeds = hosts.select("host", share("allowed").alias("trusted"), share("stopped").alias("blocked"))
-    standing = propagate(seeds, host_arcs(hosts.select("host"), page_links(pages, url_col, html_col)), damping, rounds)
+    standing = propagate(seeds, host_arcs(hosts.select("host"), cut(page_links(pages, url_col, html_col))), damping, rounds)
     sized = cut(hosts.select("host", "n").join(standing, "host"))
     total = sized.agg(F.sum("n")).first()[0] or 0
     bad = (F.col("distrust") > least) & (F.col("distrust") > F.col("trust"))
