@@ -82,3 +82,12 @@ def test_stream_equals_batch(spark, tmp_path):
     assert rows(spark.read.parquet(f"{tmp_path}/out").where("k <> 'end'")) == rows(counts.windowed_counts(e, "k"))
     with pytest.raises(Exception, match="."):
         counts.windowed_counts(e, "missing").count()
+
+
+def test_places_are_asked_for_and_parsed(spark):
+    at = spark.createDataFrame([(47.5, -8.456), (None, 1.0)], "lat double, lon double")
+    urls = [r[0] for r in at.select(enrich.reverse_url("http://x", F.col("lat"), F.col("lon"))).collect()]
+    assert urls[0] == "http://x?accept-language=en-US&format=json&zoom=13&lat=47.50&lon=-8.46"
+    bodies = [('{"address": {"village": "V", "city": "C", "county": "K", "country": "L"}}',), ('{"address": {"hamlet": "H", "town": "T"}}',), ('{"error": "Unable to geocode"}',), ("no json",), (None,)]
+    got = spark.createDataFrame(bodies, "b string").select(enrich.parse_place(F.col("b")).alias("p")).select("p.*").collect()
+    assert [tuple(r) for r in got] == [("C", "K", "L"), ("T", None, None)] + [(None, None, None)] * 3
