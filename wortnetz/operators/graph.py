@@ -386,7 +386,7 @@ def louvain(edges: DataFrame, small: int = SMALL_EDGES) -> DataFrame:
     if edges.limit(small + 1).count() <= small:
 
         def walk(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            rows = pd.concat(list(parts), ignore_index=True)
+            rows = pd.concat(list(parts), ignore_index=True).sort_values(["src", "dst"])  # so that sums of fractions have one order
             if len(rows):
                 found = louvain_local(rows["src"].tolist(), rows["dst"].tolist(), rows["weight"].tolist())
                 yield pd.DataFrame({"id": list(found), "community": list(found.values())})
@@ -401,7 +401,7 @@ def louvain(edges: DataFrame, small: int = SMALL_EDGES) -> DataFrame:
     label = _moved(plain, ids.count())
     merged = plain.join(label.toDF("src", "a"), "src").join(label.toDF("dst", "b"), "dst").groupBy(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).agg(F.sum("weight").alias("weight"))
     merged = stored(merged)
-    if merged.count() < plain.count():
+    if label.select("community").distinct().count() < label.count():
         upper = louvain(merged, small).select(F.col("id").alias("community"), F.col("community").alias("upper"))
         label = label.join(upper, "community").select("id", F.col("upper").alias("community"))
     return stored(ids.join(label.toDF("k", "community"), "k").select("id", "community"))

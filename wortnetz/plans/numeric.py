@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import graph, ingest, lexical, matrix, models, reshape, sampling, statistics
+from ..operators import graph, ingest, lexical, matrix, models, reshape, sampling, similarity, statistics
 from ..session import stored
 from ..sources import readers, writers
 from ..sources.enrich import LookupEnricher
@@ -212,6 +212,25 @@ def louvain_modularity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.modularity(edges, stored(graph.louvain(edges)))
 
 
+#: Cosine from which two targets are linked.
+ALIKE = 0.2
+
+
+def _alike(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return similarity.similar_rows(matrix.ppmi_joint(stored(_coo(spark, sf_dir))), ALIKE)
+
+
+def target_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many others each cue is linked to by its answers, and the sum of their cosines."""
+    return _rounded(similarity.link_counts(*_alike(spark, sf_dir)))
+
+
+def target_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The community of each cue in the graph of similar cues, and how often the cue is an answer."""
+    often = lexical.associations(answers(trials(spark, sf_dir))).groupBy(F.col("response").alias("row_id")).agg(F.sum("n").alias("frequency"))
+    return similarity.clusters(*_alike(spark, sf_dir)).join(often, "row_id", "left").select(F.col("row_id").alias("target"), "cluster", F.coalesce("frequency", F.lit(0)).alias("frequency"))
+
+
 def metric_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = graph.infer_edges(answers(trials(spark, sf_dir)), ["section"])
     m = graph.sizes(edges, ["section"]).join(graph.mean_strength(edges, ["section"]), "section").join(graph.mean_clustering(edges, ["section"]), "section")
@@ -279,7 +298,7 @@ def histogram_by_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.histogram(z.withColumn("long", F.length("word") > 6), "zipf", 50, 0.0, 10.0, ["long"]).withColumn("density", r6(F.col("density")))
 
 
-QUERIES = {f.__name__: f for f in (norms_full_join, rating_rescale, pearson_by_group, pearson_p_values, steiger_test, fisher_mean, perc_increase, kernel_density, cosine_counts, cosine_requested, ppmi_joint, ppmi_colmean, normalize_rows_l1, normalize_rows_l2, matrix_density, katz_series, katz_exact, spreading_activation, svd_embedding, l2_embedding, embedding_cosine, ridge_norms, r2_summary, edges_directed, edges_undirected, graph_counts, strength, clustering, components_weak, components_strong, largest_component, path_length, distances, lattice_edges, random_graph, modularity, louvain_modularity, metric_spread, graph_metrics, delimited_round_trip, vector_file, chunked_export, title_enrichment, stream_counts, histogram_by_flag)}
+QUERIES = {f.__name__: f for f in (norms_full_join, rating_rescale, pearson_by_group, pearson_p_values, steiger_test, fisher_mean, perc_increase, kernel_density, cosine_counts, cosine_requested, ppmi_joint, ppmi_colmean, normalize_rows_l1, normalize_rows_l2, matrix_density, katz_series, katz_exact, spreading_activation, svd_embedding, l2_embedding, embedding_cosine, ridge_norms, r2_summary, edges_directed, edges_undirected, graph_counts, strength, clustering, components_weak, components_strong, largest_component, path_length, distances, lattice_edges, random_graph, modularity, louvain_modularity, target_similarity, target_clusters, metric_spread, graph_metrics, delimited_round_trip, vector_file, chunked_export, title_enrichment, stream_counts, histogram_by_flag)}
 
 _XY = "x AS (SELECT lang, log10(n_chars) AS x, CAST(quality + doc_id % 7 AS DOUBLE) AS y FROM norms)"
 _R = "SELECT lang, count(*) AS n, corr(x, y) AS r FROM x GROUP BY lang"
@@ -290,6 +309,7 @@ _KATZ = _NORM + ", p0 AS MATERIALIZED (SELECT i, j, v * 0.75 AS v FROM g), w AS
 )
 _K = "SELECT i AS row_id, j AS col_id, round(v, 6) AS value FROM s7"
 _COS = "u AS (SELECT cue AS i, response AS k, n / sqrt(sum(n * n) OVER (PARTITION BY cue)) AS v FROM counts)"
+_PPMI_COS = "p AS (SELECT cue AS i, response AS k, log2(n * (sum(n) OVER ()) / (sum(n) OVER (PARTITION BY cue) * sum(n) OVER (PARTITION BY response))) AS v FROM counts), u AS (SELECT i, k, v / sqrt(sum(v * v) OVER (PARTITION BY i)) AS v FROM p WHERE v > 0), d AS (SELECT x.i, y.i AS j, sum(x.v * y.v) AS c FROM u x JOIN u y ON x.k = y.k AND x.i <> y.i GROUP BY 1, 2 HAVING round(sum(x.v * y.v), 9) >= 0.2)"
 _SIMPLE = "e AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM edges_key WHERE src <> dst), n AS (SELECT a AS v, b AS w FROM e UNION ALL SELECT b, a FROM e), d AS (SELECT v, count(*) AS degree FROM n GROUP BY v), tr AS (SELECT x.v, count(*) AS triangles FROM n x JOIN n y ON x.v = y.v AND x.w < y.w JOIN e ON e.a = x.w AND e.b = y.w GROUP BY x.v), vs AS (SELECT src AS id FROM edges_key UNION SELECT dst FROM edges_key)"
 _ARCS = "len AS (SELECT src, dst, (SELECT max(weight) + 1 FROM edges) - weight AS l FROM edges WHERE src <> dst), vs AS (SELECT src AS id FROM edges UNION SELECT dst FROM edges), arc AS (SELECT src, dst, min(l) AS l FROM (SELECT * FROM len UNION ALL SELECT dst, src, l FROM len) x GROUP BY 1, 2), d0 AS (SELECT a.id AS a, b.id AS b, CASE WHEN a.id = b.id THEN 0 ELSE arc.l END AS d FROM vs a CROSS JOIN vs b LEFT JOIN arc ON src = a.id AND dst = b.id)" + "".join(f", d{k} AS (SELECT x.a, y.b, min(x.d + y.d) AS d FROM d{k - 1} x JOIN d{k - 1} y ON x.b = y.a WHERE x.d IS NOT NULL AND y.d IS NOT NULL GROUP BY 1, 2)" for k in range(1, 7))
 _BY_SECTION = "s AS (SELECT section, cue AS src, response AS dst, count(*) AS weight FROM answers WHERE response IS NOT NULL AND (section, response) IN (SELECT (section, cue) FROM answers) GROUP BY 1, 2, 3), e AS (SELECT DISTINCT section, least(src, dst) AS a, greatest(src, dst) AS b FROM s WHERE src <> dst), n AS (SELECT section, a AS v, b AS w FROM e UNION ALL SELECT section, b, a FROM e), d AS (SELECT section, v, count(*) AS degree FROM n GROUP BY 1, 2), tr AS (SELECT x.section, x.v, count(*) AS t FROM n x JOIN n y ON x.section = y.section AND x.v = y.v AND x.w < y.w JOIN e ON e.section = x.section AND e.a = x.w AND e.b = y.w GROUP BY 1, 2), cc AS (SELECT section, avg(2 * coalesce(t, 0) / (degree * (degree - 1))) AS cc FROM d LEFT JOIN tr USING (section, v) WHERE degree > 1 GROUP BY 1), vs AS (SELECT section, src AS id FROM s UNION SELECT section, dst FROM s), k AS (SELECT section, count(*) AS n_nodes FROM vs GROUP BY 1), m AS (SELECT section, n_nodes, count(*) AS n_edges, 2 * sum(weight) / n_nodes AS st, cc FROM s JOIN k USING (section) JOIN cc USING (section) GROUP BY section, n_nodes, cc)"
@@ -326,6 +346,7 @@ SQL = {
     "lattice_edges": sql("edges_key", "SELECT i AS src, i + k AS dst FROM (SELECT i, unnest(range(1, 43)) AS k, n FROM (SELECT n, unnest(range(0, n)) AS i FROM vn) a) b WHERE i + k < n", more="vn AS (SELECT count(*) AS n FROM (SELECT src FROM edges_key UNION SELECT dst FROM edges_key) v)"),
     "random_graph": sql("edges_key", "SELECT count(*) AS n_edges, CAST(sum(weight) AS BIGINT) AS total_weight FROM edges_key"),
     "modularity": sql("edges_key", "SELECT round((SELECT sum(weight) FROM edges_key WHERE src % 7 = dst % 7) / (SELECT sum(weight) FROM edges_key) - sum(pow(s / (2 * (SELECT sum(weight) FROM edges_key)), 2)), 6) AS modularity FROM (SELECT id % 7 AS c, sum(weight) AS s FROM (SELECT src AS id, weight FROM edges_key UNION ALL SELECT dst, weight FROM edges_key) x GROUP BY 1) y"),
+    "target_similarity": sql("counts", "SELECT row_id, count(c) AS n_links, round(coalesce(sum(c), 0), 6) AS strength FROM (SELECT DISTINCT i AS row_id FROM u) a LEFT JOIN d ON d.i = row_id GROUP BY row_id", more=_PPMI_COS),
     "metric_spread": sql("answers", "SELECT round(a, 6) AS n_nodes, round(b, 6) AS n_edges, round(c, 6) AS avg_strength, round(d, 6) AS avg_local_cc, round(greatest(a, b, c, d), 6) AS largest FROM (SELECT 1 - min(n_nodes) / max(n_nodes) AS a, 1 - min(n_edges) / max(n_edges) AS b, 1 - min(st) / max(st) AS c, 1 - min(cc) / max(cc) AS d FROM m) x", more=_BY_SECTION),
     "graph_metrics": sql("edges", "SELECT (SELECT count(*) FROM vs) AS n_nodes, (SELECT count(*) FROM edges) AS n_edges, count(*) AS n_components, max(size) AS n_giant_component, (SELECT round(2 * sum(weight) / (SELECT count(*) FROM vs), 6) FROM edges) AS avg_strength, (SELECT round(avg(2 * coalesce(triangles, 0) / (degree * (degree - 1))), 6) FROM d LEFT JOIN tr USING (v) WHERE degree > 1) AS avg_local_cc, (SELECT round(avg(d), 6) FROM d6) AS aspl FROM (SELECT c, count(*) AS size FROM (SELECT x, min(y) AS c FROM r GROUP BY x) y GROUP BY c) z", True, _ARCS + ", " + _SIMPLE.replace("edges_key", "edges").rpartition(", vs AS")[0] + ", bb AS (SELECT src AS x, dst AS y FROM edges UNION SELECT dst, src FROM edges), r(x, y) AS (SELECT x, x FROM bb UNION SELECT r.x, bb.y FROM r JOIN bb ON r.y = bb.x)"),
     "delimited_round_trip": "SELECT o_orderkey, CASE WHEN o_orderkey % 5 > 0 THEN o_orderpriority END AS priority, CAST(printf('%.2f', o_totalprice) AS DOUBLE) AS price FROM orders",
