@@ -114,11 +114,22 @@ def spreading_activation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(matrix.spreading_activation(_coo(spark, sf_dir), _asked(spark, sf_dir)))
 
 
-def svd_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cosines, which do not depend on signs, of all pairs asked for, in an embedding of 300 dimensions or the rank."""
-    unit = stored(matrix.l2_normalize(matrix.svd_embedding(matrix.ppmi_joint(_coo(spark, sf_dir)), 300)))
+def _embedded(spark: SparkSession, sf_dir: str, least: int) -> DataFrame:
+    counts = matrix.counts_matrix(lexical.associations(answers(trials(spark, sf_dir))), least=least)
+    unit = stored(matrix.l2_normalize(matrix.svd_embedding(matrix.ppmi_joint(counts), 300)))
     end = lambda c, v: unit.select(F.col("word").alias(c), F.col("vec").alias(v))
-    return _rounded(_asked(spark, sf_dir).join(end("a", "x"), "a").join(end("b", "y"), "b").select("a", "b", matrix.dot("x", "y").alias("cosine")))
+    return _rounded(_asked(spark, sf_dir).join(end("a", "x"), "a").join(end("b", "y"), "b").select("a", "b", matrix.dot("x", "y").alias("cosine"))).withColumn("cosine", F.col("cosine") + 0.0)  # no negative zeros
+
+
+def svd_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cosines, which do not depend on signs, of all pairs asked for, in an embedding of 300 dimensions or the rank. Where the rank
+    is lower, they are those of the whole rows, which SQL can tell."""
+    return _embedded(spark, sf_dir, 1)
+
+
+def embedding_least_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from associations given five times or more."""
+    return _embedded(spark, sf_dir, 5)
 
 
 def l2_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -298,7 +309,7 @@ def histogram_by_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.histogram(z.withColumn("long", F.length("word") > 6), "zipf", 50, 0.0, 10.0, ["long"]).withColumn("density", r6(F.col("density")))
 
 
-QUERIES = {f.__name__: f for f in (norms_full_join, rating_rescale, pearson_by_group, pearson_p_values, steiger_test, fisher_mean, perc_increase, kernel_density, cosine_counts, cosine_requested, ppmi_joint, ppmi_colmean, normalize_rows_l1, normalize_rows_l2, matrix_density, katz_series, katz_exact, spreading_activation, svd_embedding, l2_embedding, embedding_cosine, ridge_norms, r2_summary, edges_directed, edges_undirected, graph_counts, strength, clustering, components_weak, components_strong, largest_component, path_length, distances, lattice_edges, random_graph, modularity, louvain_modularity, target_similarity, target_clusters, metric_spread, graph_metrics, delimited_round_trip, vector_file, chunked_export, title_enrichment, stream_counts, histogram_by_flag)}
+QUERIES = {f.__name__: f for f in (norms_full_join, rating_rescale, pearson_by_group, pearson_p_values, steiger_test, fisher_mean, perc_increase, kernel_density, cosine_counts, cosine_requested, ppmi_joint, ppmi_colmean, normalize_rows_l1, normalize_rows_l2, matrix_density, katz_series, katz_exact, spreading_activation, svd_embedding, embedding_least_count, l2_embedding, embedding_cosine, ridge_norms, r2_summary, edges_directed, edges_undirected, graph_counts, strength, clustering, components_weak, components_strong, largest_component, path_length, distances, lattice_edges, random_graph, modularity, louvain_modularity, target_similarity, target_clusters, metric_spread, graph_metrics, delimited_round_trip, vector_file, chunked_export, title_enrichment, stream_counts, histogram_by_flag)}
 
 _XY = "x AS (SELECT lang, log10(n_chars) AS x, CAST(quality + doc_id % 7 AS DOUBLE) AS y FROM norms)"
 _R = "SELECT lang, count(*) AS n, corr(x, y) AS r FROM x GROUP BY lang"
@@ -310,6 +321,15 @@ _KATZ = _NORM + ", p0 AS MATERIALIZED (SELECT i, j, v * 0.75 AS v FROM g), w AS
 _K = "SELECT i AS row_id, j AS col_id, round(v, 6) AS value FROM s7"
 _COS = "u AS (SELECT cue AS i, response AS k, n / sqrt(sum(n * n) OVER (PARTITION BY cue)) AS v FROM counts)"
 _PPMI_COS = "p AS (SELECT cue AS i, response AS k, log2(n * (sum(n) OVER ()) / (sum(n) OVER (PARTITION BY cue) * sum(n) OVER (PARTITION BY response))) AS v FROM counts), u AS (SELECT i, k, v / sqrt(sum(v * v) OVER (PARTITION BY i)) AS v FROM p WHERE v > 0), d AS (SELECT x.i, y.i AS j, sum(x.v * y.v) AS c FROM u x JOIN u y ON x.k = y.k AND x.i <> y.i GROUP BY 1, 2 HAVING round(sum(x.v * y.v), 9) >= 0.2)"
+
+
+def _svd(least: int) -> str:
+    """Of rows whose rank is below the number of dimensions."""
+    ppmi = f"p AS (SELECT cue AS i, response AS k, log2(n * (sum(n) OVER ()) / (sum(n) OVER (PARTITION BY cue) * sum(n) OVER (PARTITION BY response))) AS v FROM counts WHERE n >= {least}), u AS (SELECT i, k, v / sqrt(sum(v * v) OVER (PARTITION BY i)) AS v FROM p WHERE v > 0)"
+    pairs = "SELECT DISTINCT q.p_name AS a, r.p_name AS b FROM part q JOIN part r ON r.p_partkey = q.p_partkey + 1 WHERE q.p_name IN (SELECT i FROM u) AND r.p_name IN (SELECT i FROM u)"
+    return sql("counts", f"SELECT p.a, p.b, round(coalesce(sum(x.v * y.v), 0), 6) + 0 AS cosine FROM ({pairs}) p LEFT JOIN u x ON x.i = p.a LEFT JOIN u y ON y.i = p.b AND y.k = x.k GROUP BY 1, 2", more=ppmi)
+
+
 _SIMPLE = "e AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM edges_key WHERE src <> dst), n AS (SELECT a AS v, b AS w FROM e UNION ALL SELECT b, a FROM e), d AS (SELECT v, count(*) AS degree FROM n GROUP BY v), tr AS (SELECT x.v, count(*) AS triangles FROM n x JOIN n y ON x.v = y.v AND x.w < y.w JOIN e ON e.a = x.w AND e.b = y.w GROUP BY x.v), vs AS (SELECT src AS id FROM edges_key UNION SELECT dst FROM edges_key)"
 _ARCS = "len AS (SELECT src, dst, (SELECT max(weight) + 1 FROM edges) - weight AS l FROM edges WHERE src <> dst), vs AS (SELECT src AS id FROM edges UNION SELECT dst FROM edges), arc AS (SELECT src, dst, min(l) AS l FROM (SELECT * FROM len UNION ALL SELECT dst, src, l FROM len) x GROUP BY 1, 2), d0 AS (SELECT a.id AS a, b.id AS b, CASE WHEN a.id = b.id THEN 0 ELSE arc.l END AS d FROM vs a CROSS JOIN vs b LEFT JOIN arc ON src = a.id AND dst = b.id)" + "".join(f", d{k} AS (SELECT x.a, y.b, min(x.d + y.d) AS d FROM d{k - 1} x JOIN d{k - 1} y ON x.b = y.a WHERE x.d IS NOT NULL AND y.d IS NOT NULL GROUP BY 1, 2)" for k in range(1, 7))
 _BY_SECTION = "s AS (SELECT section, cue AS src, response AS dst, count(*) AS weight FROM answers WHERE response IS NOT NULL AND (section, response) IN (SELECT (section, cue) FROM answers) GROUP BY 1, 2, 3), e AS (SELECT DISTINCT section, least(src, dst) AS a, greatest(src, dst) AS b FROM s WHERE src <> dst), n AS (SELECT section, a AS v, b AS w FROM e UNION ALL SELECT section, b, a FROM e), d AS (SELECT section, v, count(*) AS degree FROM n GROUP BY 1, 2), tr AS (SELECT x.section, x.v, count(*) AS t FROM n x JOIN n y ON x.section = y.section AND x.v = y.v AND x.w < y.w JOIN e ON e.section = x.section AND e.a = x.w AND e.b = y.w GROUP BY 1, 2), cc AS (SELECT section, avg(2 * coalesce(t, 0) / (degree * (degree - 1))) AS cc FROM d LEFT JOIN tr USING (section, v) WHERE degree > 1 GROUP BY 1), vs AS (SELECT section, src AS id FROM s UNION SELECT section, dst FROM s), k AS (SELECT section, count(*) AS n_nodes FROM vs GROUP BY 1), m AS (SELECT section, n_nodes, count(*) AS n_edges, 2 * sum(weight) / n_nodes AS st, cc FROM s JOIN k USING (section) JOIN cc USING (section) GROUP BY section, n_nodes, cc)"
@@ -330,6 +350,8 @@ SQL = {
     "matrix_density": sql("counts", "SELECT count(*) AS nnz, count(DISTINCT cue) AS n_rows, count(DISTINCT response) AS n_cols, round(count(*) / (count(DISTINCT cue) * count(DISTINCT response)), 6) AS density FROM counts"),
     "katz_series": sql("counts", _K, more=_KATZ),
     "katz_exact": sql("counts", _K, more=_KATZ),
+    "svd_embedding": _svd(1),
+    "embedding_least_count": _svd(5),
     "l2_embedding": "SELECT vec_id, CAST(k - 1 AS INTEGER) AS k, round(v[k] / n, 6) AS x FROM (SELECT vec_id, v, unnest(range(1, len(v) + 1)) AS k, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS n FROM (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE) * 3) AS v FROM embeddings) a) b",
     "embedding_cosine": "SELECT query, vec_id, cosine FROM (SELECT *, rank() OVER (PARTITION BY query ORDER BY cosine DESC) AS r FROM (SELECT q.vec_id AS query, e.vec_id, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), 6) AS cosine FROM embeddings q JOIN embeddings e ON q.vec_id % 100 = 0 AND q.vec_id <> e.vec_id) a) b WHERE r <= 5",
     "r2_summary": sql("norms", "SELECT lang, round(avg(rsq), 6) AS mean_rsq, round(min(rsq), 6) AS min_rsq, round(max(rsq), 6) AS max_rsq FROM (SELECT lang, source, avg(quality) AS rsq FROM norms GROUP BY 1, 2) x GROUP BY lang"),
