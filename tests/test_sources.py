@@ -91,3 +91,9 @@ def test_places_are_asked_for_and_parsed(spark):
     bodies = [('{"address": {"village": "V", "city": "C", "county": "K", "country": "L"}}',), ('{"address": {"hamlet": "H", "town": "T"}}',), ('{"error": "Unable to geocode"}',), ("no json",), (None,)]
     got = spark.createDataFrame(bodies, "b string").select(enrich.parse_place(F.col("b")).alias("p")).select("p.*").collect()
     assert [tuple(r) for r in got] == [("C", "K", "L"), ("T", None, None)] + [(None, None, None)] * 3
+
+
+def test_vector_answers_are_stacked_in_order(spark):
+    rows = [(["b", "a"], "[[1, 2.5], [-3e-1, 4]]"), (["c", "d"], "[[1, 2]]"), (["e"], "no json"), (["f"], None), ([], "[]")]
+    got = {r["word"]: r["vec"] for r in enrich.vector_answers(spark.createDataFrame(rows, "inputs array<string>, body string")).collect()}
+    assert got == {"b": [1.0, 2.5], "a": [-0.3, 4.0], "c": None, "d": None, "e": None, "f": None}

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions import nulls, scalars, text
-from ..operators import graph, ingest, lexical, reshape, sampling, spelling, statistics
+from ..operators import graph, ingest, lexical, matrix, reshape, sampling, spelling, statistics
 from ..sources import enrich, readers, writers
 from .fixtures import answers, dictionary, load, norms, participants, r6, sql, trials, trials_key, words
 from .numeric import _out
@@ -155,6 +155,14 @@ def vector_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return enrich.vector_requests(words(spark, sf_dir), "word", "model")
 
 
+def vector_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors that came as JSON bodies of 50 words each, in one table, at length one."""
+    e = load(spark, sf_dir, "embeddings").select(F.concat(F.lit("w"), "vec_id").alias("word"), F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    per = sampling.chunks(e, 50, "word").groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("word", "v"))).alias("a"))
+    got = enrich.vector_answers(per.select(F.col("a.word").alias("inputs"), F.to_json("a.v").alias("body")))
+    return matrix.l2_normalize(got).select("word", F.posexplode("vec").alias("k", "x")).withColumn("x", F.round("x", 6) + 0.0)
+
+
 def title_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The addresses of title queries for all words, 50 each."""
     w = sampling.chunks(words(spark, sf_dir).select("word").distinct(), 50, "word")
@@ -176,10 +184,11 @@ def geo_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return participants(spark, sf_dir).select("id_p", enrich.parse_place(body).alias("g")).select("id_p", "g.*")
 
 
-QUERIES = {f.__name__: f for f in (title_requests, geo_requests, geo_answers, combine_answers, left_join_clashing, right_join, custom_words, log_frequency_tests, lattice_weighted, column_file, guessed_separator, latin_report, two_row_report, stacked_tables, unique_of_two, selected_columns, bound_columns, bound_present, first_removed, chat_requests, vector_requests)}
+QUERIES = {f.__name__: f for f in (title_requests, geo_requests, geo_answers, combine_answers, left_join_clashing, right_join, custom_words, log_frequency_tests, lattice_weighted, column_file, guessed_separator, latin_report, two_row_report, stacked_tables, unique_of_two, selected_columns, bound_columns, bound_present, first_removed, chat_requests, vector_requests, vector_answers)}
 
 _CODE = lambda codes: "CASE " + " ".join(f"WHEN {a} THEN '{b}'" for a, b in codes) + " END"
 SQL = {
+    "vector_answers": "SELECT 'w' || vec_id AS word, CAST(k - 1 AS INTEGER) AS k, round(v[k] / n, 6) + 0 AS x FROM (SELECT vec_id, v, unnest(range(1, len(v) + 1)) AS k, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS n FROM (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings) a) b",
     "title_requests": sql("words", """SELECT chunk, 'https://titles.example/api?action=query&format=json&redirects=1&titles=' || url_encode(string_agg(word, '|' ORDER BY word)) AS url
 FROM (SELECT word, CAST((row_number() OVER (ORDER BY word) - 1) // 50 + 1 AS BIGINT) AS chunk FROM (SELECT DISTINCT word FROM words) a) b GROUP BY chunk"""),
     "geo_requests": sql("participants", """SELECT lat, lon, 'https://places.example/reverse?accept-language=en-US&format=json&zoom=13&lat=' || printf('%.2f', lat / 100) || '&lon=' || printf('%.2f', lon / 100) AS url

@@ -86,6 +86,17 @@ def vector_requests(df: DataFrame, column: str, model: str, size: int = 50, pref
     return w.groupBy("chunk").agg(F.to_json(F.struct(F.lit(model).alias("model"), inputs.alias("input"))).alias("body"))
 
 
+def vector_answers(df: DataFrame, inputs: str = "inputs", body: str = "body") -> DataFrame:
+    """(word, vec): the vectors of all answers in one table; the k-th of a body belongs to the k-th word it was asked for.
+
+    A body that cannot be read, or holds another number of vectors than there are words, gives its words null.
+    """
+    found = F.from_json(F.col(body), "array<array<double>>")
+    fitting = F.coalesce(F.when(F.size(found) == F.size(inputs), found), F.array().cast("array<array<double>>"))
+    # zipped before rows are made, so that a body is parsed once, not once a word
+    return df.select(F.explode(F.zip_with(inputs, fitting, lambda w, v: F.struct(w.alias("word"), v.alias("vec")))).alias("r")).select("r.word", "r.vec")
+
+
 class Secret:
     """A key that stands in an environment variable; it is read when it is needed and never shown or stored."""
 
