@@ -222,6 +222,24 @@ def test_communities_and_controls(spark):
     assert "modularity" in graph.graph_metrics(g, directed=False).columns
 
 
+def test_random_graph_draws_distinct_pairs(spark):
+    for n in (2, 3, 7):  # all ranks give all pairs, each once
+        got = [(r["p"], r["q"]) for r in graph.permuted_pairs(spark.range(n * (n - 1)), "id", n, 5).collect()]
+        assert sorted(got) == [(p, q) for p in range(n) for q in range(n) if p != q]
+    n, m = 100, 3000
+    ring = [(k % n, (k % n + 1 + k // n) % n, k) for k in range(m)]
+    g = stored(spark.createDataFrame(ring, "src long, dst long, weight long"))
+    r = stored(graph.random_graph(g, 3))
+    got = rows(r)
+    assert len(got) == len({x[:2] for x in got}) == m and all(a != b for a, b, _ in got) and sorted(w for *_, w in got) == list(range(m))
+    for end in (0, 1):  # degrees of m draws from n vertices: mean 30, standard deviation below 5.5
+        degree = np.bincount([x[end] for x in got], minlength=n)
+        assert degree.min() > 8 and degree.max() < 55 and 3 < degree.std() < 7
+    assert sorted(rows(graph.random_graph(g.repartition(7), 3))) == sorted(got) and sorted(rows(graph.random_graph(g, 4))) != sorted(got)
+    with pytest.raises(ValueError):
+        graph.random_graph(spark.createDataFrame([(1, 1, 1), (1, 2, 1), (2, 1, 1)], "src long, dst long, weight long"), 1)
+
+
 def test_statistics(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(size=200)

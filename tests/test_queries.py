@@ -20,7 +20,7 @@ def test_flagship(spark):
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
-@pytest.mark.parametrize("name", ["participant_scores", "coverage_cutoff", "multiword", "components_strong", "edges_undirected"])
+@pytest.mark.parametrize("name", ["random_graph", "participant_scores", "coverage_cutoff", "multiword", "components_strong", "edges_undirected"])
 def test_against_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()

@@ -430,28 +430,35 @@ def _moved(plain: DataFrame, n: int) -> DataFrame:
     return label
 
 
-def random_graph(edges: DataFrame, seed: int) -> DataFrame:
-    """G(n, m) without loops on the same vertices, with the same weights dealt out anew.
+#: Rounds of the permutation of pairs.
+PAIR_ROUNDS = 6
 
-    Candidates are pairs of numbers drawn by hash, 3 m + 64 of them, or all pairs of a dense graph; the distinct ones' first m
-    in the order of a digest.
-    """
+
+def permuted_pairs(ranks: DataFrame, rank: str, n: int, seed: int) -> DataFrame:
+    """ranks with p and q, the pair of two different numbers below n that a keyed permutation of all n * (n - 1) pairs puts at
+    a rank (from 0): different ranks have different pairs, so the first m ranks are a draw of m pairs without a pool or a
+    distinct. A Feistel network over the sides n and n - 1, which adds digests in turn to one side; q skips p."""
+    out = ranks.withColumn("p", F.col(rank) % n).withColumn("q", F.floor(F.col(rank) / n))
+    for turn in range(PAIR_ROUNDS):
+        to, by, side = ("p", "q", n) if turn % 2 == 0 else ("q", "p", n - 1)
+        digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit(str(turn)), F.col(by).cast("string")))
+        out = out.withColumn(to, (F.col(to) + F.conv(F.substring(digest, 1, 12), 16, 10).cast("long")) % side)
+    return out.withColumn("q", F.col("q") + F.when(F.col("q") >= F.col("p"), 1).otherwise(0))
+
+
+def random_graph(edges: DataFrame, seed: int) -> DataFrame:
+    """Uniform G(n, m), directed and without loops, on the same vertices; the k-th edge (by src, dst) lends its weight to the
+    k-th pair of a permutation of all pairs. Two joins deal out the vertices' names; nothing else moves."""
     from .sampling import numbered
 
     names = stored(numbered(vertices(edges), "id", name="i"))
     n, m = names.count(), edges.count()
     if m > n * (n - 1):
         raise ValueError("more edges than pairs")
-    if 2 * m > n * (n - 1):
-        pool = names.select(F.col("i").alias("p"), F.explode(F.sequence(F.lit(1), F.lit(n))).alias("q"))
-    else:
-        slot = lambda k: (F.pmod(F.xxhash64(F.lit(seed), F.lit(k), "id"), F.lit(n)) + 1)
-        pool = edges.sparkSession.range(3 * m + 64).select(slot(1).alias("p"), slot(2).alias("q"))
-    pairs = pool.where("p <> q").distinct().orderBy(F.xxhash64(F.lit(seed), "p", "q"), "p", "q").limit(m)
-    pairs = numbered(pairs, F.xxhash64(F.lit(seed), "p", "q"), "p", "q", name="k")
-    weights = numbered(edges.select("weight", F.xxhash64(F.lit(seed), "src", "dst").alias("h"), "src", "dst"), "h", "src", "dst", name="k").select("k", "weight")
-    end = lambda i, c: names.select(F.col("i").alias(i), F.col("id").alias(c))
-    return pairs.join(weights, "k").join(end("p", "src"), "p").join(end("q", "dst"), "q").select("src", "dst", "weight")
+    ranks = numbered(edges.select("src", "dst", "weight"), "src", "dst", name="k").select((F.col("k") - 1).alias("k"), "weight")
+    pairs = permuted_pairs(ranks, "k", n, seed)
+    end = lambda i, c: names.select((F.col("i") - 1).alias(i), F.col("id").alias(c))
+    return pairs.join(end("p", "src"), "p").join(end("q", "dst"), "q").select("src", "dst", "weight")
 
 
 def lattice(spark, n: int, nei: int) -> DataFrame:

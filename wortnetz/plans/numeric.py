@@ -208,8 +208,8 @@ def lattice_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def random_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Measures of a random graph that do not depend on the draw."""
-    return graph.sizes(graph.random_graph(graph.infer_edges(answers(trials_key(spark, sf_dir))), 1984)).select("n_edges", "total_weight")
+    """As many edges as the graph of part keys has, between pairs drawn by a keyed permutation."""
+    return graph.random_graph(stored(graph.infer_edges(answers(trials_key(spark, sf_dir)))), 1984)
 
 
 def modularity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -330,6 +330,11 @@ def _svd(least: int) -> str:
     return sql("counts", f"SELECT p.a, p.b, round(coalesce(sum(x.v * y.v), 0), 6) + 0 AS cosine FROM ({pairs}) p LEFT JOIN u x ON x.i = p.a LEFT JOIN u y ON y.i = p.b AND y.k = x.k GROUP BY 1, 2", more=ppmi)
 
 
+#: The permutation of pairs, a round each.
+_PAIRS = "vn AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS i FROM (SELECT src AS id FROM edges_key UNION SELECT dst FROM edges_key) v), m AS (SELECT count(*) AS n FROM vn), q0 AS (SELECT k % n AS p, k // n AS q, weight, n FROM (SELECT row_number() OVER (ORDER BY src, dst) - 1 AS k, weight FROM edges_key) e CROSS JOIN m)" + "".join(
+    f", q{t + 1} AS (SELECT {a} AS p, {b} AS q, weight, n FROM q{t})"
+    for t, (a, b) in enumerate((f"(p + CAST('0x' || substr(md5('1984:{t}:' || q), 1, 12) AS BIGINT)) % n", "q") if t % 2 == 0 else ("p", f"(q + CAST('0x' || substr(md5('1984:{t}:' || p), 1, 12) AS BIGINT)) % (n - 1)") for t in range(graph.PAIR_ROUNDS))
+)
 _SIMPLE = "e AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM edges_key WHERE src <> dst), n AS (SELECT a AS v, b AS w FROM e UNION ALL SELECT b, a FROM e), d AS (SELECT v, count(*) AS degree FROM n GROUP BY v), tr AS (SELECT x.v, count(*) AS triangles FROM n x JOIN n y ON x.v = y.v AND x.w < y.w JOIN e ON e.a = x.w AND e.b = y.w GROUP BY x.v), vs AS (SELECT src AS id FROM edges_key UNION SELECT dst FROM edges_key)"
 _ARCS = "len AS (SELECT src, dst, (SELECT max(weight) + 1 FROM edges) - weight AS l FROM edges WHERE src <> dst), vs AS (SELECT src AS id FROM edges UNION SELECT dst FROM edges), arc AS (SELECT src, dst, min(l) AS l FROM (SELECT * FROM len UNION ALL SELECT dst, src, l FROM len) x GROUP BY 1, 2), d0 AS (SELECT a.id AS a, b.id AS b, CASE WHEN a.id = b.id THEN 0 ELSE arc.l END AS d FROM vs a CROSS JOIN vs b LEFT JOIN arc ON src = a.id AND dst = b.id)" + "".join(f", d{k} AS (SELECT x.a, y.b, min(x.d + y.d) AS d FROM d{k - 1} x JOIN d{k - 1} y ON x.b = y.a WHERE x.d IS NOT NULL AND y.d IS NOT NULL GROUP BY 1, 2)" for k in range(1, 7))
 _BY_SECTION = "s AS (SELECT section, cue AS src, response AS dst, count(*) AS weight FROM answers WHERE response IS NOT NULL AND (section, response) IN (SELECT (section, cue) FROM answers) GROUP BY 1, 2, 3), e AS (SELECT DISTINCT section, least(src, dst) AS a, greatest(src, dst) AS b FROM s WHERE src <> dst), n AS (SELECT section, a AS v, b AS w FROM e UNION ALL SELECT section, b, a FROM e), d AS (SELECT section, v, count(*) AS degree FROM n GROUP BY 1, 2), tr AS (SELECT x.section, x.v, count(*) AS t FROM n x JOIN n y ON x.section = y.section AND x.v = y.v AND x.w < y.w JOIN e ON e.section = x.section AND e.a = x.w AND e.b = y.w GROUP BY 1, 2), cc AS (SELECT section, avg(2 * coalesce(t, 0) / (degree * (degree - 1))) AS cc FROM d LEFT JOIN tr USING (section, v) WHERE degree > 1 GROUP BY 1), vs AS (SELECT section, src AS id FROM s UNION SELECT section, dst FROM s), k AS (SELECT section, count(*) AS n_nodes FROM vs GROUP BY 1), m AS (SELECT section, n_nodes, count(*) AS n_edges, 2 * sum(weight) / n_nodes AS st, cc FROM s JOIN k USING (section) JOIN cc USING (section) GROUP BY section, n_nodes, cc)"
@@ -366,7 +371,7 @@ SQL = {
     "path_length": sql("edges", "SELECT round(avg(d), 6) AS aspl FROM d6", more=_ARCS),
     "distances": sql("edges", "SELECT a, CAST(sum(d) AS BIGINT) AS total, max(d) AS eccentricity FROM d6 GROUP BY a", more=_ARCS),
     "lattice_edges": sql("edges_key", "SELECT i AS src, i + k AS dst FROM (SELECT i, unnest(range(1, 43)) AS k, n FROM (SELECT n, unnest(range(0, n)) AS i FROM vn) a) b WHERE i + k < n", more="vn AS (SELECT count(*) AS n FROM (SELECT src FROM edges_key UNION SELECT dst FROM edges_key) v)"),
-    "random_graph": sql("edges_key", "SELECT count(*) AS n_edges, CAST(sum(weight) AS BIGINT) AS total_weight FROM edges_key"),
+    "random_graph": sql("edges_key", f"SELECT x.id AS src, y.id AS dst, weight FROM q{graph.PAIR_ROUNDS} JOIN vn x ON x.i = p JOIN vn y ON y.i = CASE WHEN q >= p THEN q + 1 ELSE q END", more=_PAIRS),
     "modularity": sql("edges_key", "SELECT round((SELECT sum(weight) FROM edges_key WHERE src % 7 = dst % 7) / (SELECT sum(weight) FROM edges_key) - sum(pow(s / (2 * (SELECT sum(weight) FROM edges_key)), 2)), 6) AS modularity FROM (SELECT id % 7 AS c, sum(weight) AS s FROM (SELECT src AS id, weight FROM edges_key UNION ALL SELECT dst, weight FROM edges_key) x GROUP BY 1) y"),
     "target_similarity": sql("counts", "SELECT row_id, count(c) AS n_links, round(coalesce(sum(c), 0), 6) AS strength FROM (SELECT DISTINCT i AS row_id FROM u) a LEFT JOIN d ON d.i = row_id GROUP BY row_id", more=_PPMI_COS),
     "metric_spread": sql("answers", "SELECT round(a, 6) AS n_nodes, round(b, 6) AS n_edges, round(c, 6) AS avg_strength, round(d, 6) AS avg_local_cc, round(greatest(a, b, c, d), 6) AS largest FROM (SELECT 1 - min(n_nodes) / max(n_nodes) AS a, 1 - min(n_edges) / max(n_edges) AS b, 1 - min(st) / max(st) AS c, 1 - min(cc) / max(cc) AS d FROM m) x", more=_BY_SECTION),
