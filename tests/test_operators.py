@@ -268,6 +268,83 @@ def test_ridge(spark):
     assert row["ci_lower"] < row["rsq"] < row["ci_upper"]
 
 
+def test_ridge_grid_equals_its_cells(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(400, 5))
+    y = np.column_stack([x @ [1.0, -2.0, 0.5, 0.0, 0.0], x @ [0.0, 0.0, 0.0, 1.0, 1.0]]) + rng.normal(size=(400, 2)) * 0.5
+    data = [(i, x[i].tolist(), float(y[i, 0]) if i % 3 else None, float(y[i, 1]) if i % 7 else None, None) for i in range(400)] + [(999, None, 1.0, 1.0, None)]
+    df = spark.createDataFrame(data, "id long, v array<double>, a double, b double, none double").repartition(5)
+    sets = {"head": [0, 1], "tail": [4, 2, 3], "all": range(5)}
+    options = {"penalties": (1e-6, 0.1, 1.0), "folds": 4}
+    grid = models.ridge_grid(df, ["a", "b", "none"], sets, "v", "id", **options)
+    got = {}
+    for r in grid.collect():
+        got.setdefault((r["word_property"], r["data"], r["penalty"]), {})[r["id"]] = (r["label"], r["prediction"])
+    want = {}
+    for prop in ("a", "b"):
+        for name, places in sets.items():
+            cut = df.withColumn("v", F.when(F.col("v").isNotNull(), F.array(*(F.get("v", F.lit(p)) for p in places))))
+            predictions, penalty = models.ridge_cv(cut, prop, "v", "id", **options)
+            want[prop, name, penalty] = {r["id"]: (r["label"], r["prediction"]) for r in predictions.collect()}
+    assert got.keys() == want.keys() and len(want) == 6
+    for cell in want:
+        assert got[cell].keys() == want[cell].keys() and all(np.allclose(got[cell][k], v) for k, v in want[cell].items())
+    table = {(r["word_property"], r["data"]): r for r in models.ridge_table(df, ["a", "b", "none"], sets, "v", "id", 50, **options).collect()}
+    assert len(table) == 6 and table["a", "head"]["rsq"] > 0.7 > table["a", "tail"]["rsq"] and table["b", "tail"]["rsq"] > 0.7 > table["b", "head"]["rsq"]
+    assert all(r["ci_lower"] <= r["ci_upper"] for r in table.values())
+    none = df.where("id < 0")
+    assert models.ridge_grid(none, ["a"], sets, "v", "id").count() == models.ridge_table(none, ["a"], sets, "v", "id", 5).count() == 0
+
+
+def test_chosen_penalty_is_the_one_of_plain_cross_validation(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(150, 12)) * np.linspace(0.2, 3, 12)
+    y = x @ rng.normal(size=12) * 0.3 + rng.normal(size=150) * 3
+    df = spark.createDataFrame([(i, x[i].tolist(), float(y[i])) for i in range(150)], "id long, v array<double>, y double")
+    grid, folds = (1e-6, 0.01, 0.1, 0.5, 2.0, 8.0), 5
+    predictions, best = models.ridge_cv(df, "y", "v", "id", penalties=grid, folds=folds)
+    u = {r["id"]: (r["u"], r["f"]) for r in df.select("id", models.uniform(1984, "id").alias("u"), F.floor(models.uniform(1985, "id") * folds).alias("f")).collect()}
+    train = np.array([u[i][0] < models.TRAIN_SHARE for i in range(150)])
+    fold = np.array([u[i][1] for i in range(150)])
+    z = (x - x[train].mean(0)) / x[train].std(0, ddof=1)
+
+    def fit(rows, p):
+        a, b = z[rows] - z[rows].mean(0), y[rows] - y[rows].mean()
+        w = np.linalg.solve(a.T @ a / len(a) + p / y[rows].std() * np.eye(12), a.T @ b / len(a))
+        return y[rows].mean() - z[rows].mean(0) @ w, w
+
+    def error(p):
+        out = 0.0
+        for k in range(folds):
+            c, w = fit(train & (fold != k), p)
+            out += ((y - c - z @ w)[train & (fold == k)] ** 2).sum()
+        return out
+
+    assert best == min(grid, key=error) and best not in (grid[0], grid[-1])
+    c, w = fit(train, best)
+    assert all(np.isclose(r["prediction"], (c + z @ w)[r["id"]]) for r in predictions.collect()) and predictions.count() == (~train).sum()
+
+
+def test_resamples_are_exact(spark):
+    for rows_ in (1, 63, 64, 65, 500):  # every resample has as many rows as the table, and each row is drawn alike
+        c = np.hstack([models.drawn_copies(rows_, k, 400, 9, 64) for k in range(-(-rows_ // 64))])
+        assert c.shape == (400, rows_) and (c.sum(1) == rows_).all() and abs(c.mean(0) - 1).max() < 0.3
+    assert abs(c.var() - 1 + 1 / 500) < 0.03 and abs(np.corrcoef(c[:, 0], c[:, 499])[0, 1]) < 0.2
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=300)
+    y = x + rng.normal(size=300)
+    df = spark.createDataFrame([(g, i, float(x[i]), float(y[i] if g == "p" else y[-i])) for g in ("p", "q") for i in range(300 if g == "p" else 90)] + [(None, 1, 1.0, 2.0)], "g string, id long, label double, prediction double")
+    sums = stored(models.resample_sums(df, "id", 200, 1, ["g"], 64))
+    assert {(r["g"], r["n"]) for r in sums.collect()} == {("p", 300.0), ("q", 90.0), (None, 1.0)} and sums.count() == 600
+    again = models.resample_sums(df.repartition(7), "id", 200, 1, ["g"], 64)
+    key = lambda r: (str(r[0]), r[1])
+    assert np.allclose([list(r)[2:] for r in sorted(sums.collect(), key=key)], [list(r)[2:] for r in sorted(again.collect(), key=key)])
+    got = models.bootstrap_rsq(df.where("g = 'p'"), "id", 2000).first()
+    draws = rng.integers(0, 300, size=(4000, 300))
+    plain = np.quantile([np.corrcoef(x[d], y[d])[0, 1] ** 2 for d in draws], [0.025, 0.975])
+    assert np.allclose([got["ci_lower"], got["ci_upper"]], plain, atol=0.015) and got["rsq"] == pytest.approx(np.corrcoef(x, y)[0, 1] ** 2)
+
+
 def test_published_trials(spark):
     t = spark.createDataFrame([(1, 7, 2.0, 48.2), (2, 7, 99.0, 48.2)], "id_r long, id_p long, age double, latitude double").selectExpr("id_r", "id_p", "CASE WHEN id_r = 1 THEN timestamp'2016-08-17 21:06:11' ELSE timestamp'2020-05-05 05:05:05' END AS created_at", "cast(age AS int) AS age", "'female' AS gender", "NULL AS education_label", "NULL AS native_language_label", "latitude", "16.3712 AS longitude")
     long = spark.createDataFrame([(i, "set2", "c", False, p, f"R{p}", f"r{p}", False, True, None) for i in (1, 2) for p in (1, 2, 3)], "id_r long, section string, cue string, unknown_word boolean, position int, response_corrected string, response string, no_further_response boolean, spelling_ok boolean, corrections string")

@@ -145,14 +145,25 @@ def embedding_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.slice_max(near, ["query"], "cosine", 5)
 
 
+def written_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, x, quality, toxic, diversity, word_length): 26 shares of letters and four of other characters of each whole text,
+    and what may be predicted from them; quality and toxic are null where no label is."""
+    d = load(spark, sf_dir, "documents").select("doc_id", "lang", F.coalesce("text", F.lit("")).alias("text"))
+    share = lambda pattern: F.try_divide(F.regexp_count("text", F.lit(pattern)) * 100.0, F.length("text"))
+    spoken = F.filter(F.split(F.lower("text"), r"[^\p{L}]+"), lambda w: w != "")
+    d = d.select("doc_id", F.array(*(F.coalesce(share(p), F.lit(0.0)) for p in [f"[{c}{c.upper()}]" for c in LETTERS] + ["[A-Z]", "[0-9]", r"\s", r"[.,;:!?]"])).alias("x"), spoken.alias("w"))
+    d = d.select("doc_id", "x", F.try_divide(F.size(F.array_distinct("w")) * 100.0, F.size("w")).alias("diversity"), F.try_divide(F.length(F.array_join("w", "")) * 1.0, F.size("w")).alias("word_length"))
+    return d.join(load(spark, sf_dir, "labels").select("doc_id", "quality", "toxic"), "doc_id", "left")
+
+
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+
+
 def ridge_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two properties of an embedding's item, its label and the length of the document of the same id, each from all and from
-    the leading dimensions: split, penalty by ten folds over the whole grid, test score and interval."""
-    e = load(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("label").cast("double").alias("label"), F.col("embedding").alias("x"))
-    sets = {"all": e, "leading": e.withColumn("x", F.slice("x", 1, 16))}
-    length = load(spark, sf_dir, "documents").select("doc_id", F.log10(F.col("n_chars") + 1).alias("length"))
-    frames = {(prop, name): (x if prop == "label" else x.join(length, "doc_id")).withColumn("y", F.col(prop)) for prop in ("label", "length") for name, x in sets.items()}
-    return _rounded(models.ridge_table(frames, "y", "x", "doc_id"))
+    """Four properties of documents, two of them given for some only, each from the letters, the other characters and both: split,
+    penalty by ten folds over the whole grid, test score and interval, all cells in one pass over the training rows."""
+    sets = {"letters": range(26), "others": range(26, 30), "combined": range(30)}
+    return _rounded(models.ridge_table(written_features(spark, sf_dir), ["quality", "toxic", "diversity", "word_length"], sets, "x", "doc_id"))
 
 
 def r2_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
