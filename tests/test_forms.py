@@ -62,7 +62,13 @@ def test_secret(monkeypatch):
 
 
 def test_metrics_by(spark):
-    links = [("x", 1, 2, 1), ("x", 2, 3, 1), ("x", 3, 1, 1), ("y", 1, 2, 5)]
+    links = [("x", 1, 2, 1), ("x", 2, 3, 4), ("x", 3, 1, 2), ("x", 3, 4, 1), ("y", 1, 2, 5), ("z", 1, 2, 1), ("z", 8, 9, 3), (None, 1, 2, 1)]
     edges = spark.createDataFrame(links, "part string, src long, dst long, weight long")
-    got = {r["part"]: (r["n_nodes"], r["n_edges"], r["n_components"]) for r in graph.metrics_by(edges, "part", ["x", "y"]).collect()}
-    assert got == {"x": (3, 3, 1), "y": (2, 1, 1)}
+    for directed in (True, False):
+        got = {r["part"]: r.asDict() for r in graph.metrics_by(edges, "part", directed).collect()}
+        assert {k: (r["n_nodes"], r["n_edges"], r["n_components"], r["n_giant_component"]) for k, r in got.items()} == {"x": (4, 4, 1, 4), "y": (2, 1, 1, 2), "z": (4, 2, 2, 2)}
+        assert got["x"]["aspl"] == 2 * (4 + 1 + 3 + 5 + 4 + 7) / 16  # lengths 4, 1, 3, 4 within the part
+        for part in ("x", "z"):
+            alone = graph.graph_metrics(edges.where(f"part = '{part}'").drop("part"), directed).first().asDict()
+            assert {k: v for k, v in got[part].items() if k != "part"} == pytest.approx(alone)
+    assert got["z"]["aspl"] == float("inf") and got["y"]["aspl"] == 0.5 and "modularity" in got["x"]

@@ -24,6 +24,32 @@ def test_delimited(spark, tmp_path):
     assert readers.read_text(spark, str(tmp_path / "c.txt")) == "eins\nzwei\n"
 
 
+def test_skipping_in_splits(spark, tmp_path):
+    want = []
+    for f, n in enumerate((400, 1, 0)):  # a file of many splits, one of a line, one that ends within the skipped lines
+        body = [f"{f}-{i};Fuß{i}" for i in range(n)]
+        want += [tuple(x.split(";")) for x in body]
+        (tmp_path / f"r{f}.txt").write_bytes("\r\n".join(["Länder", ""] + body).encode("latin-1") + b"\n" * (f == 0))
+    schema = StructType.fromDDL("k string, w string")
+    read = lambda skip=2, n="*", enc="ISO-8859-1": readers.read_skipping(spark, f"{tmp_path}/r{n}.txt", schema, skip, ";", enc)
+    size, cost = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        spark.conf.set("spark.sql.files.openCostInBytes", "16")
+        for bytes_ in ("64", "300", "100000"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", bytes_)
+            assert sorted(rows(read())) == sorted(want)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "64")
+        assert read().rdd.getNumPartitions() > 20
+        with pytest.raises(Exception, match="do not fit into the first split"):
+            read(200, "0").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", cost)
+    assert rows(read(200, "0")) == want[198:400] and len(rows(read(0))) == len(want) + 3
+    (tmp_path / "u.txt").write_bytes("Länder\n\na;ß\n".encode("utf-16"))
+    assert rows(readers.read_skipping(spark, f"{tmp_path}/u.txt", schema, 1, ";", "UTF-16")) == [("a", "ß")]
+
+
 def test_two_row_header(spark, tmp_path):
     (tmp_path / "p.csv").write_bytes("Bericht\n;Männer;;Frauen\nAlter;AT;DE;AT\n16 Jahre;1;2;3\n17 Jahre;4;;6\nSumme;5;2;9\n".encode("latin-1"))
     df = readers.read_two_row_header(spark, str(tmp_path / "p.csv"), skip=1, footer=1)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import defaultdict, deque
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -230,8 +231,10 @@ def largest_component(edges: DataFrame, mode: str = "weak") -> tuple[DataFrame,
     return within, parts.join(inside, "id", "left_anti").select("id"), component_sizes(parts)
 
 
-def inverted(edges: DataFrame) -> DataFrame:
-    """Lengths: the largest weight plus one, less the weight."""
+def inverted(edges: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Lengths: the largest weight (of the group) plus one, less the weight."""
+    if by:
+        return edges.join(edges.groupBy(*by).agg(F.max("weight").alias("__m")), list(by)).withColumn("length", F.col("__m") + 1 - F.col("weight")).drop("__m")
     top = edges.agg(F.max("weight").alias("__m"))
     return edges.join(F.broadcast(top)).withColumn("length", F.col("__m") + 1 - F.col("weight")).drop("__m")  # one row
 
@@ -245,14 +248,15 @@ def distances(edges: DataFrame, directed: bool = False, small: int = SMALL_EDGES
     return _walks(edges, directed, small, rounds, False)
 
 
-def distance_sums(edges: DataFrame, directed: bool = False, small: int = SMALL_EDGES, rounds: int = 10_000) -> DataFrame:
+def distance_sums(edges: DataFrame, directed: bool = False, small: int = SMALL_EDGES, rounds: int = 10_000, by: Sequence[str] = ()) -> DataFrame:
     """(a, n, total, eccentricity) per vertex: how many it reaches, itself included, and the sum and the largest of their
-    distances, as ``distances`` has them; small graphs' pairs are summed where they are found."""
-    return _walks(edges, directed, small, rounds, True)
+    distances, as ``distances`` has them; small graphs' pairs are summed where they are found. With ``by``, weights are inverted
+    within their group, and groups share no vertices."""
+    return _walks(edges, directed, small, rounds, True, by)
 
 
-def _walks(edges: DataFrame, directed: bool, small: int, rounds: int, summed: bool) -> DataFrame:
-    arcs = inverted(edges).where("src <> dst").select("src", "dst", "length")
+def _walks(edges: DataFrame, directed: bool, small: int, rounds: int, summed: bool, by: Sequence[str] = ()) -> DataFrame:
+    arcs = inverted(edges, by).where("src <> dst").select("src", "dst", "length")
     if not directed:
         arcs = arcs.union(arcs.select("dst", "src", "length"))
     arcs = stored(arcs.groupBy("src", "dst").agg(F.min("length").alias("length")))
@@ -480,21 +484,32 @@ def lattice_graph(edges: DataFrame, nei: int, seed: int) -> DataFrame:
 def graph_metrics(edges: DataFrame, directed: bool = True) -> DataFrame:
     """One row: vertices, edges, components, the largest one's size, mean strength, clustering and distance; undirected
     graphs also have the modularity of their communities."""
-    edges = stored(edges)
-    parts = component_sizes(weak_components(edges)).agg(F.count("*").alias("n_components"), F.max("size").alias("n_giant_component"))
-    tables = [sizes(edges).drop("total_weight"), parts, mean_strength(edges), mean_clustering(edges), mean_distance(edges)]
+    return metrics_by(edges.withColumn("__all", F.lit(1)), "__all", directed).drop("__all")
+
+
+def metrics_by(edges: DataFrame, by: str, directed: bool = True) -> DataFrame:
+    """graph_metrics of each data set, all in one pass: their graphs are parts of one, whose vertices are numbered over all data
+    sets. Edges of a null data set are left out. Only communities of undirected graphs are found data set by data set, since
+    their gains depend on the whole weight of a graph."""
+    from .sampling import numbered
+
+    edges = edges.where(F.col(by).isNotNull()).select(by, "src", "dst", "weight")
+    names = stored(numbered(vertices(edges, [by]), by, "id", name="k").select(by, "id", "k"))
+    end = lambda c: names.select(by, F.col("id").alias(c), F.col("k").alias(f"k_{c}"))
+    plain = stored(edges.join(end("src"), [by, "src"]).join(end("dst"), [by, "dst"]).select(by, F.col("k_src").alias("src"), F.col("k_dst").alias("dst"), "weight"))
+    of = names.select(by, "k")
+    parts = weak_components(plain).join(of.withColumnRenamed("k", "id"), "id").groupBy(by, "component").agg(F.count("*").alias("size"))
+    reach = distance_sums(plain, by=[by]).join(of.withColumnRenamed("k", "a"), "a").groupBy(by).agg(F.sum("n").alias("k"), F.sum("total").alias("t"), F.count("*").alias("n"))
+    tables = [
+        sizes(plain, [by]).drop("total_weight"), parts.groupBy(by).agg(F.count("*").alias("n_components"), F.max("size").alias("n_giant_component")),
+        mean_strength(plain, [by]), mean_clustering(plain, [by]), reach.select(by, F.when(F.col("k") < F.col("n") * F.col("n"), F.lit(float("inf"))).otherwise(F.try_divide("t", "k")).alias("aspl")),
+    ]
     if not directed:
-        tables.append(modularity(edges, louvain(edges)))
-    out = tables[0]
-    for t in tables[1:]:
-        out = out.join(F.broadcast(t))  # one row each
-    return out
-
-
-def metrics_by(edges: DataFrame, by: str, values: Sequence, directed: bool = True) -> DataFrame:
-    """graph_metrics of each data set."""
-    frames = [graph_metrics(edges.where(F.col(by) == v).drop(by), directed).withColumn(by, F.lit(v)) for v in values]
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out
+        values = [r[0] for r in plain.select(by).distinct().collect()]  # a data set each
+        found = []
+        for v in values:
+            one = plain.where(F.col(by) == F.lit(v)).drop(by)
+            found.append(modularity(one, stored(louvain(one))).withColumn(by, F.lit(v)))
+        if found:
+            tables.append(reduce(DataFrame.unionByName, found))
+    return reduce(lambda x, y: x.join(y, by, "left"), tables)

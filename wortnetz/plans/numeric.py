@@ -263,6 +263,11 @@ def graph_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(graph.graph_metrics(graph.infer_edges(answers(trials(spark, sf_dir)))))
 
 
+def metrics_by_section(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same measures of each section's graph."""
+    return _rounded(graph.metrics_by(graph.infer_edges(answers(trials(spark, sf_dir)), ["section"]), "section"))
+
+
 def _out(spark: SparkSession, name: str) -> str:
     """A new folder that all executors share."""
     import uuid
@@ -320,7 +325,7 @@ def histogram_by_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.histogram(z.withColumn("long", F.length("word") > 6), "zipf", 50, 0.0, 10.0, ["long"]).withColumn("density", r6(F.col("density")))
 
 
-QUERIES = {f.__name__: f for f in (norms_full_join, rating_rescale, pearson_by_group, pearson_p_values, steiger_test, fisher_mean, perc_increase, kernel_density, cosine_counts, cosine_requested, ppmi_joint, ppmi_colmean, normalize_rows_l1, normalize_rows_l2, matrix_density, katz_series, katz_exact, spreading_activation, svd_embedding, embedding_least_count, l2_embedding, embedding_cosine, ridge_norms, r2_summary, edges_directed, edges_undirected, graph_counts, strength, clustering, components_weak, components_strong, largest_component, path_length, distances, lattice_edges, random_graph, modularity, louvain_modularity, target_similarity, target_clusters, metric_spread, graph_metrics, delimited_round_trip, vector_file, chunked_export, title_enrichment, stream_counts, histogram_by_flag)}
+QUERIES = {f.__name__: f for f in (norms_full_join, rating_rescale, pearson_by_group, pearson_p_values, steiger_test, fisher_mean, perc_increase, kernel_density, cosine_counts, cosine_requested, ppmi_joint, ppmi_colmean, normalize_rows_l1, normalize_rows_l2, matrix_density, katz_series, katz_exact, spreading_activation, svd_embedding, embedding_least_count, l2_embedding, embedding_cosine, ridge_norms, r2_summary, edges_directed, edges_undirected, graph_counts, strength, clustering, components_weak, components_strong, largest_component, path_length, distances, lattice_edges, random_graph, modularity, louvain_modularity, target_similarity, target_clusters, metric_spread, graph_metrics, metrics_by_section, delimited_round_trip, vector_file, chunked_export, title_enrichment, stream_counts, histogram_by_flag)}
 
 _XY = "x AS (SELECT lang, log10(n_chars) AS x, CAST(quality + doc_id % 7 AS DOUBLE) AS y FROM norms)"
 _R = "SELECT lang, count(*) AS n, corr(x, y) AS r FROM x GROUP BY lang"
@@ -348,6 +353,7 @@ _PAIRS = "vn AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS i FROM (SELEC
 )
 _SIMPLE = "e AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM edges_key WHERE src <> dst), n AS (SELECT a AS v, b AS w FROM e UNION ALL SELECT b, a FROM e), d AS (SELECT v, count(*) AS degree FROM n GROUP BY v), tr AS (SELECT x.v, count(*) AS triangles FROM n x JOIN n y ON x.v = y.v AND x.w < y.w JOIN e ON e.a = x.w AND e.b = y.w GROUP BY x.v), vs AS (SELECT src AS id FROM edges_key UNION SELECT dst FROM edges_key)"
 _ARCS = "len AS (SELECT src, dst, (SELECT max(weight) + 1 FROM edges) - weight AS l FROM edges WHERE src <> dst), vs AS (SELECT src AS id FROM edges UNION SELECT dst FROM edges), arc AS (SELECT src, dst, min(l) AS l FROM (SELECT * FROM len UNION ALL SELECT dst, src, l FROM len) x GROUP BY 1, 2), d0 AS (SELECT a.id AS a, b.id AS b, CASE WHEN a.id = b.id THEN 0 ELSE arc.l END AS d FROM vs a CROSS JOIN vs b LEFT JOIN arc ON src = a.id AND dst = b.id)" + "".join(f", d{k} AS (SELECT x.a, y.b, min(x.d + y.d) AS d FROM d{k - 1} x JOIN d{k - 1} y ON x.b = y.a WHERE x.d IS NOT NULL AND y.d IS NOT NULL GROUP BY 1, 2)" for k in range(1, 7))
+_SECTION_ARCS = "len AS (SELECT section, src, dst, max(weight) OVER (PARTITION BY section) + 1 - weight AS l FROM s), arc AS (SELECT section, src, dst, min(l) AS l FROM (SELECT * FROM len UNION ALL SELECT section, dst, src, l FROM len) x WHERE src <> dst GROUP BY 1, 2, 3), d0 AS (SELECT section, id AS a, id AS b, 0 AS d FROM vs UNION ALL SELECT section, src, dst, l FROM arc)" + "".join(f", d{k} AS MATERIALIZED (SELECT x.section, x.a, y.b, min(x.d + y.d) AS d FROM d{k - 1} x JOIN d{k - 1} y ON x.section = y.section AND x.b = y.a GROUP BY 1, 2, 3)" for k in range(1, 7))
 _BY_SECTION = "s AS (SELECT section, cue AS src, response AS dst, count(*) AS weight FROM answers WHERE response IS NOT NULL AND (section, response) IN (SELECT (section, cue) FROM answers) GROUP BY 1, 2, 3), e AS (SELECT DISTINCT section, least(src, dst) AS a, greatest(src, dst) AS b FROM s WHERE src <> dst), n AS (SELECT section, a AS v, b AS w FROM e UNION ALL SELECT section, b, a FROM e), d AS (SELECT section, v, count(*) AS degree FROM n GROUP BY 1, 2), tr AS (SELECT x.section, x.v, count(*) AS t FROM n x JOIN n y ON x.section = y.section AND x.v = y.v AND x.w < y.w JOIN e ON e.section = x.section AND e.a = x.w AND e.b = y.w GROUP BY 1, 2), cc AS (SELECT section, avg(2 * coalesce(t, 0) / (degree * (degree - 1))) AS cc FROM d LEFT JOIN tr USING (section, v) WHERE degree > 1 GROUP BY 1), vs AS (SELECT section, src AS id FROM s UNION SELECT section, dst FROM s), k AS (SELECT section, count(*) AS n_nodes FROM vs GROUP BY 1), m AS (SELECT section, n_nodes, count(*) AS n_edges, 2 * sum(weight) / n_nodes AS st, cc FROM s JOIN k USING (section) JOIN cc USING (section) GROUP BY section, n_nodes, cc)"
 SQL = {
     "norms_full_join": sql("norms", "SELECT doc_id % 50 AS g, round(avg(quality), 6) AS quality, round(avg(toxic), 6) AS toxic, round(avg(label), 6) AS label, round(avg(length), 6) AS length, count(quality) + count(toxic) + count(label) + count(length) AS n_there FROM norms FULL JOIN (SELECT vec_id AS doc_id, label FROM embeddings) e USING (doc_id) FULL JOIN (SELECT doc_id, CAST(length(text) AS DOUBLE) AS length FROM documents) l USING (doc_id) GROUP BY 1"),
@@ -387,6 +393,7 @@ SQL = {
     "target_similarity": sql("counts", "SELECT row_id, count(c) AS n_links, round(coalesce(sum(c), 0), 6) AS strength FROM (SELECT DISTINCT i AS row_id FROM u) a LEFT JOIN d ON d.i = row_id GROUP BY row_id", more=_PPMI_COS),
     "metric_spread": sql("answers", "SELECT round(a, 6) AS n_nodes, round(b, 6) AS n_edges, round(c, 6) AS avg_strength, round(d, 6) AS avg_local_cc, round(greatest(a, b, c, d), 6) AS largest FROM (SELECT 1 - min(n_nodes) / max(n_nodes) AS a, 1 - min(n_edges) / max(n_edges) AS b, 1 - min(st) / max(st) AS c, 1 - min(cc) / max(cc) AS d FROM m) x", more=_BY_SECTION),
     "graph_metrics": sql("edges", "SELECT (SELECT count(*) FROM vs) AS n_nodes, (SELECT count(*) FROM edges) AS n_edges, count(*) AS n_components, max(size) AS n_giant_component, (SELECT round(2 * sum(weight) / (SELECT count(*) FROM vs), 6) FROM edges) AS avg_strength, (SELECT round(avg(2 * coalesce(triangles, 0) / (degree * (degree - 1))), 6) FROM d LEFT JOIN tr USING (v) WHERE degree > 1) AS avg_local_cc, (SELECT round(avg(d), 6) FROM d6) AS aspl FROM (SELECT c, count(*) AS size FROM (SELECT x, min(y) AS c FROM r GROUP BY x) y GROUP BY c) z", True, _ARCS + ", " + _SIMPLE.replace("edges_key", "edges").rpartition(", vs AS")[0] + ", bb AS (SELECT src AS x, dst AS y FROM edges UNION SELECT dst, src FROM edges), r(x, y) AS (SELECT x, x FROM bb UNION SELECT r.x, bb.y FROM r JOIN bb ON r.y = bb.x)"),
+    "metrics_by_section": sql("answers", "SELECT m.section, n_nodes, n_edges, n_components, n_giant_component, round(st, 6) AS avg_strength, round(cc, 6) AS avg_local_cc, CASE WHEN reached < n_nodes * n_nodes THEN CAST('inf' AS DOUBLE) ELSE round(total / reached, 6) END AS aspl FROM m JOIN (SELECT section, count(*) AS n_components, max(size) AS n_giant_component FROM (SELECT section, c, count(*) AS size FROM (SELECT section, a, min(b) AS c FROM d6 WHERE d IS NOT NULL GROUP BY 1, 2) y GROUP BY 1, 2) z GROUP BY 1) p ON p.section = m.section JOIN (SELECT section, count(d) AS reached, sum(d) AS total FROM d6 GROUP BY 1) w ON w.section = m.section", more=_BY_SECTION + ", " + _SECTION_ARCS),
     "delimited_round_trip": "SELECT o_orderkey, CASE WHEN o_orderkey % 5 > 0 THEN o_orderpriority END AS priority, CAST(printf('%.2f', o_totalprice) AS DOUBLE) AS price FROM orders",
     "vector_file": "SELECT 'Word' || vec_id AS word, CAST(k - 1 AS INTEGER) AS k, CAST(printf('%.4f', embedding[k]) AS DOUBLE) AS x FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS k FROM embeddings) e",
     "chunked_export": "SELECT CAST((r - 1) // 100 + 1 AS BIGINT) AS chunk, count(*) AS n, min(c_custkey) AS first FROM (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) AS r FROM customer) x GROUP BY 1",

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -39,12 +41,53 @@ def whole_files(spark: SparkSession, path: str, encoding: str = "UTF-8") -> Data
     return spark.read.format("binaryFile").load(path).select(F.decode("content", encoding).alias("value"))
 
 
+def lines_after(spark: SparkSession, path: str, skip: int, encoding: str = "UTF-8") -> DataFrame:
+    """(line): the lines of each file but its first ``skip`` ones.
+
+    Files are read in splits, whatever their size; a split that begins a file counts off its lines as they pass. Where
+    these lines do not fit into a file's first split, that is an error, which a larger spark.sql.files.maxPartitionBytes mends. Files in
+    UTF-16 and UTF-32, whose line ends are no single bytes, are one text each.
+    """
+    if encoding.upper().startswith(("UTF-16", "UTF-32")):
+        every = whole_files(spark, path, encoding).select(F.posexplode(F.split("value", r"\r?\n", -1)).alias("n", "line"))
+        return every.where(F.col("n") >= skip).select("line")
+    m = "_metadata.file_"
+    raw = spark.read.text(path, lineSep="\n").select(
+        F.regexp_replace(F.decode(F.col("value").cast("binary"), encoding), r"\r$", "").alias("line"),
+        F.when(F.col(f"{m}block_start") == 0, F.xxhash64(f"{m}path")).alias("begins"), (F.col(f"{m}block_length") < F.col(f"{m}size")).alias("goes_on"),
+    )
+
+    def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, seen, goes_on = None, skip, False
+
+        def check() -> None:
+            if seen < skip and goes_on:
+                raise ValueError(f"the first {skip} lines do not fit into the first split of a file; raise spark.sql.files.maxPartitionBytes")
+
+        for batch in batches:
+            begins, at = batch.column("begins"), 0
+            while at < len(batch):
+                here = begins[at].as_py()
+                if here != now:
+                    check()
+                    now, seen, goes_on = here, skip if here is None else 0, batch.column("goes_on")[at].as_py()
+                same = pc.equal(begins, here) if here is not None else pc.is_null(begins)
+                other = pc.index(pc.fill_null(same.slice(at), False), False).as_py()
+                end = at + other if other >= 0 else len(batch)
+                gone = min(skip - seen, end - at)
+                seen += gone
+                if end > at + gone:
+                    yield batch.select(["line"]).slice(at + gone, end - at - gone)
+                at = end
+        check()
+
+    return raw.mapInArrow(drop, "line string") if skip else raw.select("line")
+
+
 def read_skipping(spark: SparkSession, path: str, schema: StructType, skip: int, sep: str = ",", encoding: str = "UTF-8") -> DataFrame:
-    """A file whose first lines are no data. Lines are numbered within the file, which is read as one split."""
-    lines = whole_files(spark, path, encoding)
-    rows = lines.select(F.posexplode(F.split("value", r"\r?\n", -1)).alias("__n", "line")).where((F.col("__n") >= skip) & (F.col("line") != ""))
+    """Files whose first lines are no data; empty lines are left out."""
     parsed = F.from_csv("line", schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " "), {"sep": sep, "nullValue": NULL_TEXT})
-    return rows.select(parsed.alias("r")).select("r.*")
+    return lines_after(spark, path, skip, encoding).where("line <> ''").select(parsed.alias("r")).select("r.*")
 
 
 def read_two_row_header(spark: SparkSession, path: str, skip: int = 0, sep: str = ";", encoding: str = "ISO-8859-1", footer: int = 0, join: str = "_") -> DataFrame:
