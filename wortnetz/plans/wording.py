@@ -60,11 +60,19 @@ def multiword(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.multiword_ok(_responses(spark, sf_dir), "response", dictionary(spark, sf_dir))
 
 
+#: How letters are written where a keyboard lacks them.
+SPELLED_OUT = (("ß", "ss"), ("ä", "ae"), ("ö", "oe"), ("ü", "ue"))
+
+
 def spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words with ß written as ss are improved against the mixed-case words of the texts."""
-    german = words(spark, sf_dir, low=False).where("lang = 'de'").groupBy("word").count()
-    broken = german.where(F.contains("word", F.lit("ß"))).select(F.replace(F.lower("word"), F.lit("ß"), F.lit("ss")).alias("word")).distinct()
-    return spelling.improve_phrases(broken, "word", german.where("count >= 2").select("word"))
+    """All words and all pairs of neighbouring words of all texts, put in lower case and spelled out, are improved against the
+    mixed-case words that occur twice or more."""
+    plain = F.lower("word")
+    for letter, out in SPELLED_OUT:
+        plain = F.replace(plain, F.lit(letter), F.lit(out))
+    w = words(spark, sf_dir, low=False)
+    answers = w.select("word").union(_responses(spark, sf_dir).select(F.col("response").alias("word"))).select(plain.alias("word")).distinct()
+    return spelling.improve_phrases(answers, "word", w.groupBy("word").count().where("count >= 2").select("word"))
 
 
 def correction_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,6 +150,7 @@ QUERIES = {f.__name__: f for f in (char_rules, squish_nullify, word_count, casin
 #: Upper case as Spark has it: the other engine knows a capital ß.
 _UPPER = "replace(upper(word), 'ẞ', 'SS')"
 _SENTENCE = "replace(upper(substr(word, 1, 1)), 'ẞ', 'SS') || lower(substr(word, 2))"
+_PLAIN = "replace(replace(replace(replace(lower({}), 'ß', 'ss'), 'ä', 'ae'), 'ö', 'oe'), 'ü', 'ue')"
 _RESPONSES = """r AS (SELECT doc_id, CAST(i AS INTEGER) AS k, w[i + 1] || ' ' || w[i + 2] AS response FROM (SELECT doc_id, w, unnest(range(0, len(w) - 1)) AS i FROM
   (SELECT doc_id, list_filter(regexp_split_to_array(text, '[^\\p{L}]+'), lambda x: x <> '') AS w FROM documents) a WHERE len(w) > 1) b)"""
 SQL = {
@@ -152,15 +161,16 @@ SQL = {
     "dictionary_check": sql("dict", "SELECT DISTINCT word, word IN (SELECT word FROM dict) AS spelling_ok FROM words_raw"),
     "any_casing": sql("dict", f"SELECT DISTINCT word, word IN (SELECT word FROM dict) OR lower(word) IN (SELECT word FROM dict) OR {_UPPER} IN (SELECT word FROM dict) OR {_SENTENCE} IN (SELECT word FROM dict) AS spelling_ok FROM words_raw"),
     "multiword": sql("dict", "SELECT response, doc_id, k, string_split(response, ' ')[1] IN (SELECT word FROM dict) AND string_split(response, ' ')[2] IN (SELECT word FROM dict) AS spelling_ok FROM r", more=_RESPONSES),
-    "spelling_variants": sql("words_raw", """SELECT word, coalesce(CASE WHEN len(v) > 1 AND len(list_filter(v, lambda x: x <> replace(upper(x), 'ẞ', 'SS'))) = 1 THEN list_filter(v, lambda x: x <> replace(upper(x), 'ẞ', 'SS'))[1] ELSE v[1] END, word) AS improved
-FROM (SELECT b.word, list(c.form ORDER BY c.o) FILTER (g.word IS NOT NULL) AS v FROM b JOIN c ON c.word = b.word LEFT JOIN good g ON g.word = c.form GROUP BY b.word) x""", more="""
-german AS (SELECT word, count(*) AS n FROM words_raw WHERE lang = 'de' GROUP BY word), good AS (SELECT word FROM german WHERE n >= 2),
-b AS (SELECT DISTINCT replace(lower(word), 'ß', 'ss') AS word FROM german WHERE word LIKE '%ß%'),
+    "spelling_variants": sql("words_raw", """SELECT word, improved FROM best
+UNION ALL SELECT r.word, x.improved || ' ' || y.improved FROM (SELECT DISTINCT """ + _PLAIN.format("response") + """ AS word FROM r) r JOIN best x ON x.word = string_split(r.word, ' ')[1] JOIN best y ON y.word = string_split(r.word, ' ')[2]""", more=_RESPONSES + """,
+good AS (SELECT word FROM words_raw GROUP BY word HAVING count(*) >= 2), b AS (SELECT DISTINCT """ + _PLAIN.format("word") + """ AS word FROM words_raw),
 s AS (SELECT word, 1 AS o1, word AS f FROM b UNION ALL SELECT word, 2, substr(word, 1, 1) || replace(substr(word, 2), 'ss', 'ß') FROM b UNION ALL SELECT word, 3, replace(word, 'ß', 'ss') FROM b),
 u AS (SELECT word, o1 * 10 AS o2, f FROM s UNION ALL SELECT word, o1 * 10 + 1, replace(f, 'ae', 'ä') FROM s UNION ALL SELECT word, o1 * 10 + 2, replace(f, 'Ae', 'Ä') FROM s UNION ALL SELECT word, o1 * 10 + 3, replace(f, 'oe', 'ö') FROM s
   UNION ALL SELECT word, o1 * 10 + 4, replace(f, 'Oe', 'Ö') FROM s UNION ALL SELECT word, o1 * 10 + 5, replace(f, 'ue', 'ü') FROM s UNION ALL SELECT word, o1 * 10 + 6, replace(f, 'Ue', 'Ü') FROM s),
 c0 AS (SELECT word, o2 * 10 AS o, f AS form FROM u UNION ALL SELECT word, o2 * 10 + 1, replace(upper(substr(f, 1, 1)), 'ẞ', 'SS') || lower(substr(f, 2)) FROM u UNION ALL SELECT word, o2 * 10 + 2, lower(f) FROM u UNION ALL SELECT word, o2 * 10 + 3, replace(upper(f), 'ẞ', 'SS') FROM u),
-c AS (SELECT word, form, min(o) AS o FROM c0 GROUP BY word, form)"""),
+c AS (SELECT word, form, min(o) AS o FROM c0 GROUP BY word, form),
+v AS (SELECT b.word, list(c.form ORDER BY c.o) FILTER (g.word IS NOT NULL) AS v FROM b JOIN c ON c.word = b.word LEFT JOIN good g ON g.word = c.form GROUP BY b.word),
+best AS (SELECT word, coalesce(CASE WHEN len(v) > 1 AND len(list_filter(v, lambda x: x <> replace(upper(x), 'ẞ', 'SS'))) = 1 THEN list_filter(v, lambda x: x <> replace(upper(x), 'ẞ', 'SS'))[1] ELSE v[1] END, word) AS improved FROM v)"""),
     "correction_eval": sql("words", "SELECT round(count(*) FILTER (o <> g AND m = g) / nullif(count(*) FILTER (o <> g), 0), 6) AS acc_misspelled, round(count(*) FILTER (o = g AND m <> g) / nullif(count(*) FILTER (o = g), 0), 6) AS over_correction, round(count(*) FILTER (m = g) / count(*), 6) AS accuracy FROM (SELECT word AS o, CASE WHEN length(word) % 2 = 0 THEN s ELSE word END AS g, CASE WHEN length(word) % 3 = 0 THEN s ELSE word END AS m FROM (SELECT DISTINCT word, " + _SENTENCE + " AS s FROM words) y) x"),
     "corrections_list": "SELECT doc_id, nullif(concat_ws(',', CASE WHEN contains(text, '#') THEN 'special_chars' END, CASE WHEN contains(text, chr(10)) THEN 'whitespace' END, CASE WHEN text <> lower(text) THEN 'casing' END), '') AS corrections FROM documents",
     "apply_model_corrections": sql("answers", "SELECT trial_id, cue, position, CASE WHEN trial_id % 4 = 0 THEN upper(response) ELSE response END AS response FROM answers"),
