@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..session import stored
 from .reshape import flags_to_list, lookup_replace
 
 
@@ -40,15 +41,27 @@ def multiword_ok(df: DataFrame, column: str, dictionary: DataFrame, name: str =
     return _per_text(df, column, _known(forms, "__form", known).groupBy(column).agg(F.bool_and("__ok").alias(name)), name)
 
 
+#: Words that change, up to which they are broadcast (about 100 bytes each).
+SMALL_WORDS = 200_000
+
+
 def improve_phrases(df: DataFrame, column: str, dictionary: DataFrame, name: str = "improved") -> DataFrame:
     """Each word replaced by its best variant: the only viable one, else the only viable one that is not upper case,
-    else the first viable one, else the word itself. Works on distinct words, then distinct phrases."""
+    else the first viable one, else the word itself. Works on distinct words, then distinct phrases.
+
+    Only words that change are looked up in the phrases: by broadcast where they are ``SMALL_WORDS`` or fewer, so that phrases are
+    dealt out once, else by a join.
+    """
     phrases = df.select(column).where(F.col(column).isNotNull()).distinct()
     words = phrases.select(column, F.posexplode(F.split(column, " ", -1)).alias("__at", "__word"))
-    forms = words.select("__word").distinct().select("__word", F.posexplode(text.spelling_variants(F.col("__word"))).alias("__ord", "__form"))
+    single = df.select(F.explode(F.split(column, " ", -1)).alias("__word")).distinct()
+    forms = single.select("__word", F.posexplode(text.spelling_variants(F.col("__word"))).alias("__ord", "__form"))
     found = _known(forms, "__form", dictionary).where("__ok").groupBy("__word").agg(F.transform(F.array_sort(F.collect_list(F.struct("__ord", "__form"))), lambda x: x["__form"]).alias("__viable"))
     mixed = F.filter("__viable", lambda v: v != F.upper(v))
     best = found.select("__word", F.when((F.size("__viable") > 1) & (F.size(mixed) == 1), F.get(mixed, F.lit(0))).otherwise(F.get("__viable", F.lit(0))).alias("__best"))
+    best = stored(best.where("__best <> __word"))
+    if best.limit(SMALL_WORDS + 1).count() <= SMALL_WORDS:
+        best = F.broadcast(best)
     done = words.join(best, "__word", "left").groupBy(column).agg(F.array_sort(F.collect_list(F.struct("__at", F.coalesce("__best", "__word").alias("w")))).alias("__ws"))
     return df.drop(name).join(done.select(column, F.array_join(F.transform("__ws", lambda x: x["w"]), " ").alias(name)), column, "left")
 

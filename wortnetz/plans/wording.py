@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -38,9 +38,9 @@ def casing_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.select("word", F.array_join(text.casing_variants(F.col("word")), "|").alias("variants"))
 
 
-def _responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _responses(spark: SparkSession, sf_dir: str, content: Column | str = "text") -> DataFrame:
     """All pairs of neighbouring words of all texts as two-word answers."""
-    d = load(spark, sf_dir, "documents")
+    d = load(spark, sf_dir, "documents").withColumn("text", F.col(content) if isinstance(content, str) else content)
     w = d.select("doc_id", F.filter(F.split("text", r"[^\p{L}]+", -1), lambda x: x != "").alias("w")).where(F.size("w") > 1)
     pairs = F.zip_with(F.slice("w", F.lit(1), F.size("w") - 1), F.slice("w", F.lit(2), F.size("w") - 1), lambda x, y: F.concat_ws(" ", x, y))
     return w.select("doc_id", F.posexplode(pairs).alias("k", "response"))
@@ -67,11 +67,12 @@ SPELLED_OUT = (("ß", "ss"), ("ä", "ae"), ("ö", "oe"), ("ü", "ue"))
 def spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All words and all pairs of neighbouring words of all texts, put in lower case and spelled out, are improved against the
     mixed-case words that occur twice or more."""
-    plain = F.lower("word")
+    plain = F.lower("text")
     for letter, out in SPELLED_OUT:
         plain = F.replace(plain, F.lit(letter), F.lit(out))
     w = words(spark, sf_dir, low=False)
-    answers = w.select("word").union(_responses(spark, sf_dir).select(F.col("response").alias("word"))).select(plain.alias("word")).distinct()
+    one = load(spark, sf_dir, "documents").select(F.explode(F.split(plain, r"[^\p{L}]+", -1)).alias("word")).where("word <> ''")
+    answers = one.union(_responses(spark, sf_dir, plain).select("response")).distinct()
     return spelling.improve_phrases(answers, "word", w.groupBy("word").count().where("count >= 2").select("word"))
 
 
