@@ -45,16 +45,17 @@ def multiword_ok(df: DataFrame, column: str, dictionary: DataFrame, name: str =
 SMALL_WORDS = 200_000
 
 
-def improve_phrases(df: DataFrame, column: str, dictionary: DataFrame, name: str = "improved") -> DataFrame:
+def improve_phrases(df: DataFrame, column: str, dictionary: DataFrame, name: str = "improved", vocabulary: DataFrame | None = None) -> DataFrame:
     """Each word replaced by its best variant: the only viable one, else the only viable one that is not upper case,
     else the first viable one, else the word itself. Works on distinct words, then distinct phrases.
 
     Only words that change are looked up in the phrases: by broadcast where they are ``SMALL_WORDS`` or fewer, so that phrases are
-    dealt out once, else by a join.
+    dealt out once, else by a join. ``vocabulary`` (word), where it is at hand, holds all words of the phrases, which are then not read for them.
     """
     phrases = df.select(column).where(F.col(column).isNotNull()).distinct()
     words = phrases.select(column, F.posexplode(F.split(column, " ", -1)).alias("__at", "__word"))
-    single = df.select(F.explode(F.split(column, " ", -1)).alias("__word")).distinct()
+    single = df.select(F.explode(F.split(column, " ", -1)).alias("__word")) if vocabulary is None else vocabulary.select(F.col("word").alias("__word"))
+    single = single.distinct()
     forms = single.select("__word", F.posexplode(text.spelling_variants(F.col("__word"))).alias("__ord", "__form"))
     found = _known(forms, "__form", dictionary).where("__ok").groupBy("__word").agg(F.transform(F.array_sort(F.collect_list(F.struct("__ord", "__form"))), lambda x: x["__form"]).alias("__viable"))
     mixed = F.filter("__viable", lambda v: v != F.upper(v))

@@ -73,7 +73,7 @@ def spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = words(spark, sf_dir, low=False)
     one = load(spark, sf_dir, "documents").select(F.explode(F.split(plain, r"[^\p{L}]+", -1)).alias("word")).where("word <> ''")
     answers = one.union(_responses(spark, sf_dir, plain).select("response")).distinct()
-    return spelling.improve_phrases(answers, "word", w.groupBy("word").count().where("count >= 2").select("word"))
+    return spelling.improve_phrases(answers, "word", w.groupBy("word").count().where("count >= 2").select("word"), vocabulary=one)
 
 
 def correction_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
