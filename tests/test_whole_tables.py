@@ -36,3 +36,11 @@ def splits(nodes):
 def modularity(links, split):
     m = len(links)
     return sum(sum(a in c and b in c for a, b in links) / m - (sum((a in c) + (b in c) for a, b in links) / (2 * m)) ** 2 for c in split)
+
+
+def test_geo_dedup_gives_zero_itself_no_place(spark, tmp_path):
+    spark.createDataFrame([(1, 0.0, 0), (2, 0.1, 1), (3, 0.2, 0), (4, None, 0)], "c_custkey long, c_acctbal double, c_nationkey int").selectExpr("*", "'x' AS c_mktsegment").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame([(0, "A", 0), (1, "B", 0)], "n_nationkey int, n_name string, n_regionkey int").write.parquet(f"{tmp_path}/nation.parquet")
+    spark.createDataFrame([(0, "R")], "r_regionkey int, r_name string").write.parquet(f"{tmp_path}/region.parquet")
+    got = {tuple(r) for r in catalogue.QUERIES["geo_dedup"](spark, str(tmp_path)).collect()}
+    assert got == {(1, 0, 0, None, None), (2, 0, 0, 2, "B"), (3, 0, 0, 2, "B"), (4, None, None, None, None)}

@@ -179,8 +179,9 @@ def geo_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
 def geo_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every participant with the place of its coordinates, which is looked up once: that of the first one there."""
     p = participants(spark, sf_dir).withColumns({"lat": scalars.coordinate_key(F.col("latitude")), "lon": scalars.coordinate_key(F.col("longitude"))})
-    places = p.where(~((F.col("latitude") == 0) & (F.col("longitude") == 0))).groupBy("lat", "lon").agg(F.count("*").alias("n"), F.min_by("native_language", "id_p").alias("place"))
-    return p.join(places, ["lat", "lon"], "left").select("id_p", "lat", "lon", "n", "place")
+    p = p.withColumn("known", ~((F.col("latitude") == 0) & (F.col("longitude") == 0)))  # zero itself is no place, what is rounded to it is one
+    places = p.where("known").groupBy("lat", "lon", "known").agg(F.count("*").alias("n"), F.min_by("native_language", "id_p").alias("place"))
+    return p.join(places, ["lat", "lon", "known"], "left").select("id_p", "lat", "lon", "n", "place")
 
 
 def age_gender_pyramid(spark: SparkSession, sf_dir: str) -> DataFrame:
