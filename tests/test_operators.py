@@ -427,3 +427,19 @@ def test_louvain_of_large_graphs(spark, monkeypatch):
     parts = stored(graph.louvain(edges, edges.count() - 1))  # one level in rounds, then a smaller graph in one task
     assert parts.count() == graph.vertices(edges).count() and dict(parts.dtypes) == {"id": "string", "community": "bigint"}
     assert graph.modularity(edges, parts).first()[0] > 0.95 * whole
+
+
+def test_rounds_of_louvain_deal_links_out_once(spark, monkeypatch):
+    plans = []
+
+    def noted(df):
+        if "moved" in df.columns:
+            plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return stored(df)
+
+    monkeypatch.setattr(graph, "stored", noted)
+    monkeypatch.setattr(graph, "MOVE_ROUNDS", 2)
+    edges = spark.createDataFrame([(a, b, 1) for g in range(3) for a in range(g * 4, g * 4 + 4) for b in range(g * 4, a)], "src long, dst long, weight long")
+    found = {r["id"]: r["community"] for r in graph._moved(edges, 12).collect()}
+    assert len(found) == 12 and all(found[a] // 4 == a // 4 for a in found)
+    assert len(plans) == 3 and all("InMemoryRelation" in p for p in plans[1:])

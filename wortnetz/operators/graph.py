@@ -7,6 +7,7 @@ from collections.abc import Iterator, Sequence
 from functools import reduce
 
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -412,26 +413,32 @@ def louvain(edges: DataFrame, small: int = SMALL_EDGES) -> DataFrame:
 
 
 def _moved(plain: DataFrame, n: int) -> DataFrame:
-    """(id, community) after the rounds of one level."""
+    """(id, community) after the rounds of one level.
+
+    Links lie dealt out by vertex for all rounds. In a round each vertex tells its neighbours its community and that one's
+    weight, which is the only time that as many rows move as there are links; half of the vertices listen.
+    """
     degree = stored(strengths(plain).withColumnRenamed("strength", "deg"))
-    total = degree.agg(F.sum("deg").alias("two_m"))  # one row
-    both = stored(plain.where("src <> dst").select(F.col("src").alias("id"), F.col("dst").alias("near"), "weight").union(plain.where("src <> dst").select("dst", "src", "weight")))
-    label = stored(degree.select("id", F.col("id").alias("community")))
+    two_m = degree.agg(F.sum("deg")).first()[0]
+    tasks = int(plain.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ends = plain.where("src <> dst").join(degree.toDF("src", "deg_src"), "src").join(degree.toDF("dst", "deg_dst"), "dst")
+    both = ends.select(F.col("src").alias("id"), F.col("dst").alias("near"), "weight", F.col("deg_dst").alias("deg")).union(ends.select("dst", "src", "weight", "deg_src"))
+    both = both.repartition(tasks, "id").persist(StorageLevel.DISK_ONLY)
+    state = stored(degree.select("id", F.col("id").alias("c"), "deg", F.lit(True).alias("moved")))
     for turn in range(MOVE_ROUNDS):
-        now = degree.join(label, "id")
-        sums = now.groupBy("community").agg(F.sum("deg").alias("tot"))
-        near = both.where(F.pmod(F.xxhash64(F.lit(turn), "id"), F.lit(2)) == 0).join(label.select(F.col("id").alias("near"), F.col("community").alias("c")), "near").groupBy("id", "c").agg(F.sum("weight").alias("w"))
-        own = now.where(F.pmod(F.xxhash64(F.lit(turn), "id"), F.lit(2)) == 0).select("id", F.col("community").alias("c"), F.lit(0).alias("w"))
-        asked = near.union(own).groupBy("id", "c").agg(F.sum("w").alias("w")).join(now, "id").join(sums.withColumnRenamed("community", "c"), "c").join(F.broadcast(total))
-        others = F.col("tot") - F.when(F.col("c") == F.col("community"), F.col("deg")).otherwise(0)
-        gains = asked.select("id", F.struct((F.col("w") - others * F.col("deg") / F.col("two_m")).alias("gain"), (F.col("c") == F.col("community")).alias("stays"), (-F.col("c")).alias("c")).alias("g"))
-        best = gains.groupBy("id").agg(F.max("g").alias("g")).select("id", (-F.col("g.c")).alias("c"))
-        fresh = stored(label.join(best, "id", "left").select("id", F.coalesce("c", "community").alias("community"), (F.col("c") != F.col("community")).alias("moved")))
-        moved = fresh.where("moved").count()
-        label = fresh.select("id", "community")
-        if moved <= LEAST_MOVED * n and turn:
+        asked = lambda v: F.pmod(F.xxhash64(F.lit(turn), v), F.lit(2)) == 0  # noqa: B023, E731
+        known = state.select("id", "c", "deg").join(state.groupBy("c").agg(F.sum("deg").alias("tot")), "c")
+        told = both.where(asked("near")).join(known.select("id", "c", "tot").hint("shuffle_hash"), "id").select(F.col("near").alias("id"), "c", "weight", "tot", "deg", F.lit(False).alias("own"))
+        own = known.where(asked("id")).select("id", "c", F.lit(0).alias("weight"), "tot", "deg", F.lit(True).alias("own"))
+        near = told.union(own).repartition(tasks, "id").groupBy("id", "c").agg(F.sum("weight").alias("w"), F.max("tot").alias("tot"), F.max("deg").alias("deg"), F.max("own").alias("own"))
+        others = F.col("tot") - F.when(F.col("own"), F.col("deg")).otherwise(0)
+        gain = F.struct((F.col("w") - others * F.col("deg") / F.lit(two_m)).alias("gain"), F.col("own").alias("stays"), (-F.col("c")).alias("c"))
+        best = near.groupBy("id").agg((-F.max(gain)["c"]).alias("c"), F.max("deg").alias("deg"), F.max(F.when(F.col("own"), F.col("c"))).alias("was"))
+        state = stored(best.select("id", "c", "deg", (F.col("c") != F.col("was")).alias("moved")).union(state.where(~asked("id")).select("id", "c", "deg", F.lit(False))))
+        if state.where("moved").count() <= LEAST_MOVED * n and turn:
             break
-    return label
+    both.unpersist()
+    return state.select("id", F.col("c").alias("community"))
 
 
 #: Rounds of the permutation of pairs.
