@@ -443,3 +443,18 @@ def test_rounds_of_louvain_deal_links_out_once(spark, monkeypatch):
     found = {r["id"]: r["community"] for r in graph._moved(edges, 12).collect()}
     assert len(found) == 12 and all(found[a] // 4 == a // 4 for a in found)
     assert len(plans) == 3 and all("InMemoryRelation" in p for p in plans[1:])
+
+
+def test_nearest_vectors_are_those_of_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(matrix, "QUERY_BLOCK", 7)
+    monkeypatch.setattr(matrix, "TILE", 2)
+    rng = np.random.default_rng(5)
+    vectors = [[float(x) for x in v] for v in rng.normal(size=(120, 4))]
+    for k, v in {3: [0.0] * 4, 10: None, 11: vectors[12], 13: vectors[12], 20: [1.0, None, 2.0, 3.0], 31: [1.0, 2.0], 44: vectors[40], 50: [float("nan")] * 4}.items():
+        vectors[k] = v
+    e = matrix.l2_normalize(spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<double>").repartition(3), "embedding")
+    q = e.where("vec_id % 4 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("q"))
+    pairs = e.join(q, F.col("query") != F.col("vec_id")).select("query", "vec_id", F.round(matrix.dot("q", "embedding"), 6).alias("cosine"))
+    best = lambda df: sorted(map(str, sampling.slice_max(df, ["query"], "cosine", 5).collect()))
+    found = matrix.nearest(e, F.col("vec_id") % 4 == 0, 5)
+    assert best(found) == best(pairs) and found.count() < pairs.count()

@@ -140,9 +140,7 @@ def l2_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def embedding_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A stated query set, the ids divisible by 100, against all vectors; the five nearest of each."""
     e = matrix.l2_normalize(load(spark, sf_dir, "embeddings"), "embedding").select("vec_id", "embedding")
-    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("q"))
-    near = e.join(q, F.col("query") != F.col("vec_id")).select("query", "vec_id", F.round(matrix.dot("q", "embedding"), 6).alias("cosine"))
-    return sampling.slice_max(near, ["query"], "cosine", 5)
+    return sampling.slice_max(matrix.nearest(e, F.col("vec_id") % 100 == 0, 5), ["query"], "cosine", 5)
 
 
 def written_features(spark: SparkSession, sf_dir: str) -> DataFrame:
