@@ -458,3 +458,14 @@ def test_nearest_vectors_are_those_of_all_pairs(spark, monkeypatch):
     best = lambda df: sorted(map(str, sampling.slice_max(df, ["query"], "cosine", 5).collect()))
     found = matrix.nearest(e, F.col("vec_id") % 4 == 0, 5)
     assert best(found) == best(pairs) and found.count() < pairs.count()
+
+
+def test_membership_of_a_frequent_key_deals_no_rows_out(spark):
+    df = spark.createDataFrame([(1, k) for k in range(50)] + [(None, 50), (3, 51)], "w long, k long")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = reshape.membership(df, spark.createDataFrame([(1,), (1,), (2,)], "w long"), "w", "there")
+        assert "SortMergeJoin" not in out._jdf.queryExecution().executedPlan().toString()
+        assert sorted(r["k"] for r in out.where("there").collect()) == list(range(50)) and out.where("there IS NULL").isEmpty()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

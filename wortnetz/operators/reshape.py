@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import stored
+
 
 def cols_between(df: DataFrame, first: str, last: str) -> list[str]:
     return df.columns[df.columns.index(first) : df.columns.index(last) + 1]
@@ -114,9 +116,15 @@ def left_join_suffixed(left: DataFrame, right: DataFrame, on: dict[str, str], su
     return a.join(b, condition, "left").drop(*(f"__{r}" for r in on.values()))
 
 
+#: Different keys up to which they are broadcast (about 100 bytes each): a key of most rows is then not dealt to one task.
+SMALL_KEYS = 100_000
+
+
 def membership(df: DataFrame, keys: DataFrame, on: str, flag: str) -> DataFrame:
     """A flag column: is the key in another table? Never null."""
-    marked = keys.select(on).distinct().withColumn("__in", F.lit(True))
+    marked = stored(keys.select(on).distinct()).withColumn("__in", F.lit(True))
+    if marked.limit(SMALL_KEYS + 1).count() <= SMALL_KEYS:
+        marked = F.broadcast(marked)
     return df.join(marked, on, "left").withColumn(flag, F.coalesce("__in", F.lit(False))).drop("__in")
 
 

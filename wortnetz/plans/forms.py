@@ -8,6 +8,7 @@ from pyspark.sql.types import StructType
 
 from ..functions import nulls, scalars, text
 from ..operators import graph, ingest, lexical, matrix, reshape, sampling, spelling, statistics
+from ..session import stored
 from ..sources import enrich, readers, writers
 from .fixtures import answers, dictionary, load, norms, participants, r6, sql, trials, trials_key, words
 from .numeric import _out
@@ -60,7 +61,7 @@ def log_frequency_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def lattice_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lattice of a graph's size; how often a weight is drawn depends on the seed, that each is one of the graph's does not."""
-    edges = graph.infer_edges(answers(trials_key(spark, sf_dir)))
+    edges = stored(graph.infer_edges(answers(trials_key(spark, sf_dir))))
     drawn = graph.lattice_graph(edges, 42, 1984)
     return reshape.membership(drawn, edges, "weight", "from_graph").select("src", "dst", "from_graph")
 
