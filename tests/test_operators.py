@@ -469,3 +469,8 @@ def test_membership_of_a_frequent_key_deals_no_rows_out(spark):
         assert sorted(r["k"] for r in out.where("there").collect()) == list(range(50)) and out.where("there IS NULL").isEmpty()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_random_graph_makes_digests_once(spark):
+    g = spark.createDataFrame([(k, k + 1, 1) for k in range(20)], "src long, dst long, weight long")
+    assert "md5" not in graph.random_graph(g, 1)._jdf.queryExecution().optimizedPlan().toString()

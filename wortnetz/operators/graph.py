@@ -467,7 +467,7 @@ def random_graph(edges: DataFrame, seed: int) -> DataFrame:
     if m > n * (n - 1):
         raise ValueError("more edges than pairs")
     ranks = numbered(edges.select("src", "dst", "weight"), "src", "dst", name="k").select((F.col("k") - 1).alias("k"), "weight")
-    pairs = permuted_pairs(ranks, "k", n, seed)
+    pairs = stored(permuted_pairs(ranks, "k", n, seed).select("p", "q", "weight"))  # else conditions on p and q repeat all rounds of digests
     end = lambda i, c: names.select((F.col("i") - 1).alias(i), F.col("id").alias(c))
     return pairs.join(end("p", "src"), "p").join(end("q", "dst"), "q").select("src", "dst", "weight")
 
