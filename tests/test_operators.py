@@ -474,3 +474,28 @@ def test_membership_of_a_frequent_key_deals_no_rows_out(spark):
 def test_random_graph_makes_digests_once(spark):
     g = spark.createDataFrame([(k, k + 1, 1) for k in range(20)], "src long, dst long, weight long")
     assert "md5" not in graph.random_graph(g, 1)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_components_read_their_edges_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def noted(v):
+        seen.add(1)
+        return v
+
+    edges = lambda: spark.createDataFrame([(1, 2, 1), (2, 3, 1), (3, 1, 1), (5, 6, 1)], "src long, dst long, weight long").withColumn("src", noted("src"))
+    assert {(r["id"], r["component"]) for r in graph.weak_components(edges()).collect()} == {(1, 1), (2, 1), (3, 1), (5, 5), (6, 5)}
+    assert seen.value == 4
+
+
+def test_largest_component_reads_its_edges_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def noted(v):
+        seen.add(1)
+        return v
+
+    edges = spark.createDataFrame([(1, 2, 1), (2, 3, 1), (3, 1, 1), (5, 6, 1)], "src long, dst long, weight long").withColumn("src", noted("src"))
+    assert graph.largest_component(edges, "strong")[0].count() == 3 and seen.value == 4

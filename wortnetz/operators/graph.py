@@ -116,6 +116,7 @@ def star_links(links: DataFrame, rounds: int = 100) -> DataFrame:
 
 def weak_components(edges: DataFrame, rounds: int = 100) -> DataFrame:
     """(id, component): the smallest vertex of each weak component."""
+    edges = stored(edges.select("src", "dst"))
     links = edges.where("src <> dst").select(F.greatest("src", "dst").alias("v"), F.least("src", "dst").alias("u")).distinct()
     e = star_links(links, rounds)
     return vertices(edges).join(e.select(F.col("v").alias("id"), F.col("u").alias("component")), "id", "left").withColumn("component", F.coalesce("component", "id"))
@@ -187,6 +188,7 @@ def strong_components(edges: DataFrame, small: int = SMALL_EDGES, rounds: int =
         return links.coalesce(1).mapInPandas(walk, f"id {kind}, component {kind}")
     left = stored(links.where("src <> dst"))
     done = links.sparkSession.createDataFrame([], f"id {kind}, component {kind}")
+    tasks = int(links.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     for _ in range(rounds):
         while True:  # trim
             kept = left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
@@ -195,23 +197,24 @@ def strong_components(edges: DataFrame, small: int = SMALL_EDGES, rounds: int =
                 break
         if not n:
             break
-        color = stored(vertices(left).select("id", F.col("id").alias("c")))
-        while True:  # the smallest vertex that reaches each vertex
-            came = left.join(color.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.min("c").alias("m"))
-            fresh = stored(color.join(came, "id", "left").select("id", F.least("c", "m").alias("c")))
-            moved = fresh.join(color.withColumnRenamed("c", "was"), "id").where("c <> was").limit(1).count()
-            color = fresh
-            if not moved:
+        color = stored(vertices(left).select("id", F.col("id").alias("c"), F.lit(True).alias("moved")))
+        dealt = left.repartition(tasks, "src").persist(StorageLevel.DISK_ONLY)
+        while True:  # the smallest vertex that reaches each vertex; only those whose colour is new tell it
+            came = dealt.join(color.where("moved").select(F.col("id").alias("src"), "c").hint("shuffle_hash"), "src").groupBy(F.col("dst").alias("id")).agg(F.min("c").alias("m"))
+            color = stored(color.join(came, "id", "left").select("id", F.least("c", "m").alias("c"), F.coalesce(F.col("m") < F.col("c"), F.lit(False)).alias("moved")))
+            if color.where("moved").isEmpty():
                 break
+        dealt.unpersist()
         end = lambda v, c: color.select(F.col("id").alias(v), F.col("c").alias(c))
-        inside = stored(left.join(end("src", "cs"), "src").join(end("dst", "cd"), "dst").where("cs = cd").select("src", "dst", F.col("cs").alias("c")))
-        reach = stored(color.where("id = c"))
-        while True:  # backwards from each colour's vertex
-            more = inside.join(reach.select(F.col("id").alias("dst")), "dst", "left_semi").select(F.col("src").alias("id"), "c").distinct().join(reach, "id", "left_anti")
-            more = stored(more)
+        inside = left.join(end("src", "cs"), "src").join(end("dst", "cd"), "dst").where("cs = cd").select("src", "dst", F.col("cs").alias("c"))
+        inside = inside.repartition(tasks, "dst").persist(StorageLevel.DISK_ONLY)
+        reach = more = stored(color.where("id = c").select("id", "c"))
+        while True:  # backwards from each colour's vertex; only those that are new go on
+            more = stored(inside.join(more.select(F.col("id").alias("dst")).hint("shuffle_hash"), "dst", "left_semi").select(F.col("src").alias("id"), "c").distinct().join(reach, "id", "left_anti"))
             if more.isEmpty():
                 break
             reach = stored(reach.union(more))
+        inside.unpersist()
         done = stored(done.union(reach.select("id", F.col("c").alias("component"))))
         left = stored(left.join(reach.select(F.col("id").alias("src")), "src", "left_anti").join(reach.select(F.col("id").alias("dst")), "dst", "left_anti"))
     else:
@@ -225,6 +228,7 @@ def component_sizes(components: DataFrame) -> DataFrame:
 
 def largest_component(edges: DataFrame, mode: str = "weak") -> tuple[DataFrame, DataFrame, DataFrame]:
     """(edges inside it, removed vertices, sizes of all components); of equally large ones the one with the smallest vertex."""
+    edges = stored(edges)
     parts = stored(weak_components(edges) if mode == "weak" else strong_components(edges))
     best = component_sizes(parts).orderBy(F.desc("size"), "component").limit(1).select("component")
     inside = parts.join(best, "component", "left_semi").select("id")
