@@ -103,6 +103,19 @@ def test_spelling(spark):
     assert {r["w"]: r["improved"] for r in spelling.improve_phrases(bad, "w", d).collect()} == {"strasse gross": "Straße groß", "usa": "USA", "WEG": "Weg", "nichts": "nichts", None: None}
 
 
+def test_words_are_looked_up_in_their_rows(spark, monkeypatch):
+    d = spark.createDataFrame([("Haus",), ("weg",), (None,), ("weg",)], "word string")
+    df = spark.createDataFrame([(1, "Haus weg"), (2, "haus"), (3, "weg"), (4, None), (5, "Haus xx"), (6, ""), (7, "weg "), (8, "Haus weg")], "id int, w string")
+    plain = rows(spelling.multiword_ok(df, "w", d))
+    there = spelling.multiword_ok(df, "w", d, most=2)
+    assert rows(there) == plain and {r["id"]: r["spelling_ok"] for r in there.collect()} == {1: True, 2: False, 3: True, 4: None, 5: False, 6: False, 7: False, 8: True}
+    assert "hashpartitioning" not in there._jdf.queryExecution().executedPlan().toString()
+    with pytest.raises(Exception, match="more than 1 words"):
+        spelling.multiword_ok(df, "w", d, most=1).collect()
+    monkeypatch.setattr(spelling, "BROADCAST_WORDS", 1)
+    assert rows(spelling.multiword_ok(df, "w", d, most=2)) == plain
+
+
 def test_audit(spark):
     df = spark.createDataFrame([(1, "a", "b", None), (2, "a", "a", True), (3, None, "b", None), (4, "a", None, False)], "id int, x string, y string, f boolean")
     assert [r["f"] for r in spelling.track(df, "x", "y", "f").orderBy("id").collect()] == [True, True, None, False]

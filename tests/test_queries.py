@@ -32,3 +32,9 @@ def test_against_sql(spark, name):
     want = [dict(zip(names, r)) for r in result.fetchall()]
     key = lambda r: sorted((k, str(v)) for k, v in r.items())
     assert sorted(map(key, want)) == sorted(key(r.asDict()) for r in df.collect())
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
+def test_pairs_of_words_are_not_dealt_out_to_be_checked(spark):
+    plan = catalogue.QUERIES["multiword"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(response" not in plan and "SortMergeJoin" not in plan

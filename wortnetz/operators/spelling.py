@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,9 +35,34 @@ def any_casing_ok(df: DataFrame, column: str, dictionary: DataFrame, name: str =
     return _per_text(df, column, _known(forms, "__form", dictionary).groupBy(column).agg(F.bool_or("__ok").alias(name)), name)
 
 
-def multiword_ok(df: DataFrame, column: str, dictionary: DataFrame, name: str = "spelling_ok", custom: DataFrame | None = None) -> DataFrame:
-    """Are all words between single spaces in the dictionary, or in the custom one?"""
+#: Words of a look-up, up to which it is broadcast (about 100 bytes each).
+BROADCAST_WORDS = 2_500_000
+
+
+def _in_place(df: DataFrame, column: str, table: DataFrame, most: int) -> DataFrame:
+    """df with, for the k-th of the text's words between single spaces, __wk and what the table (word, value) has for it, __vk;
+    null beyond the last word. The table is broadcast, so texts are not dealt out. A text of more than ``most`` words is an error."""
+    words = F.split(column, " ", -1)
+    first = F.when(F.size(words) > most, F.raise_error(F.lit(f"a text of more than {most} words"))).otherwise(F.get(words, F.lit(0)))
+    out = df.select("*", first.alias("__w0"), *(F.get(words, F.lit(k)).alias(f"__w{k}") for k in range(1, most)))
+    for k in range(most):
+        out = out.join(F.broadcast(table.toDF(f"__w{k}", f"__v{k}")), f"__w{k}", "left")
+    return out
+
+
+def multiword_ok(df: DataFrame, column: str, dictionary: DataFrame, name: str = "spelling_ok", custom: DataFrame | None = None, most: int | None = None) -> DataFrame:
+    """Are all words between single spaces in the dictionary, or in the custom one?
+
+    ``most``, where it is known and small, is the largest number of words that a text holds: then each is looked up in its row, while the
+    dictionary holds ``BROADCAST_WORDS`` or fewer. Else distinct texts are taken apart, their words looked up and put together again.
+    """
     known = dictionary.select("word") if custom is None else dictionary.select("word").union(custom.select("word"))
+    if most:
+        known = stored(known.distinct())
+        if known.count() <= BROADCAST_WORDS:
+            out = _in_place(df.drop(name), column, known.withColumn("value", F.lit(True)), most)
+            ok = reduce(Column.__and__, (F.col(f"__w{k}").isNull() | F.col(f"__v{k}").isNotNull() for k in range(most)))
+            return out.select(column, *(c for c in df.columns if c not in (column, name)), F.when(F.col(column).isNotNull(), ok).alias(name))
     texts = df.select(column).where(F.col(column).isNotNull()).distinct()
     forms = texts.select(column, F.explode(F.split(column, " ", -1)).alias("__form"))
     return _per_text(df, column, _known(forms, "__form", known).groupBy(column).agg(F.bool_and("__ok").alias(name)), name)

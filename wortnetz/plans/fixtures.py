@@ -56,7 +56,9 @@ def words(spark: SparkSession, sf_dir: str, low: bool = True) -> DataFrame:
 
 
 def dictionary(spark: SparkSession, sf_dir: str, least: int = 5) -> DataFrame:
-    return words(spark, sf_dir).groupBy("word").count().where(F.col("count") >= least).select("word")
+    """Words that occur so often, in lower case; they are counted as written first, so that few are put in lower case."""
+    written = words(spark, sf_dir, low=False).groupBy("word").count()
+    return written.groupBy(F.lower("word").alias("word")).agg(F.sum("count").alias("count")).where(F.col("count") >= least).select("word")
 
 
 def norms(spark: SparkSession, sf_dir: str) -> DataFrame:
