@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from jobs.common import command_line
 from wortnetz.operators import ingest, lexical, publish, reshape
 from wortnetz.plans import fixtures
+from wortnetz.session import stored
 
 log = logging.getLogger("jobs.association_norms")
 
@@ -38,15 +39,16 @@ def strengths(trials: DataFrame) -> DataFrame:
 
 
 def run(spark: SparkSession, tables: str, output: str, seed: int = 1984, trials_per_cue: int | None = None, criteria: dict | None = None) -> DataFrame:
-    """Writes the three tables, and returns the strengths, read back."""
+    """Writes the three tables, and returns the strengths, read back. Trials, scores and the trials that stay are read several times,
+    so each is worked out once and stored."""
     criteria = {k: tuple(v) for k, v in (criteria or ingest.CRITERIA).items()}
     for name in ("orders", "lineitem", "customer"):
         log.info("read %s rows of %s of %s", fixtures.load(spark, tables, name).count(), name, tables)
-    trials = ingest.mark_missing(fixtures.trials(spark, tables)).withColumnRenamed("participant_id", "id_p")
+    trials = stored(ingest.mark_missing(fixtures.trials(spark, tables)).withColumnRenamed("participant_id", "id_p"))
     long = reshape.wide_to_long(trials, ["response", "no_further_response"], (1, 2, 3))
-    scores = ingest.participant_scores(long, fixtures.participants(spark, tables))
+    scores = stored(ingest.participant_scores(long, fixtures.participants(spark, tables)))
     _write(ingest.criteria_report(scores, trials, criteria), f"{output}/criteria")
-    kept = trials.join(ingest.select_participants(scores, criteria).select("id_p"), "id_p", "left_semi").withColumnRenamed("id_p", "participant_id")
+    kept = stored(trials.join(ingest.select_participants(scores, criteria).select("id_p"), "id_p", "left_semi").withColumnRenamed("id_p", "participant_id"))
     n = trials_per_cue or ingest.coverage_cutoff(kept).first()["cutoff"] or 1  # one row
     log.info("%s trials per cue", n)
     _write(publish.fixed_size(kept, n, seed)[2], f"{output}/trials", "section")

@@ -126,6 +126,16 @@ def test_association_norms_again_and_on_grown_tables(spark, tmp_path, caplog):
     assert any(re.fullmatch(r"read 1500 rows of orders of .*", r.getMessage()) for r in caplog.records)
 
 
+@needs_tables
+def test_association_norms_work_out_trials_once(spark, tmp_path, monkeypatch):
+    """Trials, scores, the trials that stay and the sample are stored, so tables are scanned by no later step."""
+    plans = []
+    known = association_norms._write
+    monkeypatch.setattr(association_norms, "_write", lambda df, path, by=None: (plans.append(df._jdf.queryExecution().executedPlan().toString()), known(df, path, by)))
+    association_norms.run(spark, SF, str(tmp_path / "out"), criteria=registered.CRITERIA)
+    assert len(plans) == 3 and not any(name in plan for plan in plans for name in ("lineitem", "orders", "customer"))
+
+
 def strength_sums(rows):
     out = Counter()
     for r in rows:

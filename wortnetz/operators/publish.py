@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars
+from ..session import stored
 from .ingest import coverage_cutoff
 from .reshape import long_to_wide, membership
 from .sampling import slice_sample
@@ -37,10 +38,10 @@ def published(trials: DataFrame, long: DataFrame, participants: DataFrame, geo:
 
 def fixed_size(trials: DataFrame, n: int | None = None, seed: int = 1984, key: str = "trial_id", flag: str = "in_sample") -> tuple[DataFrame, DataFrame, DataFrame]:
     """(exactly n trials of each cue that has them, all trials of those cues, all trials): the last two with a flag that
-    tells the sampled ones. n is the coverage cut-off unless given."""
+    tells the sampled ones. n is the coverage cut-off unless given. The sample is drawn once and stored."""
     if n is None:
         n = coverage_cutoff(trials).first()["cutoff"]
     full = trials.groupBy("cue").count().where(F.col("count") >= n).select("cue")
     plus = trials.join(full, "cue", "left_semi")
-    sample = slice_sample(plus, n, ["cue"], key, seed)
+    sample = stored(slice_sample(plus, n, ["cue"], key, seed))
     return sample, membership(plus, sample, key, flag), membership(trials, sample, key, flag)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.reshape import wide_to_long
@@ -13,16 +13,16 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _trials(spark: SparkSession, sf_dir: str, word: str) -> DataFrame:
-    """Orders of two lines or more: the first line's part is the cue, the next three are the answers. An order has a few
-    lines, which are gathered in one aggregation."""
+    """Orders of two lines or more: the first line's part is the cue, the next three are the answers. Lines are dealt
+    out by order once, as they are, and numbered there: an order has a few, so gathering them before would save nothing."""
     lines = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
     if word == "p_name":
         lines = lines.join(load(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name"), "l_partkey")
     else:
         lines = lines.withColumn(word, F.col("l_partkey"))
-    per = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", word))).alias("a")).where(F.size("a") > 1)
-    item = lambda k: F.get("a", F.lit(k))[word]
-    per = per.select(F.col("l_orderkey").alias("trial_id"), item(0).alias("cue"), *(item(k).alias(f"response_{k}") for k in (1, 2, 3)))
+    at = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey"))
+    item = lambda k: F.max(F.when(F.col("__at") == k, F.col(word)))
+    per = lines.withColumn("__at", at).groupBy(F.col("l_orderkey").alias("trial_id")).agg(item(1).alias("cue"), *(item(k + 1).alias(f"response_{k}") for k in (1, 2, 3)), F.count("*").alias("__n")).where("__n > 1").drop("__n")
     orders = load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("trial_id"), F.col("o_custkey").alias("participant_id"), F.col("o_orderpriority").alias("section"), F.col("o_orderdate").alias("created_at"))
     return orders.join(per, "trial_id").select("trial_id", "participant_id", "cue", "response_1", "response_2", "response_3", "section", "created_at")
 
