@@ -116,6 +116,17 @@ def test_words_are_looked_up_in_their_rows(spark, monkeypatch):
     assert rows(spelling.multiword_ok(df, "w", d, most=2)) == plain
 
 
+def test_phrases_are_improved_in_their_rows(spark, monkeypatch):
+    d = spark.createDataFrame([("Straße",), ("Haus",), ("USA",), ("groß",), ("Weg",), ("weg",)], "word string")
+    bad = spark.createDataFrame([("strasse gross",), ("usa",), ("WEG",), ("nichts",), (None,), ("",), ("haus ",), ("x haus",), ("usa",)], "w string")
+    plain = rows(spelling.improve_phrases(bad, "w", d))
+    there = spelling.improve_phrases(bad, "w", d, most=2)
+    assert rows(there) == plain and {r["w"]: r["improved"] for r in there.collect()}["haus "] == "Haus "
+    assert "hashpartitioning" not in there._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(spelling, "BROADCAST_WORDS", 0)
+    assert rows(spelling.improve_phrases(bad, "w", d, most=2)) == plain
+
+
 def test_audit(spark):
     df = spark.createDataFrame([(1, "a", "b", None), (2, "a", "a", True), (3, None, "b", None), (4, "a", None, False)], "id int, x string, y string, f boolean")
     assert [r["f"] for r in spelling.track(df, "x", "y", "f").orderBy("id").collect()] == [True, True, None, False]

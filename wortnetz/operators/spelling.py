@@ -72,15 +72,15 @@ def multiword_ok(df: DataFrame, column: str, dictionary: DataFrame, name: str =
 SMALL_WORDS = 200_000
 
 
-def improve_phrases(df: DataFrame, column: str, dictionary: DataFrame, name: str = "improved", vocabulary: DataFrame | None = None) -> DataFrame:
+def improve_phrases(df: DataFrame, column: str, dictionary: DataFrame, name: str = "improved", vocabulary: DataFrame | None = None, most: int | None = None) -> DataFrame:
     """Each word replaced by its best variant: the only viable one, else the only viable one that is not upper case,
     else the first viable one, else the word itself. Works on distinct words, then distinct phrases.
 
     Only words that change are looked up in the phrases: by broadcast where they are ``SMALL_WORDS`` or fewer, so that phrases are
     dealt out once, else by a join. ``vocabulary`` (word), where it is at hand, holds all words of the phrases, which are then not read for them.
+    ``most``, where it is known and small, is the largest number of words that a phrase holds: then each is looked up in its row, while
+    ``BROADCAST_WORDS`` or fewer change, and phrases are not dealt out at all.
     """
-    phrases = df.select(column).where(F.col(column).isNotNull()).distinct()
-    words = phrases.select(column, F.posexplode(F.split(column, " ", -1)).alias("__at", "__word"))
     single = df.select(F.explode(F.split(column, " ", -1)).alias("__word")) if vocabulary is None else vocabulary.select(F.col("word").alias("__word"))
     single = single.distinct()
     forms = single.select("__word", F.posexplode(text.spelling_variants(F.col("__word"))).alias("__ord", "__form"))
@@ -88,6 +88,12 @@ def improve_phrases(df: DataFrame, column: str, dictionary: DataFrame, name: str
     mixed = F.filter("__viable", lambda v: v != F.upper(v))
     best = found.select("__word", F.when((F.size("__viable") > 1) & (F.size(mixed) == 1), F.get(mixed, F.lit(0))).otherwise(F.get("__viable", F.lit(0))).alias("__best"))
     best = stored(best.where("__best <> __word"))
+    if most and best.count() <= BROADCAST_WORDS:
+        out = _in_place(df.drop(name), column, best, most)
+        joined = F.concat_ws(" ", *(F.coalesce(f"__v{k}", f"__w{k}") for k in range(most)))  # nulls beyond the last word are left out
+        return out.select(column, *(c for c in df.columns if c not in (column, name)), F.when(F.col(column).isNotNull(), joined).alias(name))
+    phrases = df.select(column).where(F.col(column).isNotNull()).distinct()
+    words = phrases.select(column, F.posexplode(F.split(column, " ", -1)).alias("__at", "__word"))
     if best.limit(SMALL_WORDS + 1).count() <= SMALL_WORDS:
         best = F.broadcast(best)
     done = words.join(best, "__word", "left").groupBy(column).agg(F.array_sort(F.collect_list(F.struct("__at", F.coalesce("__best", "__word").alias("w")))).alias("__ws"))
