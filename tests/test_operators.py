@@ -523,3 +523,23 @@ def test_largest_component_reads_its_edges_once(spark):
 
     edges = spark.createDataFrame([(1, 2, 1), (2, 3, 1), (3, 1, 1), (5, 6, 1)], "src long, dst long, weight long").withColumn("src", noted("src"))
     assert graph.largest_component(edges, "strong")[0].count() == 3 and seen.value == 4
+
+
+def test_rounds_of_louvain_move_a_row_per_vertex(spark, monkeypatch):
+    plans = []
+
+    def noted(df):
+        if "moved" in df.columns:
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return stored(df)
+
+    monkeypatch.setattr(graph, "stored", noted)
+    ids = [-(2**63), -5, 0, 7, 40, 2**62, 100, 101, 102, 103]
+    edges = spark.createDataFrame([(a, b, w) for w, part in ((1.5, ids[:6]), (0.5, ids[6:])) for a in part for b in part if a < b] + [(7, 7, 0.25), (None, 7, 1.0)], "src long, dst long, weight double")
+    few = {r["id"]: r["community"] for r in graph.louvain(edges, 3).collect()}
+    assert len(plans) > 2 and not any("Exchange" in p.partition("InMemoryTableScan")[0] for p in plans if "InMemoryTableScan" in p)
+    assert set(few) == set(ids) and len({few[v] for v in ids[:6]}) == len({few[v] for v in ids[6:]}) == 1 and few[0] != few[100]
+    monkeypatch.setattr(graph, "BROADCAST_VERTICES", 0)  # links are dealt out in each round
+    assert {r["id"]: r["community"] for r in graph.louvain(edges, 3).collect()} == few
+    nothing = graph.louvain(spark.createDataFrame([(1, 2, 0), (2, 3, 0)], "src long, dst long, weight long"), 1)  # no weight: each is its own
+    assert len({r["community"] for r in nothing.collect()}) == 3

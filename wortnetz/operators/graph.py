@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections import defaultdict, deque
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stored
@@ -379,17 +380,21 @@ def louvain_local(src: Sequence, dst: Sequence, weight: Sequence, seed: int = 0)
     return {v: label[i] for v, i in at.items()}
 
 
-#: Rounds of moves on one level of a large graph, at most; the share of vertices that must move for another one.
-MOVE_ROUNDS, LEAST_MOVED = 12, 0.005
+#: Rounds of moves on one level of a large graph, at most, and of its own vertices at the end; the share of vertices that must move for another one.
+MOVE_ROUNDS, LAST_ROUNDS, LEAST_MOVED = 3, 6, 0.005
+#: Vertices up to which their communities are broadcast in each round (about 100 bytes each), so that no link is dealt out again.
+BROADCAST_VERTICES = 2_500_000
+#: Links of one task at most, about.
+TASK_LINKS = 500_000
 
 
 def louvain(edges: DataFrame, small: int = SMALL_EDGES) -> DataFrame:
     """(id, community) of an undirected graph; communities are numbered.
 
-    Up to ``small`` edges the graph is walked in one task. A larger one is worked on in levels: in rounds, half of its
-    vertices, drawn by hash, move to the neighbouring community that gains most, until few move; then communities become
-    the vertices of a smaller graph, whose communities are found in the same way. Where nothing moves the level's
-    vertices are the answer.
+    Up to ``small`` edges the graph is walked in one task. A larger one is worked on in levels: in a few rounds, half of its
+    vertices, drawn by hash, move to the neighbouring community that gains most; then communities become the vertices of a
+    smaller graph, whose communities are found in the same way. Where nothing moves the level's vertices are the answer. At
+    the end the graph's own vertices move between the communities that were found, until few do or the rounds are over.
     """
     kind = dict(edges.dtypes)["src"]
     if edges.limit(small + 1).count() <= small:
@@ -401,50 +406,126 @@ def louvain(edges: DataFrame, small: int = SMALL_EDGES) -> DataFrame:
                 yield pd.DataFrame({"id": list(found), "community": list(found.values())})
 
         return edges.select("src", "dst", "weight").coalesce(1).mapInPandas(walk, f"id {kind}, community long")
+    if kind == "bigint":
+        return _levels(edges.where("src IS NOT NULL AND dst IS NOT NULL").select("src", "dst", "weight"), small, LAST_ROUNDS)
     from .sampling import numbered
 
     ids = stored(numbered(vertices(edges), "id", name="k"))
     end = lambda names, c: names.select(F.col("id").alias(c), F.col("k").alias(f"k_{c}"))
-    plain = edges.join(end(ids, "src"), "src").join(end(ids, "dst"), "dst").select(F.least("k_src", "k_dst").alias("src"), F.greatest("k_src", "k_dst").alias("dst"), "weight")
-    plain = stored(plain.groupBy("src", "dst").agg(F.sum("weight").alias("weight")))
-    label = _moved(plain, ids.count())
-    merged = plain.join(label.toDF("src", "a"), "src").join(label.toDF("dst", "b"), "dst").groupBy(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).agg(F.sum("weight").alias("weight"))
-    merged = stored(merged)
-    if label.select("community").distinct().count() < label.count():
-        upper = louvain(merged, small).select(F.col("id").alias("community"), F.col("community").alias("upper"))
-        label = label.join(upper, "community").select("id", F.col("upper").alias("community"))
-    return stored(ids.join(label.toDF("k", "community"), "k").select("id", "community"))
-
-
-def _moved(plain: DataFrame, n: int) -> DataFrame:
-    """(id, community) after the rounds of one level.
-
-    Links lie dealt out by vertex for all rounds. In a round each vertex tells its neighbours its community and that one's
-    weight, which is the only time that as many rows move as there are links; half of the vertices listen.
+    plain = stored(edges.join(end(ids, "src"), "src").join(end(ids, "dst"), "dst").select(F.col("k_src").alias("src"), F.col("k_dst").alias("dst"), "weight"))
+    return stored(ids.join(_levels(plain, small, LAST_ROUNDS).toDF("k", "community"), "k").select("id", "community"))
+
+
+def _levels(plain: DataFrame, small: int, last: int = 0) -> DataFrame:
+    """(id, community) of a large graph whose vertices are numbers, with so many rounds of its own vertices at the end."""
+    dealt = _dealt(plain)
+    n = dealt[1].count()
+    label = _moved(plain, n, dealt)
+    k = label.select("community").distinct().count()
+    if k < n:
+        end = lambda c, name: _sent(label.toDF(c, name), n)
+        merged = plain.join(end("src", "a"), "src").join(end("dst", "b"), "dst").groupBy(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).agg(F.sum("weight").alias("weight"))
+        merged = stored(merged)
+        upper = louvain(merged, small) if merged.limit(small + 1).count() <= small else _levels(merged, small)
+        label = stored(label.join(_sent(upper.toDF("community", "upper"), k), "community").select("id", F.col("upper").alias("community")))
+        if last:
+            label = _moved(plain, n, dealt, label, last)
+    dealt[0].unpersist()
+    return label
+
+
+def _sent(df: DataFrame, n: int) -> DataFrame:
+    """For a join on vertices, of which there are n: few are broadcast."""
+    return F.broadcast(df) if n <= BROADCAST_VERTICES else df
+
+
+def _dealt(plain: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(links, degree) of a level, in both directions, dealt out for all rounds: where communities are broadcast, a row for each
+    vertex with its neighbours (id, draw, near array, weight array), else a row for each link (id, near, weight), with one of weight 0 from each vertex to itself."""
+    plain = plain.withColumn("weight", F.col("weight").cast("double"))
+    degree = stored(plain.select(F.explode(F.array("src", "dst")).alias("id"), "weight").groupBy("id").agg(F.sum("weight").alias("deg"), F.count("*").alias("links")))
+    n, links = degree.agg(F.count("*"), F.sum("links")).first()
+    tasks = max(int(plain.sparkSession.conf.get("spark.sql.shuffle.partitions")), (links or 0) // TASK_LINKS)
+    other = plain.where("src <> dst")
+    both = other.select(F.col("src").alias("id"), F.col("dst").alias("near"), "weight").union(other.select("dst", "src", "weight")).union(degree.select("id", "id", F.lit(0.0)))
+    both = both.repartition(tasks, "id")
+    if n <= BROADCAST_VERTICES:
+        both = both.groupBy("id").agg(F.collect_list("near").alias("near"), F.collect_list("weight").alias("weight")).withColumn("draw", _draw("id", n))
+    return both.persist(StorageLevel.DISK_ONLY), degree.select("id", "deg")
+
+
+def _draw(vertex: str, n: int) -> Column:
+    """Random bits of a vertex, one for each round; others on each level, since names that are left after a level lie unevenly in its own draws."""
+    return F.xxhash64(F.lit(n), vertex)
+
+
+def _best(v: np.ndarray, c: np.ndarray, w: np.ndarray, tot: np.ndarray, deg: np.ndarray, own: np.ndarray, two_m: float) -> pd.DataFrame:
+    """Of rows for each vertex, neighbour and the vertex itself (own): the community that each gains most in, its own or else the smallest of equals."""
+    order = np.lexsort((c, v))
+    v, c, w, tot, deg, own = (x[order] for x in (v, c, w, tot, deg, own))
+    deg = np.repeat(deg[own], np.diff(np.flatnonzero(np.r_[True, v[1:] != v[:-1], True])))
+    first = np.flatnonzero(np.r_[True, (v[1:] != v[:-1]) | (c[1:] != c[:-1])])
+    w, own = np.add.reduceat(w, first), np.logical_or.reduceat(own, first)
+    v, c, tot, deg = v[first], c[first], tot[first], deg[first]
+    gain = w - (tot - np.where(own, deg, 0)) * deg / two_m
+    order = np.lexsort((-np.arange(len(v)), own, gain, v))
+    last = order[np.r_[v[1:] != v[:-1], True]]
+    return pd.DataFrame({"id": v[last], "c": c[last], "deg": deg[last], "moved": ~own[last]})
+
+
+def _moved(plain: DataFrame, n: int, dealt: tuple[DataFrame, DataFrame] | None = None, start: DataFrame | None = None, rounds: int | None = None) -> DataFrame:
+    """(id, community) after the rounds of one level, from the communities of start, or from each vertex as its own.
+
+    In a round each vertex learns its neighbours' communities and their weights, and half of the vertices move. Up to
+    BROADCAST_VERTICES a round moves a row per vertex; beyond it, half as many as there are links.
     """
-    degree = stored(strengths(plain).withColumnRenamed("strength", "deg"))
+    both, degree = dealt or _dealt(plain)
     two_m = degree.agg(F.sum("deg")).first()[0]
-    tasks = int(plain.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ends = plain.where("src <> dst").join(degree.toDF("src", "deg_src"), "src").join(degree.toDF("dst", "deg_dst"), "dst")
-    both = ends.select(F.col("src").alias("id"), F.col("dst").alias("near"), "weight", F.col("deg_dst").alias("deg")).union(ends.select("dst", "src", "weight", "deg_src"))
-    both = both.repartition(tasks, "id").persist(StorageLevel.DISK_ONLY)
-    state = stored(degree.select("id", F.col("id").alias("c"), "deg", F.lit(True).alias("moved")))
-    for turn in range(MOVE_ROUNDS):
-        asked = lambda v: F.pmod(F.xxhash64(F.lit(turn), v), F.lit(2)) == 0  # noqa: B023, E731
-        known = state.select("id", "c", "deg").join(state.groupBy("c").agg(F.sum("deg").alias("tot")), "c")
-        told = both.where(asked("near")).join(known.select("id", "c", "tot").hint("shuffle_hash"), "id").select(F.col("near").alias("id"), "c", "weight", "tot", "deg", F.lit(False).alias("own"))
-        own = known.where(asked("id")).select("id", "c", F.lit(0).alias("weight"), "tot", "deg", F.lit(True).alias("own"))
-        near = told.union(own).repartition(tasks, "id").groupBy("id", "c").agg(F.sum("weight").alias("w"), F.max("tot").alias("tot"), F.max("deg").alias("deg"), F.max("own").alias("own"))
-        others = F.col("tot") - F.when(F.col("own"), F.col("deg")).otherwise(0)
-        gain = F.struct((F.col("w") - others * F.col("deg") / F.lit(two_m)).alias("gain"), F.col("own").alias("stays"), (-F.col("c")).alias("c"))
-        best = near.groupBy("id").agg((-F.max(gain)["c"]).alias("c"), F.max("deg").alias("deg"), F.max(F.when(F.col("own"), F.col("c"))).alias("was"))
-        state = stored(best.select("id", "c", "deg", (F.col("c") != F.col("was")).alias("moved")).union(state.where(~asked("id")).select("id", "c", "deg", F.lit(False))))
+    state = degree.select("id", F.col("id").alias("c"), "deg") if start is None else degree.join(_sent(start.toDF("id", "c"), n), "id").select("id", "c", "deg")
+    state = stored(state.withColumn("moved", F.lit(True)))
+    for turn in range((rounds or MOVE_ROUNDS) if two_m else 0):
+        state = stored(_round(both, state, n, turn, two_m))
         if state.where("moved").count() <= LEAST_MOVED * n and turn:
             break
-    both.unpersist()
+    if dealt is None:
+        both.unpersist()
     return state.select("id", F.col("c").alias("community"))
 
 
+def _round(both: DataFrame, state: DataFrame, n: int, turn: int, two_m: float) -> DataFrame:
+    """(id, c, deg, moved) of all vertices after a round."""
+    kinds = "id long, c long, deg double, moved boolean"
+    if n > BROADCAST_VERTICES:
+        known = state.select("id", "c", "deg").join(state.groupBy("c").agg(F.sum("deg").alias("tot")), "c").hint("shuffle_hash")
+        own = F.col("id") == F.col("near")
+        told = both.join(known, "id").where(own | (F.shiftright(_draw("near", n), turn).bitwiseAND(F.lit(1)) == 1))
+        told = told.select(F.col("near").alias("id"), "c", "weight", "tot", "deg", own.alias("own")).repartition(both.rdd.getNumPartitions(), "id")
+
+        def hear(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            if found := list(parts):  # about TASK_LINKS
+                rows = pd.concat(found, ignore_index=True)
+                yield _best(*(rows[x].to_numpy() for x in ("id", "c", "weight", "tot", "deg", "own")), two_m)
+
+        return told.mapInPandas(hear, kinds)
+    known = state.select("id", "c", "deg").orderBy("id").toArrow()  # at most BROADCAST_VERTICES rows
+    sent = both.sparkSession.sparkContext.broadcast([x.to_numpy() for x in known.columns])
+
+    def look(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, c, deg = sent.value
+        names, at = np.unique(c, return_inverse=True)
+        tot = np.bincount(at, deg, len(names))[at]
+        for rows in parts:
+            moves = (rows["draw"].to_numpy() >> turn & 1).astype(bool)
+            at = np.searchsorted(ids, rows["id"].to_numpy()[~moves])
+            yield pd.DataFrame({"id": ids[at], "c": c[at], "deg": deg[at], "moved": False})
+            rows = rows[moves]
+            if len(rows):
+                v, at = np.repeat(rows["id"].to_numpy(), [len(x) for x in rows["near"]]), np.searchsorted(ids, np.concatenate(rows["near"].to_list()))
+                yield _best(v, c[at], np.concatenate(rows["weight"].to_list()), tot[at], deg[at], v == ids[at], two_m)
+
+    return both.mapInPandas(look, kinds)
+
+
 #: Rounds of the permutation of pairs.
 PAIR_ROUNDS = 6
 
