@@ -416,9 +416,9 @@ def louvain(edges: DataFrame, small: int = SMALL_EDGES) -> DataFrame:
     return stored(ids.join(_levels(plain, small, LAST_ROUNDS).toDF("k", "community"), "k").select("id", "community"))
 
 
-def _levels(plain: DataFrame, small: int, last: int = 0) -> DataFrame:
-    """(id, community) of a large graph whose vertices are numbers, with so many rounds of its own vertices at the end."""
-    dealt = _dealt(plain)
+def _levels(plain: DataFrame, small: int, last: int = 0, degree: DataFrame | None = None) -> DataFrame:
+    """(id, community) of a large graph whose vertices are numbers, with so many rounds of its own vertices at the end; degree: (id, deg), if known."""
+    dealt = _dealt(plain, degree)
     n = dealt[1].count()
     label = _moved(plain, n, dealt)
     k = label.select("community").distinct().count()
@@ -426,7 +426,10 @@ def _levels(plain: DataFrame, small: int, last: int = 0) -> DataFrame:
         end = lambda c, name: _sent(label.toDF(c, name), n)
         merged = plain.join(end("src", "a"), "src").join(end("dst", "b"), "dst").groupBy(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).agg(F.sum("weight").alias("weight"))
         merged = stored(merged)
-        upper = louvain(merged, small) if merged.limit(small + 1).count() <= small else _levels(merged, small)
+        if merged.limit(small + 1).count() <= small:
+            upper = louvain(merged, small)
+        else:
+            upper = _levels(merged, small, 0, dealt[1].join(_sent(label, n), "id").groupBy(F.col("community").alias("id")).agg(F.sum("deg").alias("deg")))
         label = stored(label.join(_sent(upper.toDF("community", "upper"), k), "community").select("id", F.col("upper").alias("community")))
         if last:
             label = _moved(plain, n, dealt, label, last)
@@ -439,19 +442,18 @@ def _sent(df: DataFrame, n: int) -> DataFrame:
     return F.broadcast(df) if n <= BROADCAST_VERTICES else df
 
 
-def _dealt(plain: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _dealt(plain: DataFrame, degree: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(links, degree) of a level, in both directions, dealt out for all rounds: where communities are broadcast, a row for each
     vertex with its neighbours (id, draw, near array, weight array), else a row for each link (id, near, weight), with one of weight 0 from each vertex to itself."""
     plain = plain.withColumn("weight", F.col("weight").cast("double"))
-    degree = stored(plain.select(F.explode(F.array("src", "dst")).alias("id"), "weight").groupBy("id").agg(F.sum("weight").alias("deg"), F.count("*").alias("links")))
-    n, links = degree.agg(F.count("*"), F.sum("links")).first()
-    tasks = max(int(plain.sparkSession.conf.get("spark.sql.shuffle.partitions")), (links or 0) // TASK_LINKS)
+    degree = stored(strengths(plain).withColumnRenamed("strength", "deg") if degree is None else degree)
+    n, tasks = degree.count(), max(int(plain.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * plain.count() // TASK_LINKS)
     other = plain.where("src <> dst")
     both = other.select(F.col("src").alias("id"), F.col("dst").alias("near"), "weight").union(other.select("dst", "src", "weight")).union(degree.select("id", "id", F.lit(0.0)))
     both = both.repartition(tasks, "id")
     if n <= BROADCAST_VERTICES:
         both = both.groupBy("id").agg(F.collect_list("near").alias("near"), F.collect_list("weight").alias("weight")).withColumn("draw", _draw("id", n))
-    return both.persist(StorageLevel.DISK_ONLY), degree.select("id", "deg")
+    return both.persist(StorageLevel.DISK_ONLY), degree
 
 
 def _draw(vertex: str, n: int) -> Column:
