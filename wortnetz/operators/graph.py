@@ -381,7 +381,7 @@ def louvain_local(src: Sequence, dst: Sequence, weight: Sequence, seed: int = 0)
 
 
 #: Rounds of moves on one level of a large graph, at most, and of its own vertices at the end; the share of vertices that must move for another one.
-MOVE_ROUNDS, LAST_ROUNDS, LEAST_MOVED = 3, 6, 0.005
+MOVE_ROUNDS, LAST_ROUNDS, LEAST_MOVED = 12, 6, 0.005
 #: Vertices up to which their communities are broadcast in each round (about 100 bytes each), so that no link is dealt out again.
 BROADCAST_VERTICES = 2_500_000
 #: Links of one task at most, about.
@@ -391,7 +391,7 @@ TASK_LINKS = 500_000
 def louvain(edges: DataFrame, small: int = SMALL_EDGES) -> DataFrame:
     """(id, community) of an undirected graph; communities are numbered.
 
-    Up to ``small`` edges the graph is walked in one task. A larger one is worked on in levels: in a few rounds, half of its
+    Up to ``small`` edges the graph is walked in one task. A larger one is worked on in levels: in rounds, half of its
     vertices, drawn by hash, move to the neighbouring community that gains most; then communities become the vertices of a
     smaller graph, whose communities are found in the same way. Where nothing moves the level's vertices are the answer. At
     the end the graph's own vertices move between the communities that were found, until few do or the rounds are over.
